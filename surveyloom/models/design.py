@@ -67,14 +67,23 @@ def design_matrix(df: DataFrame, terms: Sequence[Term], response: str, positive:
 
 def answer_patterns(df: DataFrame, terms: Sequence[Term], response: str, positive: str,
                     keep: Sequence[Column] = ()) -> DataFrame:
-    """Distinct combinations of answers with the number of rows as ``weight``.
+    """Distinct combinations of answers with the number of rows (``weight``)
+    and of positive rows (``positive``).
 
-    A model fitted to the weighted patterns equals one fitted to the rows.
+    A model fitted to the counted patterns equals one fitted to the rows.
     Coded answers repeat, so the table is read once and the many passes of
     a fit run over the far smaller patterns.
     """
-    y = (F.col(response) == positive).cast("double").alias("y")
     keys = [F.col(term.name) for term in terms]
-    counted = (complete_rows(df, terms, response).groupBy(*keep, *keys, y)
-               .agg(F.count("*").cast("double").alias("weight")))
+    counted = complete_rows(df, terms, response).groupBy(*keep, *keys).agg(
+        F.count("*").cast("double").alias("weight"),
+        F.count_if(F.col(response) == positive).cast("double").alias("positive"))
     return settle(counted)
+
+
+def by_class(patterns: DataFrame) -> DataFrame:
+    """Counted patterns with one row per class: the 0/1 response ``y`` and its ``weight``."""
+    classes = F.array(F.struct(F.lit(0.0).alias("y"), (F.col("weight") - F.col("positive")).alias("weight")),
+                      F.struct(F.lit(1.0).alias("y"), F.col("positive").alias("weight")))
+    rest = [c for c in patterns.columns if c not in ("weight", "positive")]
+    return patterns.select(*rest, F.inline(classes)).where("weight > 0")

@@ -31,6 +31,7 @@ class Logit:
     aliased: tuple[str, ...]
     deviance: float
     null_deviance: float
+    within_patterns: float
     rows: float
 
     @property
@@ -61,40 +62,52 @@ def alias_check(patterns: DataFrame, terms: Sequence[Term]) -> list[str]:
 def _solve(patterns: DataFrame, columns: dict[str, Column], offset: Column | None = None,
            intercept: bool = True, max_iter: int = 25, tol: float = 1e-8):
     features = array_to_vector(F.array(*columns.values()))
-    data = patterns.select("y", "weight", features.alias("features"),
+    data = patterns.select((F.col("positive") / F.col("weight")).alias("y"), "weight", features.alias("features"),
                            (F.lit(0.0) if offset is None else offset).alias("offset"))
     learner = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", weightCol="weight",
                                           offsetCol="offset", fitIntercept=intercept, maxIter=max_iter, tol=tol)
     return learner.fit(data)
 
 
-def _binomial_deviance(positive: float, total: float) -> float:
-    parts = [(n, n / total) for n in (positive, total - positive) if n > 0]
-    return -2 * sum(n * math.log(share) for n, share in parts)
+def _entropy(positive: Column, total: Column) -> Column:
+    """-2 log likelihood of each pattern at its own share of positives."""
+    def part(n: Column) -> Column:
+        return F.when(n > 0, n * F.ln(n / total)).otherwise(0.0)
+    return -2 * (part(positive) + part(total - positive))
+
+
+def _margins(patterns: DataFrame) -> tuple[float, float, float, float]:
+    """Rows, positive rows, null deviance and the deviance between rows and patterns."""
+    n, p = F.sum("weight"), F.sum("positive")
+    row = patterns.agg(n.alias("n"), p.alias("p"), _entropy(p, n).alias("null_deviance"),
+                       F.sum(_entropy(F.col("positive"), F.col("weight"))).alias("within")).first()
+    return row.n, row.p, row.null_deviance, row.within
 
 
 def fit_logit(patterns: DataFrame, terms: Sequence[Term], kept: Sequence[str] | None = None) -> Logit:
-    """Fit P(y = 1) on ``patterns`` (see ``answer_patterns``).
+    """Fit the share of positives on ``patterns`` (see ``answer_patterns``).
 
     Design columns that earlier ones determine are dropped before the fit and
     reported as aliased.  Pass ``kept`` to skip that check when it is known.
+    Deviances are those of single rows: the fit to shares leaves out the part
+    within the patterns, which no model can change, so it is added back.
     """
     kept = list(alias_check(patterns, terms) if kept is None else kept)
     columns = design_columns(terms)
     aliased = tuple(name for name in columns if name not in kept)
-    size = patterns.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("y")).alias("p")).first()
-    null_deviance = _binomial_deviance(size.p, size.n)
+    rows, positive, null_deviance, within = _margins(patterns)
     if not kept:
-        estimate = math.log(size.p / (size.n - size.p))
-        error = math.sqrt(1 / size.p + 1 / (size.n - size.p))
+        estimate = math.log(positive / (rows - positive))
+        error = math.sqrt(1 / positive + 1 / (rows - positive))
         return Logit(tuple(terms), {INTERCEPT: estimate}, {INTERCEPT: error}, aliased,
-                     null_deviance, null_deviance, size.n)
+                     null_deviance, null_deviance, within, rows)
     model = _solve(patterns, {name: columns[name] for name in kept})
     summary = model.summary
     errors = summary.coefficientStandardErrors  # intercept last
     names = [INTERCEPT, *kept]
     return Logit(tuple(terms), dict(zip(names, [model.intercept, *model.coefficients.toArray().tolist()])),
-                 dict(zip(names, [errors[-1], *errors[:-1]])), aliased, summary.deviance, null_deviance, size.n)
+                 dict(zip(names, [errors[-1], *errors[:-1]])), aliased, summary.deviance + within, null_deviance, within,
+                 rows)
 
 
 # ---- tables about one fit
@@ -153,11 +166,11 @@ def profile_deviance(patterns: DataFrame, fit: Logit, name: str, value: float) -
     free = {n: columns[n] for n in fit.estimates if n not in (name, INTERCEPT)}
     held = F.lit(value) if name == INTERCEPT else columns[name] * F.lit(value)
     if free:
-        return _solve(patterns, free, held, intercept=name != INTERCEPT).summary.deviance
+        return _solve(patterns, free, held, intercept=name != INTERCEPT).summary.deviance + fit.within_patterns
     if name == INTERCEPT:
         raise ValueError("a model of one intercept has no profile")
-    # Only the intercept is free: a constant column without a further intercept.
-    return _solve(patterns, {"one": F.lit(1.0)}, held, intercept=False).summary.deviance
+    # Only the intercept is free; the learner wants a column, and one of zeros has no effect.
+    return _solve(patterns, {"zero": F.lit(0.0)}, held).summary.deviance + fit.within_patterns
 
 
 def _profile_limit(patterns: DataFrame, fit: Logit, name: str, side: int, z: float) -> float:
@@ -172,7 +185,7 @@ def _profile_limit(patterns: DataFrame, fit: Logit, name: str, side: int, z: flo
 
 
 def _root(f: Callable[[float], float], inner: float, outer: float, f_inner: float,
-          tolerance: float = 1e-6, steps: int = 50) -> float:
+          tolerance: float = 1e-5, steps: int = 30) -> float:
     """Secant steps kept inside a widening-then-shrinking bracket."""
     f_outer = f(outer)
     while f_outer < 0:
@@ -227,7 +240,7 @@ def eliminate_backward(patterns: DataFrame, terms: Sequence[Term]) -> tuple[Logi
                 left = tuple(t for t in current.terms if t != dropped)
                 aliased = tuple(n for n in current.aliased if n not in dropped.contrasts())
                 best = Logit(left, current.estimates, current.errors, aliased, current.deviance,
-                             current.null_deviance, current.rows)
+                             current.null_deviance, current.within_patterns, current.rows)
             else:
                 choices = [tuple(t for t in current.terms if t != drop) for drop in current.terms]
                 with ThreadPoolExecutor(FITS_AT_ONCE) as pool:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surveyloom.models.design import Term
+from surveyloom.models.design import Term, by_class
 from surveyloom.operators.joins import with_scalars
 from surveyloom.models.trees import CLASSES, Node, Tree, grow_tree, with_features
 
@@ -148,7 +148,7 @@ def cp_table(patterns: DataFrame, terms: Sequence[Term], folds: int = FOLDS, **g
             part = grow_tree(patterns.where(F.col("fold") != fold), terms, **growth)
             part_strengths = link_strengths(part)
             scale = root * part.nodes[0].n / total if total else 0.0
-            placed = with_features(patterns.where(F.col("fold") == fold), terms, ["y", "weight"])
+            placed = with_features(by_class(patterns.where(F.col("fold") == fold)), terms, ["y", "weight"])
             counts = (part.model.copy().setLeafCol("leaf").transform(placed)
                       .groupBy("leaf", "y").agg(F.sum("weight").alias("n")).collect())
             errors = []

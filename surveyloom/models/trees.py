@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.models.design import Term
+from surveyloom.models.design import Term, by_class
 from surveyloom.operators.running import running_totals
 from surveyloom.sources.scratch import scratch_folder
 
@@ -107,6 +107,7 @@ def grow_tree(patterns: DataFrame, terms: Sequence[Term], max_depth: int = MAX_D
     first is given to the learner as a share of the total weight and the second
     is applied to the node table.
     """
+    patterns = by_class(patterns)
     total = patterns.agg(F.sum("weight")).first()[0]
     learner = DecisionTreeClassifier(
         featuresCol="features", labelCol="y", weightCol="weight", impurity="gini", maxDepth=max_depth,
