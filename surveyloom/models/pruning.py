@@ -20,7 +20,7 @@ from surveyloom.operators.joins import with_scalars
 from surveyloom.models.trees import CLASSES, Node, Tree, grow_tree, with_features
 
 FOLDS = 10
-FITS_AT_ONCE = 4
+FITS_AT_ONCE = 8
 
 
 def preorder(nodes: dict[int, Node], is_leaf: Callable[[Node], bool], start: int = 0) -> Iterator[Node]:
@@ -54,10 +54,11 @@ def link_strengths(tree: Tree) -> dict[int, float]:
                 branch[node.id] = (loss_l + loss_r, leaves_l + leaves_r)
                 strength[node.id] = (node.loss - loss_l - loss_r) / (leaves_l + leaves_r - 1)
         weakest = min(strength.values())
-        floor = max(collapsed.values(), default=0.0)
-        for node_id, value in strength.items():
-            if value <= weakest + 1e-9:
-                collapsed[node_id] = max(weakest, floor)
+        penalty = max(weakest, max(collapsed.values(), default=0.0))
+        for top in [node_id for node_id, value in strength.items() if value <= weakest + 1e-9]:
+            # What is still open below goes with it.
+            branch_nodes = [n.id for n in preorder(tree.nodes, is_leaf, top) if not is_leaf(n)]
+            collapsed.update(dict.fromkeys(branch_nodes, penalty))
     return collapsed
 
 

@@ -204,7 +204,8 @@ def prune_tree(spark, folder):
 
 @query()
 def tree_importance(spark, folder):
-    return pruning.tree_importance(spark, _chosen(spark, folder))
+    tree, _ = _grown(spark, folder)
+    return pruning.tree_importance(spark, pruning.prune(tree, 0.0))
 
 
 @query()

@@ -19,6 +19,8 @@ def open_tables(folder: str) -> duckdb.DuckDBPyConnection:
 def plain(value):
     if isinstance(value, bool) or value is None or isinstance(value, str):
         return value
+    if isinstance(value, list):
+        return [plain(v) for v in value]
     value = float(value)
     return 0.0 if value == 0 else (round(value, 9) if math.isfinite(value) else value)
 
