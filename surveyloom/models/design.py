@@ -87,3 +87,14 @@ def by_class(patterns: DataFrame) -> DataFrame:
                       F.struct(F.lit(1.0).alias("y"), F.col("positive").alias("weight")))
     rest = [c for c in patterns.columns if c not in ("weight", "positive")]
     return patterns.select(*rest, F.inline(classes)).where("weight > 0")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows over all cores if they arrive in fewer partitions.
+
+    The passes of a learner are bound by computing; a table that was written
+    as a few small files would otherwise keep most cores idle.  Dealing by the
+    whole row puts a row where it was before when a task is repeated.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *rows.columns)

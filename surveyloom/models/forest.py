@@ -16,14 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surveyloom.models.design import Term, complete_rows
+from surveyloom.models.design import Term, complete_rows, spread
 from surveyloom.models.trees import CLASSES, nominal, with_features
 from surveyloom.sources.scratch import settle
 
-FITS_AT_ONCE = 4
+FITS_AT_ONCE = 8
 STABLE_TREES = 150      # the out-of-bag error no longer falls beyond this
 SHUFFLE_BLOCK = 100_000
 RESOLUTION = 2 ** 31
+NODE_MEMORY_MB = 1024    # statistics of the nodes that are split in one pass
 
 
 def labelled_rows(df: DataFrame, terms: Sequence[Term], response: str, positive: str, id_column: str) -> DataFrame:
@@ -42,8 +43,9 @@ def fit_forest(rows: DataFrame, terms: Sequence[Term], trees: int = STABLE_TREES
     """A forest with bootstrap rows and a square-root sample of the terms at each split."""
     learner = RandomForestClassifier(
         featuresCol="features", labelCol="y", numTrees=trees, maxDepth=max_depth, maxBins=_bins(terms, max_bins),
-        featureSubsetStrategy="sqrt", subsamplingRate=1.0, minInstancesPerNode=1, seed=seed)
-    return learner.fit(with_features(rows, terms, ["y"]))
+        featureSubsetStrategy="sqrt", subsamplingRate=1.0, minInstancesPerNode=1, maxMemoryInMB=NODE_MEMORY_MB,
+        seed=seed)
+    return learner.fit(with_features(spread(rows), terms, ["y"]))
 
 
 def predict_forest(rows: DataFrame, terms: Sequence[Term], model: RandomForestClassificationModel) -> DataFrame:
@@ -92,7 +94,7 @@ def fit_bagged(rows: DataFrame, terms: Sequence[Term], trees: int = 50, max_dept
     names = [f"w{i}" for i in range(trees)]
     patterns = settle(rows.groupBy("y", *[t.name for t in terms])
                       .agg(*[F.sum(bag_weight(i, seed)).alias(w) for i, w in enumerate(names)]))
-    features = with_features(patterns, terms, ["y", *names]).persist()
+    features = with_features(spread(patterns), terms, ["y", *names]).persist()
 
     def fit(i: int) -> DecisionTreeClassificationModel:
         learner = RandomForestClassifier(
@@ -109,7 +111,7 @@ def fit_bagged(rows: DataFrame, terms: Sequence[Term], trees: int = 50, max_dept
 
 def oob_votes(rows: DataFrame, forest: Bagged) -> DataFrame:
     """Per row the votes of all trees in order; NULL where the tree has seen the row."""
-    voted = with_features(rows, forest.terms, ["row_id", "y"])
+    voted = with_features(spread(rows), forest.terms, ["row_id", "y"])
     for i, tree in enumerate(forest.trees):
         silent = tree.copy().setPredictionCol(f"p{i}").setRawPredictionCol("").setProbabilityCol("")
         voted = silent.transform(voted)

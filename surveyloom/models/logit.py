@@ -9,16 +9,17 @@ from dataclasses import dataclass
 from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.models.design import Term, design_columns
+from surveyloom.models.design import Term, design_columns, spread
 from surveyloom.models.linear import VIF_SCHEMA, column_groups, cross_products, independent_columns, vif_from
 
 INTERCEPT = "(Intercept)"
-FITS_AT_ONCE = 4
+FITS_AT_ONCE = 8
 
 
 @dataclass(frozen=True)
@@ -51,14 +52,6 @@ class Logit:
         return F.when(usable, 1 / (1 + F.exp(-linear)))
 
 
-def alias_check(patterns: DataFrame, terms: Sequence[Term]) -> list[str]:
-    """Names of the design columns that are not determined by earlier ones."""
-    columns = design_columns(terms)
-    kept = independent_columns(cross_products(patterns, list(columns.values()), F.col("weight")))
-    names = list(columns)
-    return [names[i] for i in kept]
-
-
 def _solve(patterns: DataFrame, columns: dict[str, Column], offset: Column | None = None,
            intercept: bool = True, max_iter: int = 25, tol: float = 1e-8):
     features = array_to_vector(F.array(*columns.values()))
@@ -76,38 +69,57 @@ def _entropy(positive: Column, total: Column) -> Column:
     return -2 * (part(positive) + part(total - positive))
 
 
-def _margins(patterns: DataFrame) -> tuple[float, float, float, float]:
-    """Rows, positive rows, null deviance and the deviance between rows and patterns."""
+@dataclass(frozen=True)
+class Measures:
+    """What all fits to one table of patterns share."""
+
+    names: tuple[str, ...]
+    products: np.ndarray     # X'WX of the intercept and the named columns
+    rows: float
+    positive: float
+    null_deviance: float
+    within_patterns: float   # deviance of single rows that no model of the patterns can change
+
+    def independent(self, terms: Sequence[Term]) -> list[str]:
+        """Design columns of the terms that are not determined by earlier ones."""
+        mine = [name for term in terms for name in term.contrasts()]
+        place = [0, *[self.names.index(name) + 1 for name in mine]]
+        return [mine[i] for i in independent_columns(self.products[np.ix_(place, place)])]
+
+
+def measure(patterns: DataFrame, terms: Sequence[Term]) -> Measures:
+    columns = design_columns(terms)
+    products = cross_products(patterns, list(columns.values()), F.col("weight"))
     n, p = F.sum("weight"), F.sum("positive")
     row = patterns.agg(n.alias("n"), p.alias("p"), _entropy(p, n).alias("null_deviance"),
                        F.sum(_entropy(F.col("positive"), F.col("weight"))).alias("within")).first()
-    return row.n, row.p, row.null_deviance, row.within
+    return Measures(tuple(columns), products, row.n, row.p, row.null_deviance, row.within)
 
 
-def fit_logit(patterns: DataFrame, terms: Sequence[Term], kept: Sequence[str] | None = None) -> Logit:
+def fit_logit(patterns: DataFrame, terms: Sequence[Term], measures: Measures | None = None) -> Logit:
     """Fit the share of positives on ``patterns`` (see ``answer_patterns``).
 
     Design columns that earlier ones determine are dropped before the fit and
-    reported as aliased.  Pass ``kept`` to skip that check when it is known.
-    Deviances are those of single rows: the fit to shares leaves out the part
-    within the patterns, which no model can change, so it is added back.
+    reported as aliased.  ``measures`` of the same patterns serve fits to any
+    subset of the terms.  Deviances are those of single rows.
     """
-    kept = list(alias_check(patterns, terms) if kept is None else kept)
+    m = measures or measure(patterns, terms)
+    kept = m.independent(terms)
     columns = design_columns(terms)
     aliased = tuple(name for name in columns if name not in kept)
-    rows, positive, null_deviance, within = _margins(patterns)
-    if not kept:
-        estimate = math.log(positive / (rows - positive))
-        error = math.sqrt(1 / positive + 1 / (rows - positive))
-        return Logit(tuple(terms), {INTERCEPT: estimate}, {INTERCEPT: error}, aliased,
-                     null_deviance, null_deviance, within, rows)
-    model = _solve(patterns, {name: columns[name] for name in kept})
-    summary = model.summary
-    errors = summary.coefficientStandardErrors  # intercept last
     names = [INTERCEPT, *kept]
-    return Logit(tuple(terms), dict(zip(names, [model.intercept, *model.coefficients.toArray().tolist()])),
-                 dict(zip(names, [errors[-1], *errors[:-1]])), aliased, summary.deviance + within, null_deviance, within,
-                 rows)
+    if kept:
+        model = _solve(patterns, {name: columns[name] for name in kept})
+        errors = model.summary.coefficientStandardErrors  # intercept last
+        values = [model.intercept, *model.coefficients.toArray().tolist()]
+        errors = [errors[-1], *errors[:-1]]
+        deviance = model.summary.deviance + m.within_patterns
+    else:
+        values = [math.log(m.positive / (m.rows - m.positive))]
+        errors = [math.sqrt(1 / m.positive + 1 / (m.rows - m.positive))]
+        deviance = m.null_deviance
+    return Logit(tuple(terms), dict(zip(names, values)), dict(zip(names, errors)), aliased, deviance,
+                 m.null_deviance, m.within_patterns, m.rows)
 
 
 # ---- tables about one fit
@@ -229,9 +241,10 @@ def eliminate_backward(patterns: DataFrame, terms: Sequence[Term]) -> tuple[Logi
     fits of one round are independent and run side by side; all of them read
     the cached patterns.
     """
-    patterns = patterns.persist()
+    patterns = spread(patterns).persist()
     try:
-        current = fit_logit(patterns, terms)
+        measures = measure(patterns, terms)
+        current = fit_logit(patterns, terms, measures)
         steps = [Step(None, current.aic, current.deviance, tuple(t.name for t in current.terms))]
         while current.terms:
             idle = [t for t in current.terms if not any(n in current.estimates for n in t.contrasts())]
@@ -244,7 +257,7 @@ def eliminate_backward(patterns: DataFrame, terms: Sequence[Term]) -> tuple[Logi
             else:
                 choices = [tuple(t for t in current.terms if t != drop) for drop in current.terms]
                 with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-                    fits = list(pool.map(lambda left: fit_logit(patterns, left), choices))
+                    fits = list(pool.map(lambda left: fit_logit(patterns, left, measures), choices))
                 place = min(range(len(fits)), key=lambda i: fits[i].aic)
                 best, dropped = fits[place], current.terms[place]
                 if best.aic >= current.aic + 1e-7:

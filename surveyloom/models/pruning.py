@@ -6,20 +6,24 @@ Rows are only ever sent to leaves by Spark, and come back as counts per leaf.
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surveyloom.models.design import Term, by_class
+from surveyloom.models.design import Term, by_class, spread
 from surveyloom.operators.joins import with_scalars
 from surveyloom.models.trees import CLASSES, Node, Tree, grow_tree, with_features
 
 FOLDS = 10
+TIE = 1e-9  # strengths this close are equal
 FITS_AT_ONCE = 8
 
 
@@ -37,31 +41,69 @@ def link_strengths(tree: Tree) -> dict[int, float]:
 
     Weakest links go first: the node whose branch saves the least loss per
     extra leaf.  Nodes too small to be split count as leaves from the start.
+    A node never goes later than one above it.
     """
-    collapsed: dict[int, float] = {}
+    nodes = tree.nodes
 
     def is_leaf(node: Node) -> bool:
-        return node.is_leaf or node.n < tree.min_split or node.id in collapsed
-
-    while not is_leaf(tree.nodes[0]):
-        branch: dict[int, tuple[float, int]] = {}
-        strength: dict[int, float] = {}
-        for node in reversed(list(preorder(tree.nodes, is_leaf))):
-            if is_leaf(node):
-                branch[node.id] = (node.loss, 1)
-            else:
-                (loss_l, leaves_l), (loss_r, leaves_r) = branch[node.left], branch[node.right]
-                branch[node.id] = (loss_l + loss_r, leaves_l + leaves_r)
-                strength[node.id] = (node.loss - loss_l - loss_r) / (leaves_l + leaves_r - 1)
-        weakest = min(strength.values())
-        penalty = max(weakest, max(collapsed.values(), default=0.0))
-        for top in [node_id for node_id, value in strength.items() if value <= weakest + 1e-9]:
-            # What is still open below goes with it.
-            branch_nodes = [n.id for n in preorder(tree.nodes, is_leaf, top) if not is_leaf(n)]
-            collapsed.update(dict.fromkeys(branch_nodes, penalty))
+        return node.is_leaf or node.n < tree.min_split
+
+    above: dict[int, int] = {}
+    loss: dict[int, float] = {}
+    leaves: dict[int, int] = {}
+    reached = list(preorder(nodes, is_leaf))
+    for node in reversed(reached):
+        loss[node.id], leaves[node.id] = node.loss, 1
+        if not is_leaf(node):
+            above[node.left] = above[node.right] = node.id
+            loss[node.id] = loss[node.left] + loss[node.right]
+            leaves[node.id] = leaves[node.left] + leaves[node.right]
+
+    def strength(i: int) -> float:
+        return (nodes[i].loss - loss[i]) / (leaves[i] - 1)
+
+    open_nodes = {n.id for n in reached if not is_leaf(n)}
+    queue = [(strength(i), i) for i in open_nodes]
+    heapq.heapify(queue)
+    collapsed: dict[int, float] = {}
+    penalty = 0.0
+    while queue:
+        value, top = heapq.heappop(queue)
+        if top not in open_nodes or value != strength(top):
+            continue  # an outdated entry
+        penalty = max(penalty, value)
+        gained, removed = nodes[top].loss - loss[top], leaves[top] - 1
+        for node in list(preorder(nodes, lambda n: n.id not in open_nodes, top)):
+            if node.id in open_nodes:
+                open_nodes.discard(node.id)
+                collapsed[node.id] = penalty
+        parent = above.get(top)
+        while parent is not None:
+            loss[parent] += gained
+            leaves[parent] -= removed
+            heapq.heappush(queue, (strength(parent), parent))
+            parent = above.get(parent)
     return collapsed
 
 
+def loss_by_penalty(tree: Tree, strengths: dict[int, float],
+                    loss: dict[int, float]) -> Callable[[float], tuple[int, float]]:
+    """Splits and total loss of the pruning at any penalty, given the loss of each node as a leaf.
+
+    A node is split exactly if its strength exceeds the penalty, so the
+    answer is a running sum over the nodes in order of strength.
+    """
+    order = sorted(strengths, key=strengths.get, reverse=True)
+    falling = [-strengths[i] for i in order]
+    saved = list(accumulate((loss[i] - loss[tree.nodes[i].left] - loss[tree.nodes[i].right] for i in order),
+                            initial=0.0))
+
+    def at(penalty: float) -> tuple[int, float]:
+        splits = bisect_left(falling, -(penalty + TIE))
+        return splits, loss[0] - saved[splits]
+    return at
+
+
 @dataclass(frozen=True)
 class Pruned:
     """A tree whose nodes with a link strength up to ``alpha`` are leaves."""
@@ -71,7 +113,7 @@ class Pruned:
     alpha: float
 
     def is_leaf(self, node: Node) -> bool:
-        return node.id not in self.strengths or self.strengths[node.id] <= self.alpha
+        return node.id not in self.strengths or self.strengths[node.id] <= self.alpha + TIE
 
     def nodes(self) -> list[Node]:
         return list(preorder(self.tree.nodes, self.is_leaf))
@@ -97,7 +139,7 @@ class Pruned:
 def prune(tree: Tree, cp: float, strengths: dict[int, float] | None = None) -> Pruned:
     """Prune to a strength given as a share of the root's loss."""
     strengths = link_strengths(tree) if strengths is None else strengths
-    return Pruned(tree, strengths, cp * tree.nodes[0].loss + 1e-9)
+    return Pruned(tree, strengths, cp * tree.nodes[0].loss)
 
 
 def predict_class(df: DataFrame, pruned: Pruned, target: str = "predicted") -> DataFrame:
@@ -116,18 +158,29 @@ def cp_rows(tree: Tree, strengths: dict[int, float]) -> list[tuple[float, int, f
     root = tree.nodes[0].loss
     if not root:
         return [(0.0, 0, 1.0)]
-    levels = sorted({round(v / root, 12) for v in strengths.values() if v > 1e-9}, reverse=True)
-    rows = []
-    for cp in [*levels, 0.0]:
-        above = Pruned(tree, strengths, cp * root + 1e-9)
-        rows.append((cp, above.splits, above.loss / root))
-    return rows
+    cps = [*sorted({round(v / root, 12) for v in strengths.values() if v > TIE}, reverse=True), 0.0]
+    at = loss_by_penalty(tree, strengths, {i: n.loss for i, n in tree.nodes.items()})
+    return [(cp, splits, loss / root) for cp, (splits, loss) in ((cp, at(cp * root)) for cp in cps)]
 
 
 def fold_of(id_column: str, seed: int, folds: int = FOLDS) -> Column:
     return F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(folds)).cast("int").alias("fold")
 
 
+def errors_of(tree: Tree, strengths: dict[int, float], penalties: Sequence[float], counts: Sequence) -> list[float]:
+    """Wrong predictions on other rows, given as counts per leaf and class, at each penalty."""
+    leaf_ids = [n.id for n in preorder(tree.nodes, lambda node: node.is_leaf) if n.is_leaf]
+    seen = {i: [0.0, 0.0] for i in tree.nodes}
+    for row in counts:
+        seen[leaf_ids[int(row.leaf)]][int(row.y)] += row.n
+    for node in reversed(list(preorder(tree.nodes, lambda node: node.is_leaf))):
+        if not node.is_leaf:
+            seen[node.id] = [a + b for a, b in zip(seen[node.left], seen[node.right])]
+    wrong = {i: seen[i][1 - node.prediction] for i, node in tree.nodes.items()}
+    at = loss_by_penalty(tree, strengths, wrong)
+    return [at(penalty)[1] for penalty in penalties]
+
+
 def cp_table(patterns: DataFrame, terms: Sequence[Term], folds: int = FOLDS, **growth) -> tuple[Tree, list[tuple]]:
     """Grow a tree and cross-validate its prunings.
 
@@ -135,7 +188,7 @@ def cp_table(patterns: DataFrame, terms: Sequence[Term], folds: int = FOLDS, **g
     ``cp, nsplit, rel_error, xerror, xstd``.  The held-out rows of a fold come
     back as counts per leaf, from which the errors of all prunings follow.
     """
-    patterns = patterns.persist()
+    patterns = spread(patterns).persist()
     try:
         tree = grow_tree(patterns, terms, **growth)
         strengths = link_strengths(tree)
@@ -152,11 +205,7 @@ def cp_table(patterns: DataFrame, terms: Sequence[Term], folds: int = FOLDS, **g
             placed = with_features(by_class(patterns.where(F.col("fold") == fold)), terms, ["y", "weight"])
             counts = (part.model.copy().setLeafCol("leaf").transform(placed)
                       .groupBy("leaf", "y").agg(F.sum("weight").alias("n")).collect())
-            errors = []
-            for beta in betas:
-                classes = Pruned(part, part_strengths, beta * scale).leaf_classes()
-                errors.append(sum(row.n for row in counts if classes[int(row.leaf)] != int(row.y)))
-            return errors
+            return errors_of(part, part_strengths, [beta * scale for beta in betas], counts)
 
         with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
             by_fold = list(pool.map(held_out_errors, range(folds)))
