@@ -11,19 +11,20 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassificationModel, RandomForestClassificationModel,
                                        RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surveyloom.models.design import Term, complete_rows, spread
-from surveyloom.models.trees import CLASSES, nominal, with_features
+from surveyloom.models.trees import CLASSES, with_features
 from surveyloom.sources.scratch import settle
 
 FITS_AT_ONCE = 8
 STABLE_TREES = 150      # the out-of-bag error no longer falls beyond this
 SHUFFLE_BLOCK = 100_000
 RESOLUTION = 2 ** 31
+UNCHANGED = ""
 NODE_MEMORY_MB = 1024    # statistics of the nodes that are split in one pass
 
 
@@ -55,7 +56,7 @@ def predict_forest(rows: DataFrame, terms: Sequence[Term], model: RandomForestCl
     def label(index: str) -> Column:
         return F.element_at(classes, F.col(index).cast("int") + 1)
 
-    return (model.transform(with_features(rows, terms, ["row_id", "y"]))
+    return (model.transform(with_features(spread(rows), terms, ["row_id", "y"]))
             .select("row_id", label("y").alias("actual"), label("prediction").alias("predicted")))
 
 
@@ -188,28 +189,24 @@ def permutation_importance(rows: DataFrame, terms: Sequence[Term], model: Random
                            seed: int = 200, block_rows: int = SHUFFLE_BLOCK) -> DataFrame:
     """Drop in accuracy when one term at a time takes the values of other rows.
 
-    All terms are scored side by side in one pass.
+    Every row is expanded in place into one feature vector per term, so that
+    a single pass with one copy of the model scores them all.
     """
-    swapped = shuffled_neighbours(rows, [t.name for t in terms], seed, block_rows)
-
-    def place(term: Term, name: str) -> Column:
-        return nominal(term.position(), name, term.levels) if term.is_factor else term.position().alias(name)
-
-    own = swapped.select("y", "swap", *[place(t, f"own_{t.name}") for t in terms])
-    scored = own.select("y", *[f"own_{t.name}" for t in terms], "swap.*").select(
-        "y", *[f"own_{t.name}" for t in terms], *[place(t, f"swap_{t.name}") for t in terms])
-    for target in (None, *terms):
-        name = target.name if target else "none"
-        inputs = [f"swap_{t.name}" if t is target else f"own_{t.name}" for t in terms]
-        silent = (model.copy().setFeaturesCol(f"f_{name}").setPredictionCol(f"p_{name}")
-                  .setRawPredictionCol("").setProbabilityCol(""))
-        assembler = VectorAssembler(inputCols=inputs, outputCol=f"f_{name}")
-        scored = silent.transform(assembler.transform(scored)).drop(f"f_{name}")
-
-    def hit(name: str) -> Column:
-        return F.avg((F.col(f"p_{name}") == F.col("y")).cast("double"))
-
-    accuracies = scored.agg(hit("none").alias("base"), *[hit(t.name).alias(t.name) for t in terms])
-    drops = F.array(*[F.struct(F.lit(t.name).alias("term"), (F.col("base") - F.col(t.name)).alias("importance"))
-                      for t in terms])
-    return accuracies.select(F.inline(drops))
+    swapped = spread(settle(shuffled_neighbours(rows, [t.name for t in terms], seed, block_rows)))
+    own = [t.position().alias(f"own_{i}") for i, t in enumerate(terms)]
+    new = [t.position().alias(f"new_{i}") for i, t in enumerate(terms)]
+    placed = swapped.select("y", *own, "swap.*").select(
+        "y", *[f"own_{i}" for i in range(len(terms))], *new)
+
+    def variant(name: str, swap: int | None) -> Column:
+        values = [F.col(f"{'new' if i == swap else 'own'}_{i}") for i in range(len(terms))]
+        return F.struct(F.lit(name).alias("term"), F.array(*values).alias("values"))
+
+    variants = F.array(variant(UNCHANGED, None), *[variant(t.name, i) for i, t in enumerate(terms)])
+    scored = model.transform(placed.select("y", F.inline(variants))
+                             .select("y", "term", array_to_vector("values").alias("features")))
+    hits = settle(scored.groupBy("term").agg(
+        F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy")))
+    base = hits.where(F.col("term") == UNCHANGED).select("accuracy").scalar()
+    return (hits.where(F.col("term") != UNCHANGED)
+            .select("term", (base - F.col("accuracy")).alias("importance")))
