@@ -78,3 +78,11 @@ def aggregate_formula(df: DataFrame, y: str, by: Sequence[str],
 def group_mean(df: DataFrame, y: str, by: Sequence[str], where: Column | None = None) -> DataFrame:
     """Mean per group over the rows ``where`` holds; a missing group value is kept."""
     return (df if where is None else df.where(where)).groupBy(*by).agg(F.avg(y).alias(f"mean_{y}"))
+
+
+def balanced_shares(df: DataFrame, xs: Sequence[str], outcome: str) -> DataFrame:
+    """:func:`balanced_share` of many columns from one scan: ``column, value, outcome, n, prop, share``."""
+    long = (df.select(outcome, *[F.col(x).cast("string").alias(x) for x in xs])
+            .unpivot([outcome], list(xs), "column", "value").where("value is not null"))
+    prop = share_within(freq_table(long, "column", "value", outcome), "n", ["column", outcome], "prop")
+    return share_within(prop, "prop", ["column", "value"], "share")
