@@ -11,7 +11,7 @@ from statistics import NormalDist
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +52,20 @@ class Logit:
         return F.when(usable, 1 / (1 + F.exp(-linear)))
 
 
-def _solve(patterns: DataFrame, columns: dict[str, Column], offset: Column | None = None,
-           intercept: bool = True, max_iter: int = 25, tol: float = 1e-8):
+def _solve(patterns: DataFrame, columns: dict[str, Column], offset: Column | None = None, intercept: bool = True,
+           max_iter: int = 25, tol: float = 1e-8) -> tuple[GeneralizedLinearRegressionModel, float]:
+    """The fitted model and its deviance over the patterns."""
     features = array_to_vector(F.array(*columns.values()))
     data = patterns.select((F.col("positive") / F.col("weight")).alias("y"), "weight", features.alias("features"),
                            (F.lit(0.0) if offset is None else offset).alias("offset"))
     learner = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", weightCol="weight",
                                           offsetCol="offset", fitIntercept=intercept, maxIter=max_iter, tol=tol)
-    return learner.fit(data)
+    data = data.persist()  # every iteration reads it
+    try:
+        model = learner.fit(data)
+        return model, model.summary.deviance
+    finally:
+        data.unpersist()
 
 
 def _entropy(positive: Column, total: Column) -> Column:
@@ -109,11 +115,11 @@ def fit_logit(patterns: DataFrame, terms: Sequence[Term], measures: Measures | N
     aliased = tuple(name for name in columns if name not in kept)
     names = [INTERCEPT, *kept]
     if kept:
-        model = _solve(patterns, {name: columns[name] for name in kept})
+        model, deviance = _solve(patterns, {name: columns[name] for name in kept})
         errors = model.summary.coefficientStandardErrors  # intercept last
         values = [model.intercept, *model.coefficients.toArray().tolist()]
         errors = [errors[-1], *errors[:-1]]
-        deviance = model.summary.deviance + m.within_patterns
+        deviance += m.within_patterns
     else:
         values = [math.log(m.positive / (m.rows - m.positive))]
         errors = [math.sqrt(1 / m.positive + 1 / (m.rows - m.positive))]
@@ -178,11 +184,11 @@ def profile_deviance(patterns: DataFrame, fit: Logit, name: str, value: float) -
     free = {n: columns[n] for n in fit.estimates if n not in (name, INTERCEPT)}
     held = F.lit(value) if name == INTERCEPT else columns[name] * F.lit(value)
     if free:
-        return _solve(patterns, free, held, intercept=name != INTERCEPT).summary.deviance + fit.within_patterns
+        return _solve(patterns, free, held, intercept=name != INTERCEPT)[1] + fit.within_patterns
     if name == INTERCEPT:
         raise ValueError("a model of one intercept has no profile")
     # Only the intercept is free; the learner wants a column, and one of zeros has no effect.
-    return _solve(patterns, {"zero": F.lit(0.0)}, held).summary.deviance + fit.within_patterns
+    return _solve(patterns, {"zero": F.lit(0.0)}, held)[1] + fit.within_patterns
 
 
 def _profile_limit(patterns: DataFrame, fit: Logit, name: str, side: int, z: float) -> float:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surveyloom.models.design import Term, by_class, spread
-from surveyloom.operators.joins import with_scalars
+from surveyloom.operators.joins import scalars
 from surveyloom.models.trees import CLASSES, Node, Tree, grow_tree, with_features
 
 FOLDS = 10
@@ -233,10 +233,10 @@ def select_cp(table: DataFrame) -> DataFrame:
                               "reach": F.col("xerror") + F.col("xstd")})
     best = rows.agg(F.min("reach").alias("cap"),
                     F.min_by("i", F.struct("reach", "i")).alias("min_index"))
-    scalar = with_scalars(rows, best)
+    of_best = scalars(best)
     picked = F.min_by(F.struct("i", "cp", "previous"), "i")
-    return (rows.where(F.col("xerror") < scalar["cap"]).agg(picked.alias("p"))
-            .select(scalar["min_index"].alias("min_index"), scalar["cap"].alias("cap"),
+    return (rows.where(F.col("xerror") < of_best["cap"]).agg(picked.alias("p"))
+            .select(of_best["min_index"].alias("min_index"), of_best["cap"].alias("cap"),
                     F.col("p.i").alias("optimal_index"),
                     F.coalesce(F.sqrt(F.col("p.cp") * F.col("p.previous")), F.col("p.cp")).alias("cp")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.nulls import blank_to_null, update
-from surveyloom.operators.joins import with_scalars
+from surveyloom.operators.joins import scalars
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -46,7 +46,7 @@ def impute_mean(column: str, among: Column, where: Column) -> Stage:
     The mean is taken from the frame as it stands at this stage.
     """
     def stage(df: DataFrame) -> DataFrame:
-        mean = with_scalars(df, df.where(among).agg(F.avg(column).alias("mean")))["mean"]
+        mean = scalars(df.where(among).agg(F.avg(column).alias("mean")))["mean"]
         return df.withColumn(column, update(F.col(column), [(where, mean)]))
     return stage
 

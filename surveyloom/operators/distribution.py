@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.operators.joins import left_merge, with_scalars
+from surveyloom.operators.joins import left_merge, scalars
 from surveyloom.operators.running import ONE_TASK_ROWS, running_totals
 
 FENCE = 1.5
@@ -93,7 +93,7 @@ def count_outliers(df: DataFrame, columns: Sequence[str], fence: float = FENCE)
 
 def zscore(df: DataFrame, column: str) -> Column:
     """Standard score of a column, with the sample standard deviation."""
-    moments = with_scalars(df, df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd")))
+    moments = scalars(df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd")))
     return (F.col(column) - moments["mean"]) / F.nullif(moments["sd"], F.lit(0.0))
 
 

@@ -43,11 +43,12 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     return left_merge(big, small, on)
 
 
-def with_scalars(df: DataFrame, summary: DataFrame) -> dict[str, Column]:
-    """The columns of a one-row aggregate as scalars usable in expressions over ``df``.
+def scalars(summary: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row aggregate as scalars for expressions over another table.
 
     Each one is an uncorrelated scalar subquery: Spark evaluates the aggregate
-    once and substitutes the value, so no join and no shuffle of ``df``.
+    once and substitutes the value, so no join and no shuffle of
+    the table it is used on.
     """
     packed = summary.select(F.struct(*summary.columns).alias("s")).scalar()
     return {name: packed.getField(name) for name in summary.columns}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions import (Codebook, blank_to_null, cut, decode_units, fifelse, fill_missing,
                                   label_above, round_even, sentinel_to_null, sentinel_to_value)
 from surveyloom.operators import cleaning, distribution
-from surveyloom.operators.joins import left_merge, with_scalars
+from surveyloom.operators.joins import left_merge, scalars
 from surveyloom.operators.profiling import infer_levels as infer_levels_of
 from surveyloom.plans import survey
 from surveyloom.plans.registry import over_clean, over_raw, query, rounded
@@ -339,7 +339,7 @@ select resp_id, packday - m as deviation
 from survey_raw, (select max(packday) as m from survey_raw)"""))
 def scalar_back_join(spark, folder):
     raw = survey_raw(spark, folder)
-    top = with_scalars(raw, raw.agg(F.max("packday").alias("m")))["m"]
+    top = scalars(raw.agg(F.max("packday").alias("m")))["m"]
     return raw.select("resp_id", (c("packday") - top).alias("deviation"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 # How a delimited survey file writes its cells.
-DELIMITED = {"header": True, "sep": ",", "quote": '"', "escape": '"', "nullValue": "NA", "emptyValue": ""}
+DELIMITED = {"header": True, "sep": ",", "quote": '"', "escape": '"', "nullValue": "NA"}
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str | No
     ``multi_line`` is needed only where quoted cells hold line breaks; it stops
     Spark from splitting a file.
     """
-    reader = spark.read.options(**DELIMITED).option("multiLine", multi_line)
+    reader = spark.read.options(**DELIMITED, emptyValue="").option("multiLine", multi_line)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
@@ -31,10 +31,11 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str | No
 def write_delimited(df: DataFrame, path: str) -> None:
     """Write a delimited file with a header and no row numbers.
 
-    Text is quoted throughout, so that labels such as ``[10,000, 15,000)``
-    and the text ``NA`` survive, and only a bare ``NA`` is a missing value.
+    Cells with separators or quotes, such as ``[10,000, 15,000)``, are quoted.
+    A missing cell is written as ``NA`` and empty text as ``""``, so both are
+    read back as they were; the text ``NA`` itself is read as missing.
     """
-    df.write.options(**DELIMITED).csv(path)
+    df.write.options(**DELIMITED, emptyValue='""').csv(path)
 
 
 def ingest(reader: Callable[[], DataFrame], path: str) -> DataFrame:

@@ -187,7 +187,7 @@ def test_formula_mean_takes_any_aggregate_and_drops_missing_groups(spark):
 # ---- files
 
 def test_delimited_files_keep_commas_quotes_and_missing_cells(spark):
-    df = spark.createDataFrame([("[10,000, 15,000)", 1.5), ('say "hi"', None), (None, 0.1)], "label string, x double")
+    df = spark.createDataFrame([("[10,000, 15,000)", 1.5), ('say "hi"', None), (None, 0.1), ("", 2.0)], "label string, x double")
     path = scratch_folder(spark)
     write_delimited(df, path)
     assert rows(read_delimited(spark, path, df.schema)) == rows(df)
