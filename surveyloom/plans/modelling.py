@@ -139,6 +139,17 @@ def stepwise_trace(spark, folder):
     return logit.step_table(spark, steps)
 
 
+@query(over_clean("""
+select 0 as step, cast(null as varchar) as dropped, round(d + 2 * k, 4) as aic, round(d, 4) as deviance from s union all
+select 1, 'genhlth', round(d0 + 2, 4), round(d0, 4) from s where d0 + 2 < d + 2 * k""", ONE_FACTOR_SQL + """,
+s as (select -2 * sum(y * ln(y / (y + n)) + n * ln(n / (y + n))) as d, count(*) as k,
+  -2 * (sum(y) * ln(sum(y) / sum(y + n)) + sum(n) * ln(sum(n) / sum(y + n))) as d0 from t)"""))
+def stepwise_single_term(spark, folder):
+    patterns = answer_patterns(survey_clean(spark, folder), [HEALTH], "hd", "Yes")
+    _, steps = logit.eliminate_backward(patterns, [HEALTH])
+    return _rounded(logit.step_table(spark, steps).drop("terms"), "aic", "deviance", digits=4)
+
+
 @query(over_clean("""
 select term, 1 as df, round(1 / (1 - r * r), 6) as gvif, round(sqrt(1 / (1 - r * r)), 6) as gvif_adjusted
 from (select corr(height_m, weight_kg / height_m) as r from survey_clean), (values ('height_m'), ('slim')) as v(term)"""))
@@ -214,6 +225,46 @@ def score_class(spark, folder):
     return scored.select("resp_id", "hd", "predicted")
 
 
+# A tree of one split, which plain SQL can follow: who is obese, by weight in steps of 10 kg.
+STUMP_SQL = """
+w as (select resp_id, floor(weight_kg / 10) as v, case when bmi_category = 'Obese' then 'Yes' else 'No' end as obese
+  from survey_clean),
+g as (select v, cast(count(*) as double) as n, cast(count(*) filter (where obese = 'Yes') as double) as y from w group by 1),
+r as (select (v + lead(v) over (order by v)) / 2 as cut, sum(n) over (order by v) as nl, sum(y) over (order by v) as yl,
+  sum(n) over () as n, sum(y) over () as y from g),
+best as (select * from r where cut is not null
+  order by yl * (nl - yl) / nl + (y - yl) * (n - nl - y + yl) / (n - nl), cut limit 1),
+nodes as (
+  select 0 as id, 0 as depth, 'root' as rule, n, y, false as is_leaf from best
+  union all select 1, 1, concat('weight_band <= ', cast(cut as varchar)), nl, yl, true from best
+  union all select 2, 1, concat('weight_band > ', cast(cut as varchar)), n - nl, y - yl, true from best)"""
+WEIGHT_BAND = Term("weight_band")
+
+
+def _stump(spark, folder):
+    rows = survey_clean(spark, folder).select(
+        "resp_id", F.floor(c("weight_kg") / 10).alias("weight_band"),
+        F.when(c("bmi_category") == "Obese", "Yes").otherwise("No").alias("obese"))
+    tree = trees.grow_tree(answer_patterns(rows, [WEIGHT_BAND], "obese", "Yes"), [WEIGHT_BAND], max_depth=1)
+    return rows, pruning.prune(tree, 0.0)
+
+
+@query(over_clean("""
+select id, depth, rule, n, least(y, n - y) as loss, case when y > n - y then 'Yes' else 'No' end as class,
+  round((n - y) / n, 6) as share_no, round(y / n, 6) as share_yes, is_leaf from nodes""", STUMP_SQL))
+def tree_stump(spark, folder):
+    _, pruned = _stump(spark, folder)
+    return _rounded(pruning.node_table(spark, pruned), "share_no", "share_yes", digits=6)
+
+
+@query(over_clean("""
+select resp_id, obese, case when (v <= cut) = (yl > nl - yl) then 'Yes' else 'No' end as predicted from w, best""",
+                  STUMP_SQL))
+def stump_class(spark, folder):
+    rows, pruned = _stump(spark, folder)
+    return pruning.predict_class(rows, pruned).select("resp_id", "obese", "predicted")
+
+
 # ---- random forest
 
 def _train_rows(spark, folder):
