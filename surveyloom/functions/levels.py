@@ -70,7 +70,3 @@ class Codebook:
         dim = (df.sparkSession.range(1).select(F.inline(rows))
                .withColumn(key, F.col(key).cast(type_of_code)))
         return df.join(F.broadcast(dim), df[code] == dim[key], "left").drop(key)
-
-
-def yes_no(yes: Any = 1, no: Any = 2) -> Codebook:
-    return Codebook.of({yes: "Yes", no: "No"})

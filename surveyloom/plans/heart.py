@@ -128,6 +128,11 @@ def recoded() -> dict[str, Column]:
     }
 
 
+def bmi_category(bmi: Column) -> Column:
+    return fifelse(bmi < 18.5, "Underweight",
+                   fifelse(bmi < 23.0, "Normal Weight", fifelse(bmi < 30.0, "Overweight", "Obese")))
+
+
 def stages() -> list[Stage]:
     """Cleaning stages; ``CIGARETTES_PER_DAY`` counts packs until the last ones."""
     smoker = c("SMOKING") == "Yes"
@@ -148,9 +153,7 @@ def stages() -> list[Stage]:
         recode({"HEIGHT_M": c("HEIGHT_M") / 100.0, "WEIGHT_KG": c("WEIGHT_KG") / 100.0,
                 "CIGARETTES_PER_DAY": round_even(c("CIGARETTES_PER_DAY") * 20)}),
         recode({"BMI": round_even(c("WEIGHT_KG") / (c("HEIGHT_M") * c("HEIGHT_M")), 2)}),
-        recode({"BMI_CATEGORY": fifelse(bmi < 18.5, "Underweight", fifelse(
-                    bmi < 23.0, "Normal Weight", fifelse(bmi < 30.0, "Overweight", "Obese"))),
-                "OVERWEIGHT_OR_OBESE": fifelse(bmi >= 23.0, "Yes", "No")}),
+        recode({"BMI_CATEGORY": bmi_category(bmi), "OVERWEIGHT_OR_OBESE": fifelse(bmi >= 23.0, "Yes", "No")}),
     ]
 
 
@@ -159,6 +162,12 @@ def clean(raw: DataFrame) -> DataFrame:
     return run_stages(raw.select(*COLUMNS), stages()).transform(cleaning.dedupe)
 
 
+def with_row_id(cleaned: DataFrame) -> DataFrame:
+    """Distinct rows have no id of their own; a hash of all answers serves as one."""
+    answers = F.to_json(F.struct(*cleaned.columns), {"ignoreNullFields": "false"})
+    return cleaned.withColumn("row_id", F.md5(answers))
+
+
 def attrition(raw: DataFrame) -> DataFrame:
     """Rows left after each required column, in one scan."""
     coded = run_stages(raw.select(*COLUMNS), [rename(COLUMNS), cleaning.blanks_to_null, recode(recoded())])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from surveyloom.operators import cleaning, profiling
+from surveyloom.models import logit
+from surveyloom.models.design import answer_patterns
+from surveyloom.operators import cleaning, profiling, sampling
+from surveyloom.operators.joins import left_merge
 from surveyloom.plans import heart
-from surveyloom.plans.preparing import _cut_sql
+from surveyloom.plans.preparing import cut_sql
 from surveyloom.plans.registry import over_raw, query, rounded
-from surveyloom.plans.survey import _once, survey_raw
+from surveyloom.plans.survey import written_once, survey_raw
+from surveyloom.sources import settle
 
 # How the columns follow from ``survey_raw``.  ``draw`` stands for
 # a number from 0 to 99 that depends on the respondent and the column.
@@ -53,11 +55,11 @@ ANSWERS = [_answer(place, name) for place, name in enumerate(heart.COLUMNS)]
 
 
 def heart_raw(spark, folder):
-    return _once(spark, folder, "heart raw", lambda: survey_raw(spark, folder).selectExpr(*ANSWERS))
+    return written_once(spark, folder, "heart raw", lambda: survey_raw(spark, folder).selectExpr(*ANSWERS))
 
 
 def heart_table(spark, folder):
-    return _once(spark, folder, "heart clean", lambda: heart.clean(heart_raw(spark, folder)))
+    return written_once(spark, folder, "heart clean", lambda: heart.clean(heart_raw(spark, folder)))
 
 
 # ---- the same cleaning as plain SQL
@@ -164,7 +166,7 @@ def heart_means(spark, folder):
 @query(over_raw("""
 select t.bin, t.total, h.AGE_GROUP, h.cases, round(h.cases / t.total * 100, 6) as percentage
 from t left join h on t.bin is not distinct from h.bin""", HEART_SQL + f""",
-b as (select {_cut_sql("SLEEP_DURATION_HR", *heart.SLEEP_BINS)} as bin, AGE_GROUP, HEART_DISEASE from heart),
+b as (select {cut_sql("SLEEP_DURATION_HR", *heart.SLEEP_BINS)} as bin, AGE_GROUP, HEART_DISEASE from heart),
 t as (select bin, count(*) as total from b group by 1),
 h as (select bin, AGE_GROUP, count(*) as cases from b where HEART_DISEASE = 'Yes' group by 1, 2)"""))
 def heart_rate_by_sleep(spark, folder):
@@ -177,3 +179,13 @@ select heart.* from heart, (select avg(CIGARETTES_PER_DAY) as m, stddev_samp(CIG
 where not ((CIGARETTES_PER_DAY - m) / s > 3 or (CIGARETTES_PER_DAY - m) / s < -3)"""))
 def heart_without_outliers(spark, folder):
     return heart.without_extreme_smokers(heart_table(spark, folder))
+
+
+@query()
+def heart_odds_ratios(spark, folder):
+    """Odds ratios with limits of the final model, fitted to the rebalanced training rows."""
+    rows = heart.with_row_id(heart.without_extreme_smokers(heart_table(spark, folder)))
+    split = sampling.split_stratified(settle(rows), "HEART_DISEASE", "row_id", ratio=0.7, seed=200)
+    train = sampling.balance(split.where("train"), "HEART_DISEASE", "Yes", "row_id", ratio=2, seed="200:balance")
+    fit = logit.fit_logit(answer_patterns(train, heart.FINAL_TERMS, "HEART_DISEASE", "Yes"), heart.FINAL_TERMS)
+    return left_merge(logit.odds_ratios(spark, fit), logit.odds_ratio_limits(spark, fit), ["coefficient"])

@@ -4,30 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveyloom.functions import (Codebook, blank_to_null, cut, decode_units, fifelse, fill_missing,
+from surveyloom.functions import (blank_to_null, cut, decode_units, fifelse, fill_missing,
                                   label_above, round_even, sentinel_to_null, sentinel_to_value)
 from surveyloom.operators import cleaning, distribution
 from surveyloom.operators.joins import left_merge, scalars
 from surveyloom.operators.profiling import infer_levels as infer_levels_of
-from surveyloom.plans import survey
+from surveyloom.plans import heart, survey
 from surveyloom.plans.registry import over_clean, over_raw, query, rounded
 from surveyloom.plans.survey import survey_raw
 from surveyloom.sources import ingest, read_delimited, read_table, scratch_folder, write_delimited
 
-# Income bands of the survey-shaped table.
-INCOME = Codebook.of({
-    1: "(-Inf, 10,000)",
-    2: "[10,000, 15,000)",
-    3: "[15,000, 20,000)",
-    4: "[20,000, 25,000)",
-    5: "[25,000, 35,000)",
-    6: "[35,000, 50,000)",
-    7: "[50,000, 75,000)",
-    8: "[75,000, 100,000)",
-    9: "[100,000, 150,000)",
-    10: "[150,000, 200,000)",
-    11: "[200,000, Inf)",
-})
+INCOME = heart.CODEBOOKS["INCOME"]
 INCOME_SQL = "case income " + " ".join(f"when {code} then '{label}'" for code, label in INCOME.pairs) + " end"
 
 c = F.col
@@ -189,20 +176,20 @@ def scalar_math(spark, folder):
         rounded(F.sqrt("l_quantity"), 8).alias("sqrt_quantity"))
 
 
-def _cut_sql(column, breaks, labels):
+def cut_sql(column, breaks, labels):
     arms = [f"when {column} >= {breaks[0]}" + ("" if b == float("inf") else f" and {column} <= {b}")
             + f" then '{label}'" for b, label in zip(breaks[1:], labels)]
     return f"case {' '.join(arms)} end"
 
 
-SLEEP_CUT = _cut_sql("sleep_hr", survey.SLEEP_BREAKS, survey.SLEEP_LABELS)
-CIGARETTE_CUT = _cut_sql("cigs_per_day", survey.CIGARETTE_BREAKS, survey.CIGARETTE_LABELS)
-DRINKING_CUT = _cut_sql("drink_days", survey.DRINKING_BREAKS, survey.DRINKING_LABELS)
+SLEEP_CUT = cut_sql("sleep_hr", survey.SLEEP_BREAKS, survey.SLEEP_LABELS)
+CIGARETTE_CUT = cut_sql("cigs_per_day", survey.CIGARETTE_BREAKS, survey.CIGARETTE_LABELS)
+DRINKING_CUT = cut_sql("drink_days", survey.DRINKING_BREAKS, survey.DRINKING_LABELS)
 
 
 @query(over_raw(f"""
-select resp_id, {_cut_sql("sleptim", survey.SLEEP_BREAKS, survey.SLEEP_LABELS)} as sleep_bin,
-  {_cut_sql("packday", (0, 0.5, 1, 1.5), ("low", "mid", "high"))} as pack_bin from survey_raw"""))
+select resp_id, {cut_sql("sleptim", survey.SLEEP_BREAKS, survey.SLEEP_LABELS)} as sleep_bin,
+  {cut_sql("packday", (0, 0.5, 1, 1.5), ("low", "mid", "high"))} as pack_bin from survey_raw"""))
 def bin_cut(spark, folder):
     return survey_raw(spark, folder).select(
         "resp_id", cut(c("sleptim"), survey.SLEEP_BREAKS, survey.SLEEP_LABELS).alias("sleep_bin"),

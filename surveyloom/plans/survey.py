@@ -14,32 +14,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.functions import (Codebook, Levels, UnitRule, blank_to_null, cut, decode_units, fifelse,
-                                  fill_missing, sentinel_to_null, sentinel_to_value, yes_no)
+from surveyloom.functions import blank_to_null, decode_units, fill_missing, sentinel_to_null, sentinel_to_value
 from surveyloom.operators.cleaning import assign, drop_missing, impute_mean, recode, run_stages
+from surveyloom.plans import heart
 from surveyloom.sources import read_table, settle
 
-# Code lists of the survey-shaped table.
 NOT_ASKED = (7, 9)
-NOT_ASKED_DAYS = (77, 99)
-DIABETES = Codebook.of({1: "Yes", 2: "Yes, but during pregnancy", 3: "No", 4: "No"})
-HEART = yes_no()
-EXERCISE = yes_no()
-SMOKING = Codebook.of({1: "No", 2: "Yes"})
-ALCOHOL_UNITS = (
-    UnitRule(101, 199, offset=100, factor=4),
-    UnitRule(201, 299, offset=200),
-    UnitRule(777, 777, factor=None),
-    UnitRule(888, 888, offset=888),
-    UnitRule(999, 999, factor=None),
-)
-BMI_LEVELS = Levels.of(("Underweight", "Normal Weight", "Overweight", "Obese"))
-SLEEP_BREAKS = (1, 4, 5, 6, 7, 8, 9, float("inf"))
-SLEEP_LABELS = ("[1 - 4]", "[5]", "[6]", "[7]", "[8]", "[9]", "[10+]")
-CIGARETTE_BREAKS = (0, 1, 5, 10, 15, 20, float("inf"))
-CIGARETTE_LABELS = ("[0]", "[1 - 5]", "[6 - 10]", "[11 - 15]", "[16 - 20]", "[21 - 25]")
-DRINKING_BREAKS = (0, 1, 5, 10, 15, 20, 25, 30)
-DRINKING_LABELS = ("[0]", "[1 - 5]", "[6 - 10]", "[11 - 15]", "[16 - 20]", "[21 - 25]", "[26 - 30]")
+NOT_ASKED_DAYS = heart.DAYS_UNKNOWN
+ALCOHOL_UNITS = heart.ALCOHOL_UNITS
+BMI_LEVELS = heart.BMI_LEVELS
+DIABETES = heart.CODEBOOKS["DIABETES"]
+HEART = heart.YES_NO
+EXERCISE = heart.YES_NO
+SMOKING = heart.NO_YES
+SLEEP_BREAKS, SLEEP_LABELS = heart.SLEEP_BINS
+CIGARETTE_BREAKS, CIGARETTE_LABELS = heart.CIGARETTE_BINS
+DRINKING_BREAKS, DRINKING_LABELS = heart.DRINKING_BINS
+bmi_category = heart.bmi_category
 
 # Fixed values: (name, multiplier, price multiplier, shift, modulus) of the
 # pseudo-random draws the coded answers are made from.
@@ -108,11 +99,6 @@ def build_raw(orders: DataFrame) -> DataFrame:
     return draws.selectExpr(*[f"{sql} as {name}" for name, sql in ANSWERS.items()])
 
 
-def bmi_category(bmi):
-    return fifelse(bmi < 18.5, "Underweight",
-                   fifelse(bmi < 23.0, "Normal Weight", fifelse(bmi < 30.0, "Overweight", "Obese")))
-
-
 def clean(raw: DataFrame) -> DataFrame:
     """Recode, drop by column, impute pack counts before the last drop, derive."""
     c = F.col
@@ -189,7 +175,7 @@ from e where drink_days is not null"""
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def written_once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _written:
         _written[key] = settle(build())
@@ -197,12 +183,8 @@ def _once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataF
 
 
 def survey_raw(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(spark, folder, "raw", lambda: build_raw(read_table(spark, folder, "orders")))
+    return written_once(spark, folder, "raw", lambda: build_raw(read_table(spark, folder, "orders")))
 
 
 def survey_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(spark, folder, "clean", lambda: clean(survey_raw(spark, folder)))
-
-
-def with_sleep_bins(df: DataFrame) -> DataFrame:
-    return df.withColumn("sleep_bin", cut(F.col("sleep_hr"), SLEEP_BREAKS, SLEEP_LABELS))
+    return written_once(spark, folder, "clean", lambda: clean(survey_raw(spark, folder)))
