@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, exact_dedup
+from surveyloom.llm import decontaminate, exact_dedup, near_dedup, packing, secrets
 from surveyloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,54 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
                         id_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.ADDED)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[secrets.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(read_table(spark, folder, "documents"), tokenizer_path())
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+NEAR_SQL = """
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+  from words where len(w) > 0),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as n
+           from sets x join sets y on x.s = y.s and x.doc_id < y.doc_id group by all),
+links as (select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+          where 100 * common.n >= 75 * (p.n + q.n - common.n)),
+edges as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (
+  select doc_id, doc_id from words union select reach.doc_id, b from reach join edges on a = other),
+least_ids as (select doc_id, min(other) as component_id from reach group by doc_id)
+select words.doc_id, coalesce(n, 0) as n_shingles, component_id, words.doc_id = component_id as kept
+from words left join sizes using (doc_id) join least_ids using (doc_id)
+"""
+
+
+@query(NEAR_SQL)
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_dedup.near_groups(read_table(spark, folder, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
