@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, exact_dedup, near_dedup, packing, secrets
+from surveyloom.llm import decontaminate, exact_dedup, language_model, near_dedup, packing, secrets
+from surveyloom.llm.common import remainder
 from surveyloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +136,9 @@ from words left join sizes using (doc_id) join least_ids using (doc_id)
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_dedup.near_groups(read_table(spark, folder, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query()
+def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    scored = language_model.scores(read_table(spark, folder, "documents"), remainder("doc_id", 7) == 2)
+    return scored.withColumnRenamed("id", "doc_id")
