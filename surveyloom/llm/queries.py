@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, exact_dedup, language_model, near_dedup, packing, secrets
+from surveyloom.llm import decontaminate, exact_dedup, html_text, language_model, near_dedup, packing, secrets
 from surveyloom.llm.common import remainder
 from surveyloom.sources.tables import read_table
 
@@ -142,3 +142,8 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
     scored = language_model.scores(read_table(spark, folder, "documents"), remainder("doc_id", 7) == 2)
     return scored.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read_table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
