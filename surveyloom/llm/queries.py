@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, exact_dedup, html_text, language_model, near_dedup, packing, secrets
+from surveyloom.llm import decontaminate, exact_dedup, html_text, language_model, near_dedup, packing, quality, secrets
 from surveyloom.llm.common import remainder
 from surveyloom.sources.tables import read_table
 
@@ -147,3 +147,12 @@ def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(read_table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query()
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = remainder("doc_id", 4) == 2
+    found = quality.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"),
+                                   held_out, ~held_out)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score",
+                        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
