@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, exact_dedup, html_text, language_model, near_dedup, packing, quality, secrets
+from surveyloom.llm import decontaminate, exact_dedup, html_text, language_model, near_dedup, packing, quality, secrets, toxicity
 from surveyloom.llm.common import remainder
 from surveyloom.sources.tables import read_table
 
@@ -156,3 +156,12 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
                                    held_out, ~held_out)
     return found.select(F.col("id").alias("doc_id"), "held_out", "score",
                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = remainder("doc_id", 5) == 0
+    docs = read_table(spark, folder, "documents")
+    network = toxicity.fit(docs, read_table(spark, folder, "labels"), ~held_out)
+    found = toxicity.toxicity_scores(docs, network).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
