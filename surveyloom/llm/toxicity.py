@@ -17,10 +17,11 @@ from surveyloom.llm.common import whole_text
 
 # Labelled texts, and their characters, that the network is trained on; chosen by a
 # hash of the id where there are more.
-FIT_TEXTS, FIT_CHARACTERS = 6_000, 24_000_000
+FIT_TEXTS, FIT_CHARACTERS = 6_000, 12_000_000
 WINDOW, STRIDE = 16, 8
 WORDS, WORD_WIDTH = 1024, 8
-GRAMS, GRAM_BUCKETS, GRAM_WIDTH = (3, 4, 5), 1 << 14, 8
+GRAMS, GRAM_BITS, GRAM_WIDTH = (3, 4, 5), 14, 8
+GRAM_BUCKETS = 1 << GRAM_BITS
 HIDDEN, ATTENTION = 8, 8
 EPOCHS, BATCH, RATE = 8, 256, 0.01
 # Windows scored at once in a task.
@@ -41,14 +42,14 @@ def _bare(words: pa.Array) -> pa.Array:
     return pc.utf8_trim(words, characters=_MARKS)
 
 
-def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word) of the runs of 3 to 5 bytes of every word between marks of its start and end."""
+def _grams(words: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 3, 4 and 5 bytes: (bucket, word) of the runs of that length, between marks of a word's start and end."""
     marked = pc.binary_join_element_wise("\x02", words, "\x03", "")
     raw = marked.cast(pa.binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1].astype(np.int64)
     data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), np.diff(offsets))
-    buckets, owners = [], []
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(offsets))
+    found = []
     code = np.zeros(len(data), np.uint64)
     for length in range(1, max(GRAMS) + 1):
         if len(data) < length:
@@ -58,11 +59,8 @@ def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if length in GRAMS:
             whole = owner[:len(code)] == owner[length - 1:]
             spread = (code + np.uint64(length)) * np.uint64(0x9E3779B97F4A7C15)
-            buckets.append((spread >> np.uint64(50)).astype(np.int64)[whole])
-            owners.append(owner[:len(code)][whole])
-    if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(owners)
+            found.append(((spread >> np.uint64(64 - GRAM_BITS)).astype(np.int32)[whole], owner[:len(code)][whole]))
+    return found
 
 
 def _inputs(network: Network, words: pa.Array) -> np.ndarray:
@@ -70,10 +68,13 @@ def _inputs(network: Network, words: pa.Array) -> np.ndarray:
     rows = np.array([network.known.get(w, 0) for w in words.to_pylist()], dtype=np.int64)
     out = np.zeros((len(words) + 1, WORD_WIDTH + GRAM_WIDTH), np.float32)
     out[1:, :WORD_WIDTH] = network.word[rows]
-    bucket, owner = _grams(words)
-    count = np.maximum(np.bincount(owner, minlength=len(words)), 1)
-    for k in range(GRAM_WIDTH):
-        out[1:, WORD_WIDTH + k] = np.bincount(owner, network.gram[bucket, k], len(words)) / np.sqrt(count)
+    count = np.zeros(len(words), np.int64)
+    for bucket, owner in _grams(words):
+        if len(owner):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            out[owner[first] + 1, WORD_WIDTH:] += np.add.reduceat(network.gram[bucket], first, axis=0)
+            count += np.bincount(owner, minlength=len(words))
+    out[1:, WORD_WIDTH:] /= np.sqrt(np.maximum(count, 1))[:, None]
     return out
 
 
@@ -92,7 +93,7 @@ def _windows(ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     inside = place < sizes[text][:, None]
     at = np.where(inside, place + starts[text][:, None], 0)
     padded = codes if len(codes) else np.zeros(1, np.int64)
-    return np.where(inside, padded[at] + 1, 0), text
+    return np.where(inside, padded[at] + 1, 0).astype(np.int32), text
 
 
 def _prepared(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -115,16 +116,45 @@ def score_texts(network: Network, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(best.astype(np.float64), -30, 30)))
 
 
-def _evidence(owner: np.ndarray, part: np.ndarray, size: int, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log-odds of each part by the texts that hold it, and in how many toxic ones it occurs."""
-    keys = np.unique(owner.astype(np.int64) * size + part)
-    label = toxic[keys // size]
-    bad = np.bincount(keys % size, label, size)
-    all_ = np.bincount(keys % size, minlength=size)
-    prior = max(toxic.mean(), 1e-3) if len(toxic) else 0.5
-    strength = 2.0
-    share = (bad + strength * prior) / (all_ + strength)
-    return np.log(share / (1 - share)) - np.log(prior / (1 - prior)), bad
+def _odds(bad: np.ndarray, all_: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Smoothed log-odds of parts of texts by how many toxic and how many texts hold them, against the mean."""
+    prior = float(np.clip(toxic.mean() if len(toxic) else 0.5, 1e-3, 1 - 1e-3))
+    share = (bad + 2 * prior) / (all_ + 2)
+    return np.log(share / (1 - share)) - np.log(prior / (1 - prior))
+
+
+class Runs:
+    """The character runs of distinct words, laid end to end."""
+
+    def __init__(self, words: pa.Array):
+        found = _grams(words)
+        bucket = np.concatenate([b for b, _ in found]) if found else np.zeros(0, np.int32)
+        owner = np.concatenate([o for _, o in found]) if found else np.zeros(0, np.int32)
+        order = np.argsort(owner, kind="stable")
+        self.bucket, self.count = bucket[order], np.bincount(owner, minlength=len(words))
+        self.begin = np.cumsum(self.count) - self.count
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, place in ``words``) of all runs of the given words."""
+        size = self.count[words]
+        at = np.repeat(self.begin[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.bucket[at], np.repeat(np.arange(len(words)), size)
+
+
+def _evidence(codes: np.ndarray, ends: np.ndarray, runs: Runs, words: int, toxic: np.ndarray
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many toxic texts and how many texts hold each word, and each bucket of character runs."""
+    word, word_bad = np.zeros(words), np.zeros(words)
+    gram, gram_bad = np.zeros(GRAM_BUCKETS), np.zeros(GRAM_BUCKETS)
+    for label, start, end in zip(toxic, np.concatenate([[0], ends[:-1]]), ends, strict=True):
+        mine = np.unique(codes[start:end])
+        buckets = np.unique(runs.of(mine)[0])
+        word[mine] += 1
+        gram[buckets] += 1
+        if label:
+            word_bad[mine] += 1
+            gram_bad[buckets] += 1
+    return word, word_bad, gram, gram_bad
 
 
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
@@ -139,24 +169,13 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     codes, distinct, ends = _prepared(texts)
     windows, text = _windows(ends, codes)
-    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    word_odds, bad = _evidence(owner, codes, max(len(distinct), 1), labels)
-    bucket, of = _grams(distinct)
-    pairs = np.unique(np.stack([owner, codes], axis=1), axis=0) if len(codes) else np.zeros((0, 2), np.int64)
-    # Character runs of a text are those of its distinct words.
-    order = np.argsort(of, kind="stable")
-    bucket, of = bucket[order], of[order]
-    runs = np.bincount(of, minlength=max(len(distinct), 1))
-    begin = np.cumsum(runs) - runs
-    each = runs[pairs[:, 1]]
-    spread = np.repeat(begin[pairs[:, 1]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    gram_odds, gram_bad = _evidence(np.repeat(pairs[:, 0], each), bucket[spread], GRAM_BUCKETS, labels)
+    runs = Runs(distinct)
+    often, bad, gram_often, gram_bad = _evidence(codes, ends, runs, len(distinct), labels)
+    word_odds, gram_odds = _odds(bad, often, labels), _odds(gram_bad, gram_often, labels)
     gram_odds[gram_bad < 3] = np.minimum(gram_odds[gram_bad < 3], 0)
 
-    often = np.bincount(codes, minlength=len(distinct)) if len(codes) else np.zeros(len(distinct))
-    telling = np.argsort(-np.abs(word_odds[:len(distinct)]) * np.log1p(np.maximum(bad[:len(distinct)], 0) + often),
-                         kind="stable")
-    telling = telling[(np.maximum(bad, often)[telling] >= 3)][:WORDS]
+    telling = np.argsort(-np.abs(word_odds) * np.log1p(bad + often), kind="stable")
+    telling = telling[often[telling] >= 3][:WORDS]
     spelled = distinct.to_pylist()
     network = Network({spelled[i]: k + 1 for k, i in enumerate(telling)},
                       (rng.normal(size=(WORDS + 1, WORD_WIDTH)) * 0.05).astype(np.float32),
@@ -171,8 +190,9 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
         network.weights["co"][:] = np.log(prior / (1 - prior))
         return network
 
-    first_look = np.append(0, np.maximum(word_odds[:len(distinct)], np.bincount(
-        of, gram_odds[bucket], max(len(distinct), 1))[:len(distinct)] / np.sqrt(np.maximum(runs, 1))))
+    bucket, owner = runs.of(np.arange(len(distinct)))
+    by_runs = np.bincount(owner, gram_odds[bucket], len(distinct)) / np.sqrt(np.maximum(runs.count, 1))
+    first_look = np.append(0, np.maximum(word_odds, by_runs))
     look = first_look[windows].max(axis=1)
     rows = np.array([network.known.get(w, 0) for w in spelled])
     steps = gru.Steps(RATE)
@@ -196,20 +216,18 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
             inputs = np.zeros((len(used), WORD_WIDTH + GRAM_WIDTH), np.float32)
             has = used > 0
             inputs[has, :WORD_WIDTH] = network.word[rows[real]]
-            size = runs[real]
-            mine = np.repeat(begin[real], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            line = np.repeat(np.flatnonzero(has), size)
-            scale = 1 / np.sqrt(np.maximum(size, 1))
-            weight = np.repeat(scale, size)
+            mine, owner = runs.of(real)
+            line = np.flatnonzero(has)[owner]
+            weight = (1 / np.sqrt(np.maximum(runs.count[real], 1)))[owner]
             for k in range(GRAM_WIDTH):
-                inputs[:, WORD_WIDTH + k] = np.bincount(line, network.gram[bucket[mine], k] * weight, len(used))
+                inputs[:, WORD_WIDTH + k] = np.bincount(line, network.gram[mine, k] * weight, len(used))
             grad, d_inputs = gru.gradients(network.weights, inputs[inverse], part > 0, target)
             flat = d_inputs.reshape(-1, d_inputs.shape[2])
             d_used = np.stack([np.bincount(inverse.reshape(-1), flat[:, k], len(used)) for k in range(flat.shape[1])], 1)
             d_word, d_gram = np.zeros_like(network.word), np.zeros_like(network.gram)
             np.add.at(d_word, rows[real], d_used[has, :WORD_WIDTH])
             for k in range(GRAM_WIDTH):
-                d_gram[:, k] = np.bincount(bucket[mine], d_used[line, WORD_WIDTH + k] * weight, GRAM_BUCKETS)
+                d_gram[:, k] = np.bincount(mine, d_used[line, WORD_WIDTH + k] * weight, GRAM_BUCKETS)
             d_word[0] = 0
             steps.take(network.weights, grad)
             for name, d in (("word", d_word), ("gram", d_gram)):
