@@ -4,35 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyloom.llm import decontaminate, exact_dedup
-from surveyloom.llm.queries import Entry
+from surveyloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
+from surveyloom.llm.queries import Entry, quality_model, tokenizer_path
 from surveyloom.sources.scratch import settle
 from surveyloom.sources.tables import read_table
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model accepts."""
+    return quality.drop_low_quality(docs, quality_model(spark, docs, sf_dir))
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
+    ("quality", good_documents),
     ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
     ("decontamination", without_benchmark),
+    ("packing", packed),
 ]
 
+# The fitted model and the packing plan have no SQL form; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for position, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if position < len(STAGES) - 1:
-            docs = settle(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 ENTRY = Entry(run, ORACLE_SQL)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from surveyloom.llm import gam
 from surveyloom.llm.arrowtext import chunks, coded, words_of
 from surveyloom.llm.common import whole_text
-from surveyloom.sources.scratch import settle
 
 # Labelled rows the model is fitted on; chosen by a hash of the id where there are more.
 FIT_ROWS = 20_000
@@ -102,76 +101,65 @@ def features_of(texts: pa.Array) -> np.ndarray:
     return np.column_stack([found[name] for name in FEATURES])
 
 
-def describe(docs: DataFrame, id_column: str, text_column: str, kept: list[str] | None = None) -> DataFrame:
-    """id, any ``kept`` columns and the features of every text."""
-    kept = kept or []
-    rows = docs.select(F.col(id_column).alias("id"), *kept, whole_text(text_column).alias("text"))
+def describe(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id and the features of every text."""
+    rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             flat = features_of(batch.column("text")).reshape(-1)
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", *kept)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["id", *kept, "features"])
+                [batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["id", "features"])
 
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", *kept))
-    return rows.mapInArrow(work, f"{schema}, features array<double>")
+    return rows.mapInArrow(work, f"id {docs.schema[id_column].dataType.simpleString()}, features array<double>")
 
 
-def fit(described: DataFrame, labels: DataFrame, usable: Column, label_id: str = "doc_id", label: str = "quality",
-        fit_rows: int = FIT_ROWS) -> gam.Model:
-    """Fit on labelled rows for which ``usable`` holds of the label's id; null and repeated labels are left out once."""
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text",
+        label_id: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> gam.Model:
+    """Fit on labelled texts for which ``usable`` holds of the label's id.
+
+    Null labels and ids are left out, and of an id labelled twice one label
+    counts.  Above about ``fit_rows`` labels a hash of the id picks that many.
+    """
     given = labels.where(usable & F.col(label).isNotNull() & F.col(label_id).isNotNull()).select(
-        F.col(label_id).alias("id"), F.col(label).cast("int").alias("label")).dropDuplicates(["id"])
+        F.col(label_id).alias("_id"), F.col(label).cast("int").alias("_label")).dropDuplicates(["_id"])
     count = given.count()
     if count > fit_rows:
-        part = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+        part = F.pmod(F.xxhash64("_id"), F.lit(1_000_000))
         given = given.where(part < int(1_000_000 * fit_rows / count))
-    rows = described.select("id", "features").join(given, "id").toPandas().sort_values(["id"], kind="stable")
+    # Bounded by ``fit_rows``, and so are the features that come to the driver.
+    given = F.broadcast(given)
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    found = describe(texts.join(given, "_id", "left_semi"), "_id", "_text").join(given, F.col("id") == F.col("_id"))
+    rows = found.select("id", "features", "_label").toPandas().sort_values("id", kind="stable")
     features = np.array(rows["features"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
-    return gam.fit(features, rows["label"].to_numpy(np.float64))
+    return gam.fit(features, rows["_label"].to_numpy(np.float64))
 
 
-def scored(described: DataFrame, model: gam.Model) -> DataFrame:
-    """``described`` with a score instead of the features."""
-    kept = [c for c in described.columns if c != "features"]
+def scorer(model: gam.Model):
+    """The model as a column function of the text; one pass over Arrow batches."""
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = [model.score(features_of(part.column("text"))) for part in chunks(iter([batch]))]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.score(rows))],
-                                                 names=[*kept, "score"])
-
-    schema = ", ".join(f"{c} {described.schema[c].dataType.simpleString()}" for c in kept)
-    return described.mapInArrow(work, f"{schema}, score double")
-
-
-def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, usable: Column, id_column: str = "doc_id",
-                   text_column: str = "text", label_id: str = "doc_id", label: str = "quality",
-                   fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, mark (hash of the text), score.
-
-    Statistics of every whole text are taken in one scan and written; the model
-    is fitted on at most about ``fit_rows`` labelled rows and gives every text
-    its chance of label 1.  Null and empty texts are scored as texts without
-    words; repeated rows and ids get a score each; without usable labels every
-    score is one half.  Other columns are not read.
+    return score
+
+
+def quality_scores(docs: DataFrame, model: gam.Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id and score, the chance of label 1.
+
+    Null and empty texts are scored as texts without words; repeated rows and
+    ids get a score each; a model without labels gives one half.  Other
+    columns are not read.
     """
-    marked = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), held_out.alias("held_out"),
-                         F.xxhash64(whole_text(text_column)).alias("mark"))
-    described = settle(describe(marked, "_id", "_text", ["held_out", "mark"]))
-    model = fit(described, labels, usable, label_id, label, fit_rows)
-    return scored(described, model)
-
-
-def drop_low_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id",
-                     text_column: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, with all columns."""
-    found = quality_scores(docs, labels, F.lit(False), usable, id_column, text_column, **options)
-    low = found.where(F.col("score") < threshold).select(
-        F.col("id").alias("_low_id"), F.col("mark").alias("_low_mark")).distinct()
-    same = F.col(id_column).eqNullSafe(F.col("_low_id")) & (F.col("_mark") == F.col("_low_mark"))
-    marked = docs.withColumn("_mark", F.xxhash64(whole_text(text_column)))
-    return marked.join(low, same, "left_anti").select(*docs.columns)
+    return docs.select(F.col(id_column).alias("id"), scorer(model)(whole_text(text_column)).alias("score"))
+
+
+def drop_low_quality(docs: DataFrame, model: gam.Model, text_column: str = "text",
+                     threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all columns; no row moves."""
+    return docs.where(scorer(model)(whole_text(text_column)) >= threshold)
