@@ -52,13 +52,16 @@ class SuffixTree:
         self.levels.append(Level(some.astype(np.int64), some[:, None], counts[some].astype(np.float64)))
 
     def walk(self, symbols: np.ndarray, place: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each depth the index of the context before every symbol, or -1."""
+        """For each depth the index of the context before every symbol, or -1.
+
+        A text is preceded by one end, that of the text before it, and by nothing older.
+        """
         found, last = [], np.zeros(len(symbols), np.int64)
         for k, level in enumerate(self.levels[:depth], start=1):
             older = np.full(len(symbols), self.end, np.int64)
             inside = place >= k
             older[inside] = symbols[np.flatnonzero(inside) - k]
-            last = self._find(level.keys, np.where(last >= 0, last * self.size + older, -1))
+            last = self._find(level.keys, np.where((last >= 0) & (place >= k - 1), last * self.size + older, -1))
             found.append(last)
         return found
 
