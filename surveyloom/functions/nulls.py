@@ -7,7 +7,7 @@ missing test to give a missing result instead, so categories are built with
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column
@@ -38,20 +38,33 @@ def sentinel_to_null(column: Column, codes: Iterable[Any]) -> Column:
 
 
 def sentinel_to_value(column: Column, replacements: Mapping[Any, Any]) -> Column:
-    """Replace single codes by a value, for example 88 ("none") by 0."""
-    return update(column, [(column == code, value) for code, value in replacements.items()])
+    """Replace single codes by a value, for example 88 ("none") by 0, one after the other.
+
+    A later replacement also applies to what an earlier one has put in.
+    """
+    steps = list(replacements.items())
+    last = {}
+    for start, (code, value) in enumerate(steps):
+        for later, other in steps[start + 1:]:
+            value = other if value == later else value
+        last[code] = value
+    return update(column, [(column == code, value) for code, value in last.items()])
+
+
+Rule = tuple[Column | Callable[[Column], Column], Any]
 
 
-def update(column: Column, rules: Sequence[tuple[Column, Any]]) -> Column:
-    """Apply ``(condition, value)`` assignments in order; the last match wins.
+def update(column: Column, rules: Sequence[Rule]) -> Column:
+    """Apply ``(condition, value)`` assignments one after the other.
 
-    A rule whose condition is NULL leaves the row as it was.
+    A condition that is a function is given the column as the rules before have
+    left it; a plain condition sees the row as it came.  A rule whose condition
+    is NULL leaves the row as it was.
     """
-    chain = None
-    for condition, value in reversed(rules):
-        chain = (F.when(condition, as_column(value)) if chain is None
-                 else chain.when(condition, as_column(value)))
-    return column if chain is None else chain.otherwise(column)
+    for condition, value in rules:
+        test = condition(column) if callable(condition) else condition
+        column = F.when(test, as_column(value)).otherwise(column)
+    return column
 
 
 def fill_missing(column: Column, label: str = "Missing") -> Column:

@@ -14,7 +14,7 @@ from surveyloom.functions.nulls import fifelse
 
 def cut(column: Column, breaks: Sequence[float], labels: Sequence[str],
         include_lowest: bool = True) -> Column:
-    """Label right-closed intervals ``(a, b]``; values outside the breaks give NULL.
+    """Label right-closed intervals ``(a, b]``; values outside the breaks, and NaN, give NULL.
 
     ``ml.feature.Bucketizer`` closes its intervals on the left, which puts
     every break value into the wrong bin for this purpose.
@@ -26,7 +26,8 @@ def cut(column: Column, breaks: Sequence[float], labels: Sequence[str],
     for upper, label in zip(breaks[1:], labels):
         inside = lowest if math.isinf(upper) else (column <= upper) & lowest
         binned = F.when(inside, label) if binned is None else binned.when(inside, label)
-    return binned
+    # NaN sorts above every number, so an open top interval would take it.
+    return F.when(~F.isnan(column.cast("double")), binned)
 
 
 @dataclass(frozen=True)
@@ -50,12 +51,18 @@ def decode_units(column: Column, rules: Sequence[UnitRule]) -> Column:
 
 
 def round_even(column: Column, digits: int = 0) -> Column:
-    """Round with ties to the even digit.
+    """Round a double with ties to the even digit.
 
-    The detour through DECIMAL makes a binary fraction such as 2.675 round
-    by its decimal reading, the same way in every engine.
+    Ties are judged on the shortest decimal text of the number, so 2.675 is a
+    tie at two digits although its binary value is a little less.  That text has
+    at most 17 digits, so a number from 10 ** (16 - digits) on has no further
+    digit to round and stays as it is, as do NaN and the infinities.
     """
-    return F.bround(column.cast("decimal(18,6)"), digits).cast("double")
+    if not 0 <= digits <= 16:
+        raise ValueError("round_even serves 0 to 16 digits")
+    value = column.cast("double")
+    rounded = F.bround(value.cast(f"decimal(38,{digits + 17})"), digits).cast("double")
+    return F.when(F.abs(value) < 10.0 ** (16 - digits), rounded).otherwise(value)
 
 
 def label_above(score: Column, threshold: Column | float, yes: str = "Yes", no: str = "No") -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.operators.joins import left_merge, scalars
-from surveyloom.operators.running import ONE_TASK_ROWS, running_totals
+from surveyloom.operators.running import running_totals
+from surveyloom.sources.scratch import settle
 
 FENCE = 1.5
 
@@ -28,9 +29,8 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 
 
 def ranked_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
-                  one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    return running_totals(value_counts(df, columns, by), [*by, "column"], "value", ["n"],
-                          one_task_rows=one_task_rows)
+                  block_rows: int | None = None) -> DataFrame:
+    return running_totals(value_counts(df, columns, by), [*by, "column"], "value", ["n"], block_rows=block_rows)
 
 
 def _value_at(rank: Column) -> Column:
@@ -69,25 +69,40 @@ def six_number_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str]
         quantile(0.75).alias("q3"), F.max("value").alias("max"))
 
 
+def every_column(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row per column, and group that occurs in ``df``, whether or not it has a value."""
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
+    if not by:
+        return names
+    listed = F.array(*map(F.lit, columns))
+    return df.select(*by).distinct().withColumn("column", F.explode(listed))
+
+
 def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), fence: float = FENCE,
-              one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Quartiles, whiskers (extreme values inside the fences) and outlier count."""
+              block_rows: int | None = None) -> DataFrame:
+    """Quartiles, whiskers (extreme values inside the fences) and outlier count.
+
+    A column without values has missing quartiles and no outliers.  The quartiles
+    are written first: one row per group and column, whose size the planner then
+    knows, so the values are not shuffled to meet them.
+    """
     keys = [*by, "column"]
-    ranked = ranked_counts(df, columns, by, one_task_rows)
-    quartiles = ranked.groupBy(*keys).agg(
-        quantile(0.25).alias("q1"), quantile(0.5).alias("median"), quantile(0.75).alias("q3"))
+    ranked = ranked_counts(df, columns, by, block_rows)
+    quartiles = settle(ranked.groupBy(*keys).agg(
+        quantile(0.25).alias("q1"), quantile(0.5).alias("median"), quantile(0.75).alias("q3")))
     reach = (F.col("q3") - F.col("q1")) * F.lit(fence)
     low, high = F.col("q1") - reach, F.col("q3") + reach
-    placed = left_merge(ranked, quartiles, keys)
+    placed = left_merge(value_counts(df, columns, by), quartiles, keys)
     inside = F.col("value").between(low, high)
-    return placed.groupBy(*keys, "q1", "median", "q3").agg(
+    stats = placed.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("outliers"))
+    return left_merge(every_column(df, columns, by), stats, keys).fillna(0, ["outliers"])
 
 
 def count_outliers(df: DataFrame, columns: Sequence[str], fence: float = FENCE) -> DataFrame:
-    """Values strictly outside Q1 - 1.5 IQR and Q3 + 1.5 IQR, per column."""
+    """Values strictly outside Q1 - 1.5 IQR and Q3 + 1.5 IQR, per column; 0 for one without values."""
     return box_stats(df, columns, fence=fence).select("column", "outliers")
 
 

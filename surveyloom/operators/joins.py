@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from surveyloom.sources.scratch import settle
 
-BROADCAST_ROWS = 100_000
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join in which a missing key matches a missing key.
@@ -33,14 +31,11 @@ def left_merge(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     """``left_merge`` of an aggregate onto a large table.
 
-    The aggregate is written and counted first.  Up to ``BROADCAST_ROWS`` rows
-    it is broadcast, so the large table is not shuffled; beyond that the join
-    shuffles both sides and leaves hot keys to adaptive execution.
+    The aggregate is written first, so the planner knows its bytes: below the
+    session's broadcast threshold the large table is not shuffled, above it both
+    sides are, and hot keys are left to adaptive execution.
     """
-    small = settle(small)
-    if small.count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return left_merge(big, small, on)
+    return left_merge(big, settle(small), on)
 
 
 def scalars(summary: DataFrame) -> dict[str, Column]:

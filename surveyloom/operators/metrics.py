@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.operators.joins import left_merge
-from surveyloom.operators.running import ONE_TASK_ROWS, running_totals
+from surveyloom.operators.running import running_totals
 
 
 def confusion(df: DataFrame, actual: str, predicted: str, levels: Sequence[str]) -> DataFrame:
@@ -37,17 +37,17 @@ def class_error(matrix: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), wrong.alias("wrong"), F.try_divide(wrong, F.sum("n")).alias("class_error"))
 
 
-def _ranked_scores(df: DataFrame, score: str, positive: Column, one_task_rows: int) -> DataFrame:
+def _ranked_scores(df: DataFrame, score: str, positive: Column, block_rows: int | None) -> DataFrame:
     """Positives and negatives per distinct score with their running totals from the top."""
     counted = (df.where(F.col(score).isNotNull() & positive.isNotNull())
                .groupBy(F.col(score).alias("score"))
                .agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")))
-    return running_totals(counted, [], "score", ["pos", "neg"], descending=True, one_task_rows=one_task_rows)
+    return running_totals(counted, [], "score", ["pos", "neg"], descending=True, block_rows=block_rows)
 
 
-def roc_curve(df: DataFrame, score: str, positive: Column, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def roc_curve(df: DataFrame, score: str, positive: Column, block_rows: int | None = None) -> DataFrame:
     """Sensitivity and specificity at the midpoints between distinct scores and at both infinities."""
-    ranked = _ranked_scores(df, score, positive, one_task_rows)
+    ranked = _ranked_scores(df, score, positive, block_rows)
     points = ranked.select(
         F.when(F.col("next_value").isNull(), F.lit(float("-inf")))
         .otherwise((F.col("score") + F.col("next_value")) / 2).alias("threshold"),
@@ -58,9 +58,9 @@ def roc_curve(df: DataFrame, score: str, positive: Column, one_task_rows: int =
     return points.unionByName(top)
 
 
-def auc(df: DataFrame, score: str, positive: Column, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def auc(df: DataFrame, score: str, positive: Column, block_rows: int | None = None) -> DataFrame:
     """Area under the ROC curve by the trapezoid rule, so ties count half."""
-    ranked = _ranked_scores(df, score, positive, one_task_rows)
+    ranked = _ranked_scores(df, score, positive, block_rows)
     above = F.col("pos_run") - F.col("pos") / 2
     pairs = F.max("pos_all").cast("double") * F.max("neg_all")
     return ranked.agg(F.try_divide(F.sum(F.col("neg") * above), pairs).alias("auc"))

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surveyloom.functions.levels import Levels
-from surveyloom.operators.distribution import quantile, ranked_counts
+from surveyloom.operators.distribution import every_column, quantile, value_counts
 from surveyloom.operators.joins import left_merge
 from surveyloom.operators.running import running_totals
+from surveyloom.sources.scratch import settle
+
+NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
 def freq_table(df: DataFrame, *columns: str) -> DataFrame:
@@ -49,26 +52,52 @@ def infer_levels(df: DataFrame) -> DataFrame:
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Type, centre, spread, range, distinct, valid and missing counts per column."""
+    """Type, centre, spread, range, distinct, valid and missing counts per column.
+
+    A column without values has a row of missing statistics.  Distinct values
+    are counted before any change of type.
+    """
     n, value = F.col("n"), F.col("value")
-    ranked = ranked_counts(df, columns)
-    mean = F.sum(value * n) / F.sum(n)
-    stats = ranked.groupBy("column").agg(
-        mean.alias("mean"), F.min("value").alias("min"), quantile(0.5).alias("median"), F.max("value").alias("max"),
-        (quantile(0.75) - quantile(0.25)).alias("iqr"),
-        F.count("*").alias("n_distinct"), F.sum("n").alias("n_valid"))
+    counted = settle(value_counts(df, columns))
+    ranked = running_totals(counted, ["column"], "value", ["n"])
+    # One row per column; once written, the planner knows that and does not shuffle the values to it.
+    stats = settle(ranked.groupBy("column").agg(
+        (F.sum(value * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), quantile(0.5).alias("median"),
+        F.max("value").alias("max"), (quantile(0.75) - quantile(0.25)).alias("iqr"), F.sum("n").alias("n_valid")))
     total = df.agg(F.count("*").alias("rows")).scalar()
     # Second pass around the mean: subtracting large squares would lose digits.
-    spread = (left_merge(ranked, stats.select("column", "mean"), ["column"]).groupBy("column")
+    spread = (left_merge(counted, stats.select("column", "mean"), ["column"]).groupBy("column")
               .agg(F.sqrt(F.try_divide(F.sum((value - F.col("mean")) * (value - F.col("mean")) * n),
                                        F.sum(n) - 1)).alias("sd")))
+    own = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "own")
+    distinct = (own.where("own is not null").distinct().groupBy("column")
+                .agg(F.count("*").alias("n_distinct")))
     kinds = F.create_map(*[F.lit(x) for c in columns for x in (c, dict(df.dtypes)[c])])
-    return left_merge(stats, spread, ["column"]).select(
+    full = left_merge(every_column(df, columns), left_merge(left_merge(stats, spread, ["column"]), distinct, ["column"]),
+                      ["column"]).fillna(0, ["n_distinct", "n_valid"])
+    return full.select(
         "column", F.element_at(kinds, F.col("column")).alias("type"), "mean", "sd", "min", "median", "max", "iqr",
         F.try_divide("sd", "mean").alias("cv"), "n_distinct", "n_valid",
         (total - F.col("n_valid")).alias("n_missing"))
 
 
+def profile(df: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All of a table's profile: numeric columns, top values of text columns, and repeated rows.
+
+    Numeric columns have their statistics, all other columns of simple types
+    their type and the ``k`` most frequent values; a table without columns of one
+    sort has an empty frame for it.
+    """
+    sort = dict(df.dtypes)
+    plain = [c for c in df.columns if not sort[c].startswith(("array", "map", "struct", "binary"))]
+    numeric = [c for c in plain if sort[c] in NUMERIC or sort[c].startswith("decimal")]
+    text = [c for c in plain if c not in numeric]
+    none = df.limit(0).select(F.lit("").alias("column"))
+    kinds = F.create_map(*[F.lit(x) for c in text for x in (c, sort[c])]) if text else None
+    top = profile_topk(df, text, k).withColumn("type", F.element_at(kinds, F.col("column"))) if text else none
+    return (profile_numeric(df, numeric) if numeric else none), top, duplicate_count(df)
+
+
 def profile_topk(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
     """The ``k`` most frequent values per column with their share of the valid rows.
 

@@ -11,36 +11,28 @@ from pyspark.sql.window import Window
 
 from surveyloom.sources.scratch import settle
 
-ONE_TASK_ROWS = 1_000_000
+# Most rows that one task orders, and least for which another task is worth while.
+BLOCK_ROWS, LEAST_ROWS = 1_000_000, 1_000
 
 
 def running_totals(table: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
-                   descending: bool = False, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+                   descending: bool = False, block_rows: int | None = None) -> DataFrame:
     """Add, for every summed column ``s``, ``s_run`` (total up to and including
     the row) and ``s_all`` (total of the group), and ``next_value``, the order
     value of the following row.
 
     ``table`` holds one row per (``by``, ``order``) pair, as a ``groupBy`` gives.
-    A table of up to ``one_task_rows`` rows is ordered with a plain window.  A
-    larger one is split into ordered blocks by range, each block is totalled,
-    and every block starts from the total of the blocks before it; a group of
-    any size is then spread over as many tasks as it needs.
+    It is split into ordered blocks by range, as many as the session has shuffle
+    partitions, or more if one would hold over ``BLOCK_ROWS`` rows (or of
+    ``block_rows`` rows, if given).  Each block is totalled, and every block starts from the total of the blocks before
+    it; a group of any size is spread over as many tasks as it needs.
     """
     table = settle(table)
     rows = table.count()
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = (math.ceil(rows / block_rows) if block_rows else
+              max(math.ceil(rows / BLOCK_ROWS), min(parts, math.ceil(rows / LEAST_ROWS)))) or 1
     direction = F.desc if descending else F.asc
-    if rows <= one_task_rows:
-        group = Window.partitionBy(*by)
-        ordered = group.orderBy(direction(order))
-        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return table.select(
-            "*",
-            *[F.sum(s).over(upto).alias(f"{s}_run") for s in sums],
-            *[F.sum(s).over(group).alias(f"{s}_all") for s in sums],
-            F.lead(order).over(ordered).alias("next_value"))
-
-    shuffle_partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(shuffle_partitions, math.ceil(rows / one_task_rows))
     # The block number must be the same for both readers below, hence the copy.
     ranged = settle(table.repartitionByRange(blocks, *[F.asc(c) for c in by], direction(order))
                     .withColumn("_block", F.spark_partition_id()))

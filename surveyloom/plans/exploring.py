@@ -311,7 +311,7 @@ def within_group_share(spark, folder):
 
 SPLIT_SQL = """
 select *, row_number() over (partition by hd order by md5(concat(cast(resp_id as varchar), ':200')), resp_id)
-  <= cast(round_even(cast(count(*) over (partition by hd) * 0.7e0 as decimal(18, 6)), 0) as bigint) as train
+  <= cast(round_even(cast(cast(count(*) over (partition by hd) * 0.7e0 as varchar) as decimal(38, 17)), 0) as bigint) as train
 from survey_clean"""
 
 

@@ -102,8 +102,8 @@ packs as (select s.* replace (case when SMOKING = 'No' then 0 when CIGARETTES_PE
     case when DRINKING_DAYS_PER_MONTH > 0 or HEAVY_DRINKING = 'Yes' then 'Yes' else DRINKING end as DRINKING)
   from smokers s, (select avg(CIGARETTES_PER_DAY) as m from smokers where SMOKING = 'Yes') where SMOKING is not null),
 sized as (select * replace (HEIGHT_M / 100.0e0 as HEIGHT_M, WEIGHT_KG / 100.0e0 as WEIGHT_KG,
-    cast(round_even(cast(CIGARETTES_PER_DAY * 20 as decimal(18, 6)), 0) as double) as CIGARETTES_PER_DAY,
-    cast(round_even(cast(WEIGHT_KG / 100.0e0 / ((HEIGHT_M / 100.0e0) * (HEIGHT_M / 100.0e0)) as decimal(18, 6)), 2)
+    cast(round_even(cast(cast(CIGARETTES_PER_DAY * 20 as varchar) as decimal(38, 17)), 0) as double) as CIGARETTES_PER_DAY,
+    cast(round_even(cast(cast(WEIGHT_KG / 100.0e0 / ((HEIGHT_M / 100.0e0) * (HEIGHT_M / 100.0e0)) as varchar) as decimal(38, 19)), 2)
       as double) as BMI)
   from packs where {_not_null(heart.REQUIRED_LATER)}),
 heart as (select distinct * replace (case when BMI < 18.5e0 then 'Underweight' when BMI < 23.0e0 then 'Normal Weight'

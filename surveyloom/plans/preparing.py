@@ -158,8 +158,8 @@ def derive_ratio(spark, folder):
 
 @query("""
 select l_orderkey, l_linenumber, l_partkey,
-  cast(round_even(cast(l_extendedprice * l_discount as decimal(18, 6)), 2) as double) as rounded2,
-  cast(round_even(cast(l_quantity / 4 as decimal(18, 6)), 0) as double) as rounded0 from lineitem""", name="round_even")
+  cast(round_even(cast(cast(l_extendedprice * l_discount as varchar) as decimal(38, 19)), 2) as double) as rounded2,
+  cast(round_even(cast(cast(l_quantity / 4 as varchar) as decimal(38, 17)), 0) as double) as rounded0 from lineitem""", name="round_even")
 def round_even_digits(spark, folder):
     return read_table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey",

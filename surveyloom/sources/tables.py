@@ -16,14 +16,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str | None = None,
-                   multi_line: bool = False) -> DataFrame:
+                   multi_line: bool = False, strict: bool = True) -> DataFrame:
     """Read a delimited file with a header.
 
+    A cell that does not fit the schema, or a row of the wrong length, is an
+    error; with ``strict=False`` such cells become missing.
+
     Give the schema: inferring one reads the whole file a first time.
     ``multi_line`` is needed only where quoted cells hold line breaks; it stops
     Spark from splitting a file.
     """
     reader = spark.read.options(**DELIMITED, emptyValue="").option("multiLine", multi_line)
+    reader = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 

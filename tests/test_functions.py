@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from surveyloom.functions import (Codebook, Levels, UnitRule, blank_to_null, cut, decode_units, fifelse,
@@ -83,6 +84,31 @@ def test_ties_round_to_even(spark):
     assert values(df, round_even(F.col("x"), 2))[-1] == 2.68
 
 
+def test_rounding_reads_all_digits(spark):
+    cases = [(0.123456785, 8, 0.12345678), (0.123456775, 8, 0.12345678), (3.4999999996, 0, 3.0), (2.5000000000001, 0, 3.0),
+             (1e13, 0, 1e13), (12345678901234.5, 0, 12345678901234.0), (1.4e15, 2, 1.4e15), (1e300, 4, 1e300),
+             (-0.15, 1, -0.2), (float("inf"), 2, float("inf")), (5e-324, 16, 0.0)]
+    for number, digits, expected in cases:
+        df = spark.createDataFrame([(number,)], "x double")
+        assert values(df, round_even(F.col("x"), digits)) == [expected], (number, digits)
+    assert values(spark.createDataFrame([(None,)], "x double"), round_even(F.col("x"))) == [None]
+    with pytest.raises(ValueError):
+        round_even(F.col("x"), 17)
+
+
+def test_rules_are_applied_in_order(spark):
+    x = F.col("x")
+    df = codes(spark)
+    assert values(df, sentinel_to_value(x, {88: 0, 0: 5})) == [None, 5, 77, 5]
+    assert values(df, update(x, [(x == 88, 0), (lambda now: now == 0, 5)])) == [None, 5, 77, 5]
+    assert values(df, update(x, [(x == 88, 0), (x == 0, 5)])) == [None, 0, 77, 5]
+
+
+def test_no_bin_for_nan(spark):
+    df = spark.createDataFrame([(float("nan"),), (7.0,)], "x double").coalesce(1)
+    assert values(df, cut(F.col("x"), (0, 5, float("inf")), ("low", "high"))) == [None, "high"]
+
+
 def test_blank_is_missing(spark):
     df = spark.createDataFrame([("",), ("a",), (None,)], "x string").coalesce(1)
     assert values(df, blank_to_null(F.col("x"))) == [None, "a", None]

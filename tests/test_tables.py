@@ -25,15 +25,21 @@ def test_missing_keys_match(spark):
     assert rows(joins.attach(left, right, ["k"])) == expected
 
 
-def test_attach_gives_up_the_broadcast_beyond_its_bound(spark, monkeypatch):
+def test_attach_broadcasts_by_bytes(spark):
     big = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     small = big.groupBy("k").agg(F.count("*").alias("n"))
-    hinted = joins.attach(big, small, ["k"])
-    assert "strategy=broadcast" in hinted._jdf.queryExecution().analyzed().toString()
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
-    plain = joins.attach(big, small, ["k"])
-    assert "strategy=broadcast" not in plain._jdf.queryExecution().analyzed().toString()
-    assert rows(plain) == rows(hinted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans, results = [], []
+    try:
+        for threshold in ("1m", "10b"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            joined = joins.attach(big, small, ["k"])
+            plans.append(joined._jdf.queryExecution().sparkPlan().toString())
+            results.append(rows(joined))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
+    assert results[0] == results[1]
 
 
 # ---- running totals
@@ -47,7 +53,7 @@ def test_blocks_give_the_same_totals_as_one_window(spark, descending):
     rng.shuffle(data)
     table = spark.createDataFrame(data, "g string, v double, n bigint")
     plain = running_totals(table, ["g"], "v", ["n"], descending)
-    blocks = running_totals(table, ["g"], "v", ["n"], descending, one_task_rows=20)
+    blocks = running_totals(table, ["g"], "v", ["n"], descending, block_rows=20)
     assert rows(blocks.select(*plain.columns)) == rows(plain)
     expected = []
     for g in {d[0] for d in data}:
@@ -60,31 +66,31 @@ def test_blocks_give_the_same_totals_as_one_window(spark, descending):
 
 def test_blocks_without_groups(spark):
     table = spark.range(500).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("one"))
-    ranked = running_totals(table, [], "v", ["one"], one_task_rows=50)
+    ranked = running_totals(table, [], "v", ["one"], block_rows=50)
     assert ranked.where("one_run <> v + 1 or one_all <> 500").count() == 0
     assert ranked.where("next_value is null").count() == 1
 
 
 # ---- quantiles and box statistics
 
-@pytest.mark.parametrize("one_task_rows", [1_000_000, 40])
-def test_quantiles_interpolate_like_numpy(spark, one_task_rows):
+@pytest.mark.parametrize("block_rows", [None, 40])
+def test_quantiles_interpolate_like_numpy(spark, block_rows):
     rng = np.random.default_rng(5)
     data = {"a": rng.normal(size=301).round(3), "b": rng.integers(0, 9, size=200).astype(float)}
     df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None)],
                                "g string, x double")
-    ranked = distribution.ranked_counts(df, ["x"], ["g"], one_task_rows)
+    ranked = distribution.ranked_counts(df, ["x"], ["g"], block_rows)
     got = ranked.groupBy("g").agg(*[distribution.quantile(p).alias(f"q{i}")
                                     for i, p in enumerate((0.0, 0.1, 0.25, 0.5, 0.9, 1.0))])
     for row in got.collect():
         assert np.allclose(row[1:], np.quantile(data[row.g], (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)))
 
 
-@pytest.mark.parametrize("one_task_rows", [1_000_000, 10])
-def test_box_statistics(spark, one_task_rows):
+@pytest.mark.parametrize("block_rows", [None, 10])
+def test_box_statistics(spark, block_rows):
     values = [float(v) for v in [1, 2, 2, 3, 3, 3, 4, 4, 5, 30, -20, 3, 3, 2]]
     df = spark.createDataFrame([(v,) for v in values] * 3, "x double")
-    box = distribution.box_stats(df, ["x"], one_task_rows=one_task_rows).first()
+    box = distribution.box_stats(df, ["x"], block_rows=block_rows).first()
     q1, median, q3 = np.quantile(values * 3, (0.25, 0.5, 0.75))
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     inside = [v for v in values if low <= v <= high]
@@ -199,3 +205,29 @@ def test_settled_table_has_no_lineage(spark):
     settled = settle(df)
     assert "Range" not in settled._jdf.queryExecution().optimizedPlan().toString()
     assert rows(settled) == rows(df)
+
+
+# ---- columns without values, whole numbers beyond doubles, whole profiles
+
+def test_columns_without_values_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, None, 1.0), (1, None, None), (2, None, 3.0)], "g int, none double, x double")
+    found = {r["column"]: r for r in profiling.profile_numeric(df, ["none", "x"]).collect()}
+    assert (found["none"].n_valid, found["none"].n_missing, found["none"].n_distinct, found["none"]["mean"]) == (0, 3, 0, None)
+    assert (found["x"].n_valid, found["x"].n_missing, found["x"]["median"]) == (2, 1, 2.0)
+    assert {r["column"]: r.outliers for r in distribution.count_outliers(df, ["none", "x"]).collect()} == {"none": 0, "x": 0}
+    grouped = {(r.g, r["column"]): (r.median, r.outliers) for r in distribution.box_stats(df, ["none", "x"], ["g"]).collect()}
+    assert grouped == {(1, "none"): (None, 0), (2, "none"): (None, 0), (1, "x"): (1.0, 0), (2, "x"): (3.0, 0)}
+
+
+def test_distinct_values_beyond_doubles(spark):
+    df = spark.createDataFrame([(2 ** 53 + i,) for i in range(1, 5)], "id bigint")
+    assert profiling.profile_numeric(df, ["id"]).first().n_distinct == 4
+
+
+def test_profile_of_any_table(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 2.0), (2, None, None)], "i int, t string, x double")
+    numeric, top, repeated = profiling.profile(df)
+    assert {r["column"]: r.n_distinct for r in numeric.collect()} == {"i": 2, "x": 1}
+    assert [(r["column"], r["value"], r.n, r.type, r.share) for r in top.collect()] == [("t", "a", 2, "string", 1.0)]
+    assert repeated.first()[0] == 1
+    assert profiling.profile(df.select("t"))[0].count() == 0 and profiling.profile(df.select("i"))[1].count() == 0
