@@ -89,12 +89,33 @@ def by_class(patterns: DataFrame) -> DataFrame:
     return patterns.select(*rest, F.inline(classes)).where("weight > 0")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deal rows over all cores if they arrive in fewer partitions.
+# Tasks that share the passes of a learner, whatever the number of cores.
+LEARNING_TASKS = 32
 
-    The passes of a learner are bound by computing; a table that was written
-    as a few small files would otherwise keep most cores idle.  Dealing by the
-    whole row puts a row where it was before when a task is repeated.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *rows.columns)
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Deal rows over a fixed number of tasks by their values, so that a small table keeps more than one core busy."""
+    return rows.repartition(LEARNING_TASKS, *rows.columns)
+
+
+def uniform(*parts: Column | str) -> Column:
+    """A number from 0 up to 1 from the MD5 of the parts joined by colons, the same in every engine."""
+    key = F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") / 2 ** 32
+
+
+def bounded_rows(rows: DataFrame, id_column: str, most: int, seed: int) -> DataFrame:
+    """All rows, or about ``most`` of them chosen by a hash of the id where there are more."""
+    count = rows.count()
+    return rows if count <= most else rows.where(uniform(id_column, F.lit(seed), F.lit("fit")) < most / count)
+
+
+def check_values(rows: DataFrame, terms: Sequence[Term], most: int) -> None:
+    """Raise if a number has more than ``most`` distinct values: then not every split would be tried."""
+    numbers = [t.name for t in terms if not t.is_factor]
+    if not numbers:
+        return
+    found = rows.agg(*[F.count_distinct(n).alias(n) for n in numbers]).first()
+    many = [n for n in numbers if found[n] > most]
+    if many:
+        raise ValueError(f"{', '.join(many)}: more than {most} distinct values; bin them first")

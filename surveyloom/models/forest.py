@@ -1,31 +1,33 @@
-"""Random forests, out-of-bag errors and permutation importance."""
+"""Random forests, out-of-bag errors and permutation importance.
+
+The bootstrap, the folds and the permutation are hashes of the row id, so they
+can be looked up again and do not depend on partitions or cores.
+"""
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (DecisionTreeClassificationModel, RandomForestClassificationModel,
-                                       RandomForestClassifier)
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surveyloom.models.design import Term, complete_rows, spread
-from surveyloom.models.trees import CLASSES, with_features
+from surveyloom.models.design import Term, bounded_rows, check_values, complete_rows, dealt, uniform
+from surveyloom.models.trees import CLASSES, FIT_ROWS, MAX_DEPTH, MOST_BINS, with_features
 from surveyloom.sources.scratch import settle
 
 FITS_AT_ONCE = 8
 STABLE_TREES = 150      # the out-of-bag error no longer falls beyond this
 SHUFFLE_BLOCK = 100_000
-RESOLUTION = 2 ** 31
-UNCHANGED = ""
-NODE_MEMORY_MB = 1024    # statistics of the nodes that are split in one pass
+NEVER_DRAWN = math.exp(-1)
+MOST_DRAWS = 12
 
 
 def labelled_rows(df: DataFrame, terms: Sequence[Term], response: str, positive: str, id_column: str) -> DataFrame:
@@ -35,115 +37,176 @@ def labelled_rows(df: DataFrame, terms: Sequence[Term], response: str, positive:
         *[F.col(t.name) for t in terms])
 
 
-def _bins(terms: Sequence[Term], max_bins: int) -> int:
-    return max(max_bins, *[len(t.levels) for t in terms])
-
-
-def fit_forest(rows: DataFrame, terms: Sequence[Term], trees: int = STABLE_TREES, max_depth: int = 12,
-               max_bins: int = 64, seed: int = 200) -> RandomForestClassificationModel:
-    """A forest with bootstrap rows and a square-root sample of the terms at each split."""
-    learner = RandomForestClassifier(
-        featuresCol="features", labelCol="y", numTrees=trees, maxDepth=max_depth, maxBins=_bins(terms, max_bins),
-        featureSubsetStrategy="sqrt", subsamplingRate=1.0, minInstancesPerNode=1, maxMemoryInMB=NODE_MEMORY_MB,
-        seed=seed)
-    return learner.fit(with_features(spread(rows), terms, ["y"]))
-
-
-def predict_forest(rows: DataFrame, terms: Sequence[Term], model: RandomForestClassificationModel) -> DataFrame:
-    """``row_id, actual, predicted`` by majority vote."""
-    classes = F.array(*map(F.lit, CLASSES))
-
-    def label(index: str) -> Column:
-        return F.element_at(classes, F.col(index).cast("int") + 1)
+# ---- bootstrap
 
-    return (model.transform(with_features(spread(rows), terms, ["row_id", "y"]))
-            .select("row_id", label("y").alias("actual"), label("prediction").alias("predicted")))
+def draws(trees: int, seed: int) -> Column:
+    """For every tree the number that decides how often the row is drawn."""
+    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: uniform("row_id", F.lit(seed), t))
 
 
-def tree_sizes(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:
-    rows = [(i, t.numNodes, t.depth) for i, t in enumerate(model.trees)]
-    return df.sparkSession.createDataFrame(rows, "tree int, n_nodes int, depth int")
+def times_drawn(number: Column) -> Column:
+    """Poisson(1) quantile: how often a row is drawn for a tree."""
+    chance, reached, times = NEVER_DRAWN, 0.0, None
+    for k in range(MOST_DRAWS):
+        reached += chance
+        chance /= k + 1
+        times = F.when(number < reached, k) if times is None else times.when(number < reached, k)
+    return times.otherwise(MOST_DRAWS).cast("double")
 
 
-# ---- own bagging, so that it is known which rows a tree has not seen
+# ---- trees as arrays
 
-def bag_weight(tree: int, seed: int) -> Column:
-    """How often a row is drawn for a tree: Poisson(1) from a hash of the row id."""
-    u = F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit(tree)), F.lit(RESOLUTION)) / RESOLUTION
-    chance, reached, draws = math.exp(-1), 0.0, None
-    for k in range(12):
-        reached += chance
-        chance /= k + 1
-        draws = F.when(u < reached, k) if draws is None else draws.when(u < reached, k)
-    return draws.otherwise(12).cast("double")
+@dataclass(frozen=True)
+class Splits:
+    """The nodes of one tree; a leaf has no term and its class as ``left``."""
+
+    term: np.ndarray
+    threshold: np.ndarray
+    goes_left: np.ndarray     # by node and level position
+    left: np.ndarray
+    right: np.ndarray
+
+    def classes(self, values: np.ndarray) -> np.ndarray:
+        """Predicted class of rows of level positions and numbers."""
+        at, open_ = np.zeros(len(values), np.int64), np.arange(len(values))
+        while len(open_):
+            open_ = open_[self.term[at[open_]] >= 0]
+            node = at[open_]
+            value = values[open_, self.term[node]]
+            by_level = np.isnan(self.threshold[node])
+            level = np.where(by_level, value, 0).astype(np.int64)
+            left = np.where(by_level, self.goes_left[node, level], value <= self.threshold[node])
+            at[open_] = np.where(left, self.left[node], self.right[node])
+        return self.left[at]
+
+
+_LINE = re.compile(r"\s*(?:(Predict): (\S+)|(If|Else) \(feature (\d+) (?:(<=|>) (\S+)\)|(in|not in) \{(.*)\}\)))")
+
+
+def read_splits(description: str, levels: int) -> Splits:
+    """The tree that a fitted model describes, as arrays."""
+    term, threshold, goes_left, left, right = [], [], [], [], []
+    lines = iter(description.splitlines()[1:])
+
+    def node() -> int:
+        m = _LINE.match(next(lines))
+        i = len(term)
+        inside = np.zeros(levels, bool)
+        if m[1]:
+            term.append(-1), threshold.append(np.nan), goes_left.append(inside)
+            left.append(int(float(m[2]))), right.append(-1)
+            return i
+        if m[7]:
+            inside[[int(float(x)) for x in m[8].split(",") if x]] = True
+        term.append(int(m[4])), threshold.append(float(m[6]) if m[5] else np.nan), goes_left.append(inside)
+        left.append(0), right.append(0)
+        left[i] = node()
+        next(lines)  # the Else of the same split
+        right[i] = node()
+        return i
+
+    node()
+    return Splits(np.array(term), np.array(threshold), np.array(goes_left), np.array(left), np.array(right))
 
 
 @dataclass(frozen=True)
-class Bagged:
-    trees: tuple[DecisionTreeClassificationModel, ...]
+class Forest:
+    trees: tuple[Splits, ...]
     terms: tuple[Term, ...]
     seed: int
 
 
-def fit_bagged(rows: DataFrame, terms: Sequence[Term], trees: int = 50, max_depth: int = 12, max_bins: int = 64,
-               seed: int = 200) -> Bagged:
-    """A forest whose bootstrap can be looked up again.
+def fit_forest(rows: DataFrame, terms: Sequence[Term], trees: int = STABLE_TREES, max_depth: int = MAX_DEPTH,
+               seed: int = 200, fit_rows: int = FIT_ROWS) -> Forest:
+    """Trees grown out on bootstraps, with a sample of floor(sqrt(terms)) terms at each split.
 
     All bootstraps are reduced to weights per answer pattern in one pass over
-    the rows; the fits then run over the patterns, several at a time.
+    the rows; the fits then run over the patterns, several at a time.  Above
+    about ``fit_rows`` rows a hash of the row id picks that many; a number
+    with more than ``MOST_BINS`` values is refused.
     """
+    rows = bounded_rows(rows, "row_id", fit_rows, seed)
+    check_values(rows, terms, MOST_BINS - 1)
     names = [f"w{i}" for i in range(trees)]
-    patterns = settle(rows.groupBy("y", *[t.name for t in terms])
-                      .agg(*[F.sum(bag_weight(i, seed)).alias(w) for i, w in enumerate(names)]))
-    features = with_features(spread(patterns), terms, ["y", *names]).persist()
-
-    def fit(i: int) -> DecisionTreeClassificationModel:
+    drawn = rows.select("y", *[t.name for t in terms], F.transform(draws(trees, seed), times_drawn).alias("_times"))
+    patterns = settle(drawn.groupBy("y", *[t.name for t in terms]).agg(
+        *[F.sum(F.element_at("_times", i + 1)).alias(w) for i, w in enumerate(names)]))
+    features = with_features(dealt(patterns), terms, ["y", *names]).persist()
+    levels = max([len(t.levels) for t in terms] + [1])
+    at_split = max(1, math.isqrt(len(terms)))
+
+    def fit(i: int) -> Splits:
         learner = RandomForestClassifier(
             featuresCol="features", labelCol="y", weightCol=names[i], numTrees=1, bootstrap=False,
-            maxDepth=max_depth, maxBins=_bins(terms, max_bins), featureSubsetStrategy="sqrt", seed=seed + i)
-        return learner.fit(features.where(F.col(names[i]) > 0)).trees[0]
+            maxDepth=max_depth, maxBins=MOST_BINS, featureSubsetStrategy=str(at_split), seed=seed + i)
+        model = learner.fit(features.where(F.col(names[i]) > 0))
+        return read_splits(model.trees[0].toDebugString, levels)
 
     try:
         with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-            return Bagged(tuple(pool.map(fit, range(trees))), tuple(terms), seed)
+            return Forest(tuple(pool.map(fit, range(trees))), tuple(terms), seed)
     finally:
         features.unpersist()
 
 
-def oob_votes(rows: DataFrame, forest: Bagged) -> DataFrame:
-    """Per row the votes of all trees in order; NULL where the tree has seen the row."""
-    voted = with_features(spread(rows), forest.terms, ["row_id", "y"])
-    for i, tree in enumerate(forest.trees):
-        silent = tree.copy().setPredictionCol(f"p{i}").setRawPredictionCol("").setProbabilityCol("")
-        voted = silent.transform(voted)
-    votes = [F.when(bag_weight(i, forest.seed) == 0, F.col(f"p{i}")) for i in range(len(forest.trees))]
-    return voted.select("row_id", "y", F.array(*votes).alias("votes"))
+def tree_sizes(forest: Forest, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, len(t.term)) for i, t in enumerate(forest.trees)], "tree int, n_nodes int")
+
+
+def _placed(terms: Sequence[Term], prefix: str = "p") -> list[Column]:
+    return [t.position().alias(f"{prefix}{i}") for i, t in enumerate(terms)]
+
+
+def predict_forest(rows: DataFrame, forest: Forest) -> DataFrame:
+    """``row_id, actual, predicted`` by majority vote of all trees; a tie is ``No``."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    kind = rows.schema["row_id"].dataType.simpleString()
+    places = [f"p{i}" for i in range(len(forest.terms))]
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = batch[places].to_numpy(np.float64)
+            yes = sum(tree.classes(values) for tree in shared.value.trees)
+            label = np.array(CLASSES)[(2 * yes > len(shared.value.trees)).astype(int)]
+            yield pd.DataFrame({"row_id": batch["row_id"], "actual": np.array(CLASSES)[batch["y"].astype(int)],
+                                "predicted": label})
+
+    return rows.select("row_id", "y", *_placed(forest.terms)).mapInPandas(
+        vote, f"row_id {kind}, actual string, predicted string")
 
 
-def oob_curve(votes: DataFrame, trees: int) -> DataFrame:
+def oob_curve(rows: DataFrame, forest: Forest) -> DataFrame:
     """Out-of-bag confusion after 1, 2, ... trees: ``trees, actual, predicted, n``.
 
-    Each task reduces its rows to four counts per number of trees.
+    A row is voted on by the trees that have not drawn it; each task reduces its
+    rows to four counts per number of trees, all trees in one pass.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    places, count = [f"p{i}" for i in range(len(forest.terms))], len(forest.trees)
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros((trees, 2, 2), dtype="int64")
+        cells = np.zeros((count, 2, 2), dtype="int64")
         for batch in batches:
             if not len(batch):
                 continue
-            cast = np.array(batch["votes"].tolist(), dtype="float64")
-            yes = np.cumsum(cast == 1, axis=1)
-            no = np.cumsum(cast == 0, axis=1)
-            actual = batch["y"].to_numpy() == 1
-            for a in (0, 1):
-                mine = actual == bool(a)
-                voted, won = (yes + no > 0)[mine], (yes > no)[mine]
-                cells[:, a, 1] += (voted & won).sum(axis=0)
-                cells[:, a, 0] += (voted & ~won).sum(axis=0)
+            values, actual = batch[places].to_numpy(np.float64), batch["y"].to_numpy() == 1
+            unseen = np.array(batch["draws"].tolist()) < NEVER_DRAWN
+            yes, no = np.zeros(len(batch), int), np.zeros(len(batch), int)
+            for i, tree in enumerate(shared.value.trees):
+                mine = np.flatnonzero(unseen[:, i])
+                said = tree.classes(values[mine])
+                yes[mine] += said
+                no[mine] += 1 - said
+                for a in (0, 1):
+                    voted = (yes + no > 0) & (actual == bool(a))
+                    cells[i, a, 1] += (voted & (yes > no)).sum()
+                    cells[i, a, 0] += (voted & (yes <= no)).sum()
         tree, a, p = np.indices(cells.shape)
         yield pd.DataFrame({"trees": tree.ravel() + 1, "a": a.ravel(), "p": p.ravel(), "n": cells.ravel()})
 
     classes = F.array(*map(F.lit, CLASSES))
-    return (votes.select("y", "votes").mapInPandas(partial, "trees int, a int, p int, n bigint")
+    placed = rows.select("y", draws(count, forest.seed).alias("draws"), *_placed(forest.terms))
+    return (placed.mapInPandas(partial, "trees int, a int, p int, n bigint")
             .groupBy("trees", "a", "p").agg(F.sum("n").alias("n"))
             .select("trees", F.element_at(classes, F.col("a") + 1).alias("actual"),
                     F.element_at(classes, F.col("p") + 1).alias("predicted"), "n"))
@@ -168,45 +231,60 @@ def shuffled_neighbours(rows: DataFrame, columns: Sequence[str], seed: int,
                         block_rows: int = SHUFFLE_BLOCK) -> DataFrame:
     """Add a struct ``swap`` with the column values of another, random row.
 
-    Rows are dealt into random blocks of bounded size and each row takes the
-    values of the one before it in random order, the first those of the last.
-    Every value is used exactly once, so each column is truly permuted; one
-    shuffle serves all columns.
+    Rows are dealt into random blocks of some ``block_rows`` rows and each row
+    takes the values of the one before it in random order, the first those of
+    the last.  Every value is used exactly once, so each column is truly
+    permuted; one shuffle serves all columns.
     """
     blocks = max(1, math.ceil(rows.count() / block_rows))
-    dealt = rows.withColumns({
-        "_block": F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit("block")), F.lit(blocks)),
-        "_order": F.xxhash64("row_id", F.lit(seed), F.lit("order")),
+    dealt_out = rows.withColumns({
+        "_block": F.floor(uniform("row_id", F.lit(seed), F.lit("block")) * blocks),
+        "_order": F.md5(F.concat_ws(":", F.col("row_id").cast("string"), F.lit(str(seed)), F.lit("order"))),
         "_own": F.struct(*columns)})
     order = Window.partitionBy("_block").orderBy("_order", "row_id")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     neighbour = F.when(F.row_number().over(order) == 1, F.last("_own").over(whole)).otherwise(
         F.lag("_own").over(order))
-    return dealt.withColumn("swap", neighbour).drop("_block", "_order", "_own")
+    return dealt_out.withColumn("swap", neighbour).drop("_block", "_order", "_own")
 
 
-def permutation_importance(rows: DataFrame, terms: Sequence[Term], model: RandomForestClassificationModel,
-                           seed: int = 200, block_rows: int = SHUFFLE_BLOCK) -> DataFrame:
-    """Drop in accuracy when one term at a time takes the values of other rows.
+def permutation_importance(rows: DataFrame, forest: Forest, seed: int = 200,
+                           block_rows: int = SHUFFLE_BLOCK) -> DataFrame:
+    """Mean over the trees of the drop in out-of-bag accuracy when one term takes the values of other rows.
 
-    Every row is expanded in place into one feature vector per term, so that
-    a single pass with one copy of the model scores them all.
+    Every tree is asked only about rows it has not drawn.  Each task reduces its
+    rows to hits per tree and term; a tree that has drawn every row has no say.
     """
-    swapped = spread(settle(shuffled_neighbours(rows, [t.name for t in terms], seed, block_rows)))
-    own = [t.position().alias(f"own_{i}") for i, t in enumerate(terms)]
-    new = [t.position().alias(f"new_{i}") for i, t in enumerate(terms)]
-    placed = swapped.select("y", *own, "swap.*").select(
-        "y", *[f"own_{i}" for i in range(len(terms))], *new)
-
-    def variant(name: str, swap: int | None) -> Column:
-        values = [F.col(f"{'new' if i == swap else 'own'}_{i}") for i in range(len(terms))]
-        return F.struct(F.lit(name).alias("term"), F.array(*values).alias("values"))
-
-    variants = F.array(variant(UNCHANGED, None), *[variant(t.name, i) for i, t in enumerate(terms)])
-    scored = model.transform(placed.select("y", F.inline(variants))
-                             .select("y", "term", array_to_vector("values").alias("features")))
-    hits = settle(scored.groupBy("term").agg(
-        F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy")))
-    base = hits.where(F.col("term") == UNCHANGED).select("accuracy").scalar()
-    return (hits.where(F.col("term") != UNCHANGED)
-            .select("term", (base - F.col("accuracy")).alias("importance")))
+    terms, count = forest.terms, len(forest.trees)
+    swapped = shuffled_neighbours(rows, [t.name for t in terms], seed, block_rows)
+    own = swapped.select("y", "swap", draws(count, forest.seed).alias("draws"), *_placed(terms, "own"))
+    placed = own.select("y", "draws", *[f"own{i}" for i in range(len(terms))], "swap.*").select(
+        "y", "draws", *[f"own{i}" for i in range(len(terms))], *_placed(terms, "new"))
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, lost = np.zeros(count, "int64"), np.zeros((count, len(terms)), "int64")
+        for batch in batches:
+            if not len(batch):
+                continue
+            y = batch["y"].to_numpy().astype(int)
+            values = batch[[f"own{i}" for i in range(len(terms))]].to_numpy(np.float64)
+            other = batch[[f"new{i}" for i in range(len(terms))]].to_numpy(np.float64)
+            unseen = np.array(batch["draws"].tolist()) < NEVER_DRAWN
+            for i, tree in enumerate(shared.value.trees):
+                mine = np.flatnonzero(unseen[:, i])
+                asked[i] += len(mine)
+                right = tree.classes(values[mine]) == y[mine]
+                for j in set(tree.term.tolist()) - {-1}:
+                    changed = values[mine].copy()
+                    changed[:, j] = other[mine, j]
+                    lost[i, j] += right.sum() - (tree.classes(changed) == y[mine]).sum()
+        tree, term = np.indices(lost.shape)
+        yield pd.DataFrame({"tree": tree.ravel(), "term": term.ravel(), "lost": lost.ravel(),
+                            "asked": np.repeat(asked, len(terms))})
+
+    names = F.array(*[F.lit(t.name) for t in terms])
+    per_tree = placed.mapInPandas(hits, "tree int, term int, lost bigint, asked bigint").groupBy("tree", "term").agg(
+        F.sum("lost").alias("lost"), F.sum("asked").alias("asked"))
+    return per_tree.groupBy("term").agg(F.avg(F.try_divide("lost", "asked")).alias("importance")).select(
+        F.element_at(names, F.col("term") + 1).alias("term"), "importance")

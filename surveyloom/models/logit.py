@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -63,6 +64,8 @@ def _solve(patterns: DataFrame, columns: dict[str, Column], offset: Column | Non
     data = data.persist()  # every iteration reads it
     try:
         model = learner.fit(data)
+        if model.summary.numIterations >= max_iter:
+            warnings.warn(f"the fit did not converge in {max_iter} steps", RuntimeWarning, stacklevel=3)
         return model, model.summary.deviance
     finally:
         data.unpersist()
@@ -162,7 +165,9 @@ def odds_ratio_limits(spark: SparkSession, fit: Logit, patterns: DataFrame | Non
     """Confidence limits of the odds ratios.
 
     ``wald`` uses the standard errors; ``profile`` refits the model around
-    each coefficient on ``patterns`` and is the likelihood-based interval.
+    each coefficient on ``patterns`` and is the likelihood-based interval.  Its
+    limit is 0 or infinite on a side where the likelihood never falls enough,
+    and missing where the search does not converge.
     """
     z = NormalDist().inv_cdf(0.5 + level / 2)
     if method == "wald":
@@ -174,7 +179,8 @@ def odds_ratio_limits(spark: SparkSession, fit: Logit, patterns: DataFrame | Non
         limits = {name: (ends[name, -1], ends[name, 1]) for name in fit.estimates}
     else:
         raise ValueError(f"unknown method {method!r}")
-    rows = [(name, math.exp(low), math.exp(high)) for name, (low, high) in limits.items()]
+    rows = [(name, *(None if math.isnan(x) else math.exp(x) for x in (low, high)))
+            for name, (low, high) in limits.items()]
     return spark.createDataFrame(rows, "coefficient string, lower double, upper double")
 
 
@@ -203,11 +209,18 @@ def _profile_limit(patterns: DataFrame, fit: Logit, name: str, side: int, z: flo
 
 
 def _root(f: Callable[[float], float], inner: float, outer: float, f_inner: float,
-          tolerance: float = 1e-5, steps: int = 30) -> float:
-    """Secant steps kept inside a widening-then-shrinking bracket."""
+          tolerance: float = 1e-5, steps: int = 30, widenings: int = 8) -> float:
+    """Secant steps kept inside a widening-then-shrinking bracket.
+
+    Infinite on the side where no bracket is found, as for a coefficient that
+    separates the classes; NaN if the steps do not converge.
+    """
     f_outer = f(outer)
     while f_outer < 0:
-        inner, f_inner, outer = outer, f_outer, outer + (outer - inner)
+        if not widenings:
+            return math.copysign(math.inf, outer - inner)
+        widenings -= 1
+        inner, f_inner, outer = outer, f_outer, outer + 2 * (outer - inner)
         f_outer = f(outer)
     for _ in range(steps):
         middle = inner - f_inner * (outer - inner) / (f_outer - f_inner)
@@ -218,7 +231,7 @@ def _root(f: Callable[[float], float], inner: float, outer: float, f_inner: floa
             inner, f_inner = middle, f_middle
         else:
             outer, f_outer = middle, f_middle
-    return middle
+    return math.nan
 
 
 def gvif(patterns: DataFrame, fit: Logit) -> DataFrame:

@@ -12,13 +12,14 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surveyloom.models.design import Term, by_class, spread
+from surveyloom.models.design import Term, by_class, dealt, uniform
 from surveyloom.operators.joins import scalars
 from surveyloom.models.trees import CLASSES, Node, Tree, grow_tree, with_features
 
@@ -126,15 +127,6 @@ class Pruned:
     def loss(self) -> float:
         return sum(n.loss for n in self.nodes() if self.is_leaf(n))
 
-    def leaf_classes(self) -> list[int]:
-        """Predicted class for each leaf of the grown tree, in leaf order."""
-        classes: list[int] = []
-        for top in self.nodes():
-            if self.is_leaf(top):
-                below = preorder(self.tree.nodes, lambda node: node.is_leaf, top.id)
-                classes += [top.prediction for node in below if node.is_leaf]
-        return classes
-
 
 def prune(tree: Tree, cp: float, strengths: dict[int, float] | None = None) -> Pruned:
     """Prune to a strength given as a share of the root's loss."""
@@ -143,12 +135,26 @@ def prune(tree: Tree, cp: float, strengths: dict[int, float] | None = None) -> P
 
 
 def predict_class(df: DataFrame, pruned: Pruned, target: str = "predicted") -> DataFrame:
-    """Send rows to leaves of the grown tree and look up the class after pruning."""
-    terms = pruned.tree.terms
-    placed = with_features(df.withColumn("_row", F.struct(*df.columns)), terms, ["_row"])
-    leaf = pruned.tree.model.copy().setLeafCol("_leaf").transform(placed)
-    classes = F.array(*[F.lit(CLASSES[k]) for k in pruned.leaf_classes()])
-    return leaf.select("_row.*", F.element_at(classes, F.col("_leaf").cast("int") + 1).alias(target))
+    """Add the class by the rules of the pruned tree.
+
+    A row with a missing answer or one that is not a declared level has a missing
+    class.  The expression has one test per split that was kept.
+    """
+    terms, nodes = pruned.tree.terms, pruned.tree.nodes
+
+    def rule(i: int) -> Column:
+        node = nodes[i]
+        if pruned.is_leaf(node):
+            return F.lit(CLASSES[node.prediction])
+        term = terms[node.term]
+        if node.threshold is not None:
+            left = F.col(term.name).cast("double") <= node.threshold
+        else:
+            left = F.col(term.name).cast("string").isin([term.levels[k] for k in node.left_set])
+        return F.when(left, rule(node.left)).otherwise(rule(node.right))
+
+    usable = reduce(Column.__and__, [F.coalesce(term.usable(), F.lit(False)) for term in terms])
+    return df.withColumn(target, F.when(usable, rule(0)))
 
 
 # ---- complexity table
@@ -164,7 +170,7 @@ def cp_rows(tree: Tree, strengths: dict[int, float]) -> list[tuple[float, int, f
 
 
 def fold_of(id_column: str, seed: int, folds: int = FOLDS) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(folds)).cast("int").alias("fold")
+    return F.floor(uniform(id_column, F.lit(seed)) * folds).cast("int").alias("fold")
 
 
 def errors_of(tree: Tree, strengths: dict[int, float], penalties: Sequence[float], counts: Sequence) -> list[float]:
@@ -188,7 +194,7 @@ def cp_table(patterns: DataFrame, terms: Sequence[Term], folds: int = FOLDS, **g
     ``cp, nsplit, rel_error, xerror, xstd``.  The held-out rows of a fold come
     back as counts per leaf, from which the errors of all prunings follow.
     """
-    patterns = spread(patterns).persist()
+    patterns = dealt(patterns).persist()
     try:
         tree = grow_tree(patterns, terms, **growth)
         strengths = link_strengths(tree)

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.models.design import Term, by_class
+from surveyloom.models.design import Term, by_class, check_values
 from surveyloom.operators.running import running_totals
 from surveyloom.sources.scratch import scratch_folder
 
@@ -18,6 +18,11 @@ MAX_DEPTH = 30   # the learner's own limit
 MIN_BUCKET = 7   # fewest rows in a leaf
 MIN_SPLIT = 20   # fewest rows in a node that is split
 CLASSES = ("No", "Yes")
+# Bins of a number.  The learner tries every split of a number with fewer distinct
+# values, and reads all rows to find them as long as those are at most MOST_BINS ** 2.
+MOST_BINS = 1024
+# Rows a model is fitted on; a larger table is sampled by a hash of the row id.
+FIT_ROWS = 1_000_000
 
 
 def best_splits(df: DataFrame, column: str, positive: Column) -> DataFrame:
@@ -100,18 +105,20 @@ class Tree:
 
 
 def grow_tree(patterns: DataFrame, terms: Sequence[Term], max_depth: int = MAX_DEPTH,
-              min_bucket: int = MIN_BUCKET, min_split: int = MIN_SPLIT, max_bins: int = 64, seed: int = 200) -> Tree:
+              min_bucket: int = MIN_BUCKET, min_split: int = MIN_SPLIT, seed: int = 200) -> Tree:
     """Grow a tree to its limits on weighted answer patterns.
 
     ``min_bucket`` and ``min_split`` count rows and not patterns, so the
     first is given to the learner as a share of the total weight and the second
-    is applied to the node table.
+    is applied to the node table.  Every split of a number is tried; one with
+    more than ``MOST_BINS`` values is refused.
     """
+    check_values(patterns, terms, MOST_BINS - 1)
     patterns = by_class(patterns)
     total = patterns.agg(F.sum("weight")).first()[0]
     learner = DecisionTreeClassifier(
         featuresCol="features", labelCol="y", weightCol="weight", impurity="gini", maxDepth=max_depth,
-        maxBins=max(max_bins, *[len(t.levels) for t in terms]), minInstancesPerNode=1,
+        maxBins=MOST_BINS, minInstancesPerNode=1,
         minWeightFractionPerNode=min((min_bucket - 0.5) / total, 0.49), minInfoGain=0.0, seed=seed)
     model = learner.fit(with_features(patterns, terms, ["y", "weight"]))
     return Tree(model, tuple(terms), read_nodes(patterns, model), min_split)

@@ -215,8 +215,7 @@ def prune_tree(spark, folder):
 
 @query()
 def tree_importance(spark, folder):
-    tree, _ = _grown(spark, folder)
-    return pruning.tree_importance(spark, pruning.prune(tree, 0.0))
+    return pruning.tree_importance(spark, _chosen(spark, folder))
 
 
 @query()
@@ -274,31 +273,23 @@ def _train_rows(spark, folder):
 def _forest(spark, folder):
     key = (spark.sparkContext.applicationId, folder, "forest")
     if key not in _kept:
-        _kept[key] = forest.fit_forest(_train_rows(spark, folder), PREDICTORS, trees=50)
+        _kept[key] = forest.fit_forest(_train_rows(spark, folder), PREDICTORS)
     return _kept[key]
 
 
 @query()
 def forest_fit(spark, folder):
     test = forest.labelled_rows(_part(spark, folder, False), PREDICTORS, "hd", "Yes", "resp_id")
-    scored = forest.predict_forest(test, PREDICTORS, _forest(spark, folder))
-    return metrics.confusion(scored, "actual", "predicted", ["No", "Yes"])
-
-
-OOB_TREES = 20
+    return metrics.confusion(forest.predict_forest(test, _forest(spark, folder)), "actual", "predicted", ["No", "Yes"])
 
 
 def _oob(spark, folder):
-    key = (spark.sparkContext.applicationId, folder, "bagged")
-    rows = _train_rows(spark, folder)
-    if key not in _kept:
-        _kept[key] = forest.fit_bagged(rows, PREDICTORS, trees=OOB_TREES, max_depth=10)
-    return forest.oob_curve(forest.oob_votes(rows, _kept[key]), OOB_TREES)
+    return forest.oob_curve(_train_rows(spark, folder), _forest(spark, folder))
 
 
 @query()
 def oob_error(spark, folder):
-    return metrics.class_error(_oob(spark, folder).where(c("trees") == OOB_TREES))
+    return metrics.class_error(_oob(spark, folder).where(c("trees") == forest.STABLE_TREES))
 
 
 @query()
@@ -308,4 +299,4 @@ def oob_curve(spark, folder):
 
 @query()
 def permutation_importance(spark, folder):
-    return forest.permutation_importance(_train_rows(spark, folder), PREDICTORS, _forest(spark, folder))
+    return forest.permutation_importance(_train_rows(spark, folder), _forest(spark, folder))

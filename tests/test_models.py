@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -191,35 +192,48 @@ def test_cp_selection(spark, cps, xerrors, chosen, cp):
 
 # ---- forests
 
-def test_bag_weights_are_poisson_and_repeatable(spark):
+def drawn(row_id, seed, tree):
+    return int(hashlib.md5(f"{row_id}:{seed}:{tree}".encode()).hexdigest()[:8], 16) / 2 ** 32
+
+
+def test_bootstraps_are_poisson_and_can_be_replayed(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "row_id")
-    w = np.array([r[0] for r in rows.select(forest.bag_weight(3, 200)).collect()])
+    got = rows.select("row_id", forest.draws(4, 200).alias("u"),
+                      F.transform(forest.draws(4, 200), forest.times_drawn).alias("w")).collect()
+    w = np.array([r.w[3] for r in got])
     assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06 and abs((w == 0).mean() - math.exp(-1)) < 0.01
-    again = [r[0] for r in rows.repartition(7).orderBy("row_id").select(forest.bag_weight(3, 200)).collect()]
-    assert again == w.tolist()
+    assert all(r.u[t] == drawn(r.row_id, 200, t) for r in got[:200] for t in range(4))
 
 
-def test_out_of_bag_votes_and_curve(people):
+def test_forest_does_not_depend_on_partitions(people):
     rows = forest.labelled_rows(people, [G, H, X], "hd", "Yes", "id")
-    bagged = forest.fit_bagged(rows, [G, H, X], trees=6, max_depth=5)
-    votes = forest.oob_votes(rows, bagged).cache()
-    weights = rows.select("row_id", F.array(*[forest.bag_weight(i, bagged.seed) for i in range(6)]).alias("w"))
-    for row in votes.join(weights, "row_id").collect():
-        assert [v is None for v in row.votes] == [w > 0 for w in row.w]
+    one, other = (forest.fit_forest(rows.repartition(n), [G, H, X], trees=4, max_depth=8) for n in (1, 7))
+    for a, b in zip(one.trees, other.trees, strict=True):
+        assert a.term.tolist() == b.term.tolist() and a.left.tolist() == b.left.tolist()
+        assert np.array_equal(a.threshold, b.threshold, equal_nan=True) and np.array_equal(a.goes_left, b.goes_left)
+
+
+def test_out_of_bag_curve(people):
+    terms = [G, H, X]
+    rows = forest.labelled_rows(people, terms, "hd", "Yes", "id")
+    grown = forest.fit_forest(rows, terms, trees=6, max_depth=5)
+    given = rows.select("row_id", "y", *[t.position().alias(t.name) for t in terms]).collect()
+    votes = np.array([t.classes(np.array([[r[n.name] for n in terms] for r in given])) for t in grown.trees])
     counted = {}
-    for row in votes.collect():
+    for i, row in enumerate(given):
         for k in range(1, 7):
-            cast = [v for v in row.votes[:k] if v is not None]
+            cast = [votes[t, i] for t in range(k) if drawn(row.row_id, grown.seed, t) < math.exp(-1)]
             if cast:
-                p = "Yes" if sum(cast) > len(cast) / 2 else "No"
-                key = (k, "Yes" if row.y else "No", p)
+                key = (k, "Yes" if row.y else "No", "Yes" if 2 * sum(cast) > len(cast) else "No")
                 counted[key] = counted.get(key, 0) + 1
-    curve = forest.oob_curve(votes, 6)
+    curve = forest.oob_curve(rows, grown)
     assert {(r.trees, r.actual, r.predicted): r.n for r in curve.collect() if r.n} == counted
     errors = {r.trees: r for r in forest.curve_errors(curve).collect()}
     wrong = sum(n for (k, a, p), n in counted.items() if k == 6 and a != p)
     total = sum(n for (k, _, _), n in counted.items() if k == 6)
     assert errors[6].n_rows == total and math.isclose(errors[6].oob, wrong / total)
+    majority = {r.row_id: r.predicted for r in forest.predict_forest(rows, grown).collect()}
+    assert majority == {r.row_id: "Yes" if votes[:, i].sum() > 3 else "No" for i, r in enumerate(given)}
 
 
 def test_every_value_is_swapped_exactly_once(people):
@@ -239,8 +253,30 @@ def test_permutation_importance_finds_the_real_predictor(people):
     terms = [G, X, Term("z")]
     rows = forest.labelled_rows(noisy, terms, "hd", "Yes", "id")
     model = forest.fit_forest(rows, terms, trees=15, max_depth=6)
-    drop = {r.term: r.importance for r in forest.permutation_importance(rows, terms, model).collect()}
+    drop = {r.term: r.importance for r in forest.permutation_importance(rows, model).collect()}
     assert drop["g"] > 0.02 and drop["x"] > 0.02 and drop["z"] < min(drop["g"], drop["x"])
-    predicted = forest.predict_forest(rows, terms, model)
+    predicted = forest.predict_forest(rows, model)
     assert predicted.where("predicted = actual").count() > 0.55 * 1500
-    assert forest.tree_sizes(model, rows).count() == 15
+    assert forest.tree_sizes(model, rows.sparkSession).count() == 15
+
+
+def test_a_number_with_too_many_values_is_refused(spark):
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("double").alias("y"),
+                                    F.col("id").cast("double").alias("x"))
+    with pytest.raises(ValueError, match="distinct values"):
+        forest.fit_forest(rows, [Term("x")], trees=1)
+
+
+def test_class_of_missing_and_undeclared_answers_is_missing(people):
+    patterns = answer_patterns(people, [G, X], "hd", "Yes")
+    pruned = pruning.prune(trees.grow_tree(patterns, [G, X], max_depth=4), 0.0)
+    kind = dict(people.dtypes)["g"]
+    odd = people.limit(3).withColumn("g", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("zz")).cast(kind))
+    rows = pruning.predict_class(people.limit(50).unionByName(odd), pruned).collect()
+    assert len(rows) == 53 and sum(r.predicted is None for r in rows) >= 3
+
+
+def test_separated_coefficient_has_an_infinite_limit():
+    assert logit._root(lambda v: -1.0 / (1 + abs(v)), 0.0, 1.0, -2.0) == math.inf
+    assert logit._root(lambda v: -1.0 / (1 + abs(v)), 0.0, -1.0, -2.0) == -math.inf
+    assert abs(logit._root(lambda v: v * v - 2, 0.0, 1.0, -2.0) - math.sqrt(2)) < 1e-4
