@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from surveyloom.models import forest, linear, logit, pruning, trees
@@ -264,6 +266,125 @@ def stump_class(spark, folder):
     return pruning.predict_class(rows, pruned).select("resp_id", "obese", "predicted")
 
 
+# ---- trees of one split on one column, which plain SQL can follow through folds, bootstraps and permutations
+
+def _u(*parts):
+    """SQL of the number that the MD5 of the parts joined by colons gives."""
+    return f"(cast(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8)) as bigint) / 4294967296.0e0)"
+
+
+BANDS_SQL = """
+w as (select resp_id, floor(weight_kg / 10) as v, case when bmi_category = 'Obese' then 1.0e0 else 0.0e0 end as y
+  from survey_clean where weight_kg is not null and bmi_category is not null)"""
+
+# For every sample s of weighted rows: the best cut, sizes and positives left of it and in all.
+CUTS_SQL = """
+g as (select s, v, sum(k) as n, sum(k * y) as y from sampled group by all),
+r as (select s, (v + lead(v) over (partition by s order by v)) / 2 as cut, sum(n) over (partition by s order by v) as nl,
+  sum(y) over (partition by s order by v) as yl, sum(n) over (partition by s) as n, sum(y) over (partition by s) as y from g),
+cuts as (select * from r where cut is not null qualify row_number() over (partition by s
+  order by yl * (nl - yl) / nl + (y - yl) * (n - nl - y + yl) / (n - nl), cut) = 1)"""
+
+
+def _banded(spark, folder):
+    return survey_clean(spark, folder).where("weight_kg is not null and bmi_category is not null").select(
+        "resp_id", F.floor(c("weight_kg") / 10).alias("weight_band"),
+        F.when(c("bmi_category") == "Obese", "Yes").otherwise("No").alias("obese"))
+
+
+@query(over_clean("""
+select round(cp, 9) as cp, nsplit, round(rel_error, 9) as rel_error, round(e / root, 9) as xerror,
+  round(sqrt(e - e * e / n) / root, 9) as xstd
+from (select strength / root as cp, 0 as nsplit, 1.0e0 as rel_error, bare as e, root, n from whole, held
+  union all select 0.0e0, 1, 1 - strength / root, split, root, n from whole, held)""", BANDS_SQL + """,
+folds as (select *, cast(floor(""" + _u("cast(resp_id as varchar)", "'200'") + """ * 10) as int) as fold from w),
+sampled as (select s, v, y, 1.0e0 as k from folds, range(11) as t(s) where fold <> s),""" + CUTS_SQL + """,
+whole as (select least(y, n - y) as root, n,
+  least(y, n - y) - least(yl, nl - yl) - least(y - yl, n - nl - y + yl) as strength from cuts where s = 10),
+held as (select sum(case when f.y = (case when c.y > c.n - c.y then 1 else 0 end) then 0.0e0 else 1.0e0 end) as bare,
+  sum(case when f.y = (case when f.v <= cut then (case when yl > nl - yl then 1 else 0 end)
+                       else (case when c.y - yl > c.n - nl - c.y + yl then 1 else 0 end) end) then 0.0e0 else 1.0e0 end) as split
+  from folds f join cuts c on c.s = f.fold)"""))
+def cp_table_stump(spark, folder):
+    patterns = answer_patterns(_banded(spark, folder), [WEIGHT_BAND], "obese", "Yes",
+                               keep=[pruning.fold_of("resp_id", seed=200)])
+    _, rows = pruning.cp_table(patterns, [WEIGHT_BAND], max_depth=1)
+    return _rounded(pruning.cp_frame(spark, rows), "cp", "rel_error", "xerror", "xstd", digits=9)
+
+
+STUMPS = 5
+
+
+def _poisson_sql():
+    chance, reached, arms = math.exp(-1), 0.0, []
+    for k in range(forest.MOST_DRAWS):
+        reached += chance
+        chance /= k + 1
+        arms.append(f"when u < {reached!r} then {k}.0e0")
+    return f"case {' '.join(arms)} else {forest.MOST_DRAWS}.0e0 end"
+
+
+FOREST_SQL = BANDS_SQL + f""",
+drawn as (select resp_id, v, y, s, {_u("cast(resp_id as varchar)", "'200'", "cast(s as varchar)")} as u
+  from w, range({STUMPS}) as t(s)),
+sampled as (select *, {_poisson_sql()} as k from drawn where {_poisson_sql()} > 0),""" + CUTS_SQL + """,
+rules as (select s, cut, case when yl > nl - yl then 1.0e0 else 0.0e0 end as at_left,
+  case when y - yl > n - nl - y + yl then 1.0e0 else 0.0e0 end as at_right from cuts),
+votes as (select resp_id, d.y, d.v, d.s, u, case when d.v <= cut then at_left else at_right end as vote, cut, at_left, at_right
+  from drawn d join rules using (s))"""
+
+
+def _stumps(spark, folder):
+    rows = forest.labelled_rows(_banded(spark, folder), [WEIGHT_BAND], "obese", "Yes", "resp_id")
+    return rows, forest.fit_forest(rows, [WEIGHT_BAND], trees=STUMPS, max_depth=1)
+
+
+@query(over_clean(f"""
+select actual, predicted, coalesce(m, 0) as n
+from (select * from (values ('No'), ('Yes')) as a(actual), (values ('No'), ('Yes')) as p(predicted))
+left join (select case when y = 1 then 'Yes' else 'No' end as actual,
+    case when 2 * yes > {STUMPS} then 'Yes' else 'No' end as predicted, count(*) as m
+  from (select resp_id, y, sum(vote) as yes from votes group by all) group by all) using (actual, predicted)""", FOREST_SQL))
+def forest_stumps(spark, folder):
+    rows, grown = _stumps(spark, folder)
+    return metrics.confusion(forest.predict_forest(rows, grown), "actual", "predicted", ["No", "Yes"])
+
+
+OOB_SQL = FOREST_SQL + f""",
+cast_votes as (select t.n as trees, resp_id, y, sum(vote) as yes, count(*) as cast_n
+  from votes, range(1, {STUMPS + 1}) as t(n) where s < t.n and u < {math.exp(-1)!r} group by all),
+judged as (select trees, y, case when 2 * yes > cast_n then 1.0e0 else 0.0e0 end as said from cast_votes)"""
+
+
+@query(over_clean("""
+select trees, round(avg(case when y <> said then 1.0e0 else 0.0e0 end), 9) as oob,
+  round(avg(case when y <> said then 1.0e0 else 0.0e0 end) filter (where y = 0), 9) as error_no,
+  round(avg(case when y <> said then 1.0e0 else 0.0e0 end) filter (where y = 1), 9) as error_yes, count(*) as n_rows
+from judged group by trees""", OOB_SQL))
+def oob_curve_stumps(spark, folder):
+    return _rounded(forest.curve_errors(forest.oob_curve(*_stumps(spark, folder))), "oob", "error_no", "error_yes", digits=9)
+
+
+@query(over_clean(f"""
+select case when y = 1 then 'Yes' else 'No' end as actual, count(*) as n, cast(sum(abs(y - said)) as bigint) as wrong,
+  round(avg(abs(y - said)), 9) as class_error from judged where trees = {STUMPS} group by y""", OOB_SQL))
+def oob_error_stumps(spark, folder):
+    curve = forest.oob_curve(*_stumps(spark, folder))
+    return _rounded(metrics.class_error(curve.where(c("trees") == STUMPS)), "class_error", digits=9)
+
+
+@query(over_clean(f"""
+select 'weight_band' as term, round(avg(lost), 9) as importance
+from (select s, sum(cast(vote = y as int) - cast((case when other <= cut then at_left else at_right end) = y as int))
+    / cast(count(*) as double) as lost
+  from votes join neighbours using (resp_id) where u < {math.exp(-1)!r} group by s)""", FOREST_SQL + """,
+ordered as (select resp_id, v, md5(concat_ws(':', cast(resp_id as varchar), '200', 'order')) as o from w),
+neighbours as (select resp_id, coalesce(lag(v) over (order by o, resp_id),
+  last_value(v) over (order by o, resp_id rows between unbounded preceding and unbounded following)) as other from ordered)"""))
+def permutation_importance_stumps(spark, folder):
+    return _rounded(forest.permutation_importance(*_stumps(spark, folder)), "importance", digits=9)
+
+
 # ---- random forest
 
 def _train_rows(spark, folder):
