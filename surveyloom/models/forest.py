@@ -7,23 +7,19 @@ can be looked up again and do not depend on partitions or cores.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surveyloom.models.design import Term, bounded_rows, check_values, complete_rows, dealt, uniform
-from surveyloom.models.trees import CLASSES, FIT_ROWS, MAX_DEPTH, MOST_BINS, with_features
-from surveyloom.sources.scratch import settle
+from surveyloom.models.design import Term, bounded_rows, check_values, complete_rows, uniform
+from surveyloom.models.trees import CLASSES, MAX_DEPTH, MOST_BINS
 
-FITS_AT_ONCE = 8
+FOREST_ROWS = 20_000    # rows a forest is fitted on at most, about
 STABLE_TREES = 150      # the out-of-bag error no longer falls beyond this
 SHUFFLE_BLOCK = 100_000
 NEVER_DRAWN = math.exp(-1)
@@ -80,33 +76,65 @@ class Splits:
         return self.left[at]
 
 
-_LINE = re.compile(r"\s*(?:(Predict): (\S+)|(If|Else) \(feature (\d+) (?:(<=|>) (\S+)\)|(in|not in) \{(.*)\}\)))")
+def _cuts(code: np.ndarray, size: int, weight: np.ndarray, positive: np.ndarray, by_share: bool
+          ) -> tuple[float, np.ndarray]:
+    """The best split of coded values: the impurity it saves and which codes go left.
 
-
-def read_splits(description: str, levels: int) -> Splits:
-    """The tree that a fitted model describes, as arrays."""
-    term, threshold, goes_left, left, right = [], [], [], [], []
-    lines = iter(description.splitlines()[1:])
-
-    def node() -> int:
-        m = _LINE.match(next(lines))
-        i = len(term)
-        inside = np.zeros(levels, bool)
-        if m[1]:
-            term.append(-1), threshold.append(np.nan), goes_left.append(inside)
-            left.append(int(float(m[2]))), right.append(-1)
-            return i
-        if m[7]:
-            inside[[int(float(x)) for x in m[8].split(",") if x]] = True
-        term.append(int(m[4])), threshold.append(float(m[6]) if m[5] else np.nan), goes_left.append(inside)
-        left.append(0), right.append(0)
-        left[i] = node()
-        next(lines)  # the Else of the same split
-        right[i] = node()
-        return i
-
-    node()
-    return Splits(np.array(term), np.array(threshold), np.array(goes_left), np.array(left), np.array(right))
+    Numbers are cut in order of value, levels in order of their share of
+    positives, which is where the best of all groupings of levels lies.  Of equal
+    splits the first counts.
+    """
+    n, y = np.bincount(code, weight, size), np.bincount(code, positive, size)
+    there = np.flatnonzero(n)
+    if len(there) < 2:
+        return 0.0, there
+    if by_share:
+        there = there[np.argsort(y[there] / n[there], kind="stable")]
+    left, hits = np.cumsum(n[there])[:-1], np.cumsum(y[there])[:-1]
+    right, missed = n.sum() - left, y.sum() - hits
+    impurity = hits * (left - hits) / left + missed * (right - missed) / right
+    best = int(np.argmin(impurity))
+    return float(y.sum() * (n.sum() - y.sum()) / n.sum() - impurity[best]), there[:best + 1]
+
+
+def grow(values: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: Sequence[bool], levels: int, at_split: int,
+         max_depth: int, seed: int) -> Splits:
+    """Grow one tree until no split of a random sample of terms saves impurity."""
+    rng = np.random.default_rng(seed)
+    coded = [np.unique(values[:, j], return_inverse=True) for j in range(values.shape[1])]
+    out: dict[str, list] = {"term": [], "threshold": [], "goes_left": [], "left": [], "right": []}
+    open_nodes = [(np.arange(len(y)), 0, -1, "left")]
+    while open_nodes:
+        rows, depth, above, side = open_nodes.pop()
+        i = len(out["term"])
+        if above >= 0:
+            out[side][above] = i
+        w, hits = weight[rows], weight[rows] * y[rows]
+        best, term, codes = 1e-9, -1, None
+        if depth < max_depth and 0 < hits.sum() < w.sum():
+            for j in rng.choice(values.shape[1], at_split, replace=False):
+                distinct, code = coded[j]
+                gain, going = _cuts(code[rows], len(distinct), w, hits, factors[j])
+                if gain > best:
+                    best, term, codes = gain, int(j), going
+        inside, threshold = np.zeros(levels, bool), np.nan
+        if term < 0:
+            out["left"].append(int(2 * hits.sum() > w.sum()))
+        else:
+            distinct, code = coded[term]
+            left = np.isin(code[rows], codes)
+            if factors[term]:
+                inside[distinct[codes].astype(int)] = True
+            else:
+                above_cut = distinct[np.min(code[rows][~left])]
+                threshold = (distinct[codes.max()] + above_cut) / 2
+            out["left"].append(-1)
+            open_nodes += [(rows[~left], depth + 1, i, "right"), (rows[left], depth + 1, i, "left")]
+        out["term"].append(term)
+        out["threshold"].append(threshold)
+        out["goes_left"].append(inside)
+        out["right"].append(-1)
+    return Splits(*[np.array(out[k]) for k in ("term", "threshold", "goes_left", "left", "right")])
 
 
 @dataclass(frozen=True)
@@ -117,36 +145,39 @@ class Forest:
 
 
 def fit_forest(rows: DataFrame, terms: Sequence[Term], trees: int = STABLE_TREES, max_depth: int = MAX_DEPTH,
-               seed: int = 200, fit_rows: int = FIT_ROWS) -> Forest:
+               seed: int = 200, fit_rows: int = FOREST_ROWS) -> Forest:
     """Trees grown out on bootstraps, with a sample of floor(sqrt(terms)) terms at each split.
 
-    All bootstraps are reduced to weights per answer pattern in one pass over
-    the rows; the fits then run over the patterns, several at a time.  Above
-    about ``fit_rows`` rows a hash of the row id picks that many; a number
-    with more than ``MOST_BINS`` values is refused.
+    Spark draws the bootstraps, reduces each to weights per answer pattern and
+    gives every tree to a task, which never holds more than the patterns of about
+    ``fit_rows`` rows: above that many a hash of the row id picks them.  Every
+    split of a number is tried; one with over ``MOST_BINS`` values is refused.
     """
     rows = bounded_rows(rows, "row_id", fit_rows, seed)
     check_values(rows, terms, MOST_BINS - 1)
-    names = [f"w{i}" for i in range(trees)]
-    drawn = rows.select("y", *[t.name for t in terms], F.transform(draws(trees, seed), times_drawn).alias("_times"))
-    patterns = settle(drawn.groupBy("y", *[t.name for t in terms]).agg(
-        *[F.sum(F.element_at("_times", i + 1)).alias(w) for i, w in enumerate(names)]))
-    features = with_features(dealt(patterns), terms, ["y", *names]).persist()
-    levels = max([len(t.levels) for t in terms] + [1])
+    places = [f"p{i}" for i in range(len(terms))]
+    drawn = rows.select("y", *_placed(terms), F.posexplode(
+        F.transform(draws(trees, seed), times_drawn)).alias("tree", "times")).where("times > 0")
+    patterns = drawn.groupBy("tree", "y", *places).agg(F.sum("times").alias("weight"))
+    factors, levels = [t.is_factor for t in terms], max([len(t.levels) for t in terms] + [1])
     at_split = max(1, math.isqrt(len(terms)))
 
-    def fit(i: int) -> Splits:
-        learner = RandomForestClassifier(
-            featuresCol="features", labelCol="y", weightCol=names[i], numTrees=1, bootstrap=False,
-            maxDepth=max_depth, maxBins=MOST_BINS, featureSubsetStrategy=str(at_split), seed=seed + i)
-        model = learner.fit(features.where(F.col(names[i]) > 0))
-        return read_splits(model.trees[0].toDebugString, levels)
-
-    try:
-        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-            return Forest(tuple(pool.map(fit, range(trees))), tuple(terms), seed)
-    finally:
-        features.unpersist()
+    def one_tree(mine: pd.DataFrame) -> pd.DataFrame:
+        tree = int(mine["tree"].iloc[0])
+        # The order of rows in a group is not fixed, and must not matter.
+        mine = mine.sort_values(["y", *places])
+        grown = grow(mine[places].to_numpy(np.float64), mine["y"].to_numpy(np.float64), mine["weight"].to_numpy(np.float64),
+                     factors, levels, at_split, max_depth, seed + tree)
+        return pd.DataFrame({"tree": [tree], "term": [grown.term], "threshold": [grown.threshold],
+                             "goes_left": [grown.goes_left.reshape(-1)], "left": [grown.left], "right": [grown.right]})
+
+    found = patterns.groupBy("tree").applyInPandas(
+        one_tree, "tree int, term array<int>, threshold array<double>, goes_left array<boolean>, left array<int>, "
+                  "right array<int>").collect()
+    grown = {r.tree: Splits(np.array(r.term), np.array(r.threshold, np.float64),
+                            np.array(r.goes_left).reshape(len(r.term), levels), np.array(r.left), np.array(r.right))
+             for r in found}
+    return Forest(tuple(grown[i] for i in sorted(grown)), tuple(terms), seed)
 
 
 def tree_sizes(forest: Forest, spark: SparkSession) -> DataFrame:
