@@ -93,6 +93,7 @@ ALCOHOL_UNITS = (
     UnitRule(999, 999, factor=None),
 )
 BMI_LEVELS = Levels.of(("Underweight", "Normal Weight", "Overweight", "Obese"))
+# Plausible ranges and the edges and labels of bins.
 PLAUSIBLE = {
     "SLEEP_DURATION_HR": (0, 24),
     "HEIGHT_M": (0.5, 2.5),
@@ -106,7 +107,7 @@ CIGARETTE_BINS = ((0, 1, 5, 10, 15, 20, float("inf")),
 DRINKING_BINS = ((0, 1, 5, 10, 15, 20, 25, 30),
                  ("[0]", "[1 - 5]", "[6 - 10]", "[11 - 15]", "[16 - 20]", "[21 - 25]", "[26 - 30]"))
 
-# Columns a row must have an answer in, in the order they are checked; the
+# Columns a row must have an answer in, in the order they are checked; the
 # first group before pack counts are imputed, the second after.
 REQUIRED = ("EDUCATION", "UNABLE_TO_AFFORD_MED", "WEIGHT_KG", "HEIGHT_M", "GENERAL_HEALTH", "PHYSICAL_HEALTH",
             "MENTAL_HEALTH", "HEART_DISEASE", "STROKE", "ASTHMA", "SKIN_CANCER", "OTHER_CANCER", "LUNG_DISEASE",
@@ -169,9 +170,17 @@ def with_row_id(cleaned: DataFrame) -> DataFrame:
 
 
 def attrition(raw: DataFrame) -> DataFrame:
-    """Rows left after each required column, in one scan."""
-    coded = run_stages(raw.select(*COLUMNS), [rename(COLUMNS), cleaning.blanks_to_null, recode(recoded())])
-    return cleaning.attrition(coded, {name: c(name).isNotNull() for name in REQUIRED})
+    """Rows left after each required column, in the order in which they are checked.
+
+    Smoking and drinking are checked after they were inferred from the other
+    answers; that takes the mean of the pack counts only for rows that answered
+    the columns before, and changes no test, so one scan serves all.
+    """
+    coded = run_stages(raw.select(*COLUMNS), [
+        rename(COLUMNS), cleaning.blanks_to_null, recode(recoded()),
+        assign("SMOKING", [(c("CIGARETTES_PER_DAY") > 0, "Yes")]),
+        assign("DRINKING", [(c("DRINKING_DAYS_PER_MONTH") > 0, "Yes"), (c("HEAVY_DRINKING") == "Yes", "Yes")])])
+    return cleaning.attrition(coded, {name: c(name).isNotNull() for name in (*REQUIRED, "SMOKING", *REQUIRED_LATER)})
 
 
 def without_extreme_smokers(cleaned: DataFrame) -> DataFrame:
@@ -180,6 +189,7 @@ def without_extreme_smokers(cleaned: DataFrame) -> DataFrame:
 
 # ---- charts: one table of statistics for each kind
 
+# The columns that are charted as levels and as numbers.
 FACTORS = ("HEART_DISEASE", "AGE_GROUP", "EDUCATION", "INCOME", "UNABLE_TO_AFFORD_MED", "BMI_CATEGORY",
            "GENERAL_HEALTH", "CHECKUP_DURATION_YR", "EXERCISE", "SMOKING", "DRINKING", "HEAVY_DRINKING", "STROKE",
            "ASTHMA", "SKIN_CANCER", "OTHER_CANCER", "LUNG_DISEASE", "DEPRESSION", "KIDNEY_DISEASE", "ARTHRITIS",
@@ -227,6 +237,7 @@ EDUCATION = Term("EDUCATION", CODEBOOKS["EDUCATION"].levels.labels)
 HEALTH = Term("GENERAL_HEALTH", CODEBOOKS["GENERAL_HEALTH"].levels.labels)
 BMI = Term("BMI_CATEGORY", BMI_LEVELS.labels)
 DIABETES = Term("DIABETES", ("No", "Yes", "Yes, but during pregnancy"))
+# The terms of the full model, and those left out of the reduced ones.
 ALL_TERMS = (
     AGE, EDUCATION, _alphabetical("UNABLE_TO_AFFORD_MED"), BMI, HEALTH, Term("MENTAL_HEALTH"),
     Term("PHYSICAL_HEALTH"), _alphabetical("EXERCISE"), _alphabetical("SMOKING"), Term("CIGARETTES_PER_DAY"),

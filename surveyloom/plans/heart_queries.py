@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from surveyloom.models import logit
+from pyspark.sql import functions as F
+
+from surveyloom.functions import label_above
+from surveyloom.models import forest, logit
 from surveyloom.models.design import answer_patterns
-from surveyloom.operators import cleaning, profiling, sampling
+from surveyloom.operators import cleaning, distribution, metrics, profiling, sampling, shares
 from surveyloom.operators.joins import left_merge
 from surveyloom.plans import heart
 from surveyloom.plans.preparing import cut_sql
@@ -58,6 +61,11 @@ def heart_raw(spark, folder):
     return written_once(spark, folder, "heart raw", lambda: survey_raw(spark, folder).selectExpr(*ANSWERS))
 
 
+def heart_kept(spark, folder):
+    """The cleaned rows without extreme smokers, which all charts and models use."""
+    return written_once(spark, folder, "heart kept", lambda: heart.without_extreme_smokers(heart_table(spark, folder)))
+
+
 def heart_table(spark, folder):
     return written_once(spark, folder, "heart clean", lambda: heart.clean(heart_raw(spark, folder)))
 
@@ -108,7 +116,9 @@ sized as (select * replace (HEIGHT_M / 100.0e0 as HEIGHT_M, WEIGHT_KG / 100.0e0
   from packs where {_not_null(heart.REQUIRED_LATER)}),
 heart as (select distinct * replace (case when BMI < 18.5e0 then 'Underweight' when BMI < 23.0e0 then 'Normal Weight'
     when BMI < 30.0e0 then 'Overweight' else 'Obese' end as BMI_CATEGORY,
-    case when BMI >= 23.0e0 then 'Yes' else 'No' end as OVERWEIGHT_OR_OBESE) from sized)"""
+    case when BMI >= 23.0e0 then 'Yes' else 'No' end as OVERWEIGHT_OR_OBESE) from sized),
+kept as (select heart.* from heart, (select avg(CIGARETTES_PER_DAY) as m, stddev_samp(CIGARETTES_PER_DAY) as s from heart)
+  where not ((CIGARETTES_PER_DAY - m) / s > 3 or (CIGARETTES_PER_DAY - m) / s < -3))"""
 
 
 def over_heart(sql: str) -> str:
@@ -120,9 +130,14 @@ def heart_clean(spark, folder):
     return heart.clean(heart_raw(spark, folder))
 
 
-@query(over_heart(" union all ".join(
-    f"select {i} as step, '{name}' as name, count(*) as n from coded where {_not_null(heart.REQUIRED[:i])}"
-    for i, name in enumerate(heart.REQUIRED, start=1))))
+CHECKED = (*heart.REQUIRED, "SMOKING", *heart.REQUIRED_LATER)
+
+
+@query(over_raw(" union all ".join(
+    f"select {i} as step, '{name}' as name, count(*) as n from inferred where {_not_null(CHECKED[:i])}"
+    for i, name in enumerate(CHECKED, start=1)), HEART_SQL + """,
+inferred as (select * replace (case when CIGARETTES_PER_DAY > 0 then 'Yes' else SMOKING end as SMOKING,
+  case when DRINKING_DAYS_PER_MONTH > 0 or HEAVY_DRINKING = 'Yes' then 'Yes' else DRINKING end as DRINKING) from coded)"""))
 def heart_attrition(spark, folder):
     return heart.attrition(heart_raw(spark, folder))
 
@@ -140,52 +155,274 @@ def heart_shape(spark, folder):
 
 
 @query(over_heart(" union all ".join(
-    f"select '{name}' as \"column\", {name} as value, count(*) as n from heart group by 2" for name in heart.FACTORS)))
+    f"select '{name}' as \"column\", {name} as value, count(*) as n from kept group by 2" for name in heart.FACTORS)))
 def heart_bars(spark, folder):
-    return heart.bars(heart_table(spark, folder))
+    return heart.bars(heart_kept(spark, folder))
 
 
 @query(over_heart("""
 select "column", value, HEART_DISEASE, n, round(prop, 6) as prop,
   round(prop / sum(prop) over (partition by "column", value), 6) as share
 from (select *, n / sum(n) over (partition by "column", HEART_DISEASE) as prop from (""" + " union all ".join(
-    f"select '{name}' as \"column\", {name} as value, HEART_DISEASE, count(*) as n from heart"
+    f"select '{name}' as \"column\", {name} as value, HEART_DISEASE, count(*) as n from kept"
     + (" where INCOME <> 'Missing'" if name == "INCOME" else "") + " group by 2, 3" for name in heart.SHARED) + "))"))
 def heart_shares(spark, folder):
-    return (heart.disease_shares(heart_table(spark, folder))
+    return (heart.disease_shares(heart_kept(spark, folder))
             .withColumns({"prop": rounded("prop"), "share": rounded("share")}))
 
 
 @query(over_heart("select HEART_DISEASE, " + ", ".join(
-    f"round(avg({name}), 6) as {name}" for name in heart.MEASURES) + " from heart group by 1"))
+    f"round(avg({name}), 6) as {name}" for name in heart.MEASURES) + " from kept group by 1"))
 def heart_means(spark, folder):
-    means = heart.measure_means(heart_table(spark, folder))
+    means = heart.measure_means(heart_kept(spark, folder))
     return means.withColumns({name: rounded(name) for name in heart.MEASURES})
 
 
-@query(over_raw("""
+# ---- rates by bins and age, adjusted proportions, diabetes and means by group
+
+def _rate_sql(column: str, bins: tuple) -> str:
+    return over_raw("""
 select t.bin, t.total, h.AGE_GROUP, h.cases, round(h.cases / t.total * 100, 6) as percentage
 from t left join h on t.bin is not distinct from h.bin""", HEART_SQL + f""",
-b as (select {cut_sql("SLEEP_DURATION_HR", *heart.SLEEP_BINS)} as bin, AGE_GROUP, HEART_DISEASE from heart),
+b as (select {cut_sql(column, *bins)} as bin, AGE_GROUP, HEART_DISEASE from kept),
 t as (select bin, count(*) as total from b group by 1),
-h as (select bin, AGE_GROUP, count(*) as cases from b where HEART_DISEASE = 'Yes' group by 1, 2)"""))
-def heart_rate_by_sleep(spark, folder):
-    rate = heart.disease_rate(heart_table(spark, folder), "SLEEP_DURATION_HR", heart.SLEEP_BINS)
-    return rate.withColumn("percentage", rounded("percentage"))
+h as (select bin, AGE_GROUP, count(*) as cases from b where HEART_DISEASE = 'Yes' group by 1, 2)""")
+
+
+def _rate(column: str, bins: tuple):
+    def run(spark, folder):
+        return heart.disease_rate(heart_kept(spark, folder), column, bins).withColumn("percentage", rounded("percentage"))
+    return run
+
+
+for _name, _column, _bins in (("sleep", "SLEEP_DURATION_HR", heart.SLEEP_BINS),
+                              ("cigarettes", "CIGARETTES_PER_DAY", heart.CIGARETTE_BINS),
+                              ("drinking", "DRINKING_DAYS_PER_MONTH", heart.DRINKING_BINS)):
+    query(_rate_sql(_column, _bins), name=f"heart_rate_by_{_name}")(_rate(_column, _bins))
+
+
+def _adjusted_sql(group: str) -> str:
+    return over_heart(f"""
+select a.{group}, a.EXERCISE, a.n, round(a.n / a.t, 6) as proportion, g.total, g.cases, round(g.cases / g.total, 6) as rate,
+  round(a.n / a.t * (g.cases / g.total), 6) as adjusted
+from (select {group}, EXERCISE, count(*) as n, sum(count(*)) over (partition by {group}) as t from kept
+    where HEART_DISEASE = 'Yes' group by 1, 2) a
+join (select {group}, count(*) as total, count(*) filter (where HEART_DISEASE = 'Yes') as cases from kept group by 1) g
+  on a.{group} is not distinct from g.{group}""")
+
+
+def _adjusted(group: str):
+    def run(spark, folder):
+        table = shares.adjusted_proportion(heart_kept(spark, folder), group, "EXERCISE", heart.has_disease())
+        return table.withColumns({name: rounded(name) for name in ("proportion", "rate", "adjusted")})
+    return run
+
+
+for _name, _column in (("health", "GENERAL_HEALTH"), ("bmi", "BMI_CATEGORY")):
+    query(_adjusted_sql(_column), name=f"heart_adjusted_by_{_name}")(_adjusted(_column))
 
 
 @query(over_heart("""
-select heart.* from heart, (select avg(CIGARETTES_PER_DAY) as m, stddev_samp(CIGARETTES_PER_DAY) as s from heart)
-where not ((CIGARETTES_PER_DAY - m) / s > 3 or (CIGARETTES_PER_DAY - m) / s < -3)"""))
+select BMI_CATEGORY, DIABETES, n, round(prop, 6) as prop, round(prop / sum(prop) over (partition by BMI_CATEGORY), 6) as share
+from (select *, n / sum(n) over (partition by DIABETES) as prop
+  from (select BMI_CATEGORY, DIABETES, count(*) as n from kept group by 1, 2))"""))
+def heart_diabetes_by_bmi(spark, folder):
+    return shares.balanced_share(heart_kept(spark, folder), "BMI_CATEGORY", "DIABETES").withColumns(
+        {"prop": rounded("prop"), "share": rounded("share")})
+
+
+# Measure, group and rows of the charted means.
+CHARTED_MEANS = (("PHYSICAL_HEALTH", "EXERCISE", "true"), ("MENTAL_HEALTH", "EXERCISE", "true"),
+                 ("MENTAL_HEALTH", "INCOME", "INCOME <> 'Missing'"),
+                 ("PHYSICAL_HEALTH", "AGE_GROUP", "HEART_DISEASE = 'Yes'"))
+
+
+@query(over_heart(" union all ".join(
+    f"select '{y}' as measure, '{group}' as grouped_by, {group} as level, round(avg({y}), 6) as mean from kept where {rows} group by 3"
+    for y, group, rows in CHARTED_MEANS)))
+def heart_charted_means(spark, folder):
+    kept, out = heart_kept(spark, folder), None
+    for y, group, rows in CHARTED_MEANS:
+        means = shares.group_mean(kept, y, [group], where=F.expr(rows)).select(
+            F.lit(y).alias("measure"), F.lit(group).alias("grouped_by"), F.col(group).alias("level"),
+            rounded(f"mean_{y}").alias("mean"))
+        out = means if out is None else out.unionByName(means)
+    return out
+
+
+# ---- distributions
+
+def _boxes_sql(by: str = "") -> str:
+    parts = []
+    for name in heart.MEASURES:
+        parts.append(f"""
+select {by}'{name}' as "column", q1, median, q3,
+  min(v) filter (where v between q1 - 1.5e0 * (q3 - q1) and q3 + 1.5e0 * (q3 - q1)) as whisker_low,
+  max(v) filter (where v between q1 - 1.5e0 * (q3 - q1) and q3 + 1.5e0 * (q3 - q1)) as whisker_high,
+  count(*) filter (where v not between q1 - 1.5e0 * (q3 - q1) and q3 + 1.5e0 * (q3 - q1)) as outliers
+from (select {by}cast({name} as double) as v,
+    quantile_cont(cast({name} as double), 0.25) over same as q1, quantile_cont(cast({name} as double), 0.5) over same as median,
+    quantile_cont(cast({name} as double), 0.75) over same as q3
+  from kept window same as ({'partition by ' + by.rstrip(', ') if by else ''})) group by {by}q1, median, q3""")
+    return over_heart(" union all ".join(parts))
+
+
+@query(_boxes_sql())
+def heart_boxes(spark, folder):
+    return heart.boxes(heart_kept(spark, folder))
+
+
+@query(_boxes_sql("HEART_DISEASE, "))
+def heart_boxes_by_disease(spark, folder):
+    return heart.boxes(heart_kept(spark, folder), ["HEART_DISEASE"])
+
+
+@query(over_heart("""
+select 'CIGARETTES_PER_DAY' as "column", cast(min(v) as double) as min, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median,
+  round(avg(v), 6) as mean, quantile_cont(v, 0.75) as q3, max(v) as max
+from (select cast(CIGARETTES_PER_DAY as double) as v from heart)"""))
+def heart_six_numbers(spark, folder):
+    found = distribution.six_number_summary(heart_table(spark, folder), ["CIGARETTES_PER_DAY"])
+    return found.withColumn("mean", rounded("mean"))
+
+
+@query(over_heart("""
+select 'CIGARETTES_PER_DAY' as "column", count(*) filter (where v < q1 - 1.5e0 * (q3 - q1) or v > q3 + 1.5e0 * (q3 - q1)) as outliers
+from (select CIGARETTES_PER_DAY as v from heart), (select quantile_cont(CIGARETTES_PER_DAY, 0.25) as q1,
+  quantile_cont(CIGARETTES_PER_DAY, 0.75) as q3 from heart)"""))
+def heart_outlier_count(spark, folder):
+    return distribution.count_outliers(heart_table(spark, folder), ["CIGARETTES_PER_DAY"])
+
+
+@query(over_heart("select * from kept"))
 def heart_without_outliers(spark, folder):
     return heart.without_extreme_smokers(heart_table(spark, folder))
 
 
+# ---- models: both parts rebalanced, threshold chosen on the test part
+
+def heart_parts(spark, folder):
+    def build():
+        rows = settle(heart.with_row_id(heart_kept(spark, folder)))
+        split = settle(sampling.split_stratified(rows, "HEART_DISEASE", "row_id", ratio=0.7, seed=200))
+        return sampling.balance(split, "HEART_DISEASE", "Yes", "row_id", ratio=2, seed="200:balance", within=["train"])
+    return written_once(spark, folder, "heart parts", build)
+
+
+@query(over_heart("""
+select train, HEART_DISEASE, case when HEART_DISEASE = 'Yes' then n else least(n, 2 * yes) end as n
+from (select *, sum(n) filter (where HEART_DISEASE = 'Yes') over (partition by train) as yes
+  from (select HEART_DISEASE, true as train, cast(round_even(cast(cast(count(*) * 0.7e0 as varchar) as decimal(38, 17)), 0) as bigint) as n
+    from kept group by 1 union all select HEART_DISEASE, false,
+      count(*) - cast(round_even(cast(cast(count(*) * 0.7e0 as varchar) as decimal(38, 17)), 0) as bigint) from kept group by 1))"""))
+def heart_part_sizes(spark, folder):
+    return heart_parts(spark, folder).groupBy("train", "HEART_DISEASE").agg(F.count("*").alias("n"))
+
+
+def _patterns(spark, folder, terms):
+    return answer_patterns(heart_parts(spark, folder).where("train"), terms, "HEART_DISEASE", "Yes")
+
+
+def _fitted(spark, folder, terms):
+    patterns = _patterns(spark, folder, terms)
+    return patterns, logit.fit_logit(patterns, terms)
+
+
+@query()
+def heart_glm_all(spark, folder):
+    """All terms; the certain alias of being overweight with the BMI levels has no estimate."""
+    return logit.coefficient_table(spark, _fitted(spark, folder, heart.ALL_TERMS)[1])
+
+
+@query()
+def heart_stepwise(spark, folder):
+    _, steps = logit.eliminate_backward(_patterns(spark, folder, heart.ALL_TERMS), heart.ALL_TERMS)
+    return logit.step_table(spark, steps)
+
+
+@query()
+def heart_glm_reduced(spark, folder):
+    return logit.coefficient_table(spark, _fitted(spark, folder, heart.REDUCED_TERMS)[1])
+
+
+@query()
+def heart_gvif(spark, folder):
+    return logit.gvif(*_fitted(spark, folder, heart.REDUCED_TERMS))
+
+
+@query()
+def heart_glm_final(spark, folder):
+    return logit.coefficient_table(spark, _fitted(spark, folder, heart.FINAL_TERMS)[1])
+
+
+@query()
+def heart_importance(spark, folder):
+    return logit.importance(spark, _fitted(spark, folder, heart.FINAL_TERMS)[1])
+
+
 @query()
 def heart_odds_ratios(spark, folder):
     """Odds ratios with limits of the final model, fitted to the rebalanced training rows."""
-    rows = heart.with_row_id(heart.without_extreme_smokers(heart_table(spark, folder)))
-    split = sampling.split_stratified(settle(rows), "HEART_DISEASE", "row_id", ratio=0.7, seed=200)
-    train = sampling.balance(split.where("train"), "HEART_DISEASE", "Yes", "row_id", ratio=2, seed="200:balance")
-    fit = logit.fit_logit(answer_patterns(train, heart.FINAL_TERMS, "HEART_DISEASE", "Yes"), heart.FINAL_TERMS)
+    _, fit = _fitted(spark, folder, heart.FINAL_TERMS)
     return left_merge(logit.odds_ratios(spark, fit), logit.odds_ratio_limits(spark, fit), ["coefficient"])
+
+
+def _scored(spark, folder):
+    """Both parts with the final model's probability, and the best threshold on the test part."""
+    _, fit = _fitted(spark, folder, heart.FINAL_TERMS)
+    rows = settle(heart_parts(spark, folder).select("train", "HEART_DISEASE", fit.probability().alias("score")))
+    test = rows.where("not train")
+    best = metrics.best_threshold(metrics.roc_curve(test, "score", heart.has_disease())).first()
+    return rows, metrics.auc(test, "score", heart.has_disease()).first().auc, best
+
+
+@query()
+def heart_roc(spark, folder):
+    """Area, best threshold on the test part, and accuracy on both parts at that threshold."""
+    rows, area, best = _scored(spark, folder)
+    labelled = rows.withColumn("predicted", label_above(F.col("score"), best.threshold))
+    right = F.avg((F.col("predicted") == F.col("HEART_DISEASE")).cast("double"))
+    return labelled.groupBy("train").agg(right.alias("accuracy")).withColumns(
+        {"auc": F.lit(area), "threshold": F.lit(best.threshold)})
+
+
+@query()
+def heart_confusion(spark, folder):
+    """Confusion of test and training rows, both at the threshold chosen on the test part."""
+    rows, _, best = _scored(spark, folder)
+    labelled = rows.withColumn("predicted", label_above(F.col("score"), best.threshold))
+    parts = [metrics.confusion(labelled.where(F.col("train") == part), "HEART_DISEASE", "predicted", ["No", "Yes"])
+             .withColumn("train", F.lit(part)) for part in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
+def _forest_rows(spark, folder, train):
+    rows = heart_parts(spark, folder).where("train" if train else "not train")
+    return forest.labelled_rows(rows, heart.ALL_TERMS, "HEART_DISEASE", "Yes", "row_id")
+
+
+_forests: dict = {}
+
+
+def _forest(spark, folder):
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _forests:
+        _forests[key] = forest.fit_forest(_forest_rows(spark, folder, True), heart.ALL_TERMS)
+    return _forests[key]
+
+
+@query()
+def heart_forest_curve(spark, folder):
+    grown = _forest(spark, folder)
+    return forest.curve_errors(forest.oob_curve(_forest_rows(spark, folder, True), grown))
+
+
+@query()
+def heart_forest_confusion(spark, folder):
+    said = forest.predict_forest(_forest_rows(spark, folder, False), _forest(spark, folder))
+    return metrics.confusion(said, "actual", "predicted", ["No", "Yes"])
+
+
+@query()
+def heart_forest_importance(spark, folder):
+    return forest.permutation_importance(_forest_rows(spark, folder, True), _forest(spark, folder))
