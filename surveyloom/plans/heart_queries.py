@@ -426,3 +426,7 @@ def heart_forest_confusion(spark, folder):
 @query()
 def heart_forest_importance(spark, folder):
     return forest.permutation_importance(_forest_rows(spark, folder, True), _forest(spark, folder))
+
+
+# Tables and fits that several queries share, for timing them by themselves.
+SHARED = {"write_heart_parts": heart_parts, "fit_heart_forest": _forest}

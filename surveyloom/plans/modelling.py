@@ -421,3 +421,7 @@ def oob_curve(spark, folder):
 @query()
 def permutation_importance(spark, folder):
     return forest.permutation_importance(_train_rows(spark, folder), _forest(spark, folder))
+
+
+# Fits that several queries share, for timing them by themselves.
+SHARED = {"fit_tree": _grown, "fit_forest": _forest}

@@ -1,4 +1,4 @@
-from surveyloom.sources.scratch import scratch_folder, settle
+from surveyloom.sources.scratch import clear_scratch, scratch_folder, settle
 from surveyloom.sources.tables import ingest, read_delimited, read_table, write_delimited
 
-__all__ = ["ingest", "read_delimited", "read_table", "scratch_folder", "settle", "write_delimited"]
+__all__ = ["ingest", "read_delimited", "read_table", "clear_scratch", "scratch_folder", "settle", "write_delimited"]

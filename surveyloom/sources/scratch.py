@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,21 +13,26 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _own_folder: dict[str, str] = {}
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A fresh path below the session's checkpoint folder.
+def _root(spark: SparkSession) -> str:
+    """The folder of this application below the one the session or its context names.
 
-    The cluster names that folder.  Only a local session without the setting
-    gets a folder of its own; on a cluster a machine-local folder would be
-    lost with its machine, so a missing setting is an error there.
+    Only a session of one machine without the setting gets a folder of its own;
+    elsewhere a machine-local folder would be lost with its machine, and other
+    executors could not read it, so a missing setting is an error there.
     """
-    root = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-        application = spark.sparkContext.applicationId
-        root = _own_folder.get(application) or tempfile.mkdtemp(prefix="surveyloom-")
-        _own_folder[application] = root
-    return f"{root.rstrip('/')}/surveyloom/{uuid.uuid4().hex}"
+        named = _own_folder.get(context.applicationId) or tempfile.mkdtemp(prefix="surveyloom-")
+        _own_folder[context.applicationId] = named
+    return f"{named.rstrip('/')}/surveyloom/{context.applicationId}"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh path for one table."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -39,3 +45,9 @@ def settle(df: DataFrame) -> DataFrame:
     path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables this application has settled; call it once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
