@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, exact_dedup, html_text, language_model, near_dedup, packing, quality, secrets, toxicity
+from surveyloom.llm import decontaminate, exact_dedup, html_text, language_model, line_dedup, near_dedup, packing, quality, secrets, toxicity
 from surveyloom.llm.common import remainder
 from surveyloom.sources.tables import read_table
 
@@ -169,3 +169,28 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     network = toxicity.fit(docs, read_table(spark, folder, "labels"), ~held_out)
     found = toxicity.toxicity_scores(docs, network).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+SITE_LINES_SQL = f"""
+with rows as (
+  select page_id, nullif(translate(regexp_extract(url, '{line_dedup.HOST}', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '{line_dedup.NO_TEXT}', chr(10), 'g'), '{line_dedup.LINE_END}', chr(10), 'g'), '{line_dedup.MARKUP}', '', 'g'), chr(10)),
+      lambda x: trim(regexp_replace(x, '{line_dedup.SPACE}', ' ', 'g'))), lambda x: x <> '') as lines from pages),
+totals as (select host, count(*) as total from rows where host is not null group by host),
+counted as (select host, line, count(*) as n from (select host, unnest(list_distinct(lines)) as line from rows) group by all),
+often as (select host, list(line) as boiler from counted join totals using (host)
+          where n >= {line_dedup.LEAST_PAGES} and n > {line_dedup.RATIO} * total group by host),
+kept as (select page_id, rows.host, lines, list_filter(lines, lambda x: not list_contains(coalesce(boiler, []), x)) as k
+         from rows left join often on rows.host = often.host)
+select page_id, host, len(lines)::bigint as n_lines, (len(lines) - len(k))::bigint as n_dropped,
+  coalesce(array_to_string(k, chr(10)), '') as text from kept
+"""
+
+
+@query(SITE_LINES_SQL)
+def op8_site_lines(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages")
+    found = line_dedup.without_boilerplate(pages, line_dedup.html_column("html"))
+    return found.withColumnRenamed("id", "page_id")

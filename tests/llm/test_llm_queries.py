@@ -6,7 +6,7 @@ from compare import open_tables, spark_table, sql_table
 from surveyloom.llm.queries import ENTRIES
 
 FOLDER = "/root/testdata/sf0.001"
-PAGES = {"op10_html_text"}
+PAGES = {"op10_html_text", "op8_site_lines"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n, e in ENTRIES.items() if e.sql))
