@@ -23,7 +23,8 @@ END = "\n"
 # corpus of any size: the model that tasks hold is bounded, the counts are not.
 SYMBOL_SHARE, CONTEXT_SHARE, STORED_SHARE = 2e-6, 1e-4, 2e-6
 DEPTH = 3
-COUNT_CHUNK = 12_000_000
+# Symbols counted or scored at once in a task.
+AT_ONCE = 400_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ def count_words(training: DataFrame, text_column: str = "text", symbol_share: fl
     rows = training.select(whole_text(text_column).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, chunk_bytes=COUNT_CHUNK):
+        for batch in chunks(batches):
             codes, distinct = coded(words_of(batch.column("text"))[0])
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([distinct, pa.array([END])]),
@@ -89,6 +90,16 @@ def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of some ``AT_ONCE`` symbols each, or of one longer text."""
+    for batch in batches:
+        if batch.num_rows:
+            ends = batch.column("symbols").offsets.to_numpy()[1:].astype(np.int64)
+            edges = np.flatnonzero(np.diff(ends // AT_ONCE)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                yield batch.slice(start, end - start)
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     lists = batch.column("symbols")
     offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -111,10 +122,9 @@ def learn(encoded: DataFrame, vocabulary: Vocabulary, depth: int = DEPTH, contex
         shared = context.broadcast(tree)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, level=level) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    keys, times = shared.value.count(*_flat(batch), level)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["key", "n"])
+            for batch in _slices(batches):
+                keys, times = shared.value.count(*_flat(batch), level)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["key", "n"])
 
         found = training.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         stored = found.where(F.col("n") >= max(2.0, stored_share * n)).toArrow()
@@ -152,9 +162,7 @@ def scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_co
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, logs, known = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             symbols, ends = _flat(batch)
             # A rare word's part of its symbol is added with its count.
             chance = tree.score(symbols, ends) - np.where(symbols == rare, tree.root[rare] if n else 0.0, 0.0)
