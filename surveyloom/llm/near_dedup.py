@@ -20,8 +20,12 @@ SHINGLE_WORDS = 5
 SIMILARITY = 75
 # 32 bands of 4: a pair at the limit of similarity shares no band once in 190,000 times.
 SIGNATURE, BAND_ROWS = 128, 4
-# Members of a bucket compared with the whole bucket in one round.
-PIVOTS = 64
+# Members of a bucket that one round compares with the whole bucket.
+PIVOTS = 1024
+# From so many members on, a bucket of several components is thinned out before pairs are formed.
+CROWD = 32
+# Bits of the filter that keeps texts without candidates from being shuffled; 2 MB at most.
+FILTER_BITS = 1 << 24
 
 
 def _sketch(docs: DataFrame, id_column: str, text_column: str, shingle_words: int) -> DataFrame:
@@ -51,13 +55,27 @@ def _sketch(docs: DataFrame, id_column: str, text_column: str, shingle_words: in
                                  "bands array<long>")
 
 
+def _worth_reading(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose mark may be wanted, by a bitmap of fixed size; only those are shuffled afterwards."""
+    def place(mark: str):
+        return F.pmod(F.col(mark), F.lit(FILTER_BITS)) + 1
+
+    bitmaps = wanted.groupBy(F.bitmap_bucket_number(place("mark")).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place("mark"))).alias("bits"))
+    bit = F.bitmap_bit_position(place("mark"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1
+    joined = texts.withColumn("part", F.bitmap_bucket_number(place("mark"))).join(F.broadcast(bitmaps), "part")
+    return joined.where(on).drop("part", "bits")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, shingle_words: int) -> DataFrame:
-    """(cls, shingles) of the wanted classes, from the text of the row that stands for each."""
+    """(cls, pivots, shingles) of the wanted classes, from the text of the row that stands for each."""
     texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(whole_text(text_column)).alias("mark"),
                         whole_text(text_column).alias("text"))
     w = wanted.alias("w")
-    found = texts.alias("t").join(w, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.mark") == F.col("w.mark"))
-                                  ).select("cls", "text")
+    found = _worth_reading(texts, wanted).alias("t").join(
+        w, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.mark") == F.col("w.mark"))).select("cls", "pivots", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -65,21 +83,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str,
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["cls", "shingles"])
+                [batch.column("cls"), batch.column("pivots"),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["cls", "pivots", "shingles"])
 
-    # A row that occurs twice would give its set twice.
-    return found.mapInArrow(work, "cls long, shingles array<long>").dropDuplicates(["cls"])
+    return found.mapInArrow(work, "cls long, pivots array<long>, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    counted = pairs.join(a, "a").join(b, "b").select(
-        "a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b") - shared).alias("union"))
-    return counted.where(100 * F.col("shared") >= similarity * F.col("union")).select("a", "b")
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, shingles of b) whose full sets are similar enough."""
+    first = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("others"))
+    both = F.size(F.array_intersect("shingles", "others"))
+    counted = pairs.join(first, "a").select(
+        "a", "b", both.alias("both"), (F.size("shingles") + F.size("others") - both).alias("union"))
+    return counted.where(100 * F.col("both") >= similarity * F.col("union")).select("a", "b")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -106,27 +122,59 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = settle(labels.join(hooks, "root", "left").select("cls", F.coalesce("up", "root").alias("root")))
 
 
-def _next_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare in buckets that hold several components, and the members then left.
+def _several_roots(members: DataFrame) -> DataFrame:
+    """(bucket, members, largest) of the buckets that hold several components; largest: the root with most members."""
+    sizes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    return settle(sizes.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members"),
+        F.max(F.struct("n", "root")).getField("root").alias("largest")).where("roots > 1").drop("roots"))
 
-    The largest component of a bucket waits; of the others, the first members of
-    the smallest ones are compared with everything outside their own component.
-    Such a pivot has then met its whole bucket and leaves it.  A round emits at
-    most ``PIVOTS`` pairs per member.
+
+def _open_shingles(classes: DataFrame, similarity: int) -> DataFrame:
+    """(cls, open) of the classes that can still be linked with another component of ``classes``.
+
+    Only shingles that occur in several components can be shared across
+    components.  A class of n shingles, ``open`` of them such, shares at most
+    ``open`` of a union of at least n with any class of another component.
     """
-    sizes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first"))
-    per_bucket = settle(sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"),
-                                                    F.max(F.struct("n", "root")).alias("largest")).where("roots > 1"))
-    mixed_buckets = sizes.join(per_bucket, "bucket")
-    waiting = mixed_buckets.where(F.col("root") != F.col("largest.root"))
-    order = Window.partitionBy("bucket").orderBy("n", "first")
-    pivots = settle(waiting.withColumn("at", F.row_number().over(order)).where(F.col("at") <= PIVOTS)
-                    .select("bucket", F.col("first").alias("pivot"), F.col("root").alias("pivot_root")))
-    live = members.join(per_bucket.select("bucket"), "bucket", "left_semi")
-    pairs = live.join(pivots, "bucket").where(F.col("root") != F.col("pivot_root")).select(
-        F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    met = pivots.select("bucket", F.col("pivot").alias("cls"))
-    return pairs, live.join(met, ["bucket", "cls"], "left_anti").select("bucket", "cls")
+    left = classes
+    for _ in range(2):
+        each = left.select("cls", "root", F.explode("shingles").alias("shingle"))
+        shared = settle(each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                        .where("low < high").select("shingle"))
+        counted = each.join(shared, "shingle").groupBy("cls").agg(F.count(F.lit(1)).alias("open"))
+        left = settle(left.drop("open").join(counted, "cls")
+                      .where(100 * F.col("open") >= similarity * F.size("shingles")))
+    return left.select("cls", "open")
+
+
+def _pairs_across(members: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs to compare in buckets of several components, and the members left for another round, if any.
+
+    The largest component of a bucket waits; the members of the others are
+    pivots, compared with everything outside their own component, so they have
+    then met the whole bucket.  A pair is formed only in the first bucket that it
+    shares, and only if the sizes and open shingles allow for a link.
+    """
+    mixed_buckets = _several_roots(members)
+    placed = settle(members.join(mixed_buckets, "bucket"))
+    waiting = placed.where("root <> largest")
+    # The smallest members first: so a later one has not met an earlier one yet.
+    order = Window.partitionBy("bucket").orderBy("cls")
+    first = waiting.withColumn("at", F.row_number().over(order))
+    pivots = first.where(F.col("at") <= PIVOTS)
+    p, m = pivots.alias("p"), placed.alias("m")
+    most = F.least(F.col("m.open"), F.col("p.open"))
+    possible = 100 * most >= similarity * (F.col("m.n") + F.col("p.n") - most)
+    once = F.array_min(F.array_intersect(F.col("m.bands"), F.col("p.bands"))) == F.col("m.bucket")
+    order_ = (F.col("m.root") == F.col("m.largest")) | (F.col("m.cls") > F.col("p.cls"))
+    pairs = m.join(p, (F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.root") != F.col("p.root"))
+                   & order_ & possible & once).select(F.col("m.cls").alias("a"), F.col("p.cls").alias("b"))
+    crowded = mixed_buckets.where(F.col("members") > PIVOTS)
+    if crowded.isEmpty():
+        return pairs, None
+    met = pivots.select("bucket", "cls")
+    return pairs, placed.drop("members", "largest").join(met, ["bucket", "cls"], "left_anti")
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -137,11 +185,12 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     from there on.  Classes that share a band of their signatures are candidates;
     a candidate pair is linked if the full sets have ``similarity`` hundredths of
     their union in common.  Every class is first compared with the smallest class
-    it shares a band with; after that only buckets that still hold several
-    components are gone through, a few pivots at a time, until every pair of
-    candidates is linked, compared or within one component.  So the links of a
-    group of thousands cost about as many comparisons as it has members, and none
-    between components is lost.
+    of each of its buckets, which joins most groups with about as many comparisons
+    as they have members.  Buckets that still hold several components are then
+    gone through: in crowded ones classes that cannot reach another component,
+    going by the shingles that several components have, are left out, and all
+    other pairs of candidates across components are compared.  So no link between
+    components is lost, and pairs within a component are not formed.
 
     ``component_id`` is the smallest id of the component; of its rows one stays,
     that of the smallest id, null ids last.  Texts without words, and null ones,
@@ -156,21 +205,36 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     shared = settle(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("pivot"))
                     .where("n > 1").select("bucket", "pivot"))
     buckets = settle(banded.join(shared, "bucket"))
-    candidates = settle(buckets.groupBy("cls").agg(F.min("pivot").alias("pivot")))
-    wanted = candidates.join(classes, "cls").select("cls", F.col("own.id").alias("id"), F.col("own.mark").alias("mark"))
+    candidates = settle(buckets.groupBy("cls").agg(F.collect_set("pivot").alias("pivots")))
+    wanted = settle(candidates.join(classes, "cls").select(
+        "cls", F.col("own.id").alias("id"), F.col("own.mark").alias("mark"), F.array_remove("pivots", F.col("cls")).alias("pivots")))
     sets = settle(_sets(docs, wanted, id_column, text_column, shingle_words))
 
-    first = candidates.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    # At most one pivot per band, each compared once.
+    stars = sets.select(F.explode("pivots").alias("a"), F.col("cls").alias("b"), "shingles")
+    sets = sets.drop("pivots")
+    pivots = sets.join(buckets.select(F.col("pivot").alias("cls")).distinct(), "cls", "left_semi")
     labels = candidates.select("cls", F.col("cls").alias("root"))
-    labels = _joined(labels, settle(_verified(first, sets, similarity)))
-    members = buckets.select("bucket", "cls")
-    while True:
-        pairs, members = _next_pairs(settle(members.join(labels, "cls")))
-        pairs = settle(pairs)
-        if pairs.isEmpty():
-            break
-        members = settle(members)
-        labels = _joined(labels, settle(_verified(pairs, sets, similarity)))
+    labels = _joined(labels, settle(_linked(stars, pivots, similarity)))
+
+    members = settle(buckets.select("bucket", "cls").join(labels, "cls"))
+    mixed_buckets = _several_roots(members)
+    if not mixed_buckets.isEmpty():
+        live = members.join(mixed_buckets, "bucket")
+        crowd = live.where(F.col("members") >= CROWD).select("cls", "root").distinct()
+        crowd_sets = settle(sets.join(crowd, "cls").dropDuplicates(["cls"]))
+        reach = settle(_open_shingles(crowd_sets, similarity))
+        facts = classes.select("cls", F.col("n_shingles").alias("n"), F.col("own.bands").alias("bands"))
+        thinned = live.join(reach, "cls", "left").where((F.col("members") < CROWD) | F.col("open").isNotNull())
+        left = settle(thinned.join(facts, "cls").select(
+            "bucket", "cls", "root", "n", "bands",
+            F.when(F.col("members") < CROWD, F.col("n")).otherwise(F.col("open")).alias("open")))
+        while left is not None:
+            pairs, left = _pairs_across(left, similarity)
+            chosen = sets.select(F.col("cls").alias("b"), "shingles")
+            labels = _joined(labels, settle(_linked(settle(pairs).join(chosen, "b"), sets, similarity)))
+            if left is not None:
+                left = settle(left.drop("root").join(labels, "cls"))
 
     rooted = classes.select(*key, "cls", "least").join(labels, "cls", "left").withColumn(
         "root", F.coalesce("root", "cls"))

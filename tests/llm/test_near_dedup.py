@@ -62,9 +62,10 @@ def families(seed):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+@pytest.mark.parametrize(("seed", "pivots", "crowd"), [(1, 3, 2), (2, 1024, 4), (3, 1024, 32)])
+def test_components_equal_brute_force(spark, seed, pivots, crowd, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     docs = families(seed)
     found = near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.id: (r.n_shingles, r.component_id) for r in found} == near_components(docs)
