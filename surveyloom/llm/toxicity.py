@@ -146,7 +146,8 @@ def _evidence(codes: np.ndarray, ends: np.ndarray, runs: Runs, words: int, toxic
     """How many toxic texts and how many texts hold each word, and each bucket of character runs."""
     word, word_bad = np.zeros(words), np.zeros(words)
     gram, gram_bad = np.zeros(GRAM_BUCKETS), np.zeros(GRAM_BUCKETS)
-    for label, start, end in zip(toxic, np.concatenate([[0], ends[:-1]]), ends, strict=True):
+    starts = np.concatenate([[0], ends])[:len(ends)]
+    for label, start, end in zip(toxic, starts, ends, strict=True):
         mine = np.unique(codes[start:end])
         buckets = np.unique(runs.of(mine)[0])
         word[mine] += 1
