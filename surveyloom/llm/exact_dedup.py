@@ -90,8 +90,9 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     where adaptive execution splits a hot name.
     """
     named = settle(name_documents(docs, id_column, text_column, block_bytes))
-    groups = named.groupBy("blocks", "name").agg(
-        F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that both sides of the join are plain shuffles, which can be split.
+    groups = settle(named.groupBy("blocks", "name").agg(
+        F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")))
     return named.join(groups, ["blocks", "name"]).select(
         "id", F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
