@@ -1,188 +1,267 @@
-"""Language-model scores of texts from a probabilistic suffix tree learned on the corpus."""
+"""Language-model scores of texts from a probabilistic suffix tree learned on the corpus, held as tables."""
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm.arrowtext import chunks, coded, words_of
 from surveyloom.llm.common import whole_text
-from surveyloom.llm.suffix_tree import SuffixTree
+from surveyloom.llm.suffix_tree import DISCOUNT
 from surveyloom.sources.scratch import settle
 
 # The end of a text as a word; no word holds white space.
 END = "\n"
-# Least share of all tokens of a word that is a symbol of its own, of a context, and
-# of a context with its successor.  So there are at most 1 / share of each, on a
-# corpus of any size: the model that tasks hold is bounded, the counts are not.
-SYMBOL_SHARE, CONTEXT_SHARE, STORED_SHARE = 2e-6, 1e-4, 2e-6
+# A context is tested if it was seen so often, and a successor stored in it if it was
+# seen so often after it.  Both are counts, so the model grows with the corpus.
+CONTEXT_SEEN, STORED_SEEN = 10, 2
 DEPTH = 3
-# Symbols counted or scored at once in a task.
-AT_ONCE = 400_000
+# Least share of all tokens of a string that tasks look up by themselves; all others are
+# joined.  At most 1 / share strings of each length have it, and no key of the join does.
+HOT_SHARE = 2e-6
+# Bits of the maps that keep strings out of a shuffle which cannot count there.  Where two
+# strings share a bit, one too many is shuffled, and the exact tables leave it out.
+MAP_BITS = 1 << 26
+# Places by which the hash of a word is turned for each word after it.
+_TURN = 13
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """Counts of all training words, and the frequent ones as symbols."""
+def _written(df: DataFrame) -> DataFrame:
+    """The table settled; the shuffle files behind it go with the driver's garbage."""
+    table = settle(df)
+    _collect(table)
+    return table
 
-    words: DataFrame       # word, n
-    tokens: int
-    distinct: int
-    symbols: list[str]     # the end first, then frequent words
-    counts: list[int]
 
+def _collect(table: DataFrame) -> None:
+    gc.collect()
+    table.sparkSession.sparkContext._jvm.System.gc()
 
-def count_words(training: DataFrame, text_column: str = "text", symbol_share: float = SYMBOL_SHARE) -> Vocabulary:
-    """Count the words and ends of all training texts."""
-    rows = training.select(whole_text(text_column).alias("text"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            codes, distinct = coded(words_of(batch.column("text"))[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([distinct, pa.array([END])]),
-                 pa.array(np.append(np.bincount(codes, minlength=len(distinct)), batch.num_rows).astype(np.int64))],
-                names=["word", "n"])
+def _removed(table: DataFrame) -> None:
+    """Remove a settled table that no table still to be read is made from."""
+    spark = table.sparkSession
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    words = settle(rows.mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
-    frequent = words.where((F.col("n") >= max(2.0, symbol_share * total["tokens"])) & (F.col("word") != END))
-    frequent = sorted(frequent.collect(), key=lambda r: (-r["n"], r["word"]))
-    ends = words.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Vocabulary(words, total["tokens"], total["distinct"], [END, *(r["word"] for r in frequent)],
-                      [ends, *(r["n"] for r in frequent)])
 
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, each text between two ends; places in the text; text numbers.
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, held_out: Column, id_column: str, text_column: str) -> DataFrame:
-    """row, id, held_out, symbols, rare words of each text; a rare word's symbol is the last."""
-    rare = len(vocabulary.symbols)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.symbols)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"),
-                       held_out.alias("held_out"), whole_text(text_column).alias("text"))
-
+    The end before a text has place 0.
+    """
+    words, ends = words_of(texts)
+    codes, distinct = coded(words)
+    own = hash_array(np.array([END, *distinct.to_pylist()], dtype=object), categorize=False)
+    sizes = np.diff(np.concatenate([[0], ends]))
+    text = np.repeat(np.arange(len(ends)), sizes + 2)
+    first = np.concatenate([[0], np.cumsum(sizes + 2)])[:-1]
+    place = np.arange(len(text)) - np.repeat(first, sizes + 2)
+    hashes = np.full(len(text), own[0])
+    inside = np.ones(len(text), bool)
+    inside[first] = inside[first + sizes + 1] = False
+    hashes[inside] = own[codes + 1]
+    return hashes, place, text
+
+
+def _strings(hashes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """Keys of the strings of 1, 2, ... words that end at each place; at places before their length they say nothing."""
+    key = hashes
+    yield key
+    for n in range(1, longest):
+        key = key.copy()
+        key[n:] ^= _turned(hashes[:len(hashes) - n], n)
+        yield key
+
+
+def _turned(hashes: np.ndarray, times: int) -> np.ndarray:
+    return (hashes << np.uint64(_TURN * times)) | (hashes >> np.uint64(64 - _TURN * times))
+
+
+def _bit_map(keys: DataFrame) -> np.ndarray:
+    """A map of the keys' low bits; its size is bounded whatever the number of keys."""
+    slot = F.col("key").bitwiseAND(MAP_BITS - 1)
+    words = keys.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast((key & {MAP_BITS - 1}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS >> 6, np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _mapped(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64(MAP_BITS - 1)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def count_words(training: DataFrame) -> DataFrame:
+    """key and n of all words and ends of the training texts."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {word: i for i, word in enumerate(shared.value)}
         for batch in chunks(batches):
-            words, ends = words_of(batch.column("text"))
-            codes, distinct = coded(words)
-            known = np.array([number.get(w, rare) for w in distinct.to_pylist()], dtype=np.int32)
-            symbols = known[codes] if len(codes) else np.zeros(0, np.int32)
-            unknown = symbols == rare
-            rare_ends = np.concatenate([[0], np.cumsum(unknown)])[ends]
-            full = np.insert(symbols, ends, 0)
-            full_ends = ends + np.arange(1, len(ends) + 1)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("row", "id", "held_out")), _lists(full_ends, pa.array(full)),
-                 _lists(rare_ends, words.filter(pa.array(unknown)))],
-                names=["row", "id", "held_out", "symbols", "rare"])
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    return rows.mapInArrow(work, f"row long, id {kind}, held_out boolean, symbols array<int>, rare array<string>")
-
-
-def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-
+            hashes, place, _ = _hashed(batch.column("text"))
+            keys, times = np.unique(hashes[place > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], names=["key", "n"])
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of some ``AT_ONCE`` symbols each, or of one longer text."""
-    for batch in batches:
-        if batch.num_rows:
-            ends = batch.column("symbols").offsets.to_numpy()[1:].astype(np.int64)
-            edges = np.flatnonzero(np.diff(ends // AT_ONCE)) + 1
-            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
-                yield batch.slice(start, end - start)
+    return settle(training.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    lists = batch.column("symbols")
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets[1:] - offsets[0]
+def _successors(training: DataFrame, shorter: DataFrame, level: int, context_seen: int) -> DataFrame:
+    """key, context, shorter, n of the strings of ``level`` words and a successor.
 
-
-def learn(encoded: DataFrame, vocabulary: Vocabulary, depth: int = DEPTH, context_share: float = CONTEXT_SHARE,
-          stored_share: float = STORED_SHARE) -> SuffixTree:
-    """Grow the tree level by level; every level counts over all training texts."""
-    n, v = vocabulary.tokens, vocabulary.distinct
-    chances = (np.array(vocabulary.counts, dtype=np.float64) + 1) / (n + v + 1)
-    counts = np.append(vocabulary.counts, n - sum(vocabulary.counts))
-    tree = SuffixTree(np.append(chances, 1 - chances.sum()), end=0)
-    tree.first_contexts(counts, context_share * n)
-    training = encoded.where(~F.col("held_out")).select("symbols")
+    ``shorter`` holds the strings of one word less.  A string can only count if
+    its first words are a context and its last words are stored.
+    """
     context = training.sparkSession.sparkContext
-    for level in range(1, depth + 1):
-        if not len(tree.levels[-1].keys):
-            break
-        shared = context.broadcast(tree)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared, level=level) -> Iterator[pa.RecordBatch]:
-            for batch in _slices(batches):
-                keys, times = shared.value.count(*_flat(batch), level)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["key", "n"])
+    shared = context.broadcast((_bit_map(shorter.where(F.col("n") >= context_seen)), _bit_map(shorter.where(F.col("n") >= STORED_SEEN))))
 
-        found = training.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        stored = found.where(F.col("n") >= max(2.0, stored_share * n)).toArrow()
-        keys, times = (stored.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
-        order = np.argsort(keys)
-        tree.grow(keys[order], times[order], context_share * n, n)
-        shared.unpersist()
-    return tree
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            hashes, place, _ = _hashed(batch.column("text"))
+            *_, below, whole = _strings(hashes, level + 1)
+            contexts, stored = shared.value
+            at = np.flatnonzero(place >= level)
+            at = at[_mapped(stored, below[at])]
+            at = at[_mapped(contexts, below[at - 1])]
+            keys, some, times = np.unique(whole[at], return_index=True, return_counts=True)
+            at = at[some]
+            columns = [keys, below[at - 1], below[at]][level == 1:]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(times)], names=[*names, "n"])
+
+    # The key of two words follows from those of each.
+    names = ["key", "context", "shorter"][level == 1:]
+    found = training.mapInArrow(work, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(
+        F.sum("n").alias("n")).where(F.col("n") >= STORED_SEEN)
+    turned = F.shiftleft("context", _TURN).bitwiseOR(F.shiftrightunsigned("context", 64 - _TURN))
+    key = F.col("key") if level > 1 else F.col("shorter").bitwiseXOR(turned)
+    return _written(found.select(key.alias("key"), "context", "shorter", "n"))
+
+
+def _level(found: DataFrame, shorter: DataFrame, tokens: int, context_seen: int) -> tuple[DataFrame, DataFrame]:
+    """(strings, states) of one depth.
+
+    ``shorter`` and the strings have key, n and ``chance``: log10 of the chance of
+    the last word after the longest state among the words before it.  A context
+    becomes a state if its successors diverge from what the next shorter state
+    says by more than storing them costs: times seen times relative entropy
+    against half a logarithm of the corpus for each.  ``extra`` is what a
+    stored successor adds to its chance without it, and what a state adds to
+    every successor.
+    """
+    contexts = shorter.where(F.col("n") >= context_seen).select(F.col("key").alias("context"), F.col("n").alias("total"))
+    below = shorter.select(F.col("key").alias("shorter"), F.col("chance").alias("below"))
+    tested = _written(found.join(contexts, "context").join(below, "shorter").select("key", "context", "n", "total", "below"))
+    share, chance = F.col("n") / F.col("total"), F.pow(F.lit(10.0), "below")
+    _removed(found)
+    sums = tested.groupBy("context").agg(
+        F.first("total").alias("total"), F.count(F.lit(1)).alias("stored"), F.sum(F.col("n") * F.log(share / chance)).alias("gain"),
+        F.sum("n").alias("seen"), F.sum(chance).alias("mass"))
+    left = (F.col("total") - F.col("seen")) / F.col("total")
+    left_below = F.greatest(1 - F.col("mass"), F.lit(1e-12))
+    gain = F.col("gain") + F.when(left > 0, F.col("total") * left * F.log(left / left_below)).otherwise(0.0)
+    rest = (F.col("total") - F.col("seen") + DISCOUNT * F.col("stored")) / F.col("total")
+    states = _written(sums.where(gain > 0.5 * F.col("stored") * math.log(max(tokens, 2))).select(
+        "context", F.log10(rest / left_below).alias("weight"), F.col("total").alias("n")))
+    own = F.log10((F.col("n") - DISCOUNT) / F.col("total"))
+    strings = _written(tested.join(states.select("context", "weight"), "context", "left").select(
+        "key", "n", F.when(F.col("weight").isNotNull(), own).otherwise(F.col("below")).alias("chance"),
+        (own - F.col("below") - F.col("weight")).alias("extra")))
+    _removed(tested)
+    return strings, states.select(F.col("context").alias("key"), "n", F.col("weight").alias("extra"))
+
+
+def learn(training: DataFrame, words: DataFrame, tokens: int, distinct: int, depth: int = DEPTH,
+          context_seen: int = CONTEXT_SEEN) -> DataFrame:
+    """key, n, known, base, extra of every string that says something; every level counts over all training texts.
+
+    The log10 chance of a text is the sum of ``base`` and ``extra`` of all strings in
+    it, less a logarithm of all words for each word: a state's ``extra`` comes with
+    its words, as some successor always follows them.
+    """
+    shorter = words.withColumn("chance", F.log10(F.col("n") + 1) - math.log10(tokens + distinct + 1))
+    parts = []
+    for level in range(1, depth + 1):
+        strings, states = _level(_successors(training, shorter, level, context_seen), shorter, tokens, context_seen)
+        parts += [strings.where(F.col("extra").isNotNull()).select("key", "n", "extra"), states]
+        shorter = strings
+    single = words.select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("extra"))
+    longer = [p.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "extra") for p in parts]
+    model = _written(reduce(DataFrame.unionByName, longer, single).groupBy("key").agg(
+        F.max("n").alias("n"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("extra").alias("extra")))
+    for table in parts:
+        _removed(table)
+    return model
 
 
 def scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text",
-           depth: int = DEPTH) -> DataFrame:
+           depth: int = DEPTH, context_seen: int = CONTEXT_SEEN) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Words are counted over all texts that are not held out.  Frequent words are
-    symbols, all others share one; a suffix tree over symbols gives the chance of
-    each symbol after the longest state that ends before it, and a rare word has
-    its part of the shared symbol by its own count.  The counts of rare words
-    reach the texts by a join on the word; no such word is frequent, so no key is
-    hot.  ``base_score`` is the same with single words and add-one smoothing.
+    Words and strings of up to ``depth`` + 1 words are counted over all texts that
+    are not held out, and a suffix tree over them gives the chance of each word
+    after the longest state that ends before it.  The tree is a table by
+    string and is joined with the strings of the texts; frequent strings are
+    looked up in the tasks, so no key of that join is hot.  ``base_score`` is the
+    same with single words and add-one smoothing.
 
     Null and empty texts are an end alone.  Without training texts nothing is
     known and all chances are even, so both scores are 0 per token.  Repeated
     rows and ids give a row each; other columns are not read.
     """
-    vocabulary = count_words(docs.where(~held_out), text_column)
-    n, v = vocabulary.tokens, vocabulary.distinct
-    encoded = settle(encode(docs, vocabulary, held_out, id_column, text_column))
-    tree = learn(encoded, vocabulary, depth) if n else SuffixTree(np.ones(2), 0)
-    rare = len(vocabulary.symbols)
-    per_token = math.log10(n + v + 1)
-    logs = np.append(np.log10(np.array(vocabulary.counts, dtype=np.float64) + 1), 0)
-    known = np.append(np.array(vocabulary.counts) > 0, False)
-    shared = docs.sparkSession.sparkContext.broadcast((tree, logs, known))
+    training = docs.where(~held_out).select(whole_text(text_column).alias("text"))
+    words = count_words(training)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
+    n, v = total["tokens"], total["distinct"]
+    model = learn(training, words, n, v, depth if n else 0, context_seen)
+    hot = F.col("n") >= max(HOT_SHARE * n, 1)
+    table = model.where(hot).orderBy("key").toArrow()
+    hot_keys = table.column("key").to_numpy()
+    values = np.stack([table.column(c).to_numpy().astype(np.float64) for c in ("known", "base", "extra")])
+    rest = model.where(~hot)
+    shared = docs.sparkSession.sparkContext.broadcast((hot_keys, values, _bit_map(rest.where("known = 0"))))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"),
+                       held_out.alias("held_out"), whole_text(text_column).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, logs, known = shared.value
-        for batch in _slices(batches):
-            symbols, ends = _flat(batch)
-            # A rare word's part of its symbol is added with its count.
-            chance = tree.score(symbols, ends) - np.where(symbols == rare, tree.root[rare] if n else 0.0, 0.0)
-            starts = np.concatenate([[0], ends[:-1]])
-            sums = [np.add.reduceat(x, starts) for x in (
-                np.ones(len(symbols), np.int64), known[symbols].astype(np.int64), logs[symbols],
-                (symbols == rare).astype(np.int64), chance)]
+        hot_keys, values, others = shared.value
+        for batch in chunks(batches):
+            hashes, place, text = _hashed(batch.column("text"))
+            size = batch.num_rows
+            sums, open_keys, open_texts = np.zeros((3, size)), [], []
+            for length, keys in enumerate(_strings(hashes, depth + 1 if len(hot_keys) else 1), start=1):
+                mine = place >= max(length - 1, 1)
+                keys, owner = keys[mine].view(np.int64), text[mine]
+                at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
+                hit = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
+                for k in range(3):
+                    sums[k] += np.bincount(owner[hit], values[k][at[hit]], size)
+                missed = ~hit if length == 1 else ~hit & _mapped(others, keys.view(np.uint64))
+                open_keys.append(keys[missed])
+                open_texts.append(owner[missed])
+            open_texts = np.concatenate(open_texts)
+            order = np.argsort(open_texts, kind="stable")
+            ends = np.cumsum(np.bincount(open_texts, minlength=size))
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("row", "id", "held_out")), *map(pa.array, sums)],
-                names=["row", "id", "held_out", "n_tokens", "n_known", "logs", "n_rare", "chance"])
+                [*(batch.column(c) for c in ("row", "id", "held_out")), pa.array(np.bincount(text[place > 0], minlength=size)),
+                 pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]),
+                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(open_keys)[order]))],
+                names=["row", "id", "held_out", "n_tokens", "known", "base", "extra", "keys"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    scored = encoded.select("row", "id", "held_out", "symbols").mapInArrow(
-        work, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, logs double, n_rare long, chance double")
-    rare_words = encoded.select("row", F.explode("rare").alias("word"))
-    counted = rare_words.join(vocabulary.words, "word", "left").groupBy("row").agg(
-        F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_logs"))
-    full = scored.join(counted, "row", "left").fillna(0, ["rare_known", "rare_logs"])
-    base = F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * per_token
-    model = F.col("chance") + F.col("rare_logs") - F.col("n_rare") * per_token
-    return full.select("id", "held_out", "n_tokens", (F.col("n_known") + F.col("rare_known")).alias("n_known"),
+    scored = settle(rows.mapInArrow(work, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, "
+                                          "extra double, keys array<long>"))
+    joined = scored.select("row", F.explode("keys").alias("key")).join(rest, "key").groupBy("row").agg(
+        F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("extra").alias("more_extra"))
+    full = scored.drop("keys").join(joined, "row", "left").fillna(0, ["more_known", "more_base", "more_extra"])
+    base = F.col("base") + F.col("more_base") - F.col("n_tokens") * math.log10(n + v + 1)
+    return full.select("id", "held_out", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"),
                        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"),
-                       (model if n else base).alias("score"))
+                       (base + F.col("extra") + F.col("more_extra")).alias("score"))

@@ -91,3 +91,48 @@ def test_query_beats_single_words_on_held_out_texts(spark):
 
     rows = [r for r in ENTRIES["op4_language_model"].run(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.05 * sum(r.n_tokens for r in rows)
+
+
+def test_tables_score_as_the_tree_in_memory_and_grow_with_the_corpus(spark):
+    rng = random.Random(4)
+    names, docs = [f"w{i}" for i in range(400)], []
+    for i in range(700):
+        text = [rng.randrange(400)]
+        for _ in range(rng.randint(0, 60)):
+            text.append((7 * text[-1] + sum(text[-3:]) % 5) % 400 if rng.random() < 0.7 else rng.randrange(400))
+        docs.append((i, " ".join(names[x] for x in text)))
+    seen = sorted({w for i, t in docs if remainder(i, 7) != 2 for w in t.split()})
+    number = {"\n": 0, **{w: k for k, w in enumerate(seen, start=1)}}
+    coded = {i: [number.get(w, len(number)) for w in t.split()] for i, t in docs}
+    train = [t for i, t in coded.items() if remainder(i, 7) != 2]
+    flat = np.concatenate([[*t, 0] for t in train])
+    counts = np.bincount(flat, minlength=len(number) + 1)
+    tree = SuffixTree((counts + 1) / (counts + 1).sum(), end=0)
+    tree.first_contexts(counts, language_model.CONTEXT_SEEN)
+    for level in (1, 2, 3):
+        keys, times = tree.count(flat, np.cumsum([len(t) + 1 for t in train]), level)
+        tree.grow(keys[times >= 2], times[times >= 2], language_model.CONTEXT_SEEN, len(flat))
+    # Contexts under a ten-thousandth of the tokens, and some of two words, are among the states.
+    assert sum(level.kept.sum() for level in tree.levels[:3]) > 100 and tree.levels[1].kept.any()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for r in language_model.scores(frame, held_out()).collect():
+        text = np.array([*coded[r.id], 0])
+        assert r.score == pytest.approx(tree.score(text, np.array([len(text)])).sum(), abs=1e-8)
+
+
+def test_strings_that_no_task_looks_up_are_joined(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{(i + j * j) % 40}" for j in range(30))) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {r.id: r.score for r in language_model.scores(frame, held_out()).collect()}
+    monkeypatch.setattr(language_model, "HOT_SHARE", 0.02)
+    for r in language_model.scores(frame, held_out()).collect():
+        assert r.score == pytest.approx(whole[r.id], abs=1e-8)
+
+
+def test_contexts_under_a_ten_thousandth_of_the_tokens_count(spark):
+    # 12,000 words of equal counts; the second and third word of a text follow from the one before.
+    docs = spark.range(100_000).selectExpr(
+        "id as doc_id", "concat_ws(' ', concat('a', id % 4000), concat('b', id % 4000), concat('c', id % 4000)) as text")
+    rows = language_model.scores(docs, held_out()).where("held_out").agg(
+        F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.count("*").alias("n")).first()
+    assert rows.score > rows.base + 6 * rows.n
