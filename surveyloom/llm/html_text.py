@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,16 @@ _BLOCK = {
     "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_TABLE = {"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}
+# Elements whose end tag may be left out, the start tags that imply it, and the elements it is not sought beyond.
+_IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option", "optgroup"}, {"select"}), "optgroup": ({"optgroup"}, {"select"}),
+    "td": (_TABLE, {"table"}), "th": (_TABLE, {"table"}), "tr": (_TABLE - {"td", "th"}, {"table"}),
+    "p": (_BLOCK - {"option", "optgroup", "legend", "summary"}, {"button", "object", "table", "td", "th", "caption"}),
+    **{x: ({"thead", "tbody", "tfoot"}, {"table"}) for x in ("thead", "tbody", "tfoot")}}
+_ENDED_BY = {start: {x for x, (starts, _) in _IMPLIED.items() if start in starts}
+             for start in set().union(*(starts for starts, _ in _IMPLIED.values()))}
 _RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b|all rights reserved\b)", re.IGNORECASE)
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"""
@@ -72,10 +83,31 @@ def lines_of(page: str) -> list[Line]:
     """The blocks of a page as lines, without markup, scripts and styles."""
     lines: list[Line] = []
     parts: list[tuple[str, bool]] = []
-    around: list[str] = []       # open elements from the outermost one that stands around the article
+    opened: list[str] = []       # open elements
+    held: Counter[str] = Counter()
+    around = 0                   # how many are open with the outermost one that stands around the article, if one does
     article: list[int] = []      # numbers of the open article elements
     articles, links, heading, at, end = 0, 0, False, 0, len(page)
 
+    def close(length: int) -> None:
+        nonlocal around
+        held.subtract(opened[length:])
+        del opened[length:]
+        if around > length:
+            around = 0
+
+    def imply(name: str) -> None:
+        """End the elements whose end tag the start of ``name`` lets one leave out."""
+        ended = _ENDED_BY.get(name, ())
+        for x in ("p", "td", "th", "tr", "thead", "tbody", "tfoot", "li", "dt", "dd", "option", "optgroup"):
+            if x in ended and held[x]:
+                for i in range(len(opened) - 1, -1, -1):
+                    if opened[i] == x:
+                        close(i)
+                        break
+                    if opened[i] in _IMPLIED[x][1]:
+                        break
+
     def flush() -> None:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
@@ -114,25 +146,36 @@ def lines_of(page: str) -> list[Line]:
         elif name in _BLOCK:
             heading = False
         if closing:
-            if around and name in around:
-                while around.pop() != name:
-                    pass
             if name in _ARTICLE and article and not around:
                 article.pop()
+            # The end of an element ends all in it; that of a phrase does not end blocks, that of a list's item not the list's.
+            stop = _IMPLIED[name][1] if name in _IMPLIED else {"table"} if name not in ("body", "html", "table") else set()
+            for i in range(len(opened) - 1, -1, -1) if held[name] else ():
+                if opened[i] == name:
+                    was = around
+                    close(i)
+                    # An article that holds an unclosed element around it ends with it.
+                    if was and not around and name in _ARTICLE and article and i + 1 < was:
+                        article.pop()
+                    break
+                if opened[i] in stop or (name not in _BLOCK and name not in _OUT and opened[i] in _BLOCK):
+                    break
             continue
+        if name in _BLOCK:
+            imply(name)
         if name in _VOID or attributes.endswith("/"):
             continue
         if name in ("body", *_ARTICLE) and not _hinted(attributes):
             # These end whatever before them was left open, but not an element they lie in by a hint.
-            if name == "body" or all(x in ("head", "header", "nav") for x in around[:1]):
-                around.clear()
+            if name == "body" or (around and opened[around - 1] in ("head", "header", "nav")):
+                around = 0
+        opened.append(name)
+        held[name] += 1
         if around:
-            # Only elements of the name of an open one matter for finding its end.
-            if name in around or name in _AROUND or name == "div":
-                around.append(name)
-        elif name in _OUT or (name in _AROUND and not (name == "header" and article)) or (
+            continue
+        if name in _OUT or (name in _AROUND and not (name == "header" and article)) or (
                 name not in ("body", "html") and attributes and (_HIDDEN.search(attributes) or _hinted(attributes))):
-            around.append(name)
+            around = len(opened)
         elif name in _ARTICLE:
             articles += 1
             article.append(articles)
@@ -183,7 +226,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     """One row per page: id, url, text, n_chars.
 
     Null, empty and markup-only pages have empty text; unclosed and wrongly
-    nested elements are read as far as they go.  Rows are independent, so
+    nested elements are read as far as they go; an element ends with its parent.  Rows are independent, so
     repeated rows and ids give a row each.  Other columns are not read.
     """
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), whole_text(html_column).alias("text"))

@@ -51,3 +51,18 @@ def test_odd_rows_and_empty_table(spark):
     pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as id", "2 as text", "3 as n_chars")
     assert html_text.extract(pages).count() == len(rows)
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+BODY = "<article><p>Body one.</p><p>Body two.</p></article>"
+
+
+@pytest.mark.parametrize("before", [
+    "<ul><li class='share'>x<li>y</ul>", "<div><p class='ad'>x</div>", "<p id=notice>x<div>y</div>",
+    "<table><tr><td class='widget'>x<td>y</table>", "<dl><dt class=promo>x<dd>y</dl>", "<table><tr class=menu><td>x</table>",
+    "<div><span class='ad'>x</div>", "<ul><li class='share'>x<ul><li>z</ul></ul>"])
+def test_elements_around_end_without_their_end_tag(before):
+    assert html_text.main_text(before + BODY) == "Body one.\nBody two."
+
+
+def test_an_item_around_leaves_its_siblings():
+    assert html_text.main_text("<article><ul><li class='share'>x<li>y</ul><p>Body.</p></article>") == "y\nBody."
