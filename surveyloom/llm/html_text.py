@@ -49,7 +49,7 @@ _IMPLIED = {
     **{x: ({"thead", "tbody", "tfoot"}, {"table"}) for x in ("thead", "tbody", "tfoot")}}
 _ENDED_BY = {start: {x for x, (starts, _) in _IMPLIED.items() if start in starts}
              for start in set().union(*(starts for starts, _ in _IMPLIED.values()))}
-_RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b|all rights reserved\b)", re.IGNORECASE)
+_RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\s*(?:©|\(c\)|\d{4}|by\b)|all rights reserved\b)", re.IGNORECASE)
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"""
                      r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""",
@@ -69,6 +69,7 @@ class Line:
     weight: int
     inside: int
     top: bool
+    around: bool
 
 
 def _hinted(attributes: str) -> bool:
@@ -112,8 +113,9 @@ def lines_of(page: str) -> list[Line]:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             own = "".join(p for p, linked in parts if not linked)
-            weight = 0 if around or (not article and _RIGHTS.match(text)) else len(" ".join(html.unescape(own).split()))
-            lines.append(Line(text, weight, article[-1] if article else 0, heading))
+            out = bool(around or (not article and _RIGHTS.match(text)))
+            weight = 0 if out else len(" ".join(html.unescape(own).split()))
+            lines.append(Line(text, weight, article[0] if article else 0, heading, out))
         parts.clear()
 
     while at < end:
@@ -190,8 +192,9 @@ def main_text(page: str, window: int = WINDOW) -> str:
     the like weigh nothing.  The weights are summed over sliding windows of
     lines.  Text surges where a window gets weight after one without, and dives
     where the next one without begins; the heaviest stretch is kept, with others
-    that come near it.  If elements marked as the article hold most of the weight,
-    nothing outside them weighs, and every stretch in them is kept.
+    that come near it.  All lines between surge and dive are kept, also those that
+    are links only, but not what stands around.  If elements marked as the article
+    hold most of the weight, all lines in them are kept and none outside them.
     """
     lines = lines_of(page)
     total = sum(x.weight for x in lines)
@@ -203,7 +206,9 @@ def main_text(page: str, window: int = WINDOW) -> str:
             held[x.inside] = held.get(x.inside, 0) + x.weight
     marked = {k for k, v in held.items() if v}
     scoped = bool(marked) and 2 * sum(held.values()) >= total
-    weights = [x.weight if not scoped or x.inside in marked else 0 for x in lines]
+    if scoped:
+        return "\n".join(x.text for x in lines if x.inside in marked and not x.around)
+    weights = [x.weight for x in lines]
     sums = [sum(weights[max(i - window + 1, 0):i + 1]) for i in range(len(lines))]
     stretches, start = [], None
     for i, s in enumerate([*sums, 0]):
@@ -215,10 +220,11 @@ def main_text(page: str, window: int = WINDOW) -> str:
     mass = [sum(weights[a:b]) for a, b in stretches]
     kept = []
     for (a, b), m in zip(stretches, mass, strict=True):
-        if scoped or m >= SECOND_SHARE * max(mass):
+        if m >= SECOND_SHARE * max(mass):
             # Without an element that says so, what stands before the page's title is not part of the article.
-            titles = [] if scoped else [i for i in range(a, b) if lines[i].top]
-            kept += [lines[i].text for i in range(titles[0] if titles else a, b) if weights[i]]
+            titles = [i for i in range(a, b) if lines[i].top]
+            last = max(i for i in range(a, b) if weights[i])
+            kept += [lines[i].text for i in range(titles[0] if titles else a, last + 1) if not lines[i].around]
     return "\n".join(kept)
 
 

@@ -66,3 +66,16 @@ def test_elements_around_end_without_their_end_tag(before):
 
 def test_an_item_around_leaves_its_siblings():
     assert html_text.main_text("<article><ul><li class='share'>x<li>y</ul><p>Body.</p></article>") == "y\nBody."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><h2><a href=x>Linked title</a></h2><p>Body.</p><ul><li><a href=y>One</a></li><li>Two</li></ul>"
+     "<table><tr><td><a href=z>Cell</a></td></tr></table><p><a href=w>A last link</a></p><div class=ad>Buy</div></article>",
+     "Linked title\nBody.\nOne\nTwo\nCell\nA last link"),
+    ("<p>First of the body.</p><p><a href=x>Linked</a></p><p>Third of the body.</p><p><a href=y>Menu</a></p>",
+     "First of the body.\nLinked\nThird of the body."),
+    ("<p>Copyright law was reformed then.</p><p>More on that law.</p><p>Copyright 2020 me</p>",
+     "Copyright law was reformed then.\nMore on that law."),
+    ("<article><p>Body.</p><article><a href=x>Linked quote</a></article></article>", "Body.\nLinked quote")])
+def test_lines_that_are_links_stay_in_a_kept_stretch(page, text):
+    assert html_text.main_text(page) == text
