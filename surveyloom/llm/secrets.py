@@ -63,20 +63,21 @@ def _base_spans(text: Column) -> Column:
 
 
 def candidate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, base (spans of the base kinds) and runs (other long runs of identifier characters) of each row."""
+    """id, base (spans of the base kinds) and runs (long runs of identifier characters that no base span covers whole) of each row."""
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     run = f"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}"
     found = rows.select("id", _base_spans(F.col("text")).alias("base"),
                         _spans(F.col("text"), ADDED, len(BASE), run, 0, SHORTEST).alias("runs"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return found.select("id", "base", free.alias("runs"))
+    open_ = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
+    return found.select("id", "base", open_.alias("runs"))
 
 
 def labelled_samples(found: DataFrame) -> DataFrame:
-    """(value, secret): what the base patterns caught, and all other long runs."""
+    """(value, secret): what the base patterns caught, and the long runs that touch none of it."""
+    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     return found.select(F.explode(F.concat(
         F.transform("base", lambda b: F.struct(b["value"].alias("value"), F.lit(True).alias("secret"))),
-        F.transform("runs", lambda r: F.struct(r["value"].alias("value"), F.lit(False).alias("secret"))))).alias("s")
+        F.transform(free, lambda r: F.struct(r["value"].alias("value"), F.lit(False).alias("secret"))))).alias("s")
     ).select("s.value", "s.secret")
 
 
@@ -127,8 +128,9 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     runs of identifier characters are added as ``markov`` where a Markov model of
     random strings explains them better than one of ordinary identifiers, by more
     than the ``prior`` log-odds.  Both models learn from the whole table: the
-    values caught by the base patterns are samples of secrets, all other long
-    runs are samples of ordinary identifiers.
+    values caught by the base patterns are samples of secrets, the long runs that
+    touch none are samples of ordinary identifiers.  Runs that a base span covers
+    only in part are scored too; runs under ``SHORTEST`` characters are not.
 
     Null and empty texts have no spans; repeated rows and ids give a row each;
     an empty table gives an empty one.  Other columns are not read.
