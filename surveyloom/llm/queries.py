@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, exact_dedup, html_text, language_model, line_dedup, near_dedup, packing, quality, secrets, toxicity
+from surveyloom.llm import (decontaminate, exact_dedup, html_text, language_model, line_dedup, mixing, near_dedup, packing,
+                            quality, secrets, toxicity)
 from surveyloom.llm.common import remainder
 from surveyloom.sources.tables import read_table
 
@@ -194,3 +195,33 @@ def op8_site_lines(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages")
     found = line_dedup.without_boilerplate(pages, line_dedup.html_column("html"))
     return found.withColumnRenamed("id", "page_id")
+
+
+MIXING_SQL = f"""
+with rows as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::bigint as size,
+    cast(('0x' || substr(md5(concat(coalesce(cast(doc_id as varchar), ''), ':', coalesce(text, ''))), 1, 15)) as bigint) as h
+  from documents),
+sources as (select source, cast(sum(size) as bigint) as source_size from rows group by source),
+weighed as (select source, source_size,
+    [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3) + 1] as weight from sources),
+steps as (select 2 * source_size / weight as fullness, sum(2 * source_size) as bound, sum(weight) as weight from weighed group by all),
+run as (select sum(bound) over () / 2 * 150 as budget, sum(bound) over upto - bound as filled,
+    sum(weight) over () - sum(weight) over upto + weight as open_weight
+  from steps window upto as (order by fullness rows unbounded preceding)),
+level as (select max((budget - 100 * filled) / (100 * open_weight)) as level from run),
+targets as (select source, source_size, least(cast(2 * source_size as double), weight * level) as target from weighed, level),
+wanted as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as times,
+    target - case when source_size > 0 then floor(target / source_size) else 0 end * source_size as open from targets),
+placed as (select doc_id, size, source_size, target, times, open,
+    sum(size) over (partition by r.source order by h rows unbounded preceding) as run
+  from rows r join wanted w on r.source is not distinct from w.source)
+select doc_id, size, source_size, target, cast((times + case when run <= open or (run - size <= open
+    and 2 * (open - run + size) >= size) then 1 else 0 end) * size as bigint) as taken
+from placed
+"""
+
+
+@query(MIXING_SQL)
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
