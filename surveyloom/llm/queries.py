@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import (decontaminate, exact_dedup, html_text, language_model, line_dedup, mixing, near_dedup, packing,
-                            quality, secrets, toxicity)
+from surveyloom.llm import (conversations, decontaminate, exact_dedup, html_text, language_model, line_dedup, mixing, near_dedup,
+                            packing, quality, secrets, toxicity)
 from surveyloom.llm.common import remainder
 from surveyloom.sources.tables import read_table
 
@@ -225,3 +225,17 @@ from placed
 @query(MIXING_SQL)
 def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """The repair of damaged conversations; those of which the damage left no row have zeros."""
+    talks = read_table(spark, folder, "conversations")
+    repair = conversations.Repair(conversations.damaged(talks))
+    ids = talks.groupBy("conv_id").agg(F.lit(0).alias("none")).select("conv_id")
+    same = F.col("conv_id").eqNullSafe(F.col("conv"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    joined = ids.join(repair.summary(), same, "left").drop("conv").join(repair.digests(), same, "left")
+    return joined.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+                         F.coalesce("audit", F.lit("")).alias("audit"),
+                         F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))

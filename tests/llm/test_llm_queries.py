@@ -6,7 +6,9 @@ from compare import open_tables, spark_table, sql_table
 from surveyloom.llm.queries import ENTRIES
 
 FOLDER = "/root/testdata/sf0.001"
-PAGES = {"op10_html_text", "op8_site_lines"}
+# The table a query covers and its key, where that is not documents.
+TABLES = {"op10_html_text": ("pages", "page_id"), "op8_site_lines": ("pages", "page_id"),
+          "op12_conversation_repair": ("conversations", "conv_id")}
 
 
 @pytest.mark.parametrize("name", sorted(n for n, e in ENTRIES.items() if e.sql))
@@ -17,6 +19,6 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(ENTRIES))
 def test_query_covers_its_table(spark, name):
     found = ENTRIES[name].run(spark, FOLDER)
-    table, key = ("pages", "page_id") if name in PAGES else ("documents", "doc_id")
+    table, key = TABLES.get(name, ("documents", "doc_id"))
     wanted = {r[0] for r in spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).collect()}
     assert {r[0] for r in found.select(key).collect()} == wanted
