@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import (conversations, decontaminate, exact_dedup, html_text, language_model, line_dedup, mixing, near_dedup,
+from surveyloom.llm import (conversations, decontaminate, exact_dedup, hard_negatives, html_text, language_model, line_dedup, mixing, near_dedup,
                             packing, quality, secrets, toxicity)
 from surveyloom.llm.common import remainder
 from surveyloom.sources.tables import read_table
@@ -239,3 +239,30 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
                          F.coalesce("audit", F.lit("")).alias("audit"),
                          F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+NEGATIVES_SQL = """
+with ok as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from ok a join ok b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+good as (select * from scored where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+hard as (
+  select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as rank
+  from good p join scored n on n.anchor_id = p.anchor_id and not n.same
+    and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from hard where rank <= 5
+"""
+
+
+@query(NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hard_negatives.usable(read_table(spark, folder, "embeddings"), "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select("vec_id", label.alias("label"), hard_negatives.whole_numbers(F.col("embedding")).alias("embedding"))
+    return hard_negatives.mine(whole, F.col("vec_id") % 100 == 0)
