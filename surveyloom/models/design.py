@@ -35,8 +35,11 @@ class Term:
         column = F.col(self.name)
         if not self.is_factor:
             return {self.name: column.cast("double")}
-        return {f"{self.name}{level}": (column.cast("string") == level).cast("double")
-                for level in self.levels[1:]}
+        return {name: (column.cast("string") == level).cast("double")
+                for name, level in zip(self.contrast_names(), self.levels[1:])}
+
+    def contrast_names(self) -> list[str]:
+        return [f"{self.name}{level}" for level in self.levels[1:]] if self.is_factor else [self.name]
 
     def position(self) -> Column:
         """Level position from 0 for a factor, the value for a number."""
@@ -89,15 +92,6 @@ def by_class(patterns: DataFrame) -> DataFrame:
     return patterns.select(*rest, F.inline(classes)).where("weight > 0")
 
 
-# Tasks that share the passes of a learner, whatever the number of cores.
-LEARNING_TASKS = 32
-
-
-def dealt(rows: DataFrame) -> DataFrame:
-    """Deal rows over a fixed number of tasks by their values, so that a small table keeps more than one core busy."""
-    return rows.repartition(LEARNING_TASKS, *rows.columns)
-
-
 def uniform(*parts: Column | str) -> Column:
     """A number from 0 up to 1 from the MD5 of the parts joined by colons, the same in every engine."""
     key = F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
@@ -108,14 +102,3 @@ def bounded_rows(rows: DataFrame, id_column: str, most: int, seed: int) -> DataF
     """All rows, or about ``most`` of them chosen by a hash of the id where there are more."""
     count = rows.count()
     return rows if count <= most else rows.where(uniform(id_column, F.lit(seed), F.lit("fit")) < most / count)
-
-
-def check_values(rows: DataFrame, terms: Sequence[Term], most: int) -> None:
-    """Raise if a number has more than ``most`` distinct values: then not every split would be tried."""
-    numbers = [t.name for t in terms if not t.is_factor]
-    if not numbers:
-        return
-    found = rows.agg(*[F.count_distinct(n).alias(n) for n in numbers]).first()
-    many = [n for n in numbers if found[n] > most]
-    if many:
-        raise ValueError(f"{', '.join(many)}: more than {most} distinct values; bin them first")

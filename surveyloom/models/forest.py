@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surveyloom.models.design import Term, bounded_rows, check_values, complete_rows, uniform
-from surveyloom.models.trees import CLASSES, MAX_DEPTH, MOST_BINS
+from surveyloom.models.design import Term, bounded_rows, complete_rows, uniform
+from surveyloom.models.growing import MAX_DEPTH, Limits, Splits, grow_trees, placed
+from surveyloom.models.trees import CLASSES
 
-FOREST_ROWS = 20_000    # rows a forest is fitted on at most, about
+FOREST_ROWS = 200_000   # rows a forest is fitted on at most, about
 STABLE_TREES = 150      # the out-of-bag error no longer falls beyond this
 SHUFFLE_BLOCK = 100_000
 NEVER_DRAWN = math.exp(-1)
+EPSILON = 2.0 ** -52
 MOST_DRAWS = 12
 
 
@@ -50,142 +52,31 @@ def times_drawn(number: Column) -> Column:
     return times.otherwise(MOST_DRAWS).cast("double")
 
 
-# ---- trees as arrays
-
-@dataclass(frozen=True)
-class Splits:
-    """The nodes of one tree; a leaf has no term and its class as ``left``."""
-
-    term: np.ndarray
-    threshold: np.ndarray
-    goes_left: np.ndarray     # by node and level position
-    left: np.ndarray
-    right: np.ndarray
-
-    def classes(self, values: np.ndarray) -> np.ndarray:
-        """Predicted class of rows of level positions and numbers."""
-        at, open_ = np.zeros(len(values), np.int64), np.arange(len(values))
-        while len(open_):
-            open_ = open_[self.term[at[open_]] >= 0]
-            node = at[open_]
-            value = values[open_, self.term[node]]
-            by_level = np.isnan(self.threshold[node])
-            level = np.where(by_level, value, 0).astype(np.int64)
-            left = np.where(by_level, self.goes_left[node, level], value <= self.threshold[node])
-            at[open_] = np.where(left, self.left[node], self.right[node])
-        return self.left[at]
-
-
-def _cuts(code: np.ndarray, size: int, weight: np.ndarray, positive: np.ndarray, by_share: bool
-          ) -> tuple[float, np.ndarray]:
-    """The best split of coded values: the impurity it saves and which codes go left.
-
-    Numbers are cut in order of value, levels in order of their share of
-    positives, which is where the best of all groupings of levels lies.  Of equal
-    splits the first counts.
-    """
-    n, y = np.bincount(code, weight, size), np.bincount(code, positive, size)
-    there = np.flatnonzero(n)
-    if len(there) < 2:
-        return 0.0, there
-    if by_share:
-        there = there[np.argsort(y[there] / n[there], kind="stable")]
-    left, hits = np.cumsum(n[there])[:-1], np.cumsum(y[there])[:-1]
-    right, missed = n.sum() - left, y.sum() - hits
-    impurity = hits * (left - hits) / left + missed * (right - missed) / right
-    best = int(np.argmin(impurity))
-    return float(y.sum() * (n.sum() - y.sum()) / n.sum() - impurity[best]), there[:best + 1]
-
-
-def grow(values: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: Sequence[bool], levels: int, at_split: int,
-         max_depth: int, seed: int) -> Splits:
-    """Grow one tree until no split of a random sample of terms saves impurity."""
-    rng = np.random.default_rng(seed)
-    coded = [np.unique(values[:, j], return_inverse=True) for j in range(values.shape[1])]
-    out: dict[str, list] = {"term": [], "threshold": [], "goes_left": [], "left": [], "right": []}
-    open_nodes = [(np.arange(len(y)), 0, -1, "left")]
-    while open_nodes:
-        rows, depth, above, side = open_nodes.pop()
-        i = len(out["term"])
-        if above >= 0:
-            out[side][above] = i
-        w, hits = weight[rows], weight[rows] * y[rows]
-        best, term, codes = 1e-9, -1, None
-        if depth < max_depth and 0 < hits.sum() < w.sum():
-            for j in rng.choice(values.shape[1], at_split, replace=False):
-                distinct, code = coded[j]
-                gain, going = _cuts(code[rows], len(distinct), w, hits, factors[j])
-                if gain > best:
-                    best, term, codes = gain, int(j), going
-        inside, threshold = np.zeros(levels, bool), np.nan
-        if term < 0:
-            out["left"].append(int(2 * hits.sum() > w.sum()))
-        else:
-            distinct, code = coded[term]
-            left = np.isin(code[rows], codes)
-            if factors[term]:
-                inside[distinct[codes].astype(int)] = True
-            else:
-                above_cut = distinct[np.min(code[rows][~left])]
-                threshold = (distinct[codes.max()] + above_cut) / 2
-            out["left"].append(-1)
-            open_nodes += [(rows[~left], depth + 1, i, "right"), (rows[left], depth + 1, i, "left")]
-        out["term"].append(term)
-        out["threshold"].append(threshold)
-        out["goes_left"].append(inside)
-        out["right"].append(-1)
-    return Splits(*[np.array(out[k]) for k in ("term", "threshold", "goes_left", "left", "right")])
-
+# ---- growth
 
 @dataclass(frozen=True)
 class Forest:
     trees: tuple[Splits, ...]
     terms: tuple[Term, ...]
     seed: int
+    fit_rows: int
+
+    def rows(self, rows: DataFrame) -> DataFrame:
+        """The rows the forest was fitted on, of the table it was fitted on."""
+        return bounded_rows(rows, "row_id", self.fit_rows, self.seed)
 
 
 def fit_forest(rows: DataFrame, terms: Sequence[Term], trees: int = STABLE_TREES, max_depth: int = MAX_DEPTH,
                seed: int = 200, fit_rows: int = FOREST_ROWS) -> Forest:
     """Trees grown out on bootstraps, with a sample of floor(sqrt(terms)) terms at each split.
 
-    Spark draws the bootstraps, reduces each to weights per answer pattern and
-    gives every tree to a task, which never holds more than the patterns of about
-    ``fit_rows`` rows: above that many a hash of the row id picks them.  Every
-    split of a number is tried; one with over ``MOST_BINS`` values is refused.
+    Every row has a weight for each tree; the trees grow together.  Above about
+    ``fit_rows`` rows a hash of the row id picks those that are used.
     """
-    rows = bounded_rows(rows, "row_id", fit_rows, seed)
-    check_values(rows, terms, MOST_BINS - 1)
-    places = [f"p{i}" for i in range(len(terms))]
-    drawn = rows.select("y", *_placed(terms), F.posexplode(
-        F.transform(draws(trees, seed), times_drawn)).alias("tree", "times")).where("times > 0")
-    patterns = drawn.groupBy("tree", "y", *places).agg(F.sum("times").alias("weight"))
-    factors, levels = [t.is_factor for t in terms], max([len(t.levels) for t in terms] + [1])
-    at_split = max(1, math.isqrt(len(terms)))
-
-    def one_tree(mine: pd.DataFrame) -> pd.DataFrame:
-        tree = int(mine["tree"].iloc[0])
-        # The order of rows in a group is not fixed, and must not matter.
-        mine = mine.sort_values(["y", *places])
-        grown = grow(mine[places].to_numpy(np.float64), mine["y"].to_numpy(np.float64), mine["weight"].to_numpy(np.float64),
-                     factors, levels, at_split, max_depth, seed + tree)
-        return pd.DataFrame({"tree": [tree], "term": [grown.term], "threshold": [grown.threshold],
-                             "goes_left": [grown.goes_left.reshape(-1)], "left": [grown.left], "right": [grown.right]})
-
-    found = patterns.groupBy("tree").applyInPandas(
-        one_tree, "tree int, term array<int>, threshold array<double>, goes_left array<boolean>, left array<int>, "
-                  "right array<int>").collect()
-    grown = {r.tree: Splits(np.array(r.term), np.array(r.threshold, np.float64),
-                            np.array(r.goes_left).reshape(len(r.term), levels), np.array(r.left), np.array(r.right))
-             for r in found}
-    return Forest(tuple(grown[i] for i in sorted(grown)), tuple(terms), seed)
-
-
-def tree_sizes(forest: Forest, spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, len(t.term)) for i, t in enumerate(forest.trees)], "tree int, n_nodes int")
-
-
-def _placed(terms: Sequence[Term], prefix: str = "p") -> list[Column]:
-    return [t.position().alias(f"{prefix}{i}") for i, t in enumerate(terms)]
+    chosen = bounded_rows(rows, "row_id", fit_rows, seed)
+    limits = Limits(max_depth, at_split=max(1, math.isqrt(len(terms))), seed=seed)
+    grown = grow_trees(chosen, terms, F.transform(draws(trees, seed), times_drawn), trees, limits)
+    return Forest(tuple(grown), tuple(terms), seed, fit_rows)
 
 
 def predict_forest(rows: DataFrame, forest: Forest) -> DataFrame:
@@ -202,16 +93,18 @@ def predict_forest(rows: DataFrame, forest: Forest) -> DataFrame:
             yield pd.DataFrame({"row_id": batch["row_id"], "actual": np.array(CLASSES)[batch["y"].astype(int)],
                                 "predicted": label})
 
-    return rows.select("row_id", "y", *_placed(forest.terms)).mapInPandas(
+    return rows.select("row_id", "y", *placed(forest.terms)).mapInPandas(
         vote, f"row_id {kind}, actual string, predicted string")
 
 
 def oob_curve(rows: DataFrame, forest: Forest) -> DataFrame:
     """Out-of-bag confusion after 1, 2, ... trees: ``trees, actual, predicted, n``.
 
-    A row is voted on by the trees that have not drawn it; each task reduces its
-    rows to four counts per number of trees, all trees in one pass.
+    A row is voted on by the trees that have not drawn it; rows that were left out
+    of the fit have no say.  Each task reduces its rows to four counts per number
+    of trees, all trees in one pass.
     """
+    rows = forest.rows(rows)
     shared = rows.sparkSession.sparkContext.broadcast(forest)
     places, count = [f"p{i}" for i in range(len(forest.terms))], len(forest.trees)
 
@@ -221,7 +114,7 @@ def oob_curve(rows: DataFrame, forest: Forest) -> DataFrame:
             if not len(batch):
                 continue
             values, actual = batch[places].to_numpy(np.float64), batch["y"].to_numpy() == 1
-            unseen = np.array(batch["draws"].tolist()) < NEVER_DRAWN
+            unseen = np.stack(batch["draws"].to_numpy()) < NEVER_DRAWN
             yes, no = np.zeros(len(batch), int), np.zeros(len(batch), int)
             for i, tree in enumerate(shared.value.trees):
                 mine = np.flatnonzero(unseen[:, i])
@@ -236,8 +129,8 @@ def oob_curve(rows: DataFrame, forest: Forest) -> DataFrame:
         yield pd.DataFrame({"trees": tree.ravel() + 1, "a": a.ravel(), "p": p.ravel(), "n": cells.ravel()})
 
     classes = F.array(*map(F.lit, CLASSES))
-    placed = rows.select("y", draws(count, forest.seed).alias("draws"), *_placed(forest.terms))
-    return (placed.mapInPandas(partial, "trees int, a int, p int, n bigint")
+    drawn = rows.select("y", draws(count, forest.seed).alias("draws"), *placed(forest.terms))
+    return (drawn.mapInPandas(partial, "trees int, a int, p int, n bigint")
             .groupBy("trees", "a", "p").agg(F.sum("n").alias("n"))
             .select("trees", F.element_at(classes, F.col("a") + 1).alias("actual"),
                     F.element_at(classes, F.col("p") + 1).alias("predicted"), "n"))
@@ -279,43 +172,94 @@ def shuffled_neighbours(rows: DataFrame, columns: Sequence[str], seed: int,
     return dealt_out.withColumn("swap", neighbour).drop("_block", "_order", "_own")
 
 
-def permutation_importance(rows: DataFrame, forest: Forest, seed: int = 200,
-                           block_rows: int = SHUFFLE_BLOCK) -> DataFrame:
-    """Mean over the trees of the drop in out-of-bag accuracy when one term takes the values of other rows.
+def _drops(rows: DataFrame, forest: Forest, seed: int, block_rows: int) -> DataFrame:
+    """``tree, term, class, lost, asked``: right votes that each tree loses, of the rows of a class that it has not drawn.
 
-    Every tree is asked only about rows it has not drawn.  Each task reduces its
-    rows to hits per tree and term; a tree that has drawn every row has no say.
+    A row is walked down a tree once.  With the values of another row for one term
+    it can only end elsewhere if its way looked at that term, and then goes on from there.
     """
+    rows = forest.rows(rows)
     terms, count = forest.terms, len(forest.trees)
     swapped = shuffled_neighbours(rows, [t.name for t in terms], seed, block_rows)
-    own = swapped.select("y", "swap", draws(count, forest.seed).alias("draws"), *_placed(terms, "own"))
-    placed = own.select("y", "draws", *[f"own{i}" for i in range(len(terms))], "swap.*").select(
-        "y", "draws", *[f"own{i}" for i in range(len(terms))], *_placed(terms, "new"))
+    own = swapped.select("y", "swap", draws(count, forest.seed).alias("draws"), *placed(terms, "own"))
+    both = own.select("y", "draws", *[f"own{i}" for i in range(len(terms))], "swap.*").select(
+        "y", "draws", *[f"own{i}" for i in range(len(terms))], *placed(terms, "new"))
     shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked, lost = np.zeros(count, "int64"), np.zeros((count, len(terms)), "int64")
+        asked, lost = np.zeros((count, 2), "int64"), np.zeros((count, len(terms), 2), "int64")
         for batch in batches:
             if not len(batch):
                 continue
             y = batch["y"].to_numpy().astype(int)
             values = batch[[f"own{i}" for i in range(len(terms))]].to_numpy(np.float64)
             other = batch[[f"new{i}" for i in range(len(terms))]].to_numpy(np.float64)
-            unseen = np.array(batch["draws"].tolist()) < NEVER_DRAWN
+            unseen = np.stack(batch["draws"].to_numpy()) < NEVER_DRAWN
             for i, tree in enumerate(shared.value.trees):
                 mine = np.flatnonzero(unseen[:, i])
-                asked[i] += len(mine)
-                right = tree.classes(values[mine]) == y[mine]
-                for j in set(tree.term.tolist()) - {-1}:
-                    changed = values[mine].copy()
-                    changed[:, j] = other[mine, j]
-                    lost[i, j] += right.sum() - (tree.classes(changed) == y[mine]).sum()
-        tree, term = np.indices(lost.shape)
-        yield pd.DataFrame({"tree": tree.ravel(), "term": term.ravel(), "lost": lost.ravel(),
-                            "asked": np.repeat(asked, len(terms))})
-
-    names = F.array(*[F.lit(t.name) for t in terms])
-    per_tree = placed.mapInPandas(hits, "tree int, term int, lost bigint, asked bigint").groupBy("tree", "term").agg(
-        F.sum("lost").alias("lost"), F.sum("asked").alias("asked"))
-    return per_tree.groupBy("term").agg(F.avg(F.try_divide("lost", "asked")).alias("importance")).select(
-        F.element_at(names, F.col("term") + 1).alias("term"), "importance")
+                asked[i] += np.bincount(y[mine], minlength=2)
+                tested = np.full((len(mine), len(terms)), -1)
+                said = tree.labels[tree.leaves(values[mine], tested=tested)]
+                for j in np.flatnonzero((tested >= 0).any(axis=0)):
+                    moved = np.flatnonzero((tested[:, j] >= 0) & (values[mine, j] != other[mine, j]))
+                    changed = values[mine[moved]]
+                    changed[:, j] = other[mine[moved], j]
+                    now = tree.labels[tree.leaves(changed, tested[moved, j])]
+                    truth = y[mine[moved]]
+                    lost[i, j] += np.bincount(truth, (said[moved] == truth).astype(int) - (now == truth), 2).astype(int)
+        tree, term, label = np.indices(lost.shape)
+        yield pd.DataFrame({"tree": tree.ravel(), "term": term.ravel(), "class": label.ravel(), "lost": lost.ravel(),
+                            "asked": np.repeat(asked[:, None], len(terms), axis=1).ravel()})
+
+    return both.mapInPandas(hits, "tree int, term int, class int, lost bigint, asked bigint").groupBy(
+        "tree", "term", "class").agg(F.sum("lost").alias("lost"), F.sum("asked").alias("asked"))
+
+
+def permutation_importance(rows: DataFrame, forest: Forest, seed: int = 200,
+                           block_rows: int = SHUFFLE_BLOCK) -> DataFrame:
+    """Mean over the trees of the drop in out-of-bag accuracy when one term takes the values of other rows.
+
+    Every tree is asked only about rows it has not drawn.  Each task reduces its
+    rows to hits per tree and term; a tree that has drawn every row has no say.
+    """
+    table = importance_table(rows, forest, seed, block_rows)
+    return table.select("term", F.col("drop").alias("importance"))
+
+
+def importance_table(rows: DataFrame, forest: Forest, seed: int = 200, block_rows: int = SHUFFLE_BLOCK) -> DataFrame:
+    """Importance of every term by four measures, and the plain mean drop in accuracy.
+
+    ``accuracy`` is the mean drop in out-of-bag accuracy per tree divided by its
+    standard error over the trees; ``no`` and ``yes`` are the same among rows of one
+    class; where the drops do not vary the mean itself stands.  ``gini`` is the
+    impurity that the splits on the term save, added up over the nodes of a tree, mean over the trees.
+    """
+    trees = len(forest.trees)
+    saved = np.mean([gini_saved(tree, len(forest.terms)) for tree in forest.trees], axis=0)
+    drops = _drops(rows, forest, seed, block_rows)
+
+    def of(name: str, label: Column | None = None) -> list[Column]:
+        mine = F.lit(True) if label is None else label
+        return [F.try_divide(F.sum(F.when(mine, F.col("lost")).otherwise(0)), F.sum(F.when(mine, F.col("asked")).otherwise(0))).alias(name)]
+
+    per_tree = drops.groupBy("tree", "term").agg(*of("drop"), *of("no", F.col("class") == 0), *of("yes", F.col("class") == 1))
+
+    def scaled(name: str) -> Column:
+        mean = F.avg(name)
+        error = F.sqrt(F.greatest(F.avg(F.col(name) * F.col(name)) - mean * mean, F.lit(0.0)) / trees)
+        return F.when(error < EPSILON, mean).otherwise(mean / error)
+
+    names = F.array(*[F.lit(t.name) for t in forest.terms])
+    gini = F.array(*[F.lit(float(x)) for x in saved])
+    return per_tree.groupBy("term").agg(F.avg("drop").alias("drop"), scaled("no").alias("no"), scaled("yes").alias("yes"),
+                                        scaled("drop").alias("accuracy")).select(
+        F.element_at(names, F.col("term") + 1).alias("term"), "drop", "no", "yes", "accuracy",
+        F.element_at(gini, F.col("term") + 1).alias("gini"))
+
+
+def gini_saved(tree: Splits, terms: int) -> np.ndarray:
+    """Impurity that the splits of a tree save, by term."""
+    n = tree.counts.sum(axis=1)
+    impurity = 2 * tree.counts[:, 0] * tree.counts[:, 1] / np.maximum(n, 1e-300)
+    inner = np.flatnonzero(tree.term >= 0)
+    return np.bincount(tree.term[inner], impurity[inner] - impurity[tree.left[inner]] - impurity[tree.right[inner]], terms)

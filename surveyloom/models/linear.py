@@ -81,7 +81,7 @@ def vif_from(product: np.ndarray, groups: dict[str, list[int]]) -> list[tuple[st
 def column_groups(terms: Sequence[Term], kept: Sequence[str]) -> dict[str, list[int]]:
     """Positions of the kept design columns by term; terms without any are left out."""
     place = {name: i for i, name in enumerate(kept)}
-    groups = {term.name: [place[n] for n in term.contrasts() if n in place] for term in terms}
+    groups = {term.name: [place[n] for n in term.contrast_names() if n in place] for term in terms}
     return {name: inside for name, inside in groups.items() if inside}
 
 

@@ -3,24 +3,20 @@
 from __future__ import annotations
 
 import math
-import warnings
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.models.design import Term, design_columns
+from surveyloom.models.likelihood import Peak, climb_all, newton, profile_end, spread
 from surveyloom.models.linear import VIF_SCHEMA, column_groups, cross_products, independent_columns, vif_from
 
 INTERCEPT = "(Intercept)"
-FITS_AT_ONCE = 8
 
 
 @dataclass(frozen=True)
@@ -33,8 +29,8 @@ class Logit:
     aliased: tuple[str, ...]
     deviance: float
     null_deviance: float
-    within_patterns: float
     rows: float
+    covariance: np.ndarray = field(compare=False)
 
     @property
     def rank(self) -> int:
@@ -44,6 +40,9 @@ class Logit:
     def aic(self) -> float:
         return self.deviance + 2 * self.rank
 
+    def peak(self) -> Peak:
+        return Peak(np.array(list(self.estimates.values())), self.deviance, self.covariance)
+
     def probability(self) -> Column:
         """P(positive) as an expression; NULL where an answer is missing or not a declared level."""
         columns = design_columns(self.terms)
@@ -53,24 +52,6 @@ class Logit:
         return F.when(usable, 1 / (1 + F.exp(-linear)))
 
 
-def _solve(patterns: DataFrame, columns: dict[str, Column], offset: Column | None = None, intercept: bool = True,
-           max_iter: int = 25, tol: float = 1e-8) -> tuple[GeneralizedLinearRegressionModel, float]:
-    """The fitted model and its deviance over the patterns."""
-    features = array_to_vector(F.array(*columns.values()))
-    data = patterns.select((F.col("positive") / F.col("weight")).alias("y"), "weight", features.alias("features"),
-                           (F.lit(0.0) if offset is None else offset).alias("offset"))
-    learner = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", weightCol="weight",
-                                          offsetCol="offset", fitIntercept=intercept, maxIter=max_iter, tol=tol)
-    data = data.persist()  # every iteration reads it
-    try:
-        model = learner.fit(data)
-        if model.summary.numIterations >= max_iter:
-            warnings.warn(f"the fit did not converge in {max_iter} steps", RuntimeWarning, stacklevel=3)
-        return model, model.summary.deviance
-    finally:
-        data.unpersist()
-
-
 def _entropy(positive: Column, total: Column) -> Column:
     """-2 log likelihood of each pattern at its own share of positives."""
     def part(n: Column) -> Column:
@@ -82,53 +63,64 @@ def _entropy(positive: Column, total: Column) -> Column:
 class Measures:
     """What all fits to one table of patterns share."""
 
-    names: tuple[str, ...]
+    columns: dict[str, Column]
+    design: DataFrame
     products: np.ndarray     # X'WX of the intercept and the named columns
     rows: float
     positive: float
     null_deviance: float
-    within_patterns: float   # deviance of single rows that no model of the patterns can change
 
     def independent(self, terms: Sequence[Term]) -> list[str]:
         """Design columns of the terms that are not determined by earlier ones."""
-        mine = [name for term in terms for name in term.contrasts()]
-        place = [0, *[self.names.index(name) + 1 for name in mine]]
+        mine = [name for term in terms for name in term.contrast_names()]
+        place = self.places([INTERCEPT, *mine])
         return [mine[i] for i in independent_columns(self.products[np.ix_(place, place)])]
 
+    def places(self, names: Sequence[str]) -> np.ndarray:
+        order = {name: i for i, name in enumerate([INTERCEPT, *self.columns])}
+        return np.array([order[name] for name in names], dtype=int)
+
 
 def measure(patterns: DataFrame, terms: Sequence[Term]) -> Measures:
     columns = design_columns(terms)
     products = cross_products(patterns, list(columns.values()), F.col("weight"))
     n, p = F.sum("weight"), F.sum("positive")
-    row = patterns.agg(n.alias("n"), p.alias("p"), _entropy(p, n).alias("null_deviance"),
-                       F.sum(_entropy(F.col("positive"), F.col("weight"))).alias("within")).first()
-    return Measures(tuple(columns), products, row.n, row.p, row.null_deviance, row.within)
+    row = patterns.agg(n.alias("n"), p.alias("p"), _entropy(p, n).alias("null_deviance")).first()
+    return Measures(columns, spread(patterns, list(columns.values())), products, row.n, row.p, row.null_deviance)
+
+
+def fit_logits(choices: Sequence[Sequence[Term]], measures: Measures, above: Logit | None = None) -> list[Logit]:
+    """Fits of several sets of terms to the patterns that were measured, climbed side by side.
+
+    The sets hold any of the measured terms.  ``above``, a fit
+    that has all the columns, gives each climb its start: the best point of its
+    quadratic shape at which the columns that are left out have no effect.
+    """
+    names = [[INTERCEPT, *measures.independent(terms)] for terms in choices]
+    climbs = []
+    for mine in names:
+        start = np.zeros(len(mine))
+        start[0] = math.log(measures.positive / (measures.rows - measures.positive))
+        if above is not None and set(mine) <= set(above.estimates):
+            order = list(above.estimates)
+            stay, gone = [order.index(n) for n in mine], [i for i, n in enumerate(order) if n not in mine]
+            beta, spread = above.peak().beta, above.covariance
+            start = beta[stay] - (spread[np.ix_(stay, gone)] @ np.linalg.solve(spread[np.ix_(gone, gone)], beta[gone]) if gone else 0.0)
+        climbs.append(newton(measures.places(mine), start))
+    peaks = climb_all(measures.design, climbs)
+    return [Logit(tuple(terms), dict(zip(mine, peak.beta.tolist())), dict(zip(mine, np.sqrt(np.diag(peak.covariance)).tolist())),
+                  tuple(n for term in terms for n in term.contrast_names() if n not in mine), peak.deviance,
+                  measures.null_deviance, measures.rows, peak.covariance)
+            for terms, mine, peak in zip(choices, names, peaks)]
 
 
 def fit_logit(patterns: DataFrame, terms: Sequence[Term], measures: Measures | None = None) -> Logit:
     """Fit the share of positives on ``patterns`` (see ``answer_patterns``).
 
     Design columns that earlier ones determine are dropped before the fit and
-    reported as aliased.  ``measures`` of the same patterns serve fits to any
-    subset of the terms.  Deviances are those of single rows.
+    reported as aliased.  Deviances are those of single rows.
     """
-    m = measures or measure(patterns, terms)
-    kept = m.independent(terms)
-    columns = design_columns(terms)
-    aliased = tuple(name for name in columns if name not in kept)
-    names = [INTERCEPT, *kept]
-    if kept:
-        model, deviance = _solve(patterns, {name: columns[name] for name in kept})
-        errors = model.summary.coefficientStandardErrors  # intercept last
-        values = [model.intercept, *model.coefficients.toArray().tolist()]
-        errors = [errors[-1], *errors[:-1]]
-        deviance += m.within_patterns
-    else:
-        values = [math.log(m.positive / (m.rows - m.positive))]
-        errors = [math.sqrt(1 / m.positive + 1 / (m.rows - m.positive))]
-        deviance = m.null_deviance
-    return Logit(tuple(terms), dict(zip(names, values)), dict(zip(names, errors)), aliased, deviance,
-                 m.null_deviance, m.within_patterns, m.rows)
+    return fit_logits([terms], measures or measure(patterns, terms))[0]
 
 
 # ---- tables about one fit
@@ -165,18 +157,23 @@ def odds_ratio_limits(spark: SparkSession, fit: Logit, patterns: DataFrame | Non
     """Confidence limits of the odds ratios.
 
     ``wald`` uses the standard errors; ``profile`` refits the model around
-    each coefficient on ``patterns`` and is the likelihood-based interval.  Its
-    limit is 0 or infinite on a side where the likelihood never falls enough,
-    and missing where the search does not converge.
+    each coefficient on ``patterns`` and is the likelihood-based interval, the ends
+    of all coefficients found side by side.  Its limit is 0 or infinite on a side
+    where the likelihood never falls enough, and missing where the search does not converge.
     """
     z = NormalDist().inv_cdf(0.5 + level / 2)
     if method == "wald":
         limits = {n: (v - z * fit.errors[n], v + z * fit.errors[n]) for n, v in fit.estimates.items()}
     elif method == "profile":
-        jobs = [(name, side) for name in fit.estimates for side in (-1, 1)]
-        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-            ends = dict(zip(jobs, pool.map(lambda job: _profile_limit(patterns, fit, *job, z), jobs)))
-        limits = {name: (ends[name, -1], ends[name, 1]) for name in fit.estimates}
+        columns = design_columns(fit.terms)
+        kept = [name for name in fit.estimates if name != INTERCEPT]
+        if not kept:
+            raise ValueError("a model of one intercept has no profile")
+        every, jobs = np.arange(len(kept) + 1), [(i, side) for i in range(len(kept) + 1) for side in (-1, 1)]
+        design = spread(patterns, [columns[name] for name in kept])
+        found = climb_all(design, [profile_end(every, fit.peak(), i, side, z) for i, side in jobs])
+        ends = dict(zip(jobs, found))
+        limits = {name: (ends[i, -1], ends[i, 1]) for i, name in enumerate(fit.estimates)}
     else:
         raise ValueError(f"unknown method {method!r}")
     rows = [(name, *(None if math.isnan(x) else math.exp(x) for x in (low, high)))
@@ -184,56 +181,6 @@ def odds_ratio_limits(spark: SparkSession, fit: Logit, patterns: DataFrame | Non
     return spark.createDataFrame(rows, "coefficient string, lower double, upper double")
 
 
-def profile_deviance(patterns: DataFrame, fit: Logit, name: str, value: float) -> float:
-    """Deviance of the best fit in which one coefficient is held at a value."""
-    columns = design_columns(fit.terms)
-    free = {n: columns[n] for n in fit.estimates if n not in (name, INTERCEPT)}
-    held = F.lit(value) if name == INTERCEPT else columns[name] * F.lit(value)
-    if free:
-        return _solve(patterns, free, held, intercept=name != INTERCEPT)[1] + fit.within_patterns
-    if name == INTERCEPT:
-        raise ValueError("a model of one intercept has no profile")
-    # Only the intercept is free; the learner wants a column, and one of zeros has no effect.
-    return _solve(patterns, {"zero": F.lit(0.0)}, held)[1] + fit.within_patterns
-
-
-def _profile_limit(patterns: DataFrame, fit: Logit, name: str, side: int, z: float) -> float:
-    """The value on one side where the signed root of the deviance gain reaches ``z``."""
-    centre, error = fit.estimates[name], fit.errors[name]
-
-    def excess(value: float) -> float:
-        gain = profile_deviance(patterns, fit, name, value) - fit.deviance
-        return math.sqrt(max(gain, 0.0)) - z
-
-    return _root(excess, centre, centre + side * z * error, -z)
-
-
-def _root(f: Callable[[float], float], inner: float, outer: float, f_inner: float,
-          tolerance: float = 1e-5, steps: int = 30, widenings: int = 8) -> float:
-    """Secant steps kept inside a widening-then-shrinking bracket.
-
-    Infinite on the side where no bracket is found, as for a coefficient that
-    separates the classes; NaN if the steps do not converge.
-    """
-    f_outer = f(outer)
-    while f_outer < 0:
-        if not widenings:
-            return math.copysign(math.inf, outer - inner)
-        widenings -= 1
-        inner, f_inner, outer = outer, f_outer, outer + 2 * (outer - inner)
-        f_outer = f(outer)
-    for _ in range(steps):
-        middle = inner - f_inner * (outer - inner) / (f_outer - f_inner)
-        f_middle = f(middle)
-        if abs(f_middle) < tolerance:
-            return middle
-        if f_middle < 0:
-            inner, f_inner = middle, f_middle
-        else:
-            outer, f_outer = middle, f_middle
-    return math.nan
-
-
 def gvif(patterns: DataFrame, fit: Logit) -> DataFrame:
     """Generalised variance inflation factor per term of a fitted model."""
     kept = [name for name in fit.estimates if name != INTERCEPT]
@@ -256,36 +203,28 @@ class Step:
 def eliminate_backward(patterns: DataFrame, terms: Sequence[Term]) -> tuple[Logit, list[Step]]:
     """Drop whole terms as long as that lowers AIC.
 
-    A term that is fully aliased goes first, as it cannot change the fit.  The
-    fits of one round are independent and run side by side; all of them read
-    the cached patterns.
+    A term that is fully aliased goes first, as it cannot change the fit.  All
+    candidates of a round are climbed together from the fit before them.
     """
-    patterns = patterns.persist()
-    try:
-        measures = measure(patterns, terms)
-        current = fit_logit(patterns, terms, measures)
-        steps = [Step(None, current.aic, current.deviance, tuple(t.name for t in current.terms))]
-        while current.terms:
-            idle = [t for t in current.terms if not any(n in current.estimates for n in t.contrasts())]
-            if idle:
-                dropped = idle[-1]
-                left = tuple(t for t in current.terms if t != dropped)
-                aliased = tuple(n for n in current.aliased if n not in dropped.contrasts())
-                best = Logit(left, current.estimates, current.errors, aliased, current.deviance,
-                             current.null_deviance, current.within_patterns, current.rows)
-            else:
-                choices = [tuple(t for t in current.terms if t != drop) for drop in current.terms]
-                with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-                    fits = list(pool.map(lambda left: fit_logit(patterns, left, measures), choices))
-                place = min(range(len(fits)), key=lambda i: fits[i].aic)
-                best, dropped = fits[place], current.terms[place]
-                if best.aic >= current.aic + 1e-7:
-                    break
-            current = best
-            steps.append(Step(dropped.name, best.aic, best.deviance, tuple(t.name for t in best.terms)))
-        return current, steps
-    finally:
-        patterns.unpersist()
+    measures = measure(patterns, terms)
+    current = fit_logit(patterns, terms, measures)
+    steps = [Step(None, current.aic, current.deviance, tuple(t.name for t in current.terms))]
+    while current.terms:
+        idle = [t for t in current.terms if not any(n in current.estimates for n in t.contrast_names())]
+        if idle:
+            dropped = idle[-1]
+            best = replace(current, terms=tuple(t for t in current.terms if t != dropped),
+                           aliased=tuple(n for n in current.aliased if n not in dropped.contrast_names()))
+        else:
+            choices = [tuple(t for t in current.terms if t != drop) for drop in current.terms]
+            fits = fit_logits(choices, measures, current)
+            place = min(range(len(fits)), key=lambda i: fits[i].aic)
+            best, dropped = fits[place], current.terms[place]
+            if best.aic >= current.aic + 1e-7:
+                break
+        current = best
+        steps.append(Step(dropped.name, best.aic, best.deviance, tuple(t.name for t in best.terms)))
+    return current, steps
 
 
 def step_table(spark: SparkSession, steps: Sequence[Step]) -> DataFrame:

@@ -10,22 +10,23 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from fractions import Fraction
+from functools import cached_property, reduce
 from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surveyloom.models.design import Term, by_class, dealt, uniform
+from surveyloom.models.design import Term, by_class, uniform
+from surveyloom.models.growing import MAX_DEPTH, Limits, grow_trees, placed
+from surveyloom.models.trees import CLASSES, MIN_BUCKET, MIN_SPLIT, Node, Tree
 from surveyloom.operators.joins import scalars
-from surveyloom.models.trees import CLASSES, Node, Tree, grow_tree, with_features
 
 FOLDS = 10
-TIE = 1e-9  # strengths this close are equal
-FITS_AT_ONCE = 8
 
 
 def preorder(nodes: dict[int, Node], is_leaf: Callable[[Node], bool], start: int = 0) -> Iterator[Node]:
@@ -37,43 +38,49 @@ def preorder(nodes: dict[int, Node], is_leaf: Callable[[Node], bool], start: int
             stack += [node.right, node.left]
 
 
-def link_strengths(tree: Tree) -> dict[int, float]:
-    """For each inner node, the penalty per leaf at which it is collapsed.
+def _exact(loss: float) -> int | Fraction:
+    return int(loss) if float(loss).is_integer() else Fraction(loss)
+
+
+def link_strengths(tree: Tree) -> dict[int, Fraction]:
+    """For each inner node, the penalty per leaf at which it is collapsed, as an exact ratio.
 
     Weakest links go first: the node whose branch saves the least loss per
-    extra leaf.  Nodes too small to be split count as leaves from the start.
-    A node never goes later than one above it.
+    extra leaf.  A node never goes later than one above it.  Losses are counts of
+    rows, so the ratios are those of whole numbers and equal ones are equal.
     """
     nodes = tree.nodes
-
-    def is_leaf(node: Node) -> bool:
-        return node.is_leaf or node.n < tree.min_split
-
     above: dict[int, int] = {}
-    loss: dict[int, float] = {}
+    own = {i: _exact(node.loss) for i, node in nodes.items()}
+    loss: dict[int, int | Fraction] = {}
     leaves: dict[int, int] = {}
-    reached = list(preorder(nodes, is_leaf))
-    for node in reversed(reached):
-        loss[node.id], leaves[node.id] = node.loss, 1
-        if not is_leaf(node):
+    for node in reversed(list(preorder(nodes, lambda n: n.is_leaf))):
+        loss[node.id], leaves[node.id] = own[node.id], 1
+        if not node.is_leaf:
             above[node.left] = above[node.right] = node.id
             loss[node.id] = loss[node.left] + loss[node.right]
             leaves[node.id] = leaves[node.left] + leaves[node.right]
 
-    def strength(i: int) -> float:
-        return (nodes[i].loss - loss[i]) / (leaves[i] - 1)
+    # The quotient of two whole numbers is rounded once, so equal ratios give equal numbers; different ones do
+    # too only where their products pass 2 ** 52, and are then compared as ratios.
+    small = own[0] * leaves[0] < 2 ** 52 and all(isinstance(x, int) for x in own.values())
+
+    def strength(i: int) -> float | Fraction:
+        saved, extra = own[i] - loss[i], leaves[i] - 1
+        return saved / extra if small else Fraction(saved) / extra
 
-    open_nodes = {n.id for n in reached if not is_leaf(n)}
+    open_nodes = {n.id for n in nodes.values() if not n.is_leaf}
     queue = [(strength(i), i) for i in open_nodes]
     heapq.heapify(queue)
-    collapsed: dict[int, float] = {}
-    penalty = 0.0
+    collapsed: dict[int, Fraction] = {}
+    key, penalty = 0, Fraction(0)
     while queue:
         value, top = heapq.heappop(queue)
         if top not in open_nodes or value != strength(top):
             continue  # an outdated entry
-        penalty = max(penalty, value)
-        gained, removed = nodes[top].loss - loss[top], leaves[top] - 1
+        if value > key:
+            key, penalty = value, Fraction(own[top] - loss[top]) / (leaves[top] - 1)
+        gained, removed = own[top] - loss[top], leaves[top] - 1
         for node in list(preorder(nodes, lambda n: n.id not in open_nodes, top)):
             if node.id in open_nodes:
                 open_nodes.discard(node.id)
@@ -87,7 +94,13 @@ def link_strengths(tree: Tree) -> dict[int, float]:
     return collapsed
 
 
-def loss_by_penalty(tree: Tree, strengths: dict[int, float],
+def shares_of_root(tree: Tree, strengths: dict[int, Fraction]) -> dict[int, float]:
+    """The strengths as complexity parameters, each rounded once: a cp read from a table finds its own nodes."""
+    root = _exact(tree.nodes[0].loss)
+    return {i: float(strength / root) if root else 0.0 for i, strength in strengths.items()}
+
+
+def loss_by_penalty(tree: Tree, strengths: dict[int, float | Fraction],
                     loss: dict[int, float]) -> Callable[[float], tuple[int, float]]:
     """Splits and total loss of the pruning at any penalty, given the loss of each node as a leaf.
 
@@ -100,21 +113,25 @@ def loss_by_penalty(tree: Tree, strengths: dict[int, float],
                             initial=0.0))
 
     def at(penalty: float) -> tuple[int, float]:
-        splits = bisect_left(falling, -(penalty + TIE))
+        splits = bisect_left(falling, -penalty)
         return splits, loss[0] - saved[splits]
     return at
 
 
 @dataclass(frozen=True)
 class Pruned:
-    """A tree whose nodes with a link strength up to ``alpha`` are leaves."""
+    """A tree whose nodes with a complexity parameter up to ``cp`` are leaves."""
 
     tree: Tree
-    strengths: dict[int, float]
-    alpha: float
+    strengths: dict[int, Fraction]
+    cp: float
+
+    @cached_property
+    def split_nodes(self) -> set[int]:
+        return {i for i, share in shares_of_root(self.tree, self.strengths).items() if share > self.cp}
 
     def is_leaf(self, node: Node) -> bool:
-        return node.id not in self.strengths or self.strengths[node.id] <= self.alpha + TIE
+        return node.id not in self.split_nodes
 
     def nodes(self) -> list[Node]:
         return list(preorder(self.tree.nodes, self.is_leaf))
@@ -128,10 +145,9 @@ class Pruned:
         return sum(n.loss for n in self.nodes() if self.is_leaf(n))
 
 
-def prune(tree: Tree, cp: float, strengths: dict[int, float] | None = None) -> Pruned:
+def prune(tree: Tree, cp: float, strengths: dict[int, Fraction] | None = None) -> Pruned:
     """Prune to a strength given as a share of the root's loss."""
-    strengths = link_strengths(tree) if strengths is None else strengths
-    return Pruned(tree, strengths, cp * tree.nodes[0].loss)
+    return Pruned(tree, link_strengths(tree) if strengths is None else strengths, cp)
 
 
 def predict_class(df: DataFrame, pruned: Pruned, target: str = "predicted") -> DataFrame:
@@ -159,66 +175,79 @@ def predict_class(df: DataFrame, pruned: Pruned, target: str = "predicted") -> D
 
 # ---- complexity table
 
-def cp_rows(tree: Tree, strengths: dict[int, float]) -> list[tuple[float, int, float]]:
+def cp_rows(tree: Tree, strengths: dict[int, Fraction]) -> list[tuple[float, int, float]]:
     """``cp, nsplit, rel_error`` from the bare root to the full tree, cp falling to 0."""
     root = tree.nodes[0].loss
     if not root:
         return [(0.0, 0, 1.0)]
-    cps = [*sorted({round(v / root, 12) for v in strengths.values() if v > TIE}, reverse=True), 0.0]
-    at = loss_by_penalty(tree, strengths, {i: n.loss for i, n in tree.nodes.items()})
-    return [(cp, splits, loss / root) for cp, (splits, loss) in ((cp, at(cp * root)) for cp in cps)]
+    shares = shares_of_root(tree, strengths)
+    at = loss_by_penalty(tree, shares, {i: n.loss for i, n in tree.nodes.items()})
+    cps = [*sorted({share for share in shares.values() if share > 0}, reverse=True), 0.0]
+    return [(cp, splits, loss / root) for cp, (splits, loss) in ((cp, at(cp)) for cp in cps)]
 
 
 def fold_of(id_column: str, seed: int, folds: int = FOLDS) -> Column:
     return F.floor(uniform(id_column, F.lit(seed)) * folds).cast("int").alias("fold")
 
 
-def errors_of(tree: Tree, strengths: dict[int, float], penalties: Sequence[float], counts: Sequence) -> list[float]:
+def held_out_counts(patterns: DataFrame, trees: Sequence[Tree]) -> DataFrame:
+    """``fold, leaf, y, n``: where the rows of every fold end in the tree grown without them.  One scan for all folds."""
+    terms = trees[0].terms
+    places, splits = [f"p{i}" for i in range(len(terms))], [tree.splits for tree in trees]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values, fold = batch[places].to_numpy(np.float64), batch["fold"].to_numpy()
+            leaf = np.zeros(len(batch), np.int64)
+            for f in np.unique(fold):
+                leaf[fold == f] = splits[f].leaves(values[fold == f])
+            yield batch[["fold", "y", "weight"]].assign(leaf=leaf).groupby(["fold", "leaf", "y"], as_index=False)["weight"].sum()
+
+    rows = by_class(patterns).select("fold", "y", "weight", *placed(terms))
+    return (rows.mapInPandas(work, "fold int, leaf int, y double, weight double")
+            .groupBy("fold", "leaf", "y").agg(F.sum("weight").alias("n")))
+
+
+def errors_of(tree: Tree, strengths: dict[int, Fraction], penalties: Sequence[float], counts: Sequence) -> list[float]:
     """Wrong predictions on other rows, given as counts per leaf and class, at each penalty."""
-    leaf_ids = [n.id for n in preorder(tree.nodes, lambda node: node.is_leaf) if n.is_leaf]
     seen = {i: [0.0, 0.0] for i in tree.nodes}
     for row in counts:
-        seen[leaf_ids[int(row.leaf)]][int(row.y)] += row.n
-    for node in reversed(list(preorder(tree.nodes, lambda node: node.is_leaf))):
+        seen[row.leaf][int(row.y)] += row.n
+    for i in sorted(tree.nodes, reverse=True):  # children come after their parents
+        node = tree.nodes[i]
         if not node.is_leaf:
-            seen[node.id] = [a + b for a, b in zip(seen[node.left], seen[node.right])]
+            seen[i] = [a + b for a, b in zip(seen[node.left], seen[node.right])]
     wrong = {i: seen[i][1 - node.prediction] for i, node in tree.nodes.items()}
     at = loss_by_penalty(tree, strengths, wrong)
     return [at(penalty)[1] for penalty in penalties]
 
 
-def cp_table(patterns: DataFrame, terms: Sequence[Term], folds: int = FOLDS, **growth) -> tuple[Tree, list[tuple]]:
+def cp_table(patterns: DataFrame, terms: Sequence[Term], folds: int = FOLDS, max_depth: int = MAX_DEPTH,
+             min_bucket: int = MIN_BUCKET, min_split: int = MIN_SPLIT) -> tuple[Tree, list[tuple]]:
     """Grow a tree and cross-validate its prunings.
 
     ``patterns`` carry a ``fold`` column.  Returns the tree and rows
-    ``cp, nsplit, rel_error, xerror, xstd``.  The held-out rows of a fold come
-    back as counts per leaf, from which the errors of all prunings follow.
+    ``cp, nsplit, rel_error, xerror, xstd``.  The tree and those without one fold
+    each are grown together.  The held-out rows of a fold come back as counts per
+    leaf, from which the errors of all prunings follow.
     """
-    patterns = dealt(patterns).persist()
-    try:
-        tree = grow_tree(patterns, terms, **growth)
-        strengths = link_strengths(tree)
-        rows = cp_rows(tree, strengths)
-        total, root = tree.nodes[0].n, tree.nodes[0].loss
-        cps = [cp for cp, _, _ in rows]
-        # A pruning holds between its own cp and the one above: test halfway.
-        betas = [math.inf if i == 0 else math.sqrt(cps[i] * cps[i - 1]) for i in range(len(cps))]
-
-        def held_out_errors(fold: int) -> list[float]:
-            part = grow_tree(patterns.where(F.col("fold") != fold), terms, **growth)
-            part_strengths = link_strengths(part)
-            scale = root * part.nodes[0].n / total if total else 0.0
-            placed = with_features(by_class(patterns.where(F.col("fold") == fold)), terms, ["y", "weight"])
-            counts = (part.model.copy().setLeafCol("leaf").transform(placed)
-                      .groupBy("leaf", "y").agg(F.sum("weight").alias("n")).collect())
-            return errors_of(part, part_strengths, [beta * scale for beta in betas], counts)
-
-        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-            by_fold = list(pool.map(held_out_errors, range(folds)))
-    finally:
-        patterns.unpersist()
-    wrong = [sum(errors) for errors in zip(*by_fold)]
-    return tree, [(cp, splits, rel, e / root, math.sqrt(max(e - e * e / total, 0.0)) / root)
+    each = [F.when(F.col("fold") == fold, 0.0).otherwise(F.col("weight")) for fold in range(folds)]
+    *parts, tree = [Tree(tuple(terms), grown) for grown in grow_trees(
+        by_class(patterns), terms, F.array(*each, "weight"), folds + 1, Limits(max_depth, min_bucket, min_split))]
+    rows = cp_rows(tree, link_strengths(tree))
+    total, root = tree.nodes[0].n, tree.nodes[0].loss
+    cps = [cp for cp, _, _ in rows]
+    # A pruning holds between its own cp and the one above: test halfway.
+    betas = [math.inf if i == 0 else math.sqrt(cps[i] * cps[i - 1]) for i in range(len(cps))]
+    by_fold: dict[int, list] = {}
+    for row in held_out_counts(patterns, parts).collect():  # two rows per leaf at most
+        by_fold.setdefault(row.fold, []).append(row)
+    errors = []
+    for fold, part in enumerate(parts):
+        scale = root * part.nodes[0].n / total if total else 0.0
+        errors.append(errors_of(part, link_strengths(part), [beta * scale for beta in betas], by_fold.get(fold, [])))
+    wrong = [sum(each) for each in zip(*errors)]
+    return tree, [(cp, splits, rel, e / root if root else 0.0, math.sqrt(max(e - e * e / total, 0.0)) / root if root else 0.0)
                   for (cp, splits, rel), e in zip(rows, wrong)]
 
 

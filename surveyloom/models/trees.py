@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.models.design import Term, by_class, check_values
+from surveyloom.models.design import Term, answer_patterns, bounded_rows, by_class, complete_rows
+from surveyloom.models.growing import MAX_DEPTH, Limits, Splits, grow_trees
 from surveyloom.operators.running import running_totals
-from surveyloom.sources.scratch import scratch_folder
 
-MAX_DEPTH = 30   # the learner's own limit
 MIN_BUCKET = 7   # fewest rows in a leaf
 MIN_SPLIT = 20   # fewest rows in a node that is split
 CLASSES = ("No", "Yes")
-# Bins of a number.  The learner tries every split of a number with fewer distinct
-# values, and reads all rows to find them as long as those are at most MOST_BINS ** 2.
-MOST_BINS = 1024
-# Rows a model is fitted on; a larger table is sampled by a hash of the row id.
+# Rows a tree is fitted on, about; a larger table is sampled by a hash of the row id.
 FIT_ROWS = 1_000_000
 
 
@@ -43,25 +39,6 @@ def best_splits(df: DataFrame, column: str, positive: Column) -> DataFrame:
                          (gini(pos / n) - (left * gini_left + right * gini_right) / n).alias("gain"))
 
 
-def nominal(column: Column, name: str, values: Sequence[str]) -> Column:
-    attribute = {"ml_attr": {"type": "nominal", "name": name, "vals": list(values)}}
-    return column.alias(name, metadata=attribute)
-
-
-def with_features(df: DataFrame, terms: Sequence[Term], keep: Sequence[str]) -> DataFrame:
-    """Level positions as one vector ``features``.
-
-    The declared levels travel as column metadata, so the learner knows the
-    categorical columns without a pass over the data.
-    """
-    parts = [nominal(t.position(), f"_{t.name}", t.levels) if t.is_factor else t.position().alias(f"_{t.name}")
-             for t in terms]
-    kept = [nominal(F.col("y"), "y", CLASSES) if name == "y" else F.col(name) for name in keep]
-    placed = df.select(*kept, *parts)
-    assembler = VectorAssembler(inputCols=[f"_{t.name}" for t in terms], outputCol="features")
-    return assembler.transform(placed).select(*keep, "features")
-
-
 @dataclass(frozen=True)
 class Node:
     """One node in preorder; ``left_set`` holds level positions, ``threshold`` a number."""
@@ -98,44 +75,30 @@ class Node:
 
 @dataclass(frozen=True)
 class Tree:
-    model: DecisionTreeClassificationModel
     terms: tuple[Term, ...]
-    nodes: dict[int, Node]
-    min_split: float
+    splits: Splits
+
+    @cached_property
+    def nodes(self) -> dict[int, Node]:
+        s = self.splits
+        return {i: Node(i, int(s.left[i]), int(s.right[i]), (float(s.counts[i, 0]), float(s.counts[i, 1])), int(s.term[i]),
+                        None if np.isnan(s.threshold[i]) else float(s.threshold[i]), tuple(np.flatnonzero(s.goes_left[i]).tolist()))
+                for i in range(len(s.term))}
+
+
+def fit_patterns(df: DataFrame, terms: Sequence[Term], response: str, positive: str, id_column: str,
+                 keep: Sequence[Column] = (), seed: int = 200, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Counted answer patterns of all complete rows, or of about ``fit_rows`` that a hash of the id picks."""
+    rows = bounded_rows(complete_rows(df, terms, response), id_column, fit_rows, seed)
+    return answer_patterns(rows, terms, response, positive, keep)
 
 
 def grow_tree(patterns: DataFrame, terms: Sequence[Term], max_depth: int = MAX_DEPTH,
-              min_bucket: int = MIN_BUCKET, min_split: int = MIN_SPLIT, seed: int = 200) -> Tree:
+              min_bucket: int = MIN_BUCKET, min_split: int = MIN_SPLIT) -> Tree:
     """Grow a tree to its limits on weighted answer patterns.
 
-    ``min_bucket`` and ``min_split`` count rows and not patterns, so the
-    first is given to the learner as a share of the total weight and the second
-    is applied to the node table.  Every split of a number is tried; one with
-    more than ``MOST_BINS`` values is refused.
+    ``min_bucket`` and ``min_split`` count rows and not patterns.  Every split of a
+    number and the best grouping of levels are tried, and the first of equal ones taken.
     """
-    check_values(patterns, terms, MOST_BINS - 1)
-    patterns = by_class(patterns)
-    total = patterns.agg(F.sum("weight")).first()[0]
-    learner = DecisionTreeClassifier(
-        featuresCol="features", labelCol="y", weightCol="weight", impurity="gini", maxDepth=max_depth,
-        maxBins=MOST_BINS, minInstancesPerNode=1,
-        minWeightFractionPerNode=min((min_bucket - 0.5) / total, 0.49), minInfoGain=0.0, seed=seed)
-    model = learner.fit(with_features(patterns, terms, ["y", "weight"]))
-    return Tree(model, tuple(terms), read_nodes(patterns, model), min_split)
-
-
-def read_nodes(df: DataFrame, model: DecisionTreeClassificationModel) -> dict[int, Node]:
-    """The nodes of a fitted tree, from the table Spark saves a tree as."""
-    path = scratch_folder(df.sparkSession)
-    model.write().save(path)
-    saved = df.sparkSession.read.parquet(f"{path}/data")
-    nodes = {}
-    for row in saved.collect():  # as many rows as the model has nodes
-        split = row.split
-        categorical = split.numCategories >= 0
-        cut = split.leftCategoriesOrThreshold
-        stats = [*row.impurityStats, 0.0, 0.0][:2]
-        nodes[row.id] = Node(
-            row.id, row.leftChild, row.rightChild, (stats[0], stats[1]), split.featureIndex,
-            None if categorical or not cut else cut[0], tuple(int(x) for x in cut) if categorical else ())
-    return nodes
+    (grown,) = grow_trees(by_class(patterns), terms, F.array("weight"), 1, Limits(max_depth, min_bucket, min_split))
+    return Tree(tuple(terms), grown)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.functions import label_above
-from surveyloom.models import forest, logit
+from surveyloom.models import forest, logit, pruning, trees
 from surveyloom.models.design import answer_patterns
 from surveyloom.operators import cleaning, distribution, metrics, profiling, sampling, shares
 from surveyloom.operators.joins import left_merge
@@ -355,6 +355,14 @@ def heart_glm_final(spark, folder):
     return logit.coefficient_table(spark, _fitted(spark, folder, heart.FINAL_TERMS)[1])
 
 
+@query()
+def heart_glm_statistics(spark, folder):
+    """Deviances and AIC of the three models."""
+    parts = [logit.fit_statistics(spark, _fitted(spark, folder, terms)[1]).withColumn("model", F.lit(name))
+             for name, terms in (("all", heart.ALL_TERMS), ("reduced", heart.REDUCED_TERMS), ("final", heart.FINAL_TERMS))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query()
 def heart_importance(spark, folder):
     return logit.importance(spark, _fitted(spark, folder, heart.FINAL_TERMS)[1])
@@ -362,9 +370,10 @@ def heart_importance(spark, folder):
 
 @query()
 def heart_odds_ratios(spark, folder):
-    """Odds ratios with limits of the final model, fitted to the rebalanced training rows."""
-    _, fit = _fitted(spark, folder, heart.FINAL_TERMS)
-    return left_merge(logit.odds_ratios(spark, fit), logit.odds_ratio_limits(spark, fit), ["coefficient"])
+    """Odds ratios with profile likelihood limits of the final model, fitted to the rebalanced training rows."""
+    patterns, fit = _fitted(spark, folder, heart.FINAL_TERMS)
+    limits = logit.odds_ratio_limits(spark, fit, patterns, method="profile")
+    return left_merge(logit.odds_ratios(spark, fit), limits, ["coefficient"])
 
 
 def _scored(spark, folder):
@@ -391,7 +400,7 @@ def heart_confusion(spark, folder):
     """Confusion of test and training rows, both at the threshold chosen on the test part."""
     rows, _, best = _scored(spark, folder)
     labelled = rows.withColumn("predicted", label_above(F.col("score"), best.threshold))
-    parts = [metrics.confusion(labelled.where(F.col("train") == part), "HEART_DISEASE", "predicted", ["No", "Yes"])
+    parts = [metrics.cell_proportions(metrics.confusion(labelled.where(F.col("train") == part), "HEART_DISEASE", "predicted", ["No", "Yes"]))
              .withColumn("train", F.lit(part)) for part in (True, False)]
     return parts[0].unionByName(parts[1])
 
@@ -401,32 +410,100 @@ def _forest_rows(spark, folder, train):
     return forest.labelled_rows(rows, heart.ALL_TERMS, "HEART_DISEASE", "Yes", "row_id")
 
 
-_forests: dict = {}
+# ---- classification tree on all terms
+
+_fits: dict = {}
+
+
+def _fit_once(spark, folder, name, build):
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _fits:
+        _fits[key] = build()
+    return _fits[key]
+
+
+def _tree(spark, folder):
+    """The tree grown to its limits and its cross-validated complexity table."""
+    def build():
+        train = heart_parts(spark, folder).where("train")
+        folds = [pruning.fold_of("row_id", seed=200)]
+        patterns = trees.fit_patterns(train, heart.ALL_TERMS, "HEART_DISEASE", "Yes", "row_id", keep=folds)
+        return pruning.cp_table(patterns, heart.ALL_TERMS)
+    return _fit_once(spark, folder, "tree", build)
+
+
+def _pruned(spark, folder):
+    tree, rows = _tree(spark, folder)
+    return pruning.prune(tree, pruning.select_cp(pruning.cp_frame(spark, rows)).first().cp)
+
+
+@query()
+def heart_tree_cp(spark, folder):
+    return pruning.cp_frame(spark, _tree(spark, folder)[1])
+
+
+@query()
+def heart_tree_choice(spark, folder):
+    return pruning.select_cp(heart_tree_cp(spark, folder))
 
 
+@query()
+def heart_tree_nodes(spark, folder):
+    return pruning.node_table(spark, _pruned(spark, folder))
+
+
+@query()
+def heart_tree_importance(spark, folder):
+    return pruning.tree_importance(spark, _pruned(spark, folder))
+
+
+def _judged(labelled, actual, predicted):
+    """Confusion with shares of all rows, and the accuracy beside every cell."""
+    cells = metrics.cell_proportions(metrics.confusion(labelled, actual, predicted, ["No", "Yes"]))
+    right = cells.agg(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("prop")))).scalar()
+    return cells.withColumn("accuracy", right)
+
+
+@query()
+def heart_tree_confusion(spark, folder):
+    test = heart_parts(spark, folder).where("not train")
+    return _judged(pruning.predict_class(test, _pruned(spark, folder)), "HEART_DISEASE", "predicted")
+
+
+# ---- forest on all terms
+
 def _forest(spark, folder):
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _forests:
-        _forests[key] = forest.fit_forest(_forest_rows(spark, folder, True), heart.ALL_TERMS)
-    return _forests[key]
+    return _fit_once(spark, folder, "forest", lambda: forest.fit_forest(_forest_rows(spark, folder, True), heart.ALL_TERMS))
 
 
 @query()
 def heart_forest_curve(spark, folder):
-    grown = _forest(spark, folder)
-    return forest.curve_errors(forest.oob_curve(_forest_rows(spark, folder, True), grown))
+    return forest.curve_errors(_out_of_bag(spark, folder))
+
+
+def _out_of_bag(spark, folder):
+    return forest.oob_curve(_forest_rows(spark, folder, True), _forest(spark, folder))
+
+
+@query()
+def heart_forest_oob(spark, folder):
+    """Out-of-bag confusion after the last tree, with the error of each class and of all rows."""
+    last = settle(_out_of_bag(spark, folder).where(F.col("trees") == forest.STABLE_TREES).drop("trees"))
+    wrong = F.sum(F.when(F.col("actual") != F.col("predicted"), F.col("n")).otherwise(0))
+    overall = last.agg(F.try_divide(wrong, F.sum("n"))).scalar()
+    return left_merge(last, metrics.class_error(last).select("actual", "class_error"), ["actual"]).withColumn("oob", overall)
 
 
 @query()
 def heart_forest_confusion(spark, folder):
     said = forest.predict_forest(_forest_rows(spark, folder, False), _forest(spark, folder))
-    return metrics.confusion(said, "actual", "predicted", ["No", "Yes"])
+    return _judged(said, "actual", "predicted")
 
 
 @query()
 def heart_forest_importance(spark, folder):
-    return forest.permutation_importance(_forest_rows(spark, folder, True), _forest(spark, folder))
+    return forest.importance_table(_forest_rows(spark, folder, True), _forest(spark, folder))
 
 
 # Tables and fits that several queries share, for timing them by themselves.
-SHARED = {"write_heart_parts": heart_parts, "fit_heart_forest": _forest}
+SHARED = {"write_heart_parts": heart_parts, "fit_heart_tree": _tree, "fit_heart_forest": _forest}

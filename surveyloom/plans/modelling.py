@@ -183,7 +183,7 @@ def logit_test_confusion(spark, folder):
 
 def _folded(spark, folder):
     train = _part(spark, folder, True)
-    return answer_patterns(train, PREDICTORS, "hd", "Yes", keep=[pruning.fold_of("resp_id", seed=200)])
+    return trees.fit_patterns(train, PREDICTORS, "hd", "Yes", "resp_id", keep=[pruning.fold_of("resp_id", seed=200)])
 
 
 def _grown(spark, folder):
@@ -385,6 +385,25 @@ def permutation_importance_stumps(spark, folder):
     return _rounded(forest.permutation_importance(*_stumps(spark, folder)), "importance", digits=9)
 
 
+@query(over_clean(f"""
+select 'weight_band' as term, round(avg(d), 9) as drop, round(gini, 6) as gini,
+""" + ", ".join(f"""round(case when {e} < {forest.EPSILON!r} then avg({m}) else avg({m}) / {e} end, 6) as {name}"""
+                for m, name in (("d", "accuracy"), ("d0", "no"), ("d1", "yes"))
+                for e in [f"sqrt(greatest(avg({m} * {m}) - avg({m}) * avg({m}), 0) / {STUMPS})"]) + f"""
+from (select s, avg(was - now) as d, avg(was - now) filter (where y = 0) as d0, avg(was - now) filter (where y = 1) as d1
+  from (select s, y, cast(vote = y as double) as was,
+      cast((case when other <= cut then at_left else at_right end) = y as double) as now
+    from votes join neighbours using (resp_id) where u < {math.exp(-1)!r}) group by s),
+  (select avg(2 * y * (n - y) / n - 2 * yl * (nl - yl) / nl - 2 * (y - yl) * (n - nl - y + yl) / (n - nl)) as gini from cuts)
+group by gini""", FOREST_SQL + """,
+ordered as (select resp_id, v, md5(concat_ws(':', cast(resp_id as varchar), '200', 'order')) as o from w),
+neighbours as (select resp_id, coalesce(lag(v) over (order by o, resp_id),
+  last_value(v) over (order by o, resp_id rows between unbounded preceding and unbounded following)) as other from ordered)"""))
+def forest_importance_stumps(spark, folder):
+    return (_rounded(forest.importance_table(*_stumps(spark, folder)), "drop", digits=9)
+            .withColumns({name: rounded(name) for name in ("no", "yes", "accuracy", "gini")}))
+
+
 # ---- random forest
 
 def _train_rows(spark, folder):
