@@ -17,12 +17,19 @@ BASE = {"assign": (ASSIGN, 1, 12), "access": ("AKIA[A-Z0-9]+", 0, 18), "hex": ("
 ADDED = "markov"
 # Fixed value: characters of identifiers and secrets.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-SHORTEST = 16
-# Share of an even spread over the alphabet in the two models: a random string may hold
-# any character after any other, also ones that no sample shows.
+# Fixed value: those of one class take part in the same alphabets of keys.
+CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/_.=-")
+# No run of fewer characters can be told from a rare word: each pair tells little.
+SHORTEST = 8
+# Share of an even spread in the two models: a random string may go on with any class
+# of characters, also where no sample shows it; an ordinary one hardly ever does.
 RANDOM_EVEN, ORDINARY_EVEN = 0.5, 0.01
 # Log-odds against a run being a secret before its characters are seen (about 1 in 160,000).
 PRIOR = 12.0
+# How often the models are learned again, likely keys having moved to the random side.
+ROUNDS = 2
+# Of a character seen so many times, what follows weighs as much as what is frequent anywhere.
+TRUSTED = 5.0
 
 SPAN = "struct<kind:string,rank:int,start:int,end:int,value:string>"
 
@@ -63,7 +70,7 @@ def _base_spans(text: Column) -> Column:
 
 
 def candidate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, base (spans of the base kinds) and runs (long runs of identifier characters that no base span covers whole) of each row."""
+    """id, base (spans of the base kinds) and runs (runs of identifier characters that no base span covers whole) of each row."""
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     run = f"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}"
     found = rows.select("id", _base_spans(F.col("text")).alias("base"),
@@ -73,38 +80,68 @@ def candidate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def labelled_samples(found: DataFrame) -> DataFrame:
-    """(value, secret): what the base patterns caught, and the long runs that touch none of it."""
+    """(value, secret, n): what the base patterns caught, and the runs that touch none of it and occur again.
+
+    Ordinary identifiers recur, keys hardly do: a run counts as often as it is
+    repeated, so one that occurs once counts with 0.
+    """
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return found.select(F.explode(F.concat(
+    each = found.select(F.explode(F.concat(
         F.transform("base", lambda b: F.struct(b["value"].alias("value"), F.lit(True).alias("secret"))),
-        F.transform(free, lambda r: F.struct(r["value"].alias("value"), F.lit(False).alias("secret"))))).alias("s")
-    ).select("s.value", "s.secret")
+        F.transform(free, lambda r: F.struct(r["value"].alias("value"), F.lit(False).alias("secret"))))).alias("s"))
+    return each.groupBy("s.value", "s.secret").agg((F.count(F.lit(1)) - F.when(F.col("secret"), 0).otherwise(1)).alias("n"))
 
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of each character after each other.
 
     Pairs of adjacent characters are counted over all samples by Spark; at most
-    one count per pair and label comes to the driver.  Without samples of a
-    label its model is an even spread.
+    one count per pair and label comes to the driver.  A random string goes from
+    class to class of characters as the secrets do, and takes any character of a
+    class alike; ordinary strings go from character to character, where rare ones
+    lend what is frequent anywhere.  Without samples of a label its model is an even spread.
     """
-    pairs = samples.select("secret", F.explode(F.transform(
+    pairs = samples.select("secret", "n", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1))),
         lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
     counts = {True: {}, False: {}}
-    for r in pairs.groupBy("secret", "pair").count().collect():
-        counts[r["secret"]][r["pair"]] = r["count"]
-    size = len(ALPHABET)
-
-    def log_chance(secret: bool, even: float) -> list[float]:
-        out = []
-        for a in ALPHABET:
-            row = [counts[secret].get(a + b, 0) for b in ALPHABET]
-            total = sum(row)
-            out += [math.log((1 - even) * c / total + even / size) if total else -math.log(size) for c in row]
-        return out
-
-    return [r - o for r, o in zip(log_chance(True, RANDOM_EVEN), log_chance(False, ORDINARY_EVEN), strict=True)]
+    for r in pairs.groupBy("secret", "pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["secret"]][r["pair"]] = r["n"]
+    kind, size = {c: k for k, chars in enumerate(CLASSES) for c in chars}, len(ALPHABET)
+    moves = [[0] * len(CLASSES) for _ in CLASSES]
+    for pair, n in counts[True].items():
+        if len(pair) == 2:
+            moves[kind[pair[0]]][kind[pair[1]]] += n
+
+    def random_chance(a: str, b: str) -> float:
+        row, to = moves[kind[a]], len(CLASSES[kind[b]])
+        seen = row[kind[b]] / sum(row) if sum(row) else to / size
+        return ((1 - RANDOM_EVEN) * seen + RANDOM_EVEN * to / size) / to
+
+    each = {b: sum(counts[False].get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
+    pairs_seen = sum(each.values())
+
+    def ordinary_chance(b: str, n: int, total: int) -> float:
+        if not pairs_seen:
+            return 1 / size
+        follows = (n + TRUSTED * each[b] / pairs_seen) / (total + TRUSTED)
+        return (1 - ORDINARY_EVEN) * follows + ORDINARY_EVEN / size
+
+    ratios = []
+    for a in ALPHABET:
+        row = [counts[False].get(a + b, 0) for b in ALPHABET]
+        ratios += [math.log(random_chance(a, b)) - math.log(ordinary_chance(b, n, sum(row))) for b, n in zip(ALPHABET, row)]
+    return ratios
+
+
+def learn(found: DataFrame, prior: float = PRIOR, rounds: int = ROUNDS) -> list[float]:
+    """A model of the labelled samples; runs that it takes for keys count as secrets when it is learned again."""
+    samples = settle(labelled_samples(found))
+    model = train(samples)
+    for _ in range(rounds):
+        key = F.col("secret") | ((F.length("value") >= SHORTEST) & (ratio(F.col("value"), model) > prior))
+        model = train(samples.withColumns({"secret": key, "n": F.greatest("n", key.cast("long"))}))
+    return model
 
 
 def ratio(value: Column, model: list[float]) -> Column:
@@ -112,12 +149,15 @@ def ratio(value: Column, model: list[float]) -> Column:
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
     size = len(ALPHABET)
 
-    def step(total: Column, i: Column) -> Column:
-        before = F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
-        after = F.instr(F.lit(ALPHABET), F.substring(value, i + 1, F.lit(1)))
-        return total + F.element_at(table, (before - 1) * size + after)
+    # Each character's number once, then the sum over the pairs.
+    numbers = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    start = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("total"))
+
+    def step(done: Column, number: Column) -> Column:
+        more = F.when(done["before"] == 0, 0.0).otherwise(F.element_at(table, F.greatest((done["before"] - 1) * size + number, F.lit(1))))
+        return F.struct(number.alias("before"), (done["total"] + more).alias("total"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), step)
+    return F.aggregate(numbers, start, step)["total"]
 
 
 def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -128,15 +168,16 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     runs of identifier characters are added as ``markov`` where a Markov model of
     random strings explains them better than one of ordinary identifiers, by more
     than the ``prior`` log-odds.  Both models learn from the whole table: the
-    values caught by the base patterns are samples of secrets, the long runs that
-    touch none are samples of ordinary identifiers.  Runs that a base span covers
-    only in part are scored too; runs under ``SHORTEST`` characters are not.
+    values caught by the base patterns are samples of secrets, the runs that
+    touch none are samples of ordinary identifiers unless the model itself takes
+    them for keys.  Runs that a base span covers only in part are scored too; runs
+    under ``SHORTEST`` characters are not.
 
     Null and empty texts have no spans; repeated rows and ids give a row each;
     an empty table gives an empty one.  Other columns are not read.
     """
-    found = settle(candidate_spans(docs, id_column, text_column))
-    model = train(labelled_samples(found))
+    found = candidate_spans(docs, id_column, text_column)
+    model = learn(found, prior)
     added = F.filter("runs", lambda r: ratio(r["value"], model) > prior)
     return found.select("id", F.array_sort(
         F.concat("base", added),

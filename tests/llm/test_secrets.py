@@ -1,5 +1,7 @@
 import random
 import re
+import string
+from collections import Counter
 
 from plain import DOCS, odd_rows
 
@@ -78,3 +80,28 @@ def test_a_run_covered_in_part_is_scored_whole(spark):
     spans = {r.id: r.spans for r in secrets.find_secrets(docs).collect()}
     assert [(s.kind, s.value) for s in spans[200]] == [("markov", key), ("hex", "0123456789abcdef")]
     assert all(s.kind != "markov" for i in range(200) for s in spans[i])
+
+
+ALPHABETS = {"letters": string.ascii_letters, "letters and digits": string.ascii_letters + string.digits,
+             "capitals and digits": string.ascii_uppercase + string.digits, "small letters and digits": string.ascii_lowercase + string.digits,
+             "base64": string.ascii_letters + string.digits + "+/"}
+
+
+def test_keys_planted_into_documents_are_found(spark):
+    """Nine of ten keys of every alphabet, and next to no word of the documents."""
+    rng = random.Random(8)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").collect()]
+    keys = {}
+    for n, (name, letters) in enumerate(ALPHABETS.items()):
+        for k in range(40):
+            i = (n * 40 + k) * 45
+            key = "".join(rng.choice(letters) for _ in range(rng.choice([20, 24, 32, 40])))
+            keys[i] = (name, key)
+            half = texts[i].find(" ", len(texts[i]) // 2) % (len(texts[i]) + 1)
+            texts[i] = f"{texts[i][:half]} {key} {texts[i][half:]}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    added = {r.id: [s.value for s in r.spans if s.kind == secrets.ADDED] for r in secrets.find_secrets(docs).collect()}
+    missed = Counter(name for i, (name, key) in keys.items() if key not in added[i])
+    assert all(missed[name] <= 4 for name in ALPHABETS), missed
+    others = [v for i, values in added.items() for v in values if i not in keys or v != keys[i][1]]
+    assert len(others) <= 60, others[:40]
