@@ -24,6 +24,8 @@ SIGNATURE, BAND_ROWS = 128, 4
 PIVOTS = 1024
 # From so many members on, a bucket of several components is thinned out before pairs are formed.
 CROWD = 32
+# Bits of a class's parity map, by which most pairs are known to be too different before they are formed.
+PARITY_BITS = 2048
 # Bits of the filter that keeps texts without candidates from being shuffled; 2 MB at most.
 FILTER_BITS = 1 << 24
 
@@ -89,6 +91,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str,
     return found.mapInArrow(work, "cls long, pivots array<long>, shingles array<long>")
 
 
+def _parity_maps(sets: DataFrame) -> DataFrame:
+    """(cls, parities): for every bit, whether an odd number of the shingles fall on it, as 64-bit numbers.
+
+    Each bit in which two maps differ stands for a shingle, or more, that only one of the sets has.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = batch.column("shingles")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(shingles.offsets.to_numpy()))
+            place = shingles.flatten().to_numpy().astype(np.uint64) % np.uint64(PARITY_BITS)
+            odd = np.bincount(owner * PARITY_BITS + place.astype(np.int64), minlength=batch.num_rows * PARITY_BITS) & 1
+            words = np.packbits(odd.astype(np.uint8).reshape(batch.num_rows, -1), axis=1).view(np.int64)
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * words.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.reshape(-1)))], names=["cls", "parities"])
+
+    return sets.select("cls", "shingles").mapInArrow(work, "cls long, parities array<long>")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(a, b) of the pairs (a, b, shingles of b) whose full sets are similar enough."""
     first = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("others"))
@@ -154,7 +175,8 @@ def _pairs_across(members: DataFrame, similarity: int) -> tuple[DataFrame, DataF
     The largest component of a bucket waits; the members of the others are
     pivots, compared with everything outside their own component, so they have
     then met the whole bucket.  A pair is formed only in the first bucket that it
-    shares, and only if the sizes and open shingles allow for a link.
+    shares, and only if the sizes, open shingles and parity maps allow for a link:
+    linked sets differ in at most (n + m) * (100 - s) / (100 + s) shingles.
     """
     mixed_buckets = _several_roots(members)
     placed = settle(members.join(mixed_buckets, "bucket"))
@@ -168,8 +190,11 @@ def _pairs_across(members: DataFrame, similarity: int) -> tuple[DataFrame, DataF
     possible = 100 * most >= similarity * (F.col("m.n") + F.col("p.n") - most)
     once = F.array_min(F.array_intersect(F.col("m.bands"), F.col("p.bands"))) == F.col("m.bucket")
     order_ = (F.col("m.root") == F.col("m.largest")) | (F.col("m.cls") > F.col("p.cls"))
+    apart = F.aggregate(F.zip_with("m.parities", "p.parities", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")),
+                        F.lit(0), lambda total, n: total + n)
+    alike = apart * (100 + similarity) <= (F.col("m.n") + F.col("p.n")) * (100 - similarity)
     pairs = m.join(p, (F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.root") != F.col("p.root"))
-                   & order_ & possible & once).select(F.col("m.cls").alias("a"), F.col("p.cls").alias("b"))
+                   & order_ & possible & once & alike).select(F.col("m.cls").alias("a"), F.col("p.cls").alias("b"))
     crowded = mixed_buckets.where(F.col("members") > PIVOTS)
     if crowded.isEmpty():
         return pairs, None
@@ -188,9 +213,10 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     of each of its buckets, which joins most groups with about as many comparisons
     as they have members.  Buckets that still hold several components are then
     gone through: in crowded ones classes that cannot reach another component,
-    going by the shingles that several components have, are left out, and all
-    other pairs of candidates across components are compared.  So no link between
-    components is lost, and pairs within a component are not formed.
+    going by the shingles that several components have, are left out, and of the
+    other pairs of candidates across components those are compared whose parity
+    maps do not show that they differ in too much.  So no link between components
+    is lost, and pairs within a component are not formed.
 
     ``component_id`` is the smallest id of the component; of its rows one stays,
     that of the smallest id, null ids last.  Texts without words, and null ones,
@@ -226,8 +252,9 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         reach = settle(_open_shingles(crowd_sets, similarity))
         facts = classes.select("cls", F.col("n_shingles").alias("n"), F.col("own.bands").alias("bands"))
         thinned = live.join(reach, "cls", "left").where((F.col("members") < CROWD) | F.col("open").isNotNull())
-        left = settle(thinned.join(facts, "cls").select(
-            "bucket", "cls", "root", "n", "bands",
+        maps = settle(_parity_maps(sets.join(thinned.select("cls").distinct(), "cls", "left_semi")))
+        left = settle(thinned.join(facts, "cls").join(maps.dropDuplicates(["cls"]), "cls").select(
+            "bucket", "cls", "root", "n", "bands", "parities",
             F.when(F.col("members") < CROWD, F.col("n")).otherwise(F.col("open")).alias("open")))
         while left is not None:
             pairs, left = _pairs_across(left, similarity)

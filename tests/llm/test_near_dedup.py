@@ -89,3 +89,43 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert near_dedup.near_groups(empty).count() == 0
     assert near_dedup.drop_near_copies(empty).count() == 0
+
+
+def test_a_large_group_around_the_limit_forms_few_pairs(spark, monkeypatch):
+    """Families of near copies whose members lie just under the limit to each other: hardly any pair across need be compared."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for family in range(6):
+        head = list(base)
+        for k in range(5):  # every family has its own changes, some 0.7 from the others'
+            head[7 + 20 * k + family] = f"f{family}x{k}"
+        for member in range(60):
+            words = list(head)
+            words[rng.randrange(110, 120)] = f"m{family}x{member}"
+            texts.append(words)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    formed, across = [], near_dedup._pairs_across
+
+    def counted(members, similarity):
+        pairs, left = across(members, similarity)
+        formed.append(pairs.count())
+        return pairs, left
+
+    monkeypatch.setattr(near_dedup, "_pairs_across", counted)
+    found = near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in found} == near_components(docs)
+    assert len({r.component_id for r in found}) == 6
+    assert sum(formed) < 2 * len(docs)
+
+
+def test_parity_maps_never_exceed_the_difference(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(-2 ** 63, 2 ** 63, n)) for n in (0, 1, 50, 3000, 9000)]
+    sets += [np.unique(np.concatenate([s[: len(s) // 2], rng.integers(-2 ** 63, 2 ** 63, len(s) // 3 + 1)])) for s in sets]
+    frame = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "cls long, shingles array<long>")
+    maps = {r.cls: r.parities for r in near_dedup._parity_maps(frame).collect()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            apart = sum(((x ^ y) & (2 ** 64 - 1)).bit_count() for x, y in zip(maps[i], maps[j]))
+            assert apart <= len(np.setxor1d(a, b)) and (i == j or apart > 0)
