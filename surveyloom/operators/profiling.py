@@ -14,6 +14,9 @@ from surveyloom.operators.joins import left_merge
 from surveyloom.operators.running import running_totals
 from surveyloom.sources.scratch import settle
 
+# Values of a column whose counts a sketch follows; what is frequent is counted right if there are fewer values.
+TRACKED = 1000
+
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
@@ -115,6 +118,46 @@ def profile_topk(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFram
     return left_merge(top, valid, ["column"]).withColumn("share", F.col("n") / F.col("n_valid"))
 
 
+def profile_sketches(df: DataFrame, by: Sequence[str] = (), tracked: int = TRACKED) -> DataFrame:
+    """A table ``by..., column, type, n, n_valid, moments and sketches`` of all columns of simple types, in one pass.
+
+    Distinct values are counted by HLL sketches, frequent ones by a heavy-hitter
+    summary and numbers besides by quantile sketches and moments; no value is
+    shuffled.  Rows of several tables, days or groups are merged by ``merged_profiles``.
+    """
+    kinds = dict(df.dtypes)
+    plain = [c for c in df.columns if c not in by and not kinds[c].startswith(("array", "map", "struct", "binary"))]
+
+    def facts(c: str):
+        own, number = F.col(c), kinds[c] in NUMERIC or kinds[c].startswith("decimal")
+        value = own.cast("double") if number else F.lit(None).cast("double")
+        finite = F.when(~F.isnan(value), value)
+        return F.struct(
+            F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.count("*").alias("n"), F.count(own).alias("n_valid"),
+            F.sum(value).alias("total"), F.sum(value * value).alias("squares"), F.min(value).alias("min"), F.max(value).alias("max"),
+            F.hll_sketch_agg(own.cast("string")).alias("distinct"), F.kll_sketch_agg_double(finite).alias("ranks"),
+            F.call_function("approx_top_k_accumulate", own.cast("string"), F.lit(tracked)).alias("frequent"))
+
+    wide = df.groupBy(*by).agg(*[facts(c).alias(f"_{i}") for i, c in enumerate(plain)])
+    return wide.select(*by, F.inline(F.array(*[f"_{i}" for i in range(len(plain))])))
+
+
+def merged_profiles(sketches: DataFrame, by: Sequence[str] = (), k: int = 10) -> DataFrame:
+    """One row per column: counts, about how many distinct values, moments, quartiles and the ``k`` most frequent values."""
+    n = F.sum("n_valid")
+    mean = F.try_divide(F.sum("total"), n)
+    merged = sketches.groupBy(*by, "column", "type").agg(
+        n.alias("n_valid"), (F.sum("n") - n).alias("n_missing"), mean.alias("mean"),
+        F.when(mean.isNotNull(), F.sqrt(F.greatest(F.try_divide(F.sum("squares") - n * mean * mean, n - 1), F.lit(0.0)))).alias("sd"),
+        F.min("min").alias("min"), F.max("max").alias("max"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("n_distinct"), F.kll_merge_agg_double("ranks").alias("_ranks"),
+        F.call_function("approx_top_k_estimate", F.call_function("approx_top_k_combine", F.col("frequent")), F.lit(k + 1)).alias("top"))
+    some = F.kll_sketch_get_n_double("_ranks") > 0
+    quartiles = {name: F.when(some, F.kll_sketch_get_quantile_double("_ranks", F.lit(p)))
+                 for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    return merged.withColumns({**quartiles, "top": F.slice(F.filter("top", lambda t: t["item"].isNotNull()), 1, k)}).drop("_ranks")
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """How many rows repeat an earlier row in full."""
     return (df.groupBy(*df.columns).agg((F.count("*") - 1).alias("extra"))

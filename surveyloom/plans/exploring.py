@@ -12,7 +12,7 @@ from surveyloom.plans import survey
 from surveyloom.plans.preparing import CIGARETTE_CUT, DRINKING_CUT, SLEEP_CUT
 from surveyloom.plans.registry import over_clean, over_raw, query, rounded
 from surveyloom.plans.survey import survey_clean, survey_raw
-from surveyloom.sources import read_table
+from surveyloom.sources import read_table, settle
 
 c = F.col
 
@@ -129,6 +129,19 @@ def bar_counts(spark, folder):
 # ---- quantiles, fences, box statistics
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.99)
+SKETCHED = ("l_extendedprice", "l_quantity", "l_discount")
+
+
+@query(" union all ".join(
+    f"select '{name}' as \"column\", {p}e0 as prob, true as close from (select count({name}) as n from lineitem) where n > 0"
+    for name in SKETCHED for p in PROBS))
+def quantile_sketch(spark, folder):
+    """Sketches kept per return flag, merged, and their quantiles held against the exact ranks."""
+    lineitem = read_table(spark, folder, "lineitem")
+    parts = settle(distribution.quantile_sketches(lineitem, SKETCHED, ["l_returnflag"]))
+    found = distribution.sketched_quantiles(distribution.merged_sketches(parts), PROBS)
+    errors = distribution.rank_errors(lineitem, found, SKETCHED)
+    return errors.select("column", "prob", (F.col("rank_error") <= distribution.SKETCH_ERROR).alias("close"))
 
 
 @query(" union all ".join(

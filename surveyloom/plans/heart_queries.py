@@ -299,6 +299,46 @@ def heart_without_outliers(spark, folder):
     return heart.without_extreme_smokers(heart_table(spark, folder))
 
 
+# ---- profiles of the whole table
+
+NUMBERS = ("MENTAL_HEALTH", "PHYSICAL_HEALTH", "CIGARETTES_PER_DAY", "DRINKING_DAYS_PER_MONTH")
+PROFILED = tuple(name for name in heart.COLUMNS.values())
+FEW = 700  # distinct values of which every count is followed
+
+
+@query(over_heart(" union all ".join(f"""
+select '{name}' as "column", count({name}) as n_valid, count(*) - count({name}) as n_missing, true as distinct_close,
+  case when count(distinct {name}) <= {FEW} then (select list(n order by n desc) from
+    (select count(*) as n from kept where {name} is not null group by {name} order by n desc limit 3)) end as top_counts
+from kept""" for name in PROFILED)))
+def heart_profile_sketch(spark, folder):
+    """All columns in one pass, by sketches kept per age group and merged; distinct values within 5 % of the exact number."""
+    kept = heart_kept(spark, folder).select(*PROFILED)
+    parts = settle(profiling.profile_sketches(kept.withColumn("part", F.col("AGE_GROUP")), ["part"]))
+    found = settle(profiling.merged_profiles(parts, k=3))
+    exact = profiling.frequencies(kept, PROFILED).where("value is not null").groupBy("column").agg(F.count("*").alias("distinct"))
+    few = F.coalesce(F.col("distinct"), F.lit(0))
+    return left_merge(found, exact, ["column"]).select(
+        "column", "n_valid", "n_missing", (F.abs(F.col("n_distinct") - few) <= 0.05 * few).alias("distinct_close"),
+        F.when(few <= FEW, F.nullif(F.transform("top", lambda t: t["count"]), F.array().cast("array<bigint>"))).alias("top_counts"))
+
+
+@query(over_heart("""
+select cast(count(*) - (select count(*) from (select distinct * from kept)) as bigint) as n_duplicates from kept"""))
+def heart_profile_duplicates(spark, folder):
+    return profiling.profile(heart_kept(spark, folder))[2]
+
+
+@query(over_heart(" union all ".join(f"""
+select '{name}' as "column", round(avg({name}), 6) as mean, round(stddev_samp({name}), 6) as sd, cast(min({name}) as double) as min,
+  round(quantile_cont({name}, 0.5), 6) as median, cast(max({name}) as double) as max, count(distinct {name}) as n_distinct,
+  count({name}) as n_valid, count(*) - count({name}) as n_missing from kept""" for name in NUMBERS)))
+def heart_profile_numeric(spark, folder):
+    found = profiling.profile(heart_kept(spark, folder))[0].where(F.col("column").isin(*NUMBERS))
+    return found.select("column", rounded("mean").alias("mean"), rounded("sd").alias("sd"), "min", rounded("median").alias("median"),
+                        "max", "n_distinct", "n_valid", "n_missing")
+
+
 # ---- models: both parts rebalanced, threshold chosen on the test part
 
 def heart_parts(spark, folder):

@@ -34,6 +34,25 @@ def test_cells_with_many_rows_are_cut_exactly(spark, monkeypatch, digits):
     assert ids(sampling.split_stratified(people(spark), "hd", "resp_id", 0.7).where("train")) == ids(exact)
 
 
+def test_a_large_cell_is_cut_again(spark, monkeypatch):
+    """One digit a step and two rows a task: the cell of the last row is cut three times at least."""
+    exact = sampling.split_stratified(people(spark, 5000), "hd", "resp_id", 0.7).where("train")
+    steps, cells = [], sampling._cells
+
+    def counted(rows, strata, step):
+        steps.append((step, rows))
+        return cells(rows, strata, step)
+
+    monkeypatch.setattr(sampling, "_cells", counted)
+    monkeypatch.setattr(sampling, "CELL_DIGITS", 1)
+    monkeypatch.setattr(sampling, "ORDERED_ROWS", 2)
+    assert ids(sampling.split_stratified(people(spark, 5000), "hd", "resp_id", 0.7).where("train")) == ids(exact)
+    assert [step for step, _ in steps] == list(range(len(steps))) and len(steps) >= 3
+    # Each step reads only what lies in the cell of the one before it.
+    counts = [rows.count() for _, rows in steps]
+    assert all(later <= max(earlier / 8, 20) for earlier, later in zip(counts, counts[1:]))
+
+
 def test_balance_keeps_every_minority_row(spark):
     kept = sampling.balance(people(spark), "hd", "Yes", "resp_id", ratio=2)
     assert {r.hd: r["count"] for r in kept.groupBy("hd").count().collect()} == {"Yes": 100, "No": 200}

@@ -231,3 +231,17 @@ def test_profile_of_any_table(spark):
     assert [(r["column"], r["value"], r.n, r.type, r.share) for r in top.collect()] == [("t", "a", 2, "string", 1.0)]
     assert repeated.first()[0] == 1
     assert profiling.profile(df.select("t"))[0].count() == 0 and profiling.profile(df.select("i"))[1].count() == 0
+
+
+def test_merged_sketches_keep_their_rank_error(spark):
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_013).cast("double").alias("x"), (F.col("id") % 3).alias("part"),
+                                    F.when(F.col("id") < 0, 1.0).alias("nothing"), F.when(F.col("id") % 2 == 0, float("nan")).otherwise(2.0).alias("y"))
+    columns, probs = ["x", "nothing", "y"], (0.0, 0.1, 0.5, 0.9, 1.0)
+    parts = distribution.quantile_sketches(df, columns, ["part"])
+    assert parts.count() == 9
+    merged = distribution.merged_sketches(parts.unionByName(parts))  # of tables kept apart
+    errors = {(r.column, r.prob): r for r in distribution.rank_errors(df, distribution.sketched_quantiles(merged, probs), columns).collect()}
+    assert len(errors) == 10 and all(r.rank_error <= distribution.SKETCH_ERROR for r in errors.values())
+    assert all(errors["y", p].value == 2.0 for p in probs)
+    one = distribution.merged_sketches(parts, ["part"])
+    assert distribution.sketched_quantiles(one, [0.5], ["part"]).count() == 6
