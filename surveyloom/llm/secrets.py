@@ -19,8 +19,9 @@ ADDED = "markov"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 # Fixed value: those of one class take part in the same alphabets of keys.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/_.=-")
-# No run of fewer characters can be told from a rare word: each pair tells little.
-SHORTEST = 8
+# No run of fewer characters can be told from a rare word: each pair tells little.  Nor can a plain word
+# of up to PLAIN letters, a capital before and a mark behind it included; longer runs of letters are scored.
+SHORTEST, PLAIN = 8, 14
 # Share of an even spread in the two models: a random string may go on with any class
 # of characters, also where no sample shows it; an ordinary one hardly ever does.
 RANDOM_EVEN, ORDINARY_EVEN = 0.5, 0.01
@@ -72,7 +73,9 @@ def _base_spans(text: Column) -> Column:
 def candidate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, base (spans of the base kinds) and runs (runs of identifier characters that no base span covers whole) of each row."""
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
-    run = f"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}"
+    end = "(?![A-Za-z0-9+/_.=-])"
+    run = (f"(?<![A-Za-z0-9+/_.=-])(?![A-Z]?[a-z]{{0,{PLAIN}}}[+/_.=-]?{end}|[A-Z]{{0,{PLAIN}}}[+/_.=-]?{end})"
+           f"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
     found = rows.select("id", _base_spans(F.col("text")).alias("base"),
                         _spans(F.col("text"), ADDED, len(BASE), run, 0, SHORTEST).alias("runs"))
     open_ = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
@@ -171,7 +174,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     values caught by the base patterns are samples of secrets, the runs that
     touch none are samples of ordinary identifiers unless the model itself takes
     them for keys.  Runs that a base span covers only in part are scored too; runs
-    under ``SHORTEST`` characters are not.
+    under ``SHORTEST`` characters and plain words of up to ``PLAIN`` letters are not.
 
     Null and empty texts have no spans; repeated rows and ids give a row each;
     an empty table gives an empty one.  Other columns are not read.
