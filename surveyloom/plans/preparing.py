@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from surveyloom.functions import (blank_to_null, cut, decode_units, fifelse, fill_missing,
                                   label_above, round_even, sentinel_to_null, sentinel_to_value)
@@ -12,7 +13,7 @@ from surveyloom.operators.profiling import infer_levels as infer_levels_of
 from surveyloom.plans import heart, survey
 from surveyloom.plans.registry import over_clean, over_raw, query, rounded
 from surveyloom.plans.survey import survey_raw
-from surveyloom.sources import ingest, read_delimited, read_table, scratch_folder, write_delimited
+from surveyloom.sources import ingest, ingest_delimited, read_delimited, read_table, scratch_folder, write_delimited
 
 INCOME = heart.CODEBOOKS["INCOME"]
 INCOME_SQL = "case income " + " ".join(f"when {code} then '{label}'" for code, label in INCOME.pairs) + " end"
@@ -43,6 +44,25 @@ def ingest_roundtrip(spark, folder):
     return table.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
+@query("""
+select case when o_orderkey % 50 = 0 then 'o_totalprice: not of type double' when o_orderkey % 77 = 0 then '4 cells for 3 columns'
+  when o_orderkey % 91 = 0 then '2 cells for 3 columns' end as reason, count(*) as n,
+  sum(case when o_orderkey % 50 <> 0 and o_orderkey % 77 <> 0 and o_orderkey % 91 <> 0 then o_custkey end)::bigint as customers
+from orders group by 1""")
+def ingest_quarantine(spark, folder):
+    """Orders as delimited text with some lines spoiled: what is taken in, and why the rest is not."""
+    key = c("o_orderkey")
+    price = F.when(key % 50 == 0, "1,5 EUR").otherwise(c("o_totalprice").cast("string"))
+    line = F.concat_ws(",", key, "o_custkey", F.when(key % 50 == 0, F.concat(F.lit('"'), price, F.lit('"'))).when(
+        key % 77 == 0, F.concat(price, F.lit(",more"))).when(key % 91 == 0, F.lit(None)).otherwise(price))
+    source = scratch_folder(spark)
+    read_table(spark, folder, "orders").select(line).write.text(source)
+    schema = StructType().add("o_orderkey", "long").add("o_custkey", "long").add("o_totalprice", "double")
+    good, bad = ingest_delimited(spark, source, schema, scratch_folder(spark), header=False)
+    taken = good.agg(F.lit(None).cast("string").alias("reason"), F.count("*").alias("n"), F.sum("o_custkey").alias("customers"))
+    return taken.unionByName(bad.groupBy("reason").agg(F.count("*").alias("n")).withColumn("customers", F.lit(None).cast("bigint")))
+
+
 @query(over_raw(f"""
 select resp_id, {INCOME_SQL} as income, case diabetes when 1 then 'Yes' when 2 then 'Yes, but during pregnancy'
   when 3 then 'No' when 4 then 'No' end as diabetes, packday, nullif(site, '') as site from survey_raw"""))

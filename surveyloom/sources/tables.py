@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # How a delimited survey file writes its cells.
 DELIMITED = {"header": True, "sep": ",", "quote": '"', "escape": '"', "nullValue": "NA"}
@@ -47,3 +48,37 @@ def ingest(reader: Callable[[], DataFrame], path: str) -> DataFrame:
     source = reader()
     source.write.parquet(path)
     return source.sparkSession.read.schema(source.schema).parquet(path)
+
+
+# A separator that no open quote covers.
+OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def ingest_delimited(spark: SparkSession, source: str, schema: StructType, path: str,
+                     header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Convert a delimited file to Parquet: the rows that fit the schema, and those that do not.
+
+    Both are written below ``path`` in one scan, so a bad row neither stops the
+    ingestion nor turns silently into missing cells.  The second table has the
+    ``file``, the ``line`` as it stands there and the ``reason``: the number of cells,
+    or the first column whose cell is not of its type.
+    """
+    whole = StructType([*schema.fields, StructField("_line", StringType())])
+    options = {**DELIMITED, "emptyValue": "", "header": header}
+    rows = (spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_line").schema(whole).csv(source)
+            .withColumn("_file", F.col("_metadata.file_path")))
+    rows.withColumn("_bad", F.col("_line").isNotNull()).write.partitionBy("_bad").parquet(path)
+    kept = StructType([*whole.fields, StructField("_file", StringType())])
+    written = spark.read.schema(kept.add("_bad", "boolean")).parquet(path)
+    bad = written.where("_bad").select(F.col("_file").alias("file"), F.col("_line").alias("line"))
+    return written.where("not _bad").select(*schema.names), bad.withColumn("reason", _why(schema))
+
+
+def _why(schema: StructType) -> Column:
+    names = [f"c{i}" for i in range(len(schema))]
+    cells = F.from_csv("line", F.lit(", ".join(f"{n} string" for n in names)), {k: str(v).lower() if k == "header" else v for k, v in DELIMITED.items()})
+    count = F.size(F.split("line", OUTSIDE_QUOTES, -1))
+    misfits = [F.when(cells[n].isNotNull() & cells[n].try_cast(field.dataType).isNull(),
+                      F.lit(f"{field.name}: not of type {field.dataType.simpleString()}")) for n, field in zip(names, schema.fields)]
+    return F.when(count != len(schema), F.concat(count.cast("string"), F.lit(f" cells for {len(schema)} columns"))).otherwise(
+        F.coalesce(*misfits, F.lit("cannot be read")))

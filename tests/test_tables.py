@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from surveyloom.operators import cleaning, distribution, joins, profiling, shares
 from surveyloom.operators.running import running_totals
 from surveyloom.functions import Levels
-from surveyloom.sources import read_delimited, scratch_folder, settle, write_delimited
+from surveyloom.sources import ingest_delimited, read_delimited, scratch_folder, settle, write_delimited
 
 
 def rows(df):
@@ -245,3 +245,15 @@ def test_merged_sketches_keep_their_rank_error(spark):
     assert all(errors["y", p].value == 2.0 for p in probs)
     one = distribution.merged_sketches(parts, ["part"])
     assert distribution.sketched_quantiles(one, [0.5], ["part"]).count() == 6
+
+
+def test_rows_that_do_not_parse_go_aside(spark, tmp_path):
+    lines = ["id,name,x", "1,a,1.5", '2,"b, c",NA', "three,d,2", "4,e", "5,f,6,7", "6,NA,abc", '7,"x",""', "", "8,g,1e3"]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    schema = spark.createDataFrame([], "id int, name string, x double").schema
+    good, bad = ingest_delimited(spark, str(tmp_path / "in.csv"), schema, scratch_folder(spark))
+    assert sorted((r.id, r.name, r.x) for r in good.where("id <> 7").collect()) == [(1, "a", 1.5), (2, "b, c", None), (8, "g", 1000.0)]
+    found = {r.line: r.reason for r in bad.collect()}
+    assert found["three,d,2"] == "id: not of type int" and found["6,NA,abc"] == "x: not of type double"
+    assert found["4,e"] == "2 cells for 3 columns" and found["5,f,6,7"] == "4 cells for 3 columns"
+    assert all(r.file.endswith("in.csv") for r in bad.collect()) and good.columns == ["id", "name", "x"]
