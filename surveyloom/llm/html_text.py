@@ -17,8 +17,10 @@ from surveyloom.llm.common import whole_text
 
 # Lines summed at each place of the distribution.
 WINDOW = 3
-# A stretch is kept beside the largest one if it has this share of its text.
-SECOND_SHARE = 0.3
+# Characters in a window from which on the text surges; half of the fullest window on pages that have less.
+SURGE = 40
+# Longest notice of rights at the end of a page.
+NOTICE = 120
 
 # Elements whose content is never text of a page.
 _OUT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "textarea",
@@ -32,6 +34,11 @@ _AROUND_WORDS = {
     "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promotion",
     "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social",
     "sponsor", "sponsored", "subscribe", "teaser", "toolbar", "topbar", "widget", "widgets"}
+# Words that say nothing of the content, beside one of those above in a name such as site-header.
+_NEUTRAL = {
+    "area", "bar", "block", "bottom", "box", "container", "fixed", "form", "global", "group", "inner", "item", "items", "left",
+    "link", "links", "list", "outer", "page", "panel", "posts", "articles", "primary", "right", "secondary", "section", "site",
+    "slot", "stories", "sticky", "top", "unit", "wrap", "wrapper"}
 _ARTICLE = {"article", "main"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div",
@@ -49,7 +56,7 @@ _IMPLIED = {
     **{x: ({"thead", "tbody", "tfoot"}, {"table"}) for x in ("thead", "tbody", "tfoot")}}
 _ENDED_BY = {start: {x for x, (starts, _) in _IMPLIED.items() if start in starts}
              for start in set().union(*(starts for starts, _ in _IMPLIED.values()))}
-_RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\s*(?:©|\(c\)|\d{4}|by\b)|all rights reserved\b)", re.IGNORECASE)
+_RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\s*(?:©|\(c\)|\d{4}|by\b))", re.IGNORECASE)
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"""
                      r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""",
@@ -57,38 +64,40 @@ _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in
             ("script", "style", "noscript", "template", "textarea", "title", "iframe")}
 _HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none""", re.IGNORECASE)
 
 
 @dataclass
 class Line:
-    """A block of text: how much of it is not links, whether it stands around the article or in it."""
+    """A block of text: how much of it is not links, the article it is in, and what it stands around the article by."""
 
     text: str
     weight: int
     inside: int
-    top: bool
     around: bool
+    hint: int    # place of the element whose class, id or role puts the line around; -1 if it is there by itself
 
 
 def _hinted(attributes: str) -> bool:
+    """Whether a name in class, id or role is that of something around, such as sidebar or site-header, but not share-price."""
     for m in _HINTS.finditer(attributes):
-        words = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()
-        if not _AROUND_WORDS.isdisjoint(_WORD.findall(words)):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if not _AROUND_WORDS.isdisjoint(parts) and all(x in _AROUND_WORDS or x in _NEUTRAL for x in parts):
+                return True
     return False
 
 
-def lines_of(page: str) -> list[Line]:
-    """The blocks of a page as lines, without markup, scripts and styles."""
+def lines_of(page: str, ignored: frozenset[int] = frozenset()) -> list[Line]:
+    """The blocks of a page as lines, without markup, scripts and styles; names of the ``ignored`` elements say nothing."""
     lines: list[Line] = []
     parts: list[tuple[str, bool]] = []
     opened: list[str] = []       # open elements
     held: Counter[str] = Counter()
     around = 0                   # how many are open with the outermost one that stands around the article, if one does
     article: list[int] = []      # numbers of the open article elements
-    articles, links, heading, at, end = 0, 0, False, 0, len(page)
+    articles, links, at, end, hint = 0, 0, 0, len(page), -1
 
     def close(length: int) -> None:
         nonlocal around
@@ -113,9 +122,8 @@ def lines_of(page: str) -> list[Line]:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             own = "".join(p for p, linked in parts if not linked)
-            out = bool(around or (not article and _RIGHTS.match(text)))
-            weight = 0 if out else len(" ".join(html.unescape(own).split()))
-            lines.append(Line(text, weight, article[0] if article else 0, heading, out))
+            weight = 0 if around else len(" ".join(html.unescape(own).split()))
+            lines.append(Line(text, weight, article[0] if article else 0, bool(around), hint if around else -1))
         parts.clear()
 
     while at < end:
@@ -143,10 +151,6 @@ def lines_of(page: str) -> list[Line]:
             links = max(links + (-1 if closing else 1), 0)
         elif name in _BLOCK and not around:
             links = 0
-        if name == "h1":
-            heading = not closing
-        elif name in _BLOCK:
-            heading = False
         if closing:
             if name in _ARTICLE and article and not around:
                 article.pop()
@@ -167,7 +171,8 @@ def lines_of(page: str) -> list[Line]:
             imply(name)
         if name in _VOID or attributes.endswith("/"):
             continue
-        if name in ("body", *_ARTICLE) and not _hinted(attributes):
+        named = bool(attributes) and m.start() not in ignored and _hinted(attributes)
+        if name in ("body", *_ARTICLE) and not named:
             # These end whatever before them was left open, but not an element they lie in by a hint.
             if name == "body" or (around and opened[around - 1] in ("head", "header", "nav")):
                 around = 0
@@ -176,8 +181,10 @@ def lines_of(page: str) -> list[Line]:
         if around:
             continue
         if name in _OUT or (name in _AROUND and not (name == "header" and article)) or (
-                name not in ("body", "html") and attributes and (_HIDDEN.search(attributes) or _hinted(attributes))):
-            around = len(opened)
+                name not in ("body", "html") and attributes and _HIDDEN.search(attributes)):
+            around, hint = len(opened), -1
+        elif named and name not in ("body", "html"):
+            around, hint = len(opened), m.start()
         elif name in _ARTICLE:
             articles += 1
             article.append(articles)
@@ -185,47 +192,77 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
-def main_text(page: str, window: int = WINDOW) -> str:
-    """The lines between the surge and the dive of the page's text, joined by line feeds.
+def _settled_lines(page: str) -> list[Line]:
+    """The lines of a page; a name never puts the element around that holds most of the text."""
+    ignored: frozenset[int] = frozenset()
+    while True:
+        lines = lines_of(page, ignored)
+        total, held = 0, Counter()
+        for x in lines:
+            total += len(x.text)
+            if x.hint >= 0:
+                held[x.hint] += len(x.text)
+        most = max(held, key=held.get, default=-1)
+        if most < 0 or 2 * held[most] <= total:
+            return lines
+        ignored |= {most}
 
-    Every line weighs its characters outside links; lines of menus, footers and
-    the like weigh nothing.  The weights are summed over sliding windows of
-    lines.  Text surges where a window gets weight after one without, and dives
-    where the next one without begins; the heaviest stretch is kept, with others
-    that come near it.  All lines between surge and dive are kept, also those that
-    are links only, but not what stands around.  If elements marked as the article
-    hold most of the weight, all lines in them are kept and none outside them.
+
+def _weights(lines: list[Line]) -> list[int]:
+    """What each line counts for: its characters outside links, or, where an article is marked, all of those in it and none outside.
+
+    A marked article counts if it holds half of the text outside links, or if there is no such text.
     """
-    lines = lines_of(page)
-    total = sum(x.weight for x in lines)
-    if not total:
-        return ""
-    held: dict[int, int] = {}
+    total, held, full = sum(x.weight for x in lines), Counter(), Counter()
     for x in lines:
-        if x.inside:
-            held[x.inside] = held.get(x.inside, 0) + x.weight
-    marked = {k for k, v in held.items() if v}
-    scoped = bool(marked) and 2 * sum(held.values()) >= total
-    if scoped:
-        return "\n".join(x.text for x in lines if x.inside in marked and not x.around)
+        if x.inside and not x.around:
+            held[x.inside] += x.weight
+            full[x.inside] += len(x.text)
+    if full and 2 * sum(held.values()) >= total:
+        marked = {k for k in full if held[k] or not total}
+        return [len(x.text) if x.inside in marked and not x.around else 0 for x in lines]
     weights = [x.weight for x in lines]
-    sums = [sum(weights[max(i - window + 1, 0):i + 1]) for i in range(len(lines))]
-    stretches, start = [], None
-    for i, s in enumerate([*sums, 0]):
-        if s and start is None:
-            start = i
-        elif not s and start is not None:
-            stretches.append((start, i))
-            start = None
-    mass = [sum(weights[a:b]) for a, b in stretches]
-    kept = []
-    for (a, b), m in zip(stretches, mass, strict=True):
-        if m >= SECOND_SHARE * max(mass):
-            # Without an element that says so, what stands before the page's title is not part of the article.
-            titles = [i for i in range(a, b) if lines[i].top]
-            last = max(i for i in range(a, b) if weights[i])
-            kept += [lines[i].text for i in range(titles[0] if titles else a, last + 1) if not lines[i].around]
-    return "\n".join(kept)
+    for i in reversed(range(len(lines))):  # a notice of rights at the very end
+        if not lines[i].around:
+            if not lines[i].inside and len(lines[i].text) <= NOTICE and _RIGHTS.match(lines[i].text) and sum(weights) > weights[i]:
+                weights[i] = 0
+            break
+    return weights
+
+
+def main_text(page: str, window: int = WINDOW) -> str:
+    """The lines between the surges and the dives of the page's text, joined by line feeds.
+
+    Every line weighs its characters outside links; lines of menus, footers and
+    the like weigh nothing, and where an element is marked as the article only
+    lines in it do, links and all.  The weights are summed over sliding windows of
+    lines.  Text surges at the first window of ``SURGE`` characters (half of the
+    fullest window on pages with less), with the lines that lead to it without a
+    gap, and dives where one is empty; all lines between are kept but those that
+    stand around.
+    """
+    lines = _settled_lines(page)
+    weights = _weights(lines)
+    sums = [sum(weights[i:i + window]) for i in range(len(lines))]
+    surge = min(SURGE, (max(sums, default=0) + 1) // 2)
+    in_article = any(w and lines[i].inside for i, w in enumerate(weights))
+    kept, inside = [], False
+    for i, total in enumerate(sums):
+        if not inside and weights[i] and (total >= surge or in_article):
+            inside, start = True, i
+            while start and weights[start - 1]:  # short lines that lead to it
+                start -= 1
+            kept.append([(j, lines[j].text) for j in range(start, i)])
+        elif inside and not total:
+            inside = False
+        if inside and not lines[i].around:
+            kept[-1].append((i, lines[i].text))
+    # Lines without weight at the dive belong to what follows.
+    texts = []
+    for stretch in kept:
+        last = max((i for i, _ in stretch if weights[i]), default=-1)
+        texts += [text for i, text in stretch if i <= last]
+    return "\n".join(texts)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

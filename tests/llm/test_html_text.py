@@ -2,6 +2,7 @@ import html
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from surveyloom.llm import html_text
 
@@ -43,6 +44,26 @@ def test_pages_give_their_articles(spark):
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner))
         assert r.text == "\n".join(b for b in blocks if b)
         assert r.n_chars == len(r.text)
+    # The distribution finds the same where nothing marks the article.
+    unmarked = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    assert {r.id: r.text for r in html_text.extract(unmarked).collect()} == {r.id: r.text for r in html_text.extract(pages).collect()}
+
+
+LONG = "A sentence of the body that is long enough to count."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article><p class='share-price'>Up.</p><p class='related-work'>Others.</p><div class='article-header'><h1>T</h1></div><p>{LONG}</p></article>",
+     f"Up.\nOthers.\nT\n{LONG}"),
+    (f"<body><div class='no-sidebar content'><p>{LONG}</p></div><div class='site-header'>Top</div></body>", LONG),
+    (f"<div class='widget'><nav>menu</nav><p>{LONG}</p><p>{LONG}</p></div><p>x</p>", f"{LONG}\n{LONG}\nx"),
+    ("<article><p><a href=x>Only links</a></p><p><a href=y>in here</a></p></article><p><a href=z>z</a></p>", "Only links\nin here"),
+    (f"<p>{LONG}</p>" + "<p><a href=x>l</a></p>" * 5 + f"<p>{LONG}</p><p>Closing words.</p>", f"{LONG}\n{LONG}\nClosing words."),
+    (f"<p>{LONG}</p><h1>Later title</h1><p>{LONG}</p>", f"{LONG}\nLater title\n{LONG}"),
+    (f"<p>Copyright 2020 was the year of the reform.</p><p>{LONG}</p>", f"Copyright 2020 was the year of the reform.\n{LONG}"),
+    (f"<div>{LONG}</div><ul class='nav-links'><li>a</li></ul><div id='cookieBanner'>{LONG}</div><div class='social-share'>s</div>", LONG)])
+def test_names_and_notices_take_no_text_of_the_article(page, text):
+    assert html_text.main_text(page) == text
 
 
 def test_odd_rows_and_empty_table(spark):
