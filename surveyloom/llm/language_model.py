@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.arrowtext import chunks, coded, words_of
 from surveyloom.llm.common import whole_text
-from surveyloom.llm.suffix_tree import DISCOUNT
 from surveyloom.sources.scratch import settle
 
 # The end of a text as a word; no word holds white space.
 END = "\n"
+# Taken off every count of a stored successor, for the successors that are not stored.
+DISCOUNT = 0.75
 # A context is tested if it was seen so often, and a successor stored in it if it was
 # seen so often after it.  Both are counts, so the model grows with the corpus.
 CONTEXT_SEEN, STORED_SEEN = 10, 2

@@ -1,4 +1,4 @@
-"""A probabilistic suffix tree over word symbols: growing, testing and scoring in numpy."""
+"""A probabilistic suffix tree over word symbols in numpy, which the tables of the library are held against."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-# Taken off every count of a stored successor, for the successors that are not stored.
-DISCOUNT = 0.75
+from surveyloom.llm.language_model import DISCOUNT
 
 
 def positions(ends: np.ndarray) -> np.ndarray:

@@ -5,11 +5,11 @@ import random
 import numpy as np
 import pytest
 from plain import DOCS, odd_rows, remainder, spaced_words
+from suffix_tree import SuffixTree
 from pyspark.sql import functions as F
 
 from surveyloom.llm import language_model
 from surveyloom.llm.common import remainder as column_remainder
-from surveyloom.llm.suffix_tree import SuffixTree
 
 
 def held_out():
