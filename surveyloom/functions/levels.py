@@ -28,10 +28,6 @@ class Levels:
         """Position of the label, from 1; NULL for a label that is not declared."""
         return F.nullif(F.array_position(F.array(*map(F.lit, self.labels)), column), F.lit(0))
 
-    def restrict(self, column: Column) -> Column:
-        """Keep declared labels, turn anything else into NULL."""
-        return F.when(column.isin(list(self.labels)), column)
-
     def table(self, spark: SparkSession) -> DataFrame:
         """The level list as a two-column table ``level, ord``."""
         rows = F.array(*[F.struct(F.lit(label).alias("level"), F.lit(i).alias("ord"))
@@ -57,16 +53,3 @@ class Codebook:
         """Look the code up in a literal map; unlisted codes become NULL."""
         lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(self.pairs)])
         return F.try_element_at(lookup, column)
-
-    def label_by_join(self, df: DataFrame, code: str, target: str) -> DataFrame:
-        """The same lookup for codebooks of thousands of codes.
-
-        The codebook is a driver-side constant, so the broadcast side is as
-        small as the program text that declares it.
-        """
-        key = "_code"
-        type_of_code = df.schema[code].dataType
-        rows = F.array(*[F.struct(F.lit(c).alias(key), F.lit(l).alias(target)) for c, l in self.pairs])
-        dim = (df.sparkSession.range(1).select(F.inline(rows))
-               .withColumn(key, F.col(key).cast(type_of_code)))
-        return df.join(F.broadcast(dim), df[code] == dim[key], "left").drop(key)

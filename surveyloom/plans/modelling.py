@@ -112,11 +112,45 @@ def odds_ratio_ci(spark, folder):
     return _rounded(logit.odds_ratio_limits(spark, fit), "lower", "upper")
 
 
-@query()
+def _deviance_sql(intercept, effect):
+    """SQL of the deviance of two groups: y0 of n0 and y1 of n1 positive."""
+    def part(y, n, eta):
+        return f"{y} * ln(1 + exp(-({eta}))) + ({n} - {y}) * ln(1 + exp({eta}))"
+    return f"2 * ({part('y0', 'n0', intercept)} + {part('y1', 'n1', f'{intercept} + {effect}')})"
+
+
+# Where the deviance of the best fit with one coefficient held has grown by the critical value, by bisection.  With the
+# effect held the odds of the first group solve a quadratic equation; with the intercept held the second group fits as before.
+PROFILE_SQL = f"""
+select coefficient, round(exp(max(spot) filter (where side = -1)), 5) as lower, round(exp(max(spot) filter (where side = 1)), 5) as upper
+from (with recursive t as (
+    select cast(count(*) filter (where exercise = 'Yes') as double) as n0, cast(count(*) filter (where exercise = 'No') as double) as n1,
+      cast(count(*) filter (where exercise = 'Yes' and hd = 'Yes') as double) as y0,
+      cast(count(*) filter (where exercise = 'No' and hd = 'Yes') as double) as y1
+    from survey_clean where hd is not null),
+  best as (select *, ln(y0 / (n0 - y0)) as a, ln(y1 / (n1 - y1)) - ln(y0 / (n0 - y0)) as b from t),
+  fit as (select *, {_deviance_sql('a', 'b')} as dev from best),
+  search as (
+    select coefficient, side, 0 as i, case when coefficient = 'exerciseNo' then b else a end as inside,
+      case when coefficient = 'exerciseNo' then b else a end + side * 3.0e0 as outside
+    from fit, (values ('exerciseNo'), ('(Intercept)')) as c(coefficient), (values (-1), (1)) as s(side)
+    union all
+    select coefficient, side, i + 1, case when gain < 3.841458820694124e0 then spot else inside end,
+      case when gain < 3.841458820694124e0 then outside else spot end
+    from (select *, case when coefficient = 'exerciseNo' then {_deviance_sql('ln(odds)', 'spot')} - dev
+            else {_deviance_sql('spot', '(a + b - spot)')} - dev end as gain
+      from (select *, (-q + sqrt(q * q + 4 * p * (y0 + y1))) / (2 * p) as odds
+        from (select *, exp(spot) * (n0 + n1 - y0 - y1) as p, n0 + n1 * exp(spot) - (y0 + y1) * (1 + exp(spot)) as q
+          from (select *, (inside + outside) / 2 as spot from search where i < 60), fit))))
+  select coefficient, side, inside as spot from search where i = 60)
+group by coefficient"""
+
+
+@query(over_clean(PROFILE_SQL))
 def odds_ratio_ci_profile(spark, folder):
     patterns = answer_patterns(survey_clean(spark, folder), [EXERCISE], "hd", "Yes")
     fit = logit.fit_logit(patterns, [EXERCISE])
-    return logit.odds_ratio_limits(spark, fit, patterns, method="profile")
+    return _rounded(logit.odds_ratio_limits(spark, fit, patterns, method="profile"), "lower", "upper")
 
 
 @query(over_clean("select coefficient, round(abs(b / se), 4) as importance from k where coefficient <> '(Intercept)'",

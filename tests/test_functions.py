@@ -47,8 +47,6 @@ def test_codebook_merges_labels_and_nulls_unlisted_codes(spark):
     expected = ["Yes", "Yes, but during pregnancy", "No", "No", None, None]
     assert values(df, book.label(F.col("x"))) == expected
     assert book.levels.labels == ("Yes", "Yes, but during pregnancy", "No")
-    joined = {row.x: row.label for row in book.label_by_join(df, "x", "label").collect()}
-    assert joined == dict(zip((1, 2, 3, 4, 9, None), expected))
 
 
 def test_level_order_and_placeholder(spark):
@@ -56,7 +54,6 @@ def test_level_order_and_placeholder(spark):
     df = spark.createDataFrame([("high",), ("other",), (None,)], "x string").coalesce(1)
     assert values(df, levels.ordinal(F.col("x"))) == [3, None, None]
     assert values(df, levels.ordinal(fill_missing(F.col("x")))) == [3, None, 4]
-    assert values(df, levels.restrict(F.col("x"))) == ["high", None, None]
     assert [tuple(r) for r in levels.table(spark).orderBy("ord").collect()] == [
         ("low", 1), ("mid", 2), ("high", 3), ("Missing", 4)]
 
