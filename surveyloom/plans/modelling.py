@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from surveyloom.models import forest, linear, logit, pruning, trees
+from surveyloom.models import forest, linear, logit, pruning, store, trees
 from surveyloom.models.design import Term, answer_patterns
 from surveyloom.models.design import design_matrix as design_of
 from surveyloom.operators import metrics
@@ -14,7 +14,7 @@ from surveyloom.plans import survey
 from surveyloom.plans.exploring import balanced_split
 from surveyloom.plans.registry import over_clean, query, rounded
 from surveyloom.plans.survey import survey_clean
-from surveyloom.sources import settle
+from surveyloom.sources import scratch_folder, settle
 
 c = F.col
 
@@ -300,6 +300,27 @@ def stump_class(spark, folder):
     return pruning.predict_class(rows, pruned).select("resp_id", "obese", "predicted")
 
 
+@query(over_clean("""
+select resp_id, obese, case when (v <= cut) = (yl > nl - yl) then 'Yes' else 'No' end as predicted from w, best""", STUMP_SQL))
+def tree_from_table(spark, folder):
+    """The tree of one split written as a table, and rows scored by joins with it."""
+    rows, pruned = _stump(spark, folder)
+    path = scratch_folder(spark)
+    store.node_rows(spark, [pruned.tree.splits], [WEIGHT_BAND]).write.parquet(path)
+    said = store.score_by_nodes(rows, spark.read.parquet(path), [WEIGHT_BAND], "resp_id")
+    return rows.join(said.select("resp_id", F.col("class").alias("predicted")), "resp_id").select("resp_id", "obese", "predicted")
+
+
+@query(over_clean("""
+select resp_id, round(y / (y + n), 6) as probability from survey_clean join t using (genhlth)""", ONE_FACTOR_SQL))
+def logit_from_table(spark, folder):
+    """Probabilities by a written table of coefficients."""
+    path = scratch_folder(spark)
+    store.coefficient_rows(spark, _one_factor(spark, folder)[1]).write.parquet(path)
+    probability = store.probability_from(spark.read.parquet(path), [HEALTH])
+    return survey_clean(spark, folder).select("resp_id", rounded(probability).alias("probability"))
+
+
 # ---- trees of one split on one column, which plain SQL can follow through folds, bootstraps and permutations
 
 def _u(*parts):
@@ -451,6 +472,12 @@ def _forest(spark, folder):
     return _kept[key]
 
 
+@query()
+def forest_nodes(spark, folder):
+    """The nodes of all trees."""
+    return store.node_rows(spark, _forest(spark, folder).trees, PREDICTORS)
+
+
 @query()
 def forest_fit(spark, folder):
     test = forest.labelled_rows(_part(spark, folder, False), PREDICTORS, "hd", "Yes", "resp_id")

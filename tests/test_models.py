@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom.models import forest, growing, likelihood, linear, logit, pruning, trees
+from surveyloom.models import forest, growing, likelihood, linear, logit, pruning, store, trees
 from surveyloom.models.design import Term, answer_patterns, design_matrix
 
 G = Term("g", ("a", "b", "c"))
@@ -388,3 +388,24 @@ def test_heights_are_those_of_the_rows(people):
         p = 1 / (1 + np.exp(-linear))
         assert np.allclose(got.gradient, mine.T @ (y - p)) and np.allclose(got.information, (mine * (p * (1 - p))[:, None]).T @ mine)
         assert math.isclose(got.deviance, 2 * np.sum(np.logaddexp(0, np.where(y == 1, -linear, linear))), rel_tol=1e-10)
+
+
+def test_models_come_back_from_their_tables(spark, people, tmp_path):
+    terms = [G, H, X]
+    rows = forest.labelled_rows(people, terms, "hd", "Yes", "id")
+    grown = forest.fit_forest(rows, terms, trees=3, max_depth=5)
+    store.node_rows(spark, grown.trees, terms).write.parquet(str(tmp_path / "nodes"))
+    other = spark.newSession()
+    nodes = other.read.parquet(str(tmp_path / "nodes"))
+    assert all(same_tree(a, b) for a, b in zip(grown.trees, store.read_trees(nodes, terms), strict=True))
+    again = other.createDataFrame(rows.withColumnRenamed("row_id", "id").toPandas())
+    said = {(r.id, r.tree): r["class"] for r in store.score_by_nodes(again, nodes, terms, "id").collect()}
+    given = rows.select("row_id", *[t.position().alias(t.name) for t in terms]).collect()
+    values = np.array([[r[t.name] for t in terms] for r in given])
+    assert said == {(r.row_id, k): ("No", "Yes")[c] for k, tree in enumerate(grown.trees) for r, c in zip(given, tree.classes(values))}
+
+    fit = logit.fit_logit(answer_patterns(people, terms, "hd", "Yes"), terms)
+    store.coefficient_rows(spark, fit).write.parquet(str(tmp_path / "logit"))
+    read = store.probability_from(other.read.parquet(str(tmp_path / "logit")), terms)
+    both = people.select(fit.probability().alias("a"), read.alias("b")).collect()
+    assert all((r.a is None and r.b is None) or math.isclose(r.a, r.b, rel_tol=1e-12) for r in both)
