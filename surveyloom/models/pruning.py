@@ -10,7 +10,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from fractions import Fraction
 from functools import cached_property, reduce
 from itertools import accumulate
@@ -154,23 +154,22 @@ def predict_class(df: DataFrame, pruned: Pruned, target: str = "predicted") -> D
     """Add the class by the rules of the pruned tree.
 
     A row with a missing answer or one that is not a declared level has a missing
-    class.  The expression has one test per split that was kept.
+    class.  Batches of rows walk the tree as arrays, so the plan stays the same
+    for any number of splits.
     """
-    terms, nodes = pruned.tree.terms, pruned.tree.nodes
-
-    def rule(i: int) -> Column:
-        node = nodes[i]
-        if pruned.is_leaf(node):
-            return F.lit(CLASSES[node.prediction])
-        term = terms[node.term]
-        if node.threshold is not None:
-            left = F.col(term.name).cast("double") <= node.threshold
-        else:
-            left = F.col(term.name).cast("string").isin([term.levels[k] for k in node.left_set])
-        return F.when(left, rule(node.left)).otherwise(rule(node.right))
+    terms, whole = pruned.tree.terms, pruned.tree.splits
+    kept = np.zeros(len(whole.term), bool)
+    kept[list(pruned.split_nodes)] = True
+    splits = replace(whole, term=np.where(kept, whole.term, -1))
+
+    @F.pandas_udf("string")
+    def said(answers: pd.DataFrame) -> pd.Series:
+        return pd.Series(np.array(CLASSES, dtype=object)[splits.classes(answers.to_numpy(np.float64))])
 
     usable = reduce(Column.__and__, [F.coalesce(term.usable(), F.lit(False)) for term in terms])
-    return df.withColumn(target, F.when(usable, rule(0)))
+    # Answers that are not usable have some place on the way, and no class at its end.
+    answers = F.struct(*[F.coalesce(place, F.lit(0.0)).alias(f"p{i}") for i, place in enumerate(placed(terms))])
+    return df.withColumn(target, F.when(usable, said(answers)))
 
 
 # ---- complexity table
