@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.models.design import Term
+from surveyloom.models.forest import Forest
 from surveyloom.models.growing import Splits, placed
 from surveyloom.models.logit import INTERCEPT, Logit
 from surveyloom.models.trees import CLASSES
@@ -19,23 +20,41 @@ NODES = ("tree int, node int, left int, right int, term string, threshold double
          "class string")
 
 
-def node_rows(spark: SparkSession, trees: Sequence[Splits], terms: Sequence[Term]) -> DataFrame:
-    """One row per node of every tree: children, the term and the answers or numbers that go left, rows of both classes."""
+def _node_columns(number: int, tree: Splits, terms: Sequence[Term]) -> list:
     names = np.array([t.name for t in terms] + [None], dtype=object)
     factor = np.array([t.is_factor for t in terms] + [False])
-    columns: dict[str, list] = {f.split()[0]: [] for f in NODES.split(", ")}
+    size, inner = len(tree.term), tree.term >= 0
+    sides = [np.where(inner, side, None).tolist() for side in (tree.left, tree.right)]
+    levels = [[terms[j].levels[k] for k in np.flatnonzero(tree.goes_left[i])] if factor[j] else None
+              for i, j in enumerate(tree.term.tolist())]
+    threshold = np.where(np.isnan(tree.threshold), None, tree.threshold).tolist()
+    return [[number] * size, range(size), *sides, names[tree.term].tolist(), threshold, levels, tree.counts[:, 0].tolist(),
+            tree.counts[:, 1].tolist(), np.array(CLASSES)[tree.labels].tolist()]
+
+
+def node_rows(spark: SparkSession, trees: Sequence[Splits], terms: Sequence[Term]) -> DataFrame:
+    """One row per node of every tree: children, the term and the answers or numbers that go left, rows of both classes."""
+    columns: list[list] = [[] for _ in NODES.split(", ")]
     for number, tree in enumerate(trees):
-        size, inner = len(tree.term), tree.term >= 0
-        sides = [np.where(inner, side, None).tolist() for side in (tree.left, tree.right)]
-        levels = [[terms[j].levels[k] for k in np.flatnonzero(tree.goes_left[i])] if factor[j] else None
-                  for i, j in enumerate(tree.term.tolist())]
-        threshold = np.where(np.isnan(tree.threshold), None, tree.threshold).tolist()
-        found = ([number] * size, range(size), *sides, names[tree.term].tolist(), threshold, levels, tree.counts[:, 0].tolist(),
-                 tree.counts[:, 1].tolist(), np.array(CLASSES)[tree.labels].tolist())
-        for column, values in zip(columns.values(), found, strict=True):
+        for column, values in zip(columns, _node_columns(number, tree, terms), strict=True):
             column.extend(values)
     shape = spark.createDataFrame([], NODES).toArrow().schema
-    return spark.createDataFrame(pa.table([pa.array(v, f.type) for v, f in zip(columns.values(), shape)], schema=shape))
+    return spark.createDataFrame(pa.table([pa.array(v, f.type) for v, f in zip(columns, shape)], schema=shape))
+
+
+def forest_node_rows(forest: Forest) -> DataFrame:
+    """``node_rows`` of a forest, listed in tasks, a tree at a time."""
+    shape = forest.packed.sparkSession.createDataFrame([], NODES).toArrow().schema
+    terms = forest.terms
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                columns = _node_columns(row["tree"], Splits.unpacked(row), terms)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, shape)], schema=shape)
+
+    return forest.packed.drop("saved").repartition(forest.count, "tree").mapInArrow(listed, NODES)
 
 
 def read_trees(nodes: DataFrame, terms: Sequence[Term]) -> list[Splits]:

@@ -475,7 +475,7 @@ def _forest(spark, folder):
 @query()
 def forest_nodes(spark, folder):
     """The nodes of all trees."""
-    return store.node_rows(spark, _forest(spark, folder).trees, PREDICTORS)
+    return store.forest_node_rows(_forest(spark, folder))
 
 
 @query()

@@ -324,6 +324,25 @@ def test_out_of_bag_curve(people):
     assert majority == {r.row_id: "Yes" if votes[:, i].sum() > 3 else "No" for i, r in enumerate(given)}
 
 
+def test_no_node_of_a_forest_comes_to_the_driver(people, monkeypatch):
+    """And where rows and trees are cut into slices and groups shows in nothing."""
+    terms = [G, H, X]
+    rows = forest.labelled_rows(people, terms, "hd", "Yes", "id")
+    grown = forest.fit_forest(rows, terms, trees=5, max_depth=6)
+
+    def results():
+        return [sorted(map(tuple, found.collect())) for found in (
+            forest.oob_curve(rows, grown), forest.predict_forest(rows, grown), forest._drops(rows, grown, 200, 400))]
+
+    whole = results()
+    monkeypatch.setattr(forest, "SLICE_ROWS", 400)
+    monkeypatch.setattr(forest, "GROUP_NODES", 50)
+    listed = sorted(map(str, store.node_rows(people.sparkSession, grown.trees, terms).collect()))
+    assert "trees" not in forest.Forest.__dataclass_fields__ and len(whole[0]) == 20
+    assert listed == sorted(map(str, store.forest_node_rows(grown).collect()))
+    assert results() == whole
+
+
 def test_every_value_is_swapped_exactly_once(people):
     rows = forest.labelled_rows(people, [G, H, X], "hd", "Yes", "id")
     for block_rows in (100_000, 100):
@@ -356,6 +375,19 @@ def test_class_of_missing_and_undeclared_answers_is_missing(people):
     assert len(rows) == 53 and sum(r.predicted is None for r in rows) >= 3
 
 
+def test_the_plan_of_a_prediction_does_not_grow_with_the_tree(people):
+    patterns = answer_patterns(people, [G, H, X], "hd", "Yes")
+    tree = trees.grow_tree(patterns, [G, H, X], min_split=2, min_bucket=1)
+    sizes, cps = [], (0.5, 0.0)
+    for cp in cps:
+        pruned = pruning.prune(tree, cp)
+        predicted = pruning.predict_class(people, pruned)
+        plan = predicted._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(plan))
+        assert predicted.where("hd <> predicted").count() == pruned.loss
+    assert len(pruned.nodes()) > 40 and sizes[1] < 1.1 * sizes[0]
+
+
 def test_separated_coefficient_has_an_infinite_limit(spark):
     def solve(f, *ends):
         search = likelihood.root(*ends)
