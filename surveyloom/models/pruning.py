@@ -48,73 +48,81 @@ def link_strengths(tree: Tree) -> dict[int, Fraction]:
     Weakest links go first: the node whose branch saves the least loss per
     extra leaf.  A node never goes later than one above it.  Losses are counts of
     rows, so the ratios are those of whole numbers and equal ones are equal.
+
+    Seen from below, a node goes where its loss as a leaf meets that of its branch
+    pruned at the same penalty.  Nodes below that go later by themselves go with
+    it and are dropped for good, so each is taken from its queue once.
     """
-    nodes = tree.nodes
-    above: dict[int, int] = {}
-    own = {i: _exact(node.loss) for i, node in nodes.items()}
-    loss: dict[int, int | Fraction] = {}
-    leaves: dict[int, int] = {}
-    for node in reversed(list(preorder(nodes, lambda n: n.is_leaf))):
-        loss[node.id], leaves[node.id] = own[node.id], 1
-        if not node.is_leaf:
-            above[node.left] = above[node.right] = node.id
-            loss[node.id] = loss[node.left] + loss[node.right]
-            leaves[node.id] = leaves[node.left] + leaves[node.right]
+    left, right = tree.splits.left.tolist(), tree.splits.right.tolist()
+    own = [_exact(loss) for loss in tree.splits.counts.min(axis=1).tolist()]
 
     # The quotient of two whole numbers is rounded once, so equal ratios give equal numbers; different ones do
     # too only where their products pass 2 ** 52, and are then compared as ratios.
-    small = own[0] * leaves[0] < 2 ** 52 and all(isinstance(x, int) for x in own.values())
+    small = own[0] * (len(own) + 1) // 2 < 2 ** 52 and all(isinstance(x, int) for x in own)
 
-    def strength(i: int) -> float | Fraction:
-        saved, extra = own[i] - loss[i], leaves[i] - 1
+    def strength(saved: int | Fraction, extra: int) -> float | Fraction:
         return saved / extra if small else Fraction(saved) / extra
 
-    open_nodes = {n.id for n in nodes.values() if not n.is_leaf}
-    queue = [(strength(i), i) for i in open_nodes]
-    heapq.heapify(queue)
+    # For each node, the nodes below that go before it: strength (largest first), loss gained, leaves removed.
+    queues: dict[int, list[tuple]] = {}
+    goes: dict[int, tuple] = {}
+    for i in range(len(own) - 1, -1, -1):  # children come after their parents
+        if left[i] < 0:
+            continue
+        queue, other = sorted((queues.pop(left[i], []), queues.pop(right[i], [])), key=len, reverse=True)
+        for event in other:
+            heapq.heappush(queue, event)
+        saved, extra = own[i] - own[left[i]] - own[right[i]], 1
+        value = strength(saved, extra)
+        while queue and -queue[0][0] > value:
+            _, gained, removed = heapq.heappop(queue)
+            saved, extra = saved + gained, extra + removed
+            value = strength(saved, extra)
+        heapq.heappush(queue, (-value, saved, extra))
+        queues[i] = queue
+        goes[i] = value, saved, extra
+
     collapsed: dict[int, Fraction] = {}
-    key, penalty = 0, Fraction(0)
-    while queue:
-        value, top = heapq.heappop(queue)
-        if top not in open_nodes or value != strength(top):
-            continue  # an outdated entry
-        if value > key:
-            key, penalty = value, Fraction(own[top] - loss[top]) / (leaves[top] - 1)
-        gained, removed = own[top] - loss[top], leaves[top] - 1
-        for node in list(preorder(nodes, lambda n: n.id not in open_nodes, top)):
-            if node.id in open_nodes:
-                open_nodes.discard(node.id)
-                collapsed[node.id] = penalty
-        parent = above.get(top)
-        while parent is not None:
-            loss[parent] += gained
-            leaves[parent] -= removed
-            heapq.heappush(queue, (strength(parent), parent))
-            parent = above.get(parent)
+    reached: dict[int, float | Fraction] = {}
+    for i in sorted(goes):
+        value, saved, extra = goes[i]
+        if i in reached and reached[i] <= value:
+            value = reached[i]
+        else:
+            collapsed[i] = Fraction(saved) / extra
+        for child in (left[i], right[i]):
+            if child in goes:
+                reached[child], collapsed[child] = value, collapsed[i]
     return collapsed
 
 
 def shares_of_root(tree: Tree, strengths: dict[int, Fraction]) -> dict[int, float]:
     """The strengths as complexity parameters, each rounded once: a cp read from a table finds its own nodes."""
-    root = _exact(tree.nodes[0].loss)
+    root = _exact(tree.splits.counts[0].min().item())
     return {i: float(strength / root) if root else 0.0 for i, strength in strengths.items()}
 
 
 def loss_by_penalty(tree: Tree, strengths: dict[int, float | Fraction],
-                    loss: dict[int, float]) -> Callable[[float], tuple[int, float]]:
+                    loss: Sequence[float]) -> Callable[[float], tuple[int, float]]:
     """Splits and total loss of the pruning at any penalty, given the loss of each node as a leaf.
 
     A node is split exactly if its strength exceeds the penalty, so the
-    answer is a running sum over the nodes in order of strength.
+    answer is a running sum over the strengths in falling order.
     """
-    order = sorted(strengths, key=strengths.get, reverse=True)
-    falling = [-strengths[i] for i in order]
-    saved = list(accumulate((loss[i] - loss[tree.nodes[i].left] - loss[tree.nodes[i].right] for i in order),
-                            initial=0.0))
+    left, right = tree.splits.left.tolist(), tree.splits.right.tolist()
+    nodes: dict[float | Fraction, int] = {}
+    saved: dict[float | Fraction, float] = {}
+    for i, strength in strengths.items():
+        nodes[strength] = nodes.get(strength, 0) + 1
+        saved[strength] = saved.get(strength, 0.0) + (loss[i] - loss[left[i]] - loss[right[i]])
+    order = sorted(nodes, reverse=True)
+    falling = [-strength for strength in order]
+    splits = list(accumulate((nodes[x] for x in order), initial=0))
+    less = list(accumulate((saved[x] for x in order), initial=0.0))
 
     def at(penalty: float) -> tuple[int, float]:
-        splits = bisect_left(falling, -penalty)
-        return splits, loss[0] - saved[splits]
+        reached = bisect_left(falling, -penalty)
+        return splits[reached], loss[0] - less[reached]
     return at
 
 
@@ -176,11 +184,11 @@ def predict_class(df: DataFrame, pruned: Pruned, target: str = "predicted") -> D
 
 def cp_rows(tree: Tree, strengths: dict[int, Fraction]) -> list[tuple[float, int, float]]:
     """``cp, nsplit, rel_error`` from the bare root to the full tree, cp falling to 0."""
-    root = tree.nodes[0].loss
+    root = tree.splits.counts[0].min().item()
     if not root:
         return [(0.0, 0, 1.0)]
     shares = shares_of_root(tree, strengths)
-    at = loss_by_penalty(tree, shares, {i: n.loss for i, n in tree.nodes.items()})
+    at = loss_by_penalty(tree, shares, tree.splits.counts.min(axis=1).tolist())
     cps = [*sorted({share for share in shares.values() if share > 0}, reverse=True), 0.0]
     return [(cp, splits, loss / root) for cp, (splits, loss) in ((cp, at(cp)) for cp in cps)]
 
@@ -207,44 +215,56 @@ def held_out_counts(patterns: DataFrame, trees: Sequence[Tree]) -> DataFrame:
             .groupBy("fold", "leaf", "y").agg(F.sum("weight").alias("n")))
 
 
-def errors_of(tree: Tree, strengths: dict[int, Fraction], penalties: Sequence[float], counts: Sequence) -> list[float]:
-    """Wrong predictions on other rows, given as counts per leaf and class, at each penalty."""
-    seen = {i: [0.0, 0.0] for i in tree.nodes}
-    for row in counts:
-        seen[row.leaf][int(row.y)] += row.n
-    for i in sorted(tree.nodes, reverse=True):  # children come after their parents
-        node = tree.nodes[i]
-        if not node.is_leaf:
-            seen[i] = [a + b for a, b in zip(seen[node.left], seen[node.right])]
-    wrong = {i: seen[i][1 - node.prediction] for i, node in tree.nodes.items()}
-    at = loss_by_penalty(tree, strengths, wrong)
+def errors_of(tree: Tree, strengths: dict[int, Fraction], penalties: Sequence[float], counts: pd.DataFrame) -> list[float]:
+    """Wrong predictions on other rows, given as counts ``n`` per ``leaf`` and class ``y``, at each penalty."""
+    splits = tree.splits
+    left, right, labels = splits.left.tolist(), splits.right.tolist(), splits.labels.tolist()
+    place = 2 * counts["leaf"].to_numpy(np.int64) + counts["y"].to_numpy(np.float64).astype(np.int64)
+    seen = np.bincount(place, counts["n"].to_numpy(np.float64), 2 * len(left)).reshape(-1, 2).tolist()
+    for i in range(len(left) - 1, -1, -1):  # children come after their parents
+        if left[i] >= 0:
+            seen[i] = [a + b for a, b in zip(seen[left[i]], seen[right[i]])]
+    at = loss_by_penalty(tree, strengths, [both[1 - label] for both, label in zip(seen, labels)])
     return [at(penalty)[1] for penalty in penalties]
 
 
+def held_out_errors(patterns: DataFrame, trees: Sequence[Tree], penalties: Sequence[Sequence[float]]) -> list[list[float]]:
+    """By fold, the wrong predictions on its rows by the tree grown without them, at each of its penalties.
+
+    Every fold prunes its tree in a task of its own; the driver gets as many numbers as there are penalties.
+    """
+    def judge(mine: pd.DataFrame) -> pd.DataFrame:
+        fold = int(mine["fold"].iloc[0])
+        errors = errors_of(trees[fold], link_strengths(trees[fold]), penalties[fold], mine)
+        return pd.DataFrame({"fold": [fold], "errors": [errors]})
+
+    counts = held_out_counts(patterns, trees).repartition(len(trees), "fold")  # a number that is given is not lowered
+    found = counts.groupBy("fold").applyInPandas(judge, "fold int, errors array<double>").toArrow()
+    errors = [[0.0] * len(each) for each in penalties]  # of folds without rows
+    for fold, each in zip(found.column("fold").to_pylist(), found.column("errors")):
+        errors[fold] = each.values.to_pylist()
+    return errors
+
+
 def cp_table(patterns: DataFrame, terms: Sequence[Term], folds: int = FOLDS, max_depth: int = MAX_DEPTH,
              min_bucket: int = MIN_BUCKET, min_split: int = MIN_SPLIT) -> tuple[Tree, list[tuple]]:
     """Grow a tree and cross-validate its prunings.
 
     ``patterns`` carry a ``fold`` column.  Returns the tree and rows
     ``cp, nsplit, rel_error, xerror, xstd``.  The tree and those without one fold
-    each are grown together.  The held-out rows of a fold come back as counts per
-    leaf, from which the errors of all prunings follow.
+    each are grown together.  The held-out rows of a fold meet its tree as counts per
+    leaf, from which the errors of all prunings follow; a task does that for a fold.
     """
     each = [F.when(F.col("fold") == fold, 0.0).otherwise(F.col("weight")) for fold in range(folds)]
     *parts, tree = [Tree(tuple(terms), grown) for grown in grow_trees(
         by_class(patterns), terms, F.array(*each, "weight"), folds + 1, Limits(max_depth, min_bucket, min_split))]
     rows = cp_rows(tree, link_strengths(tree))
-    total, root = tree.nodes[0].n, tree.nodes[0].loss
+    total, root = tree.splits.counts[0].sum().item(), tree.splits.counts[0].min().item()
     cps = [cp for cp, _, _ in rows]
     # A pruning holds between its own cp and the one above: test halfway.
     betas = [math.inf if i == 0 else math.sqrt(cps[i] * cps[i - 1]) for i in range(len(cps))]
-    by_fold: dict[int, list] = {}
-    for row in held_out_counts(patterns, parts).collect():  # two rows per leaf at most
-        by_fold.setdefault(row.fold, []).append(row)
-    errors = []
-    for fold, part in enumerate(parts):
-        scale = root * part.nodes[0].n / total if total else 0.0
-        errors.append(errors_of(part, link_strengths(part), [beta * scale for beta in betas], by_fold.get(fold, [])))
+    scales = [root * part.splits.counts[0].sum().item() / total if total else 0.0 for part in parts]
+    errors = held_out_errors(patterns, parts, [[beta * scale for beta in betas] for scale in scales])
     wrong = [sum(each) for each in zip(*errors)]
     return tree, [(cp, splits, rel, e / root if root else 0.0, math.sqrt(max(e - e * e / total, 0.0)) / root if root else 0.0)
                   for (cp, splits, rel), e in zip(rows, wrong)]

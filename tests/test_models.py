@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 from itertools import combinations
 
 import numpy as np
@@ -295,6 +296,35 @@ def test_prune_at_a_cp_of_the_table_gives_its_row(root):
         assert len({cp for cp, _, _ in rows}) == len(rows)
 
 
+def test_cp_table_prunes_in_tasks(people):
+    """The driver keeps arrays only, and a fold without rows has no errors."""
+    patterns = answer_patterns(people, [G, H, X], "hd", "Yes", keep=[pruning.fold_of("id", 200, 3)])
+    tree, rows = pruning.cp_table(patterns, [G, H, X], folds=3)
+    assert "nodes" not in vars(tree) and len(rows) > 2
+    penalties = [[math.inf, 1.0], [0.5], [math.inf]]
+    by_fold = pruning.held_out_errors(patterns.where("fold <> 1"), [tree] * 3, penalties)
+    wrong = patterns.where("fold = 2").agg(F.sum("positive"), F.sum("weight")).first()
+    assert [len(each) for each in by_fold] == [2, 1, 1] and by_fold[1] == [0.0]
+    assert by_fold[2] == [wrong[1] - wrong[0] if tree.splits.labels[0] else wrong[0]]
+
+
+def test_link_strengths_of_a_deep_tree():
+    """Splits in a chain, each saving one row more than the one below: every one goes by itself, in little time."""
+    depth, other = 6_000, 10 ** 9
+    n = 2 * depth + 1
+    place = np.arange(n)
+    inner = (place % 2 == 0) & (place < n - 1)
+    # Node 2k splits off a pure leaf of depth - k positives.
+    yes = np.where(place % 2 == 0, (depth - place // 2) * (depth - place // 2 + 1) // 2, depth - place // 2)
+    no = np.where(place % 2 == 0, other, 0)
+    tree = trees.Tree((X,), growing.Splits(np.where(inner, 0, -1), np.full(n, 0.5), np.zeros((n, 1), bool),
+                                           np.where(inner, place + 1, -1), np.where(inner, place + 2, -1),
+                                           np.stack([no, yes], axis=1).astype(float)))
+    start = time.process_time()
+    assert pruning.link_strengths(tree) == {2 * k: depth - k for k in range(depth)}
+    assert time.process_time() - start < 5
+
+
 def test_forest_does_not_depend_on_partitions(people):
     rows = forest.labelled_rows(people, [G, H, X], "hd", "Yes", "id")
     one, other = (forest.fit_forest(rows.repartition(n), [G, H, X], trees=4, max_depth=8) for n in (1, 7))
