@@ -16,7 +16,7 @@ from surveyloom.functions import (Codebook, Levels, UnitRule, cut, decode_units,
 from surveyloom.models.design import Term
 from surveyloom.operators import cleaning, distribution, profiling, shares
 from surveyloom.operators.cleaning import Stage, assign, drop_missing, impute_mean, recode, rename, run_stages
-from surveyloom.sources import settle
+from surveyloom.sources import settle_wide
 
 # Published column names and the names used here.
 COLUMNS = {
@@ -146,7 +146,7 @@ def stages() -> list[Stage]:
         drop_missing(*REQUIRED),           # codes that stand for no answer
         assign("SMOKING", [(c("CIGARETTES_PER_DAY") > 0, "Yes")]),
         drop_missing("SMOKING"),
-        settle,                            # read for the mean and for what follows; keeps the plan short
+        settle_wide,                       # read for the mean and for what follows; keeps the plan short
         assign("CIGARETTES_PER_DAY", [(c("SMOKING") == "No", 0.0)]),
         impute_mean("CIGARETTES_PER_DAY", among=smoker, where=smoker & c("CIGARETTES_PER_DAY").isNull()),
         assign("DRINKING", [(c("DRINKING_DAYS_PER_MONTH") > 0, "Yes"), (c("HEAVY_DRINKING") == "Yes", "Yes")]),

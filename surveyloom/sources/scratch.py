@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+COMPILED_BYTES = 8000  # the JVM compiles no longer method
 
 _own_folder: dict[str, str] = {}
 
@@ -47,6 +49,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_wide(df: DataFrame) -> DataFrame:
+    """``settle`` for projections of many long expressions.
+
+    Fused into one method they pass what the JVM compiles, and every row is
+    interpreted.  Above this limit Spark cuts them into methods of their own.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(METHOD_LIMIT)
+    conf.set(METHOD_LIMIT, str(COMPILED_BYTES))
+    try:
+        return settle(df)
+    finally:
+        conf.set(METHOD_LIMIT, before)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all tables this application has settled; call it once its results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))

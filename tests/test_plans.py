@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from surveyloom.operators import profiling, sampling
-from surveyloom.sources import read_table
+from surveyloom.plans import heart
+from surveyloom.sources import read_table, scratch
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = contract.queries()
@@ -62,3 +63,19 @@ def test_no_query_multiplies_two_tables(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "PythonUDF" not in text and "BatchEvalPython" not in text
+
+
+def test_wide_projections_are_written_in_methods_the_jvm_compiles(spark, monkeypatch):
+    before, seen, write = spark.conf.get(scratch.METHOD_LIMIT), [], scratch.settle
+
+    def watched(df):
+        seen.append(spark.conf.get(scratch.METHOD_LIMIT))
+        return write(df)
+
+    monkeypatch.setattr(scratch, "settle", watched)
+    raw = spark.range(3).select(*[F.lit(None).cast("string" if name == "INCOME" else "double").alias(name) for name in heart.COLUMNS])
+    assert heart.clean(raw).count() == 0
+    assert seen == [str(scratch.COMPILED_BYTES)] and spark.conf.get(scratch.METHOD_LIMIT) == before
+    with pytest.raises(Exception):
+        scratch.settle_wide(spark.range(1).select(F.raise_error(F.lit("no"))))
+    assert spark.conf.get(scratch.METHOD_LIMIT) == before
