@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions import label_above
 from surveyloom.models import forest, logit, pruning, trees
-from surveyloom.models.design import answer_patterns
+from surveyloom.models.design import answer_patterns, complete_rows
 from surveyloom.operators import cleaning, distribution, metrics, profiling, sampling, shares
 from surveyloom.operators.joins import left_merge
 from surveyloom.plans import heart
@@ -398,11 +398,20 @@ def heart_glm_final(spark, folder):
 @query()
 def heart_glm_statistics(spark, folder):
     """Deviances and AIC of the three models."""
-    parts = [logit.fit_statistics(spark, _fitted(spark, folder, terms)[1]).withColumn("model", F.lit(name))
-             for name, terms in (("all", heart.ALL_TERMS), ("reduced", heart.REDUCED_TERMS), ("final", heart.FINAL_TERMS))]
+    fits = [_fitted(spark, folder, heart.ALL_TERMS)[1], *_reduced_and_final(spark, folder)]
+    parts = [logit.fit_statistics(spark, fit).withColumn("model", F.lit(name)) for name, fit in zip(("all", "reduced", "final"), fits)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _reduced_and_final(spark, folder):
+    """Both fits; they share patterns and climb side by side if the same rows have answered the terms of both."""
+    measures = logit.measure(_patterns(spark, folder, heart.REDUCED_TERMS), heart.REDUCED_TERMS)
+    rows = complete_rows(heart_parts(spark, folder).where("train"), heart.FINAL_TERMS, "HEART_DISEASE").count()
+    if rows == measures.rows:  # the final terms are some of the reduced ones
+        return logit.fit_logits([heart.REDUCED_TERMS, heart.FINAL_TERMS], measures)
+    return [*logit.fit_logits([heart.REDUCED_TERMS], measures), _fitted(spark, folder, heart.FINAL_TERMS)[1]]
+
+
 @query()
 def heart_importance(spark, folder):
     return logit.importance(spark, _fitted(spark, folder, heart.FINAL_TERMS)[1])

@@ -1,11 +1,14 @@
 """What the plans must look like to hold up on large tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from surveyloom.models import logit
 from surveyloom.operators import profiling, sampling
-from surveyloom.plans import heart
+from surveyloom.plans import heart, heart_queries
 from surveyloom.sources import read_table, scratch
 
 FOLDER = "/root/testdata/sf0.001"
@@ -79,3 +82,23 @@ def test_wide_projections_are_written_in_methods_the_jvm_compiles(spark, monkeyp
     with pytest.raises(Exception):
         scratch.settle_wide(spark.range(1).select(F.raise_error(F.lit("no"))))
     assert spark.conf.get(scratch.METHOD_LIMIT) == before
+
+
+@pytest.mark.parametrize("incomplete, counted", [(0, 2), (5, 3)])
+def test_models_on_the_same_rows_share_their_patterns(spark, monkeypatch, incomplete, counted):
+    rng = random.Random(3)
+    rows = [(True, rng.choice(["No", "No", "Yes"]), *[rng.choice(t.levels) if t.is_factor else float(rng.randint(0, 9)) for t in heart.ALL_TERMS])
+            for _ in range(600)]
+    names = ["train", "HEART_DISEASE", *[t.name for t in heart.ALL_TERMS]]
+    kinds = ["boolean", "string", *["string" if t.is_factor else "double" for t in heart.ALL_TERMS]]
+    rows = [tuple(None if i < incomplete and n == "EXERCISE" else v for n, v in zip(names, row)) for i, row in enumerate(rows)]
+    parts = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))).localCheckpoint()
+    calls, count = [], heart_queries.answer_patterns
+    monkeypatch.setattr(heart_queries, "heart_parts", lambda *_: parts)
+    monkeypatch.setattr(heart_queries, "answer_patterns", lambda *a: calls.append(a) or count(*a))
+    got = {r["model"]: r for r in heart_queries.heart_glm_statistics(spark, "").collect()}
+    assert len(calls) == counted
+    for name, terms in (("all", heart.ALL_TERMS), ("reduced", heart.REDUCED_TERMS), ("final", heart.FINAL_TERMS)):
+        want = logit.fit_statistics(spark, logit.fit_logit(count(parts, terms, "HEART_DISEASE", "Yes"), terms)).first()
+        for column, value in want.asDict().items():
+            assert got[name][column] == pytest.approx(value, rel=1e-8)
