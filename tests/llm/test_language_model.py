@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import DOCS, odd_rows, remainder, spaced_words
 from suffix_tree import SuffixTree
@@ -136,3 +137,30 @@ def test_contexts_under_a_ten_thousandth_of_the_tokens_count(spark):
     rows = language_model.scores(docs, held_out()).where("held_out").agg(
         F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.count("*").alias("n")).first()
     assert rows.score > rows.base + 6 * rows.n
+
+
+def test_strings_of_the_texts_are_never_written(spark, monkeypatch):
+    # Written and shuffled, they took more than four times the texts on disk.
+    written = []
+    settle = language_model.settle
+    monkeypatch.setattr(language_model, "settle", lambda df: written.append(df.dtypes) or settle(df))
+    frame = spark.createDataFrame([(i, " ".join(f"w{(i + j * j) % 40}" for j in range(30))) for i in range(50)], "doc_id long, text string")
+    assert language_model.scores(frame, held_out()).count() == 50
+    assert written and not [column for table in written for column in table if column[1].startswith("array")]
+
+
+def test_few_strings_share_all_their_marks(spark):
+    rng = np.random.default_rng(5)
+    inside, outside = (rng.integers(0, 1 << 63, 500_000, dtype=np.uint64) * np.uint64(2) + np.uint64(i) for i in (0, 1))
+    found = language_model._bit_map(spark.createDataFrame(pa.table({"key": inside.view(np.int64)})))
+    assert language_model._mapped(found, inside).all()
+    assert language_model._mapped(found, outside).mean() < 0.001
+
+
+def test_word_hashes_do_not_depend_on_where_bytes_are_cut(monkeypatch):
+    words = pa.array(["a", "b", "ab", "ba", "été", "x" * 3000, "x" * 3001, "aa", "a"])
+    whole = language_model._word_hashes(words)
+    assert whole[0] == whole[-1] and len(set(whole.tolist())) == len(words) - 1
+    monkeypatch.setattr(language_model, "HASHED_BYTES", 7)
+    assert (language_model._word_hashes(words) == whole).all() and (language_model._word_hashes(words[3:]) == whole[3:]).all()
+    assert len(language_model._word_hashes(words[:0])) == 0
