@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.functions import label_above
-from surveyloom.models import forest, logit, pruning, trees
+from surveyloom.models import forest, logit, pruning
 from surveyloom.models.design import answer_patterns, complete_rows
 from surveyloom.operators import cleaning, distribution, metrics, profiling, sampling, shares
 from surveyloom.operators.joins import left_merge
@@ -475,8 +475,7 @@ def _tree(spark, folder):
     """The tree grown to its limits and its cross-validated complexity table."""
     def build():
         train = heart_parts(spark, folder).where("train")
-        folds = [pruning.fold_of("row_id", seed=200)]
-        patterns = trees.fit_patterns(train, heart.ALL_TERMS, "HEART_DISEASE", "Yes", "row_id", keep=folds)
+        patterns = answer_patterns(train, heart.ALL_TERMS, "HEART_DISEASE", "Yes", keep=[pruning.fold_of("row_id", seed=200)])
         return pruning.cp_table(patterns, heart.ALL_TERMS)
     return _fit_once(spark, folder, "tree", build)
 

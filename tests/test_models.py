@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.models import forest, growing, likelihood, linear, logit, pruning, store, trees
 from surveyloom.models.design import Term, answer_patterns, design_matrix
+from surveyloom.plans import heart, heart_queries, modelling
 
 G = Term("g", ("a", "b", "c"))
 H = Term("h", ("u", "v"))
@@ -308,6 +309,29 @@ def test_cp_table_prunes_in_tasks(people):
     assert by_fold[2] == [wrong[1] - wrong[0] if tree.splits.labels[0] else wrong[0]]
 
 
+def answered(spark, count, terms, response, id_column):
+    """Training rows of few answer patterns; every fourth row, and more with a high first number, is positive."""
+    place = F.pmod(F.floor(F.col("id") / 7), F.lit(4)).cast("int")
+    answers = [(F.element_at(F.array(*map(F.lit, t.levels)), F.least(place, F.lit(len(t.levels) - 1)) + 1) if t.is_factor and i < 2
+                else F.lit(t.levels[0]) if t.is_factor else place.cast("double")).alias(t.name) for i, t in enumerate(terms)]
+    hit = (F.col("id") % 4 == 0) | ((place == 3) & (F.col("id") % 3 == 0))
+    return spark.range(count).select(F.col("id").alias(id_column), F.lit(True).alias("train"), *answers,
+                                     F.when(hit, "Yes").otherwise("No").alias(response))
+
+
+def test_trees_of_the_queries_are_fitted_on_every_row(spark, monkeypatch):
+    count = 1_000_400
+    rows = answered(spark, count, modelling.PREDICTORS, "hd", "resp_id")
+    monkeypatch.setattr(modelling, "_part", lambda spark, folder, train: rows)
+    folds = {r.fold: r.n for r in modelling._folded(spark, "every row").groupBy("fold").agg(F.sum("weight").alias("n")).collect()}
+    assert len(folds) == 10 and sum(folds.values()) == count
+    rows = answered(spark, count, heart.ALL_TERMS, "HEART_DISEASE", "row_id")
+    monkeypatch.setattr(heart_queries, "heart_parts", lambda spark, folder: rows)
+    tree, _ = heart_queries._tree(spark, "every row")
+    positive = rows.where("HEART_DISEASE = 'Yes'").count()
+    assert tree.splits.counts[0].tolist() == [count - positive, positive] and len(tree.splits.term) > 1
+
+
 def test_link_strengths_of_a_deep_tree():
     """Splits in a chain, each saving one row more than the one below: every one goes by itself, in little time."""
     depth, other = 6_000, 10 ** 9
