@@ -409,6 +409,29 @@ def test_every_value_is_swapped_exactly_once(people):
         assert (own.to_numpy() != new.to_numpy()).any(axis=1).mean() > 0.8
 
 
+def test_stretches_of_the_random_order_show_in_nothing(people):
+    rows = forest.labelled_rows(people, [G, H, X], "hd", "Yes", "id")
+    found = [{r.row_id: tuple(r.swap) for r in forest.shuffled_neighbours(rows, ["g", "x"], 200, block_rows).collect()}
+             for block_rows in (100_000, 100, 3)]
+    assert found[0] == found[1] == found[2]
+    order = sorted(found[0], key=lambda i: hashlib.md5(f"{i}:200:order".encode()).hexdigest())
+    own = {r.row_id: (r.g, r.x) for r in rows.collect()}
+    assert [found[0][i] for i in order] == [own[i] for i in order[-1:] + order[:-1]]
+
+
+def test_forests_are_fitted_and_judged_on_every_row(spark):
+    rows = forest.labelled_rows(answered(spark, 200_500, [G, X], "hd", "id"), [G, X], "hd", "Yes", "id")
+    grown = forest.fit_forest(rows, [G, X], trees=3, max_depth=2)
+    drawn = rows.select("y", F.transform(forest.draws(3, 200), forest.times_drawn).alias("w"))
+    sums = drawn.groupBy("y").agg(*[F.sum(F.col("w")[t]) for t in range(3)]).orderBy("y").collect()
+    assert [t.counts[0].tolist() for t in grown.trees] == [[sums[0][t + 1], sums[1][t + 1]] for t in range(3)]
+    left_out = drawn.agg(*[F.count_if(F.exists(F.slice("w", 1, t + 1), lambda n: n == 0)) for t in range(3)]).first()
+    errors = forest.curve_errors(forest.oob_curve(rows, grown)).orderBy("trees").collect()
+    assert [r.n_rows for r in errors] == list(left_out)
+    asked = forest._drops(rows, grown, 200, 1000).where("term = 0").groupBy("tree").agg(F.sum("asked").alias("n")).orderBy("tree").collect()
+    assert [r.n for r in asked] == list(drawn.agg(*[F.count_if(F.col("w")[t] == 0) for t in range(3)]).first())
+
+
 def test_permutation_importance_finds_the_real_predictor(people):
     noisy = people.withColumn("z", F.pmod(F.xxhash64("id"), F.lit(5)).cast("double"))
     terms = [G, X, Term("z")]
